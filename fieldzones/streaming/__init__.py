@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workload has no stream, watermark, window or stateful step: fields, rasters, laboratory
+results and harvest records arrive as files and are processed in batch.  Nothing is built
+here on purpose (see README, "Re-aimed or skipped").
+"""
