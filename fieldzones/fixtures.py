@@ -106,6 +106,11 @@ DEPENDS = {
 }
 
 
+# Fixtures with one row per field, zone, vertex or sample: cached once derived.
+SMALL = {"fx_fields", "fx_field_vertices", "fx_zones", "fx_zone_vertices", "fx_raster_meta",
+         "fx_samples", "fx_soil_lab"}
+
+
 def sql_text(name: str, dialect: str) -> str:
     """The recipe of ``name`` in ``dialect`` ('spark' or 'duckdb')."""
     text = _SQL[name]
@@ -147,7 +152,10 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for b in sorted(bases):
         spark.read.parquet(f"{sf_dir}/{b}.parquet").createOrReplaceTempView(b)
     for n in needed:
-        spark.sql(sql_text(n, "spark")).createOrReplaceTempView(n)
+        df = spark.sql(sql_text(n, "spark"))
+        if n in SMALL:
+            df = df.cache()  # derived once per session, reused by every query
+        df.createOrReplaceTempView(n)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` when a bounded count proves it small, else a shuffle join."""
+    """Broadcast ``small`` when a bounded count proves it small, else a shuffle join.
+
+    The small side is persisted first, so the count and the join share one evaluation.
+    """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
