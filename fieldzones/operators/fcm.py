@@ -44,27 +44,26 @@ def _initial_centres(pts: DataFrame, cols: list[str], keys: list[str], seed: int
         k = F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.col("c"))
     g = pts.withColumn("k", k.cast("int")).groupBy(*keys, "c", "k").agg(*[F.avg(x).alias(x) for x in cols])
     g = g.groupBy(*keys, "c").agg(F.sort_array(F.collect_list(F.struct("k", F.array(*cols).alias("v")))).alias("s"))
-    return g.select(*keys, "c", F.transform("s", lambda t: t["v"]).alias("C"))
+    return g.select(*keys, "c", F.transform("s", lambda t: t["v"]).alias("cur"))
 
 
 def fcm_round(pts: DataFrame, state: DataFrame, cols: list[str], keys: list[str], m: float) -> DataFrame:
-    """One round: from (previous centres ``P``, current centres ``C``) to next centres and error."""
+    """One round: from (previous centres ``prev``, current ``cur``) to next centres and error.
+
+    Memberships are computed once per point and exploded to one row per (point, k), so
+    every sum below is a plain column aggregate.  Output: one row per (field, c, k).
+    """
     j = pts.join(F.broadcast(state), [*keys, "c"])
-    j = j.withColumn("u", _memberships(cols, "C", m))
-    j = j.withColumn("uo", F.when(F.col("P").isNull(), F.lit(None)).otherwise(_memberships(cols, "P", m)))
-    cmax = 8
-    aggs = [F.sum(F.aggregate(F.zip_with("u", "uo", lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda s, x: s + x)).alias("err2"),
-            F.count(F.lit(1)).alias("n")]
-    for k in range(cmax):
-        wk = F.pow(F.coalesce(F.col("u")[k], F.lit(0.0)), F.lit(m))
-        aggs.append(F.sum(wk).alias(f"w{k}"))
-        for x in cols:
-            aggs.append(F.sum(wk * F.col(x)).alias(f"s{k}_{x}"))
-    a = j.groupBy(*keys, "c").agg(*aggs)
-    nxt = F.slice(F.array(*[F.array(*[F.col(f"s{k}_{x}") / F.col(f"w{k}") for x in cols])
-                            for k in range(cmax)]), 1, F.col("c"))
-    return a.select(*keys, "c", F.sqrt("err2").alias("err"), nxt.alias("N"), "n")
+    u = _memberships(cols, "cur", m)
+    uo = F.when(F.col("prev").isNull(), F.array_repeat(F.lit(None).cast("double"), F.size("cur"))).otherwise(
+        _memberships(cols, "prev", m))
+    pairs = F.arrays_zip(u.alias("u"), uo.alias("uo"))
+    e = j.select(*keys, "c", *cols, F.posexplode(pairs).alias("k", "z"))
+    w = F.pow(F.col("z.u"), F.lit(m))
+    d = F.col("z.u") - F.col("z.uo")
+    return (e.groupBy(*keys, "c", "k")
+            .agg(F.sum(d * d).alias("e2"), F.sum(w).alias("w"),
+                 *[F.sum(w * F.col(x)).alias(f"s_{x}") for x in cols]))
 
 
 def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error: float = 0.005,
@@ -80,31 +79,34 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
         raise ValueError("c is limited to 8 clusters")
     cs_col = F.explode(F.array(*[F.lit(int(c)) for c in cs])).alias("c")
     pts = cut_lineage(df.select(*keys, "pid", *cols).na.drop(subset=cols).select("*", cs_col))
-    state = _initial_centres(pts, cols, keys, seed, init).withColumn("P", F.lit(None).cast("array<array<double>>"))
-    schema = state.schema
+    state = _initial_centres(pts, cols, keys, seed, init).withColumn("prev", F.lit(None).cast("array<array<double>>"))
     done_rows = []
-    active = [tuple(r) for r in state.select(*keys, "c", "P", "C").collect()]
+    active = [tuple(r) for r in state.select(*keys, "c", "prev", "cur").collect()]
     rounds = 0
     while active and rounds < maxiter - 1:
         rounds += 1
         st = spark.createDataFrame(active, schema=f"{', '.join(k + ' string' for k in keys)}, "
-                                                  "c int, P array<array<double>>, C array<array<double>>")
+                                                  "c int, prev array<array<double>>, cur array<array<double>>")
         res = fcm_round(pts, st, cols, keys, m).collect()
-        by_key = {tuple(r[k] for k in keys) + (r["c"],): r for r in res}
+        by_key: dict = {}
+        for r in res:
+            by_key.setdefault(tuple(r[k] for k in keys) + (r["c"],), []).append(r)
         nxt = []
         for row in active:
             key = tuple(row[:len(keys) + 1])
-            r = by_key.get(key)
-            if r is None:
+            rs = sorted(by_key.get(key, []), key=lambda r: r["k"])
+            if not rs:
                 continue
-            if r["err"] is not None and r["err"] < error:
+            err = None if rs[0]["e2"] is None else sum(r["e2"] for r in rs) ** 0.5
+            if err is not None and err < error:
                 done_rows.append((*key, row[-1], rounds))
             else:
-                nxt.append((*key, row[-1], [list(v) for v in r["N"]]))
+                new = [[r[f"s_{x}"] / r["w"] if r["w"] else c0 for x, c0 in zip(cols, old)]
+                       for r, old in zip(rs, row[-1])]
+                nxt.append((*key, row[-1], new))
         active = nxt
     for row in active:  # not converged within maxiter: keep the last centres
         done_rows.append((*row[:len(keys) + 1], row[-1], rounds))
-    del schema
     centres = spark.createDataFrame(
         done_rows, schema=f"{', '.join(k + ' string' for k in keys)}, c int, "
                           "centres array<array<double>>, rounds int")
