@@ -181,3 +181,70 @@ def dissolve_zones(df: DataFrame, res: float = 10.0, cluster: str = "Cluster",
     out = cells.join(boundary, ["codigo", cluster], "left")
     return out.select("codigo", cluster, (F.col("n_cells") * (res * res)).alias("area_m2"),
                       (F.col("n_edges") * res).alias("perimeter_m"), "n_edges", *attrs)
+
+
+def clip_raster(pixels: DataFrame, meta: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pixels whose centre lies in the field, cropped to the extent of the kept cells.
+
+    Rows and columns are re-indexed from the new top-left cell; the metadata moves with them.
+    """
+    from fieldzones.operators.spatial import points_in_polygons
+    px = pixels if "x" in pixels.columns else _centres(pixels, meta)
+    kept = points_in_polygons(px.select("codigo", "layer", "row", "col", "x", "y", "value"), fields)
+    ext = kept.groupBy("codigo", "layer").agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
+                                               F.min("col").alias("c0"), F.max("col").alias("c1"))
+    new_meta = meta.join(ext, ["codigo", "layer"]).select(
+        "codigo", "layer", (F.col("x0") + F.col("c0") * F.col("res_x")).alias("x0"),
+        (F.col("y0") - F.col("r0") * F.col("res_y")).alias("y0"), "res_x", "res_y",
+        (F.col("r1") - F.col("r0") + 1).alias("n_rows"), (F.col("c1") - F.col("c0") + 1).alias("n_cols"))
+    out = join_small(kept, ext, ["codigo", "layer"]).select(
+        "codigo", "layer", (F.col("row") - F.col("r0")).alias("row"),
+        (F.col("col") - F.col("c0")).alias("col"), "value")
+    return out, new_meta
+
+
+def _centres(pixels: DataFrame, meta: DataFrame) -> DataFrame:
+    m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y")
+    j = join_small(pixels, m, ["codigo", "layer"])
+    return j.select(*pixels.columns, (F.col("x0") + (F.col("col") + 0.5) * F.col("res_x")).alias("x"),
+                    (F.col("y0") - (F.col("row") + 0.5) * F.col("res_y")).alias("y"))
+
+
+def default_target_meta(meta: DataFrame, src: str, dst: str) -> DataFrame:
+    """Target grid for a reprojection: the bounding box of the transformed raster corners at
+    the source resolution (one row per raster; the four corners are exploded and moved)."""
+    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    c = meta.select("codigo", "layer", "res_x", "res_y", "x0", "y0", "n_rows", "n_cols",
+                    F.explode(corners).alias("k"))
+    c = c.select("codigo", "layer", "res_x", "res_y",
+                 (F.col("x0") + F.col("k.a") * F.col("n_cols") * F.col("res_x")).alias("x"),
+                 (F.col("y0") - F.col("k.b") * F.col("n_rows") * F.col("res_y")).alias("y"))
+    c = crs_mod.transform_xy(c, src, dst)
+    b = c.groupBy("codigo", "layer", "res_x", "res_y").agg(
+        F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
+    return b.select("codigo", "layer", F.col("xmin").alias("x0"), F.col("ymax").alias("y0"), "res_x", "res_y",
+                    F.ceil((F.col("ymax") - F.col("ymin")) / F.col("res_y")).cast("int").alias("n_rows"),
+                    F.ceil((F.col("xmax") - F.col("xmin")) / F.col("res_x")).cast("int").alias("n_cols"))
+
+
+# Raster families of the sampling step (input prefix, output prefix).
+LAYER_FAMILIES = [("NDVI_median", "NDVI_Pl"), ("EVI_median", "EVI_Hist"), ("PROD_median", "PROD")]
+REFERENCE_LAYER = "NDVI_Pl_1"
+
+
+def build_layers(spark, meta: DataFrame, per_family: int = 5) -> DataFrame:
+    """The layer plan joined to the available rasters of every field.
+
+    Number 1 of each family keeps its own grid; numbers 2..5 are aligned to NDVI_Pl_1.
+    Missing inputs are reported (``present = false``) instead of failing the run.
+    """
+    plan = spark.createDataFrame(
+        [(pre, out, i, f"{out}_{i}", None if i == 1 else REFERENCE_LAYER)
+         for pre, out in LAYER_FAMILIES for i in range(1, per_family + 1)],
+        "input_prefix string, family string, i int, layer string, align_to string")
+    fields = meta.select("codigo").distinct()
+    have = meta.select("codigo", "layer", F.lit(True).alias("present"))
+    # every field gets the 15-row plan: an equi-join on a constant key against a 15-row table
+    p = fields.withColumn("_j", F.lit(1)).join(F.broadcast(plan.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    return (p.join(have, ["codigo", "layer"], "left").fillna(False, subset=["present"])
+            .select("codigo", "layer", "family", "i", "align_to", "present"))
