@@ -16,21 +16,26 @@ from pyspark.sql import functions as F
 from fieldzones.functions.numeric import distance
 
 
-def neighbour_pairs(df: DataFrame, radius: float = 50.0, keys=("codigo",), pid="pid") -> DataFrame:
-    """Directed pairs (i, j), i != j, with distance <= radius (inclusive)."""
+def neighbour_pairs(df: DataFrame, radius: float = 50.0, keys=("codigo",), pid="pid",
+                    carry=()) -> DataFrame:
+    """Directed pairs (i, j), i != j, with distance <= radius (inclusive).
+
+    ``carry`` columns travel with both ends as ``{c}_i`` and ``{c}_j``.
+    """
     keys = list(keys)
-    b = df.select(*keys, F.col(pid).alias("i"), "x", "y",
+    b = df.select(*keys, F.col(pid).alias("i"), "x", "y", *[F.col(c).alias(f"{c}_i") for c in carry],
                   F.floor(F.col("x") / radius).alias("bx"), F.floor(F.col("y") / radius).alias("by"))
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                      for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     probe = b.select(*keys, F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"),
+                     *[F.col(f"{c}_i").alias(f"{c}_j") for c in carry],
                      F.explode(offs).alias("o"), "bx", "by")
-    probe = probe.select(*keys, "j", "xj", "yj", (F.col("bx") + F.col("o.dx")).alias("bx"),
-                         (F.col("by") + F.col("o.dy")).alias("by"))
+    probe = probe.select(*keys, "j", "xj", "yj", *[f"{c}_j" for c in carry],
+                         (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by"))
     pairs = b.join(probe, [*keys, "bx", "by"], "inner")
     d = distance("x", "y", "xj", "yj")
     return (pairs.filter((F.col("i") != F.col("j")) & (d <= F.lit(float(radius))))
-            .select(*keys, "i", "j", d.alias("d")))
+            .select(*keys, "i", "j", d.alias("d"), *[f"{c}_i" for c in carry], *[f"{c}_j" for c in carry]))
 
 
 def neighbour_histogram(df: DataFrame, pairs: DataFrame, keys=("codigo",), pid="pid") -> DataFrame:
