@@ -67,10 +67,14 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
                    tol: float = 1e-4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M5: Lloyd's K-means on (x, y) per field with k = quota (``k`` column).
 
+    A field has converged when the summed squared shift of its centres is at most
+    ``tol`` times the mean variance of its coordinates (the usual relative tolerance).
     Returns ``(assigned points with cluster and dist, centres codigo/cluster/cx/cy)``.
     """
     spark: SparkSession = points.sparkSession
     pts = cut_lineage(points.select("codigo", "pid", "x", "y"))
+    var = {r[0]: (r[1] or 0.0) for r in pts.groupBy("codigo").agg(
+        ((F.var_pop("x") + F.var_pop("y")) / 2.0).alias("v")).collect()}  # one number per field
     state = [tuple(r) for r in _seed_centres(pts, quota, seed).collect()]
     schema = "codigo string, C array<array<double>>"
     rounds = 0
@@ -87,8 +91,8 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
         nxt = []
         for code, cs in state:
             upd = [list(new.get(code, {}).get(i, c)) for i, c in enumerate(cs)]  # empty: keep
-            shift = max(((u[0] - c[0]) ** 2 + (u[1] - c[1]) ** 2) for u, c in zip(upd, cs))
-            (final if shift <= tol * tol else nxt).append((code, upd))
+            shift = sum(((u[0] - c[0]) ** 2 + (u[1] - c[1]) ** 2) for u, c in zip(upd, cs))
+            (final if shift <= tol * var.get(code, 0.0) else nxt).append((code, upd))
         state = nxt
     final += state
     cdf = spark.createDataFrame(final, schema)

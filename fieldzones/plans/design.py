@@ -8,6 +8,7 @@ from fieldzones import fixtures as fx
 from fieldzones.operators import raster, sampling, spatial, stats
 from fieldzones.plans.registry import register, rounded
 from fieldzones.plans.zones import FX_LAYERS, fields
+from fieldzones.session import cut_lineage
 
 CELL = 10.0
 INSET = 11.0
@@ -64,9 +65,11 @@ feat as (
 
 
 def grid_features(spark, sf):
+    """Grid features, written once to the checkpoint folder: several statistics read them."""
     pts = sampling_grid(spark, sf)
-    return raster.sample_layers(pts, fx.table(spark, sf, "fx_pixels"),
+    feat = raster.sample_layers(pts, fx.table(spark, sf, "fx_pixels"),
                                 fx.table(spark, sf, "fx_raster_meta"), FX_LAYERS)
+    return cut_lineage(feat)
 
 
 @register("grid_features", fx.oracle(

@@ -8,6 +8,7 @@ from fieldzones import fixtures as fx
 from fieldzones.functions.numeric import argmax
 from fieldzones.operators import fcm, moran, raster, stats
 from fieldzones.plans.registry import register, rounded
+from fieldzones.session import cut_lineage
 
 # The eight variables of the multivariate zoning step.
 ZONING_VARS = ["Arcilla", "Limo", "Arena", "pH", "MO", "Na", "Ca", "CIC"]
@@ -20,8 +21,9 @@ def multivar(spark, sf):
 
 
 def _std(spark, sf):
+    """Standardised variables, checkpointed: PCA reads them twice (moments, then scores)."""
     m = multivar(spark, sf)
-    return stats.standardise(stats.impute_mean(m, ZONING_VARS), ZONING_VARS)
+    return cut_lineage(stats.standardise(stats.impute_mean(m, ZONING_VARS), ZONING_VARS))
 
 
 def _pairs_sql(cols):
