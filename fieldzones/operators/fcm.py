@@ -39,12 +39,12 @@ def _initial_centres(pts: DataFrame, cols: list[str], keys: list[str], seed: int
                      init: str) -> DataFrame:
     """Centres from a crisp seeded partition: point -> class ``hash(seed, pid) mod c``."""
     if init == "mod":
-        k = F.pmod(F.col("pid"), F.col("c"))
+        k = F.pmod(F.col("pid"), F.col("n_clusters"))
     else:
-        k = F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.col("c"))
-    g = pts.withColumn("k", k.cast("int")).groupBy(*keys, "c", "k").agg(*[F.avg(x).alias(x) for x in cols])
-    g = g.groupBy(*keys, "c").agg(F.sort_array(F.collect_list(F.struct("k", F.array(*cols).alias("v")))).alias("s"))
-    return g.select(*keys, "c", F.transform("s", lambda t: t["v"]).alias("cur"))
+        k = F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.col("n_clusters"))
+    g = pts.withColumn("k", k.cast("int")).groupBy(*keys, "n_clusters", "k").agg(*[F.avg(x).alias(x) for x in cols])
+    g = g.groupBy(*keys, "n_clusters").agg(F.sort_array(F.collect_list(F.struct("k", F.array(*cols).alias("v")))).alias("s"))
+    return g.select(*keys, "n_clusters", F.transform("s", lambda t: t["v"]).alias("cur"))
 
 
 def fcm_round(pts: DataFrame, state: DataFrame, cols: list[str], keys: list[str], m: float) -> DataFrame:
@@ -53,15 +53,15 @@ def fcm_round(pts: DataFrame, state: DataFrame, cols: list[str], keys: list[str]
     Memberships are computed once per point and exploded to one row per (point, k), so
     every sum below is a plain column aggregate.  Output: one row per (field, c, k).
     """
-    j = pts.join(F.broadcast(state), [*keys, "c"])
+    j = pts.join(F.broadcast(state), [*keys, "n_clusters"])
     u = _memberships(cols, "cur", m)
     uo = F.when(F.col("prev").isNull(), F.array_repeat(F.lit(None).cast("double"), F.size("cur"))).otherwise(
         _memberships(cols, "prev", m))
     pairs = F.arrays_zip(u.alias("u"), uo.alias("uo"))
-    e = j.select(*keys, "c", *cols, F.posexplode(pairs).alias("k", "z"))
+    e = j.select(*keys, "n_clusters", *cols, F.posexplode(pairs).alias("k", "z"))
     w = F.pow(F.col("z.u"), F.lit(m))
     d = F.col("z.u") - F.col("z.uo")
-    return (e.groupBy(*keys, "c", "k")
+    return (e.groupBy(*keys, "n_clusters", "k")
             .agg(F.sum(d * d).alias("e2"), F.sum(w).alias("w"),
                  *[F.sum(w * F.col(x)).alias(f"s_{x}") for x in cols]))
 
@@ -77,20 +77,20 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
     keys = list(keys)
     if max(cs) > 8:
         raise ValueError("c is limited to 8 clusters")
-    cs_col = F.explode(F.array(*[F.lit(int(c)) for c in cs])).alias("c")
+    cs_col = F.explode(F.array(*[F.lit(int(c)) for c in cs])).alias("n_clusters")
     pts = cut_lineage(df.select(*keys, "pid", *cols).na.drop(subset=cols).select("*", cs_col))
     state = _initial_centres(pts, cols, keys, seed, init).withColumn("prev", F.lit(None).cast("array<array<double>>"))
     done_rows = []
-    active = [tuple(r) for r in state.select(*keys, "c", "prev", "cur").collect()]
+    active = [tuple(r) for r in state.select(*keys, "n_clusters", "prev", "cur").collect()]
     rounds = 0
     while active and rounds < maxiter - 1:
         rounds += 1
         st = spark.createDataFrame(active, schema=f"{', '.join(k + ' string' for k in keys)}, "
-                                                  "c int, prev array<array<double>>, cur array<array<double>>")
+                                                  "n_clusters int, prev array<array<double>>, cur array<array<double>>")
         res = fcm_round(pts, st, cols, keys, m).collect()
         by_key: dict = {}
         for r in res:
-            by_key.setdefault(tuple(r[k] for k in keys) + (r["c"],), []).append(r)
+            by_key.setdefault(tuple(r[k] for k in keys) + (r["n_clusters"],), []).append(r)
         nxt = []
         for row in active:
             key = tuple(row[:len(keys) + 1])
@@ -108,21 +108,21 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
     for row in active:  # not converged within maxiter: keep the last centres
         done_rows.append((*row[:len(keys) + 1], row[-1], rounds))
     centres = spark.createDataFrame(
-        done_rows, schema=f"{', '.join(k + ' string' for k in keys)}, c int, "
+        done_rows, schema=f"{', '.join(k + ' string' for k in keys)}, n_clusters int, "
                           "centres array<array<double>>, rounds int")
     memb = with_memberships(pts, centres, cols, m, keys)
-    fpc = memb.groupBy(*keys, "c").agg(
+    fpc = memb.groupBy(*keys, "n_clusters").agg(
         (F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) / F.count(F.lit(1))).alias("fpc"))
-    return centres.join(fpc, [*keys, "c"], "left"), memb
+    return centres.join(fpc, [*keys, "n_clusters"], "left"), memb
 
 
 def with_memberships(pts: DataFrame, centres: DataFrame, cols: list[str], m: float = 2.0,
                      keys=("codigo",)) -> DataFrame:
     """Memberships from final centres and the class of greatest membership."""
     keys = list(keys)
-    j = pts.join(F.broadcast(centres.select(*keys, "c", "centres")), [*keys, "c"])
+    j = pts.join(F.broadcast(centres.select(*keys, "n_clusters", "centres")), [*keys, "n_clusters"])
     j = j.withColumn("u", _memberships(cols, "centres", m))
-    return j.select(*keys, "c", "pid", *cols, "u", argmax(F.col("u")).alias("Cluster"))
+    return j.select(*keys, "n_clusters", "pid", *cols, "u", argmax(F.col("u")).alias("Cluster"))
 
 
 def membership_columns(memb: DataFrame, c: int) -> DataFrame:
@@ -132,4 +132,4 @@ def membership_columns(memb: DataFrame, c: int) -> DataFrame:
 
 def choose_c(fits: DataFrame, keys=("codigo",)) -> DataFrame:
     """C with the greatest fuzzy partition coefficient per field (smallest c on ties)."""
-    return fits.groupBy(*keys).agg(F.min_by("c", F.struct(-F.col("fpc"), F.col("c"))).alias("c"))
+    return fits.groupBy(*keys).agg(F.min_by("n_clusters", F.struct(-F.col("fpc"), F.col("n_clusters"))).alias("n_clusters"))

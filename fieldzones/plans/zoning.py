@@ -181,7 +181,7 @@ from u group by codigo, pid
 @register("fcm_step", fx.oracle(_FCM_STEP_SQL, "fx_multivar"))
 def q_fcm_step(spark, sf):
     """M11 step/M14/W4: memberships (m = 2) from centres of a crisp start partition."""
-    m = multivar(spark, sf).select("codigo", "pid", *THREE).withColumn("c", F.lit(3))
+    m = multivar(spark, sf).select("codigo", "pid", *THREE).withColumn("n_clusters", F.lit(3))
     init = fcm._initial_centres(m, THREE, ["codigo"], 42, "mod").withColumnRenamed("cur", "centres")
     memb = fcm.with_memberships(m, init, THREE)
     return rounded(memb.select("codigo", "pid", F.col("u")[0].alias("u0"), F.col("u")[1].alias("u1"),
@@ -202,8 +202,8 @@ def q_fpc_sweep(spark, sf):
     """FPC for c = 2..5 in one job per round, and the chosen c (rows check)."""
     sc, _ = pca_scores(spark, sf)
     centres, _ = fcm.fuzzy_cmeans(sc, ["PC1", "PC2", "PC3"], cs=(2, 3, 4, 5))
-    best = fcm.choose_c(centres).withColumnRenamed("c", "chosen_c")
-    return rounded(centres.select("codigo", "c", "fpc", "rounds").join(best, "codigo"))
+    best = fcm.choose_c(centres).withColumnRenamed("n_clusters", "chosen_c")
+    return rounded(centres.select("codigo", F.col("n_clusters").alias("c"), "fpc", "rounds").join(best, "codigo"))
 
 
 _CELL_SQL = """
