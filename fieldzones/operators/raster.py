@@ -188,9 +188,8 @@ def clip_raster(pixels: DataFrame, meta: DataFrame, fields: DataFrame) -> tuple[
 
     Rows and columns are re-indexed from the new top-left cell; the metadata moves with them.
     """
-    from fieldzones.operators.spatial import points_in_polygons
-    px = pixels if "x" in pixels.columns else _centres(pixels, meta)
-    kept = points_in_polygons(px.select("codigo", "layer", "row", "col", "x", "y", "value"), fields)
+    from fieldzones.operators.spatial import pixels_in_polygons
+    kept = pixels_in_polygons(pixels.select("codigo", "layer", "row", "col", "value"), fields, meta)
     ext = kept.groupBy("codigo", "layer").agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
                                                F.min("col").alias("c0"), F.max("col").alias("c1"))
     new_meta = meta.join(ext, ["codigo", "layer"]).select(

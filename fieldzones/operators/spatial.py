@@ -1,9 +1,16 @@
 """Polygons, containment, areas, bounds and point grids.
 
-Polygons are small (one row per field or zone); points and pixels are large.  Every
-containment test is an equi-join on ``codigo`` with the polygon side broadcast after a
-bounded size check, a bounding-box pre-filter in the join condition, and the even-odd
-test as a higher-order expression, so the large side is never shuffled.
+Polygons are small (one row per field or zone); points and pixels are large.  Two plans:
+
+* pixels on a raster grid (the big case): the polygons are turned into per-row column
+  intervals on the small side (scanline), and containment becomes an equi-join on
+  ``(codigo, layer, row)`` with a column range - no geometry is evaluated per pixel and
+  the join stays in generated code;
+* arbitrary points: an equi-join on ``codigo`` with the polygon side broadcast after a
+  bounded size check, a bounding-box pre-filter in the join condition, and the even-odd
+  test as a higher-order expression.
+
+In both the large side is never shuffled while the small side fits the broadcast bound.
 """
 
 from __future__ import annotations
@@ -123,3 +130,57 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, attrs=()) -> DataFra
 def clip_pixels(pixels: DataFrame, fields: DataFrame) -> DataFrame:
     """Pixels whose centre lies in the field polygon."""
     return points_in_polygons(pixels, fields)
+
+
+def _edges(parts_col: str = "parts"):
+    """Per part, all edges of all its rings as ``(ax, ay, bx, by)`` (holes included)."""
+    def ring_edges(r):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0))),
+                           lambda i: F.struct(r[i]["x"].alias("ax"), r[i]["y"].alias("ay"),
+                                              r[i + 1]["x"].alias("bx"), r[i + 1]["y"].alias("by")))
+    return F.transform(F.col(parts_col), lambda poly: F.flatten(F.transform(poly, ring_edges)))
+
+
+def scanline_intervals(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame:
+    """Cells of a raster grid whose centre lies inside each polygon, as column intervals.
+
+    For every polygon part and every raster row crossing its bounding box, the edges cut
+    by the row's centre line give sorted crossings ``s1 < s2 < ...``; the even-odd rule
+    puts a centre ``xc`` inside exactly when ``s(2j-1) <= xc < s(2j)``.  The work is on the
+    small polygon side (parts x rows); the output ``(codigo, layer, row, col_lo, col_hi,
+    attrs)`` turns containment of every pixel into an equi-join on ``(codigo, layer, row)``
+    with a column range.  Parts of a valid multipolygon do not overlap, so no cell is
+    listed twice for one polygon.
+    """
+    p = polys.select("codigo", *attrs, F.posexplode(_edges()).alias("part", "edges"), "ymin", "ymax")
+    m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y", "n_rows", "n_cols")
+    j = p.join(F.broadcast(m), "codigo")
+    r_lo = F.greatest(F.lit(0), F.ceil((F.col("y0") - F.col("ymax")) / F.col("res_y") - 0.5).cast("int"))
+    r_hi = F.least(F.col("n_rows") - 1, F.floor((F.col("y0") - F.col("ymin")) / F.col("res_y") - 0.5).cast("int"))
+    j = j.filter(r_lo <= r_hi).select("*", F.explode(F.sequence(r_lo, r_hi)).alias("row"))
+    yc = F.col("y0") - (F.col("row") + 0.5) * F.col("res_y")
+    j = j.withColumn("yc", yc)
+    cut = F.filter("edges", lambda e: (e["ay"] > F.col("yc")) != (e["by"] > F.col("yc")))
+    xs = F.array_sort(F.transform(cut, lambda e: (e["bx"] - e["ax"]) * (F.col("yc") - e["ay"])
+                                  / (e["by"] - e["ay"]) + e["ax"]))
+    j = j.withColumn("xs", xs)
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
+                        lambda k: F.struct(F.col("xs")[2 * k].alias("a"), F.col("xs")[2 * k + 1].alias("b")))
+    j = j.filter(F.size("xs") >= 2).select("codigo", *attrs, "layer", "row", "x0", "res_x", "n_cols",
+                                           F.explode(pairs).alias("iv"))
+    lo = F.greatest(F.lit(0), F.ceil((F.col("iv.a") - F.col("x0")) / F.col("res_x") - 0.5).cast("int"))
+    hi = F.least(F.col("n_cols") - 1,
+                 F.ceil((F.col("iv.b") - F.col("x0")) / F.col("res_x") - 0.5).cast("int") - 1)
+    return j.select("codigo", *attrs, "layer", "row", lo.alias("col_lo"), hi.alias("col_hi")) \
+        .filter(F.col("col_lo") <= F.col("col_hi"))
+
+
+def pixels_in_polygons(pixels: DataFrame, polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame:
+    """J4/J5 for raster pixels: one row per (pixel, containing polygon) through an equi-join
+    on ``(codigo, layer, row)`` with the polygon's column intervals (no per-pixel geometry)."""
+    iv = scanline_intervals(polys, meta, attrs)
+    j = join_small(pixels, iv.withColumnRenamed("codigo", "_c").withColumnRenamed("layer", "_l")
+                   .withColumnRenamed("row", "_r"),
+                   (F.col("codigo") == F.col("_c")) & (F.col("layer") == F.col("_l")) & (F.col("row") == F.col("_r"))
+                   & (F.col("col") >= F.col("col_lo")) & (F.col("col") <= F.col("col_hi")))
+    return j.select(*pixels.columns, *attrs)

@@ -1,8 +1,9 @@
 """Zone statistics and the zone report.
 
-Plan shape: pixels (huge, partitioned by field and layer) meet the zone polygons (small,
-broadcast after a bounded count) in a broadcast hash join on ``codigo``; the mean per
-(field, zone, layer) is a partial aggregate, so only a few rows per zone are shuffled.
+Plan shape: the zone polygons (small) become per-row column intervals of the raster grid;
+pixels (huge, partitioned by field and layer) meet them in a broadcast hash join on
+``(codigo, layer, row)`` with a column range; the mean per (field, zone, layer) is a
+partial aggregate, so only a few rows per zone are shuffled.
 The pivot uses an explicit layer list, and the zones are joined back so that a zone
 without pixels keeps null statistics.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldzones.operators.spatial import points_in_polygons, with_area_ha
+from fieldzones.operators.spatial import pixels_in_polygons, points_in_polygons, with_area_ha
 
 # Statistic columns of the report in agronomic order (textures first,
 # with their short aliases before the full names).
@@ -55,15 +56,22 @@ def statistic_name(layer) -> F.Column:
     return F.replace(F.col(layer) if isinstance(layer, str) else layer, F.lit("_mean"), F.lit(""))
 
 
-def zonal_mean(pixels: DataFrame, zones: DataFrame, layers: list[str]) -> DataFrame:
+def zonal_mean(pixels: DataFrame, zones: DataFrame, layers: list[str],
+               meta: DataFrame | None = None) -> DataFrame:
     """Mean of every layer per zone (pixel centre inside; null values ignored).
 
-    ``pixels``: codigo, layer, x, y, value.  ``zones``: codigo, Zonas, parts, bounds.
+    ``pixels``: codigo, layer, row, col, value (+ x, y without ``meta``).  ``zones``: codigo,
+    Zonas, parts, bounds.  With the raster ``meta`` containment is a scanline equi-join
+    (no per-pixel geometry); without it, a per-point even-odd test on x, y.
     Returns zones with one column per statistic; a zone without pixels gets nulls.
     """
     names = [l.replace("_mean", "") for l in layers]
-    px = pixels.select("codigo", "layer", "x", "y", "value")
-    inside = points_in_polygons(px, zones, attrs=("Zonas",))
+    if meta is not None:
+        px = pixels.select("codigo", "layer", "row", "col", "value")
+        inside = pixels_in_polygons(px, zones, meta, attrs=("Zonas",))
+    else:
+        px = pixels.select("codigo", "layer", "x", "y", "value")
+        inside = points_in_polygons(px, zones, attrs=("Zonas",))
     means = (inside.withColumn("stat", statistic_name("layer"))
              .groupBy("codigo", "Zonas").pivot("stat", list(dict.fromkeys(names)))
              .agg(F.avg("value")))
@@ -112,10 +120,11 @@ def merge_texture_aliases(df: DataFrame) -> DataFrame:
     return df.drop(*[s for _, s in TEXTURES if s in df.columns])
 
 
-def zone_statistics(zones: DataFrame, pixels: DataFrame, layers: list[str]) -> DataFrame:
-    """The zone layer with area and statistics (what the reference writes back as the layer)."""
+def zone_statistics(zones: DataFrame, pixels: DataFrame, layers: list[str],
+                    meta: DataFrame | None = None) -> DataFrame:
+    """The zone layer with area and statistics (the layer written next to the input)."""
     z = with_area_ha(zones)
-    z = zonal_mean(pixels, z, layers)
+    z = zonal_mean(pixels, z, layers, meta)
     z = order_soil_columns(z)
     return merge_texture_aliases(z)
 

@@ -21,7 +21,8 @@ def _pixels(spark, sf):
 
 
 def zone_layer(spark, sf):
-    return zonal.zone_statistics(_zones(spark, sf), _pixels(spark, sf), FX_LAYERS)
+    return zonal.zone_statistics(_zones(spark, sf), _pixels(spark, sf), FX_LAYERS,
+                                 fx.table(spark, sf, "fx_raster_meta"))
 
 
 def _avg_cols(prefix=""):
@@ -156,5 +157,5 @@ select codigo, layer, "row", "col", round(value, 6) as value from c where k % 2
 def q_clip_pixels(spark, sf):
     """Pixels of one layer whose centre lies inside the L-shaped field."""
     px = _pixels(spark, sf).filter(F.col("layer") == "NDVI_Pl_1")
-    out = spatial.clip_pixels(px, fields(spark, sf))
+    out = spatial.pixels_in_polygons(px, fields(spark, sf), fx.table(spark, sf, "fx_raster_meta"))
     return rounded(out.select("codigo", "layer", "row", "col", "value"))

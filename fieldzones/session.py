@@ -9,9 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Small sides (polygons, per-field statistics, centres) are broadcast only when a
-# bounded count proves them small; beyond this they go through a shuffle join.
-BROADCAST_MAX_ROWS = 200_000
+# Small sides (polygons, scanline intervals, per-field statistics, centres) are broadcast
+# only when a bounded count proves them small (2 M rows of a few numbers: well under the
+# broadcast limit); beyond this they go through a shuffle join.
+BROADCAST_MAX_ROWS = 2_000_000
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
