@@ -106,6 +106,9 @@ DEPENDS = {
 }
 
 
+# Base tables whose rows the recipes multiply into large fixtures.
+GENERATORS = {"part", "orders", "customer", "supplier", "embeddings"}
+
 # Fixtures with one row per field, zone, vertex or sample: cached once derived.
 SMALL = {"fx_fields", "fx_field_vertices", "fx_zones", "fx_zone_vertices", "fx_raster_meta",
          "fx_samples", "fx_soil_lab"}
@@ -149,8 +152,14 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
         for d in DEPENDS.get(n, (n,) if n in BASE_TABLES else ()):
             if d in BASE_TABLES:
                 bases.add(d)
+    par = max(int(spark.sparkContext.defaultParallelism), 1)
     for b in sorted(bases):
-        spark.read.parquet(f"{sf_dir}/{b}.parquet").createOrReplaceTempView(b)
+        df = spark.read.parquet(f"{sf_dir}/{b}.parquet")
+        if b in GENERATORS:
+            # a small file that is multiplied by the recipes (part -> pixels, orders ->
+            # chronology): spread it over all cores so the derived rows are made in parallel
+            df = df.repartition(par)
+        df.createOrReplaceTempView(b)
     for n in needed:
         df = spark.sql(sql_text(n, "spark"))
         if n in SMALL:

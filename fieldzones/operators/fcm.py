@@ -1,20 +1,25 @@
 """Fuzzy C-means per field.
 
-Memberships are a pure function of the centres, so a round is one aggregate over the
-(checkpointed) points with the current and the previous centres joined in as a small
-broadcast table: it yields the next centres and the convergence measure
-``||U_r - U_{r-1}||`` in the same pass.  Only centres (fields x c x features numbers)
-travel to the driver between rounds; converged fields drop out of the next round.  Many
-values of c run in the same job keyed by ``(codigo, c)``.
+Groups (field, c) of at most ``LOCAL_MAX_POINTS`` points run the whole iteration inside
+one task (``applyInPandas``, memory bounded by that limit): one job for all ordinary
+fields.  Larger groups iterate as distributed rounds: memberships are a pure function of
+the centres, so a round is one aggregate over the (checkpointed) points with the current
+and the previous centres joined in as a small broadcast table; it yields the next centres
+and the convergence measure ``||U_r - U_{r-1}||`` in the same pass.  Only centres travel to
+the driver between rounds; converged groups drop out.  Both paths run the same algorithm
+(same crisp seeded start, same stopping rule), and many values of c run in the same job
+keyed by ``(codigo, c)``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldzones.functions.numeric import argmax
-from fieldzones.session import cut_lineage
+from fieldzones.session import cut_lineage, join_small
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon: distances are floored at it
 
@@ -35,14 +40,48 @@ def _memberships(cols: list[str], centres: str, m: float) -> F.Column:
     return F.transform(w, lambda x: x / total)
 
 
+LOCAL_MAX_POINTS = 200_000
+
+
+def _init_class(seed: int, init: str):
+    """Crisp start class of a point: seeded hash (or pid) modulo the number of clusters."""
+    if init == "mod":
+        return F.pmod(F.col("pid"), F.col("n_clusters")).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.col("n_clusters")).cast("int")
+
+
+def _local_fcm(cols, keys, m, error, maxiter):
+    """The same iteration as the distributed rounds, for one bounded group in NumPy."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[cols].to_numpy(float)
+        k0 = pdf["k0"].to_numpy()
+        cur = np.array([x[k0 == k].mean(0) for k in sorted(set(k0.tolist()))])
+
+        def memb(c):
+            d = np.fmax(np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)), EPS)
+            w = d ** (-2.0 / (m - 1.0))
+            return w / w.sum(1, keepdims=True)
+
+        u_prev, rounds = None, 0
+        while rounds < maxiter - 1:
+            rounds += 1
+            u = memb(cur)
+            if u_prev is not None and np.sqrt(((u - u_prev) ** 2).sum()) < error:
+                break
+            um = u ** m
+            wsum = um.sum(0)
+            nxt = np.where(wsum[:, None] > 0, (um.T @ x) / np.where(wsum > 0, wsum, 1.0)[:, None], cur)
+            u_prev, cur = u, nxt
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update(n_clusters=int(pdf["n_clusters"].iloc[0]), centres=cur.tolist(), rounds=rounds)
+        return pd.DataFrame([row])
+    return run
+
+
 def _initial_centres(pts: DataFrame, cols: list[str], keys: list[str], seed: int,
                      init: str) -> DataFrame:
     """Centres from a crisp seeded partition: point -> class ``hash(seed, pid) mod c``."""
-    if init == "mod":
-        k = F.pmod(F.col("pid"), F.col("n_clusters"))
-    else:
-        k = F.pmod(F.xxhash64(F.lit(seed), F.col("pid")), F.col("n_clusters"))
-    g = pts.withColumn("k", k.cast("int")).groupBy(*keys, "n_clusters", "k").agg(*[F.avg(x).alias(x) for x in cols])
+    g = pts.withColumn("k", _init_class(seed, init)).groupBy(*keys, "n_clusters", "k").agg(*[F.avg(x).alias(x) for x in cols])
     g = g.groupBy(*keys, "n_clusters").agg(F.sort_array(F.collect_list(F.struct("k", F.array(*cols).alias("v")))).alias("s"))
     return g.select(*keys, "n_clusters", F.transform("s", lambda t: t["v"]).alias("cur"))
 
@@ -79,7 +118,20 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
         raise ValueError("c is limited to 8 clusters")
     cs_col = F.explode(F.array(*[F.lit(int(c)) for c in cs])).alias("n_clusters")
     pts = cut_lineage(df.select(*keys, "pid", *cols).na.drop(subset=cols).select("*", cs_col))
-    state = _initial_centres(pts, cols, keys, seed, init).withColumn("prev", F.lit(None).cast("array<array<double>>"))
+    key_schema = ", ".join(k + " string" for k in keys)
+    out_schema = f"{key_schema}, n_clusters int, centres array<array<double>>, rounds int"
+    # groups up to LOCAL_MAX_POINTS iterate inside one task (bounded memory); larger groups
+    # iterate as distributed rounds below, so no unbounded group is ever gathered
+    sizes = pts.groupBy(*keys, "n_clusters").agg(F.count(F.lit(1)).alias("npts"))
+    small = sizes.filter(F.col("npts") <= LOCAL_MAX_POINTS).select(*keys, "n_clusters")
+    local = (join_small(pts, small, [*keys, "n_clusters"], "left_semi")
+             .withColumn("k0", _init_class(seed, init))
+             .groupBy(*keys, "n_clusters")
+             .applyInPandas(_local_fcm(cols, keys, m, error, maxiter), out_schema))
+    big = sizes.filter(F.col("npts") > LOCAL_MAX_POINTS).select(*keys, "n_clusters")
+    pts_big = pts.join(F.broadcast(big), [*keys, "n_clusters"], "left_semi")
+    state = _initial_centres(pts_big, cols, keys, seed, init).withColumn(
+        "prev", F.lit(None).cast("array<array<double>>"))
     done_rows = []
     active = [tuple(r) for r in state.select(*keys, "n_clusters", "prev", "cur").collect()]
     rounds = 0
@@ -87,7 +139,7 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
         rounds += 1
         st = spark.createDataFrame(active, schema=f"{', '.join(k + ' string' for k in keys)}, "
                                                   "n_clusters int, prev array<array<double>>, cur array<array<double>>")
-        res = fcm_round(pts, st, cols, keys, m).collect()
+        res = fcm_round(pts_big, st, cols, keys, m).collect()
         by_key: dict = {}
         for r in res:
             by_key.setdefault(tuple(r[k] for k in keys) + (r["n_clusters"],), []).append(r)
@@ -107,9 +159,7 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
         active = nxt
     for row in active:  # not converged within maxiter: keep the last centres
         done_rows.append((*row[:len(keys) + 1], row[-1], rounds))
-    centres = spark.createDataFrame(
-        done_rows, schema=f"{', '.join(k + ' string' for k in keys)}, n_clusters int, "
-                          "centres array<array<double>>, rounds int")
+    centres = cut_lineage(local.unionByName(spark.createDataFrame(done_rows, schema=out_schema)))
     memb = with_memberships(pts, centres, cols, m, keys)
     fpc = memb.groupBy(*keys, "n_clusters").agg(
         (F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)) / F.count(F.lit(1))).alias("fpc"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldzones.functions import crs as crs_mod
-from fieldzones.session import join_small
+from fieldzones.session import join_small, parallelism
 
 
 def lookup_cells(points: DataFrame, meta: DataFrame, layers: list[str]) -> DataFrame:
@@ -79,6 +79,7 @@ def target_grid(meta: DataFrame) -> DataFrame:
     """Cell centres of target rasters (one row per cell), generated on the executors."""
     g = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y",
                     F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row"), "n_cols")
+    g = g.repartition(parallelism(meta.sparkSession), "codigo", "row")  # rows over all cores
     g = g.select("*", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
     return g.select("codigo", "layer", "row", "col",
                     (F.col("row").cast("long") * F.col("n_cols") + F.col("col")).alias("tid"),

@@ -1,15 +1,18 @@
 """Soil-sampling design.
 
-K-means runs for all fields at once with a different k per field: each Lloyd round is one
-partial aggregate over the checkpointed grid with the centres of every field joined in
-as a small broadcast table (the assignment is an argmin over the centre array).  Only
-centres travel to the driver between rounds.  Representatives are chosen with a
+K-means runs for all fields at once with a different k per field.  Fields up to a bounded
+size iterate inside one task each; larger fields run Lloyd rounds as partial aggregates
+over the checkpointed grid with the centres of every field joined in as a small broadcast
+table (the assignment is an argmin over the centre array); only centres travel to the
+driver between rounds.  Representatives are chosen with a
 ``min(struct(dist, pid))`` aggregate rather than a window, so a huge field is still
 pre-aggregated on every partition.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +66,62 @@ def nearest_centre(points: DataFrame, centres: str = "C") -> DataFrame:
     return points.withColumn("cluster", best["k"]).withColumn("dist", best["d"])
 
 
+LOCAL_MAX_POINTS = 200_000
+
+
+def _local_lloyd(max_iter: int, tol: float):
+    """Lloyd iterations for one bounded field in NumPy (same rules as the distributed
+    rounds: first centre on ties, an empty cluster keeps its centre, relative tolerance)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["x", "y"]].to_numpy(float)
+        cur = np.array([list(c) for c in pdf["C"].iloc[0]], dtype=float)
+        var = float(((xy - xy.mean(0)) ** 2).mean(0).mean())
+        for _ in range(max_iter):
+            d = np.sqrt(((xy[:, None, :] - cur[None, :, :]) ** 2).sum(-1))
+            lab = d.argmin(1)
+            upd = cur.copy()
+            for k in range(len(cur)):
+                sel = lab == k
+                if sel.any():
+                    upd[k] = xy[sel].mean(0)
+            shift = float(((upd - cur) ** 2).sum())
+            cur = upd
+            if shift <= tol * var:
+                break
+        return pd.DataFrame([{"codigo": pdf["codigo"].iloc[0], "C": cur.tolist()}])
+    return run
+
+
 def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
                    tol: float = 1e-4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """M5: Lloyd's K-means on (x, y) per field with k = quota (``k`` column).
 
     A field has converged when the summed squared shift of its centres is at most
     ``tol`` times the mean variance of its coordinates (the usual relative tolerance).
+    Fields of at most ``LOCAL_MAX_POINTS`` points iterate inside one task (bounded memory,
+    one job for all of them); larger fields iterate as distributed rounds in which only
+    centres travel to the driver.
     Returns ``(assigned points with cluster and dist, centres codigo/cluster/cx/cy)``.
     """
     spark: SparkSession = points.sparkSession
+    schema = "codigo string, C array<array<double>>"
     pts = cut_lineage(points.select("codigo", "pid", "x", "y"))
-    var = {r[0]: (r[1] or 0.0) for r in pts.groupBy("codigo").agg(
+    seeds = cut_lineage(_seed_centres(pts, quota, seed))
+    sizes = pts.groupBy("codigo").agg(F.count(F.lit(1)).alias("npts"))
+    small = sizes.filter(F.col("npts") <= LOCAL_MAX_POINTS).select("codigo")
+    local = (join_small(pts, small, "codigo", "left_semi").join(F.broadcast(seeds), "codigo")
+             .groupBy("codigo").applyInPandas(_local_lloyd(max_iter, tol), schema))
+    big = sizes.filter(F.col("npts") > LOCAL_MAX_POINTS).select("codigo")
+    pts_big = pts.join(F.broadcast(big), "codigo", "left_semi")
+    var = {r[0]: (r[1] or 0.0) for r in pts_big.groupBy("codigo").agg(
         ((F.var_pop("x") + F.var_pop("y")) / 2.0).alias("v")).collect()}  # one number per field
-    state = [tuple(r) for r in _seed_centres(pts, quota, seed).collect()]
-    schema = "codigo string, C array<array<double>>"
+    state = [tuple(r) for r in seeds.join(F.broadcast(big), "codigo", "left_semi").collect()]
     rounds = 0
     final: list = []
     while state and rounds < max_iter:
         rounds += 1
         cdf = spark.createDataFrame(state, schema)
-        a = nearest_centre(pts.join(F.broadcast(cdf), "codigo"))
+        a = nearest_centre(pts_big.join(F.broadcast(cdf), "codigo"))
         agg = (a.groupBy("codigo", "cluster")
                .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect())
         new: dict = {}
@@ -95,7 +134,7 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
             (final if shift <= tol * var.get(code, 0.0) else nxt).append((code, upd))
         state = nxt
     final += state
-    cdf = spark.createDataFrame(final, schema)
+    cdf = cut_lineage(local.unionByName(spark.createDataFrame(final, schema)))
     assigned = nearest_centre(pts.join(F.broadcast(cdf), "codigo")).drop("C")
     centres = cdf.select("codigo", F.posexplode("C").alias("cluster", "c")) \
         .select("codigo", "cluster", F.col("c")[0].alias("cx"), F.col("c")[1].alias("cy"))
@@ -195,13 +234,18 @@ def kde_curve(long: DataFrame, n_points: int = 200, keys=("codigo", "index")) ->
 
 
 def box_summary(long: DataFrame, keys=("codigo", "index", "Dataset")) -> DataFrame:
-    """Quartiles (linear), whiskers at the last values within 1.5 IQR, mean, outliers."""
+    """Quartiles (linear), whiskers at the last values within 1.5 IQR, mean, outliers.
+
+    Quartiles are exact order statistics found by bin refinement (``exact_quantiles``), so
+    no group is ever gathered whole into one task.
+    """
+    from fieldzones.operators.stats import exact_quantiles
     keys = list(keys)
     v = long.filter(F.col("value").isNotNull())
-    q = v.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-                             F.avg("value").alias("mean"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"), "mean")
+    qs = exact_quantiles(v, keys, [0.25, 0.5, 0.75])
+    q = (qs.groupBy(*keys).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+         .toDF(*keys, "q1", "median", "q3"))
+    q = q.join(v.groupBy(*keys).agg(F.avg("value").alias("mean")), keys)
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = join_small(v, q, keys)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldzones.functions import geometry as geo
 from fieldzones.functions.numeric import arange, round_even
-from fieldzones.session import join_small
+from fieldzones.session import join_small, parallelism
 
 
 def build_polygons(vertices: DataFrame, keys=("codigo",)) -> DataFrame:
@@ -92,6 +92,7 @@ def make_grid(fields: DataFrame, cellsize: float = 10.0) -> DataFrame:
     xs = arange(F.col("xmin"), F.col("xmax"), F.lit(float(cellsize)))
     ys = arange(F.col("ymin"), F.col("ymax"), F.lit(float(cellsize)))
     g = fields.select("codigo", F.posexplode(xs).alias("i", "x"), ys.alias("ys"))
+    g = g.repartition(parallelism(fields.sparkSession), "codigo", "i")  # columns over all cores
     g = g.select("codigo", "i", "x", F.size("ys").alias("ny"), F.posexplode("ys").alias("j", "y"))
     return g.select("codigo", (F.col("i").cast("long") * F.col("ny") + F.col("j")).alias("pid"),
                     "x", "y")
@@ -184,3 +185,123 @@ def pixels_in_polygons(pixels: DataFrame, polys: DataFrame, meta: DataFrame, att
                    (F.col("codigo") == F.col("_c")) & (F.col("layer") == F.col("_l")) & (F.col("row") == F.col("_r"))
                    & (F.col("col") >= F.col("col_lo")) & (F.col("col") <= F.col("col_hi")))
     return j.select(*pixels.columns, *attrs)
+
+
+_IV = "array<struct<lo:double,hi:double>>"
+
+
+def _edge_terms(e):
+    """Per-edge constants (independent of the grid row)."""
+    ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
+    return F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"),
+                    ex.alias("ex"), ey.alias("ey"), (ex * ex + ey * ey).alias("l2"))
+
+
+def _near_pieces(e, y, r: float):
+    """The three pieces of the capsule of edge ``e`` (radius ``r``) cut by the line ``y``:
+    disc at a, disc at b, band; bounds are null when a piece is empty."""
+    inf = float("inf")
+
+    def disc(cx, cy):
+        dy = y - cy
+        h = F.sqrt(F.lit(r * r) - dy * dy)
+        ok = F.abs(dy) <= r
+        return F.when(ok, cx - h), F.when(ok, cx + h)
+
+    a_lo, a_hi = disc(e["ax"], e["ay"])
+    b_lo, b_hi = disc(e["bx"], e["by"])
+    dy = y - e["ay"]
+    c = e["ax"] * e["ey"] + dy * e["ex"]
+    rl = F.sqrt(e["l2"]) * r
+    p1, p2 = (c - rl) / e["ey"], (c + rl) / e["ey"]
+    flat_ok = F.abs(dy) <= r                      # horizontal edge: the band is the row itself
+    t_const = dy * e["ey"] / e["l2"]
+    vert_ok = (t_const >= 0) & (t_const <= 1)     # vertical edge: the row crosses the band
+    q1 = e["ax"] - dy * e["ey"] / e["ex"]
+    q2 = e["ax"] + (e["l2"] - dy * e["ey"]) / e["ex"]
+    return F.struct(a_lo.alias("a_lo"), a_hi.alias("a_hi"), b_lo.alias("b_lo"), b_hi.alias("b_hi"),
+                    (e["l2"] > 0).alias("ok"),
+                    F.when(e["ey"] == 0, F.when(flat_ok, F.lit(-inf))).otherwise(F.least(p1, p2)).alias("p_lo"),
+                    F.when(e["ey"] == 0, F.when(flat_ok, F.lit(inf))).otherwise(F.greatest(p1, p2)).alias("p_hi"),
+                    F.when(e["ex"] == 0, F.when(vert_ok, F.lit(-inf))).otherwise(F.least(q1, q2)).alias("t_lo"),
+                    F.when(e["ex"] == 0, F.when(vert_ok, F.lit(inf))).otherwise(F.greatest(q1, q2)).alias("t_hi"))
+
+
+def _band(s):
+    """Band piece from the pieces struct; greatest/least skip nulls, so emptiness of each
+    constraint is tested explicitly."""
+    both = s["ok"] & s["p_lo"].isNotNull() & s["t_lo"].isNotNull()
+    lo = F.greatest(s["p_lo"], s["t_lo"])
+    hi = F.least(s["p_hi"], s["t_hi"])
+    good = both & (lo <= hi)
+    return F.struct(F.least(s["a_lo"], s["b_lo"], F.when(good, lo)).alias("lo"),
+                    F.greatest(s["a_hi"], s["b_hi"], F.when(good, hi)).alias("hi"))
+
+
+def eroded_grid(fields: DataFrame, cellsize: float = 10.0, inset: float = 11.0) -> DataFrame:
+    """G1 + G2 fused: exactly the points of ``make_grid`` that ``inside_eroded`` keeps,
+    generated row by row from intervals instead of testing every point.
+
+    For every field part and grid row: the even-odd crossings give the inside intervals
+    ``[s1, s2)``; every edge gives the closed interval of the row within ``inset`` of it;
+    the merged near-intervals are cut out, and only the remaining grid columns are
+    exploded into points.  All geometry runs on the small side (parts x rows).
+    """
+    cs, r = float(cellsize), float(inset)
+    nx = F.ceil((F.col("xmax") - F.col("xmin")) / cs).cast("int")
+    ny = F.ceil((F.col("ymax") - F.col("ymin")) / cs).cast("int")
+    f = fields.select("codigo", "xmin", "ymin", nx.alias("nx"), ny.alias("ny"),
+                      F.posexplode(_edges()).alias("part", "edges"))
+    f = f.withColumn("edges", F.transform("edges", _edge_terms))
+    f = f.filter((F.col("nx") > 0) & (F.col("ny") > 0))
+    g = f.select("*", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+    # one row per (field, part, grid row): spread over all cores before the geometry
+    g = g.repartition(parallelism(fields.sparkSession), "codigo", "j")
+    g = g.withColumn("y", F.col("ymin") + F.col("j") * F.lit(cs))
+    y = F.col("y")
+    cut = F.filter("edges", lambda e: (e["ay"] > y) != (e["by"] > y))
+    xs = F.array_sort(F.transform(cut, lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
+    g = g.withColumn("xs", xs).filter(F.size("xs") >= 2)
+    g = g.withColumn("pieces", F.transform("edges", lambda e: _near_pieces(e, y, r)))
+    g = g.withColumn("near_all", F.transform("pieces", _band))
+    near = F.array_sort(F.filter("near_all", lambda iv: iv["lo"].isNotNull()))
+
+    def merge(acc, iv):
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1),
+                         F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], iv["hi"]).alias("hi"))))
+        return (F.when(F.size(acc) == 0, F.array(iv))
+                .when(iv["lo"] <= last["hi"], grown)
+                .otherwise(F.concat(acc, F.array(iv))))
+
+    g = g.withColumn("near", F.aggregate(near, F.array().cast(_IV), merge))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
+                        lambda k: F.struct(F.col("xs")[2 * k].alias("a"), F.col("xs")[2 * k + 1].alias("b")))
+
+    def pieces(p):
+        rel = F.filter("near", lambda c: (c["hi"] >= p["a"]) & (c["lo"] < p["b"]))
+        bnd = F.concat(F.array(p["a"]), F.flatten(F.transform(rel, lambda c: F.array(c["lo"], c["hi"]))),
+                       F.array(p["b"]))
+        return F.transform(F.sequence(F.lit(0), F.size(rel)),
+                           lambda m: F.struct(bnd[2 * m].alias("L"), (m > 0).alias("lopen"),
+                                              bnd[2 * m + 1].alias("R")))
+
+    g = g.select("codigo", "xmin", "nx", "ny", "j", "y", F.explode(F.flatten(F.transform(pairs, pieces))).alias("pc"))
+
+    def xi(i):
+        return F.col("xmin") + i * F.lit(cs)
+
+    L, R = F.col("pc.L"), F.col("pc.R")
+    c0 = F.ceil((L - F.col("xmin")) / cs).cast("int")
+    closed_lo = F.when(xi(c0) < L, c0 + 1).when(xi(c0 - 1) >= L, c0 - 1).otherwise(c0)
+    o0 = F.floor((L - F.col("xmin")) / cs).cast("int") + 1
+    open_lo = F.when(xi(o0) <= L, o0 + 1).when(xi(o0 - 1) > L, o0 - 1).otherwise(o0)
+    h0 = F.ceil((R - F.col("xmin")) / cs).cast("int") - 1
+    hi = F.when(xi(h0) >= R, h0 - 1).when(xi(h0 + 1) < R, h0 + 1).otherwise(h0)
+    lo = F.greatest(F.lit(0), F.when(F.col("pc.lopen"), open_lo).otherwise(closed_lo))
+    hi = F.least(F.col("nx") - 1, hi)
+    g = g.select("codigo", "xmin", "ny", "j", "y", lo.alias("i_lo"), hi.alias("i_hi")) \
+        .filter(F.col("i_lo") <= F.col("i_hi"))
+    pts = g.select("codigo", "xmin", "ny", "j", "y", F.explode(F.sequence("i_lo", "i_hi")).alias("i"))
+    return pts.select("codigo", (F.col("i").cast("long") * F.col("ny") + F.col("j")).alias("pid"),
+                      xi(F.col("i")).alias("x"), "y")

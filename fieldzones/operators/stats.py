@@ -114,3 +114,80 @@ def component_matrix(fit: DataFrame, cols: list[str], n_components: int = 3,
     long = long.withColumn("variable", names).withColumn("pc", F.concat(F.lit("PC"), F.col("k")))
     return (long.groupBy(*keys, "variable")
             .pivot("pc", [f"PC{k + 1}" for k in range(n_components)]).agg(F.first("v")))
+
+
+def exact_quantiles(df: DataFrame, keys, probs, value: str = "value", max_leaf: int = 50_000,
+                    bins: int = 1024) -> DataFrame:
+    """Exact linear-interpolation quantiles per group without gathering a group in one task.
+
+    Each wanted order statistic is located by value-bin refinement: one partial aggregate
+    counts the values of its current window per bin, the bin holding the wanted rank
+    becomes the next window (its own min..max, so windows are exact), and once a window
+    holds at most ``max_leaf`` values those values are sorted and the rank is read off.
+    A hot group costs a few extra passes, never an unbounded buffer.  Returns
+    ``keys, p, quantile`` (``p`` as given).
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    v = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    base = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    rows = base.collect()  # one row per group
+    want = {}
+    for r in rows:
+        key = tuple(r[k] for k in keys)
+        n = r["n"]
+        for p in probs:
+            h = p * (n - 1)
+            k0 = int(np.floor(h))
+            for k in {k0, min(k0 + 1, n - 1)}:
+                want[key + (k,)] = [r["lo"], r["hi"], 0]  # window [lo, hi], values below lo
+    found: dict = {}
+    key_schema = ", ".join(f"{k} string" for k in keys)
+    while want:
+        state = spark.createDataFrame([(*k, lo, hi, below) for k, (lo, hi, below) in want.items()],
+                                      f"{key_schema}, rnk long, lo double, hi double, below long")
+        w = v.join(F.broadcast(state), keys).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        sizes = {tuple(r[k] for k in keys) + (r["rnk"],): r["c"] for r in
+                 w.groupBy(*keys, "rnk").agg(F.count(F.lit(1)).alias("c")).collect()}
+        for k in [k for k in want if want[k][0] == want[k][1]]:  # constant window: no gathering
+            found[k] = want.pop(k)[0]
+        leaf = {k for k, c in sizes.items() if c <= max_leaf and k in want}
+        if leaf:
+            sel = w.join(F.broadcast(spark.createDataFrame([k for k in leaf], f"{key_schema}, rnk long")),
+                         [*keys, "rnk"], "left_semi")
+            for r in (sel.groupBy(*keys, "rnk", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+                      .collect()):
+                k = tuple(r[c] for c in keys) + (r["rnk"],)
+                found[k] = r["vs"][k[-1] - r["below"]]
+            for k in leaf:
+                want.pop(k, None)
+        if not want:
+            break
+        binned = w.join(F.broadcast(spark.createDataFrame([k for k in want], f"{key_schema}, rnk long")),
+                        [*keys, "rnk"], "left_semi")
+        b = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+                    .cast("int"))
+        hist = (binned.withColumn("b", b).groupBy(*keys, "rnk", "b")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bl"), F.max("v").alias("bh")).collect())
+        per: dict = {}
+        for r in hist:
+            per.setdefault(tuple(r[k] for k in keys) + (r["rnk"],), []).append((r["b"], r["c"], r["bl"], r["bh"]))
+        for k, hs in per.items():
+            lo, hi, below = want[k]
+            acc = below
+            for _, c, bl, bh in sorted(hs):
+                if k[-1] < acc + c:
+                    want[k] = [bl, bh, acc]
+                    break
+                acc += c
+    out = []
+    for r in rows:
+        key = tuple(r[k] for k in keys)
+        n = r["n"]
+        for p in probs:
+            h = p * (n - 1)
+            k0 = int(np.floor(h))
+            k1 = min(k0 + 1, n - 1)
+            a, b2 = found[key + (k0,)], found[key + (k1,)]
+            out.append((*key, float(p), float(a + (h - k0) * (b2 - a))))
+    return spark.createDataFrame(out, f"{key_schema}, p double, quantile double")

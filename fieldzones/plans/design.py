@@ -38,8 +38,8 @@ grid as (select codigo, pid, x, y from t where k % 2 = 1 and d > 1.1e1)
 
 
 def sampling_grid(spark, sf):
-    f = fields(spark, sf)
-    return spatial.inside_eroded(spatial.make_grid(f, CELL), f, INSET)
+    """Grid points inside the eroded field, generated row by row from intervals."""
+    return spatial.eroded_grid(fields(spark, sf), CELL, INSET)
 
 
 @register("sampling_grid", fx.oracle(_GRID_SQL + "select codigo, pid, round(x, 6) as x, round(y, 6) as y from grid",
@@ -142,8 +142,8 @@ num as (select codigo, k as cluster, pid, x, y, dist, cast(row_number() over (pa
 """
 
 
-def step_representatives(spark, sf):
-    grid = sampling_grid(spark, sf)
+def step_representatives(spark, sf, grid=None):
+    grid = sampling_grid(spark, sf) if grid is None else grid
     cs = (fx.table(spark, sf, "fx_samples").groupBy("codigo")
           .agg(F.sort_array(F.collect_list(F.struct("n", "x", "y"))).alias("s"))
           .select("codigo", F.transform("s", lambda t: F.array(t["x"], t["y"])).alias("C")))
@@ -184,7 +184,7 @@ _DEPS = ("fx_field_vertices", "fx_raster_meta", "fx_pixels", "fx_samples")
 
 def _total_and_sample(spark, sf):
     feat = grid_features(spark, sf)
-    reps = step_representatives(spark, sf).select("codigo", "pid")
+    reps = step_representatives(spark, sf, feat.select("codigo", "pid", "x", "y")).select("codigo", "pid")
     smp = feat.join(reps, ["codigo", "pid"], "left_semi")
     return feat, smp
 
@@ -217,8 +217,10 @@ group by f.codigo, f."index", f.Dataset, q1, median, q3, mean
 
 
 def long_values(spark, sf):
+    """Population and sample values in one long table, materialised once (read by several
+    aggregation passes)."""
     feat, smp = _total_and_sample(spark, sf)
-    return sampling.tag_and_union(feat, smp, INDEX_LAYERS)
+    return cut_lineage(sampling.tag_and_union(feat, smp, INDEX_LAYERS))
 
 
 @register("box_summary", fx.oracle(_BOX_SQL, *_DEPS))

@@ -40,7 +40,7 @@ def sampling_design_job(field_vertices: DataFrame, pixels: DataFrame, meta: Data
     """Sampling design for every field (the first workflow)."""
     fields = spatial.build_polygons(field_vertices)
     layers = sorted(r[0] for r in meta.select("layer").distinct().collect())  # layer names only
-    grid = spatial.inside_eroded(spatial.make_grid(fields, cellsize), fields, inset)
+    grid = spatial.eroded_grid(fields, cellsize, inset)
     feat = cut_lineage(raster.sample_layers(grid, pixels, meta, layers))
     quotas = sampling.sampling_quota(spatial.polygon_area(fields), ha_per_point)
     assigned, centres = sampling.spatial_kmeans(feat, quotas.select("codigo", F.col("n_puntos").alias("k")))
@@ -85,11 +85,11 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
     long = long.filter(F.col("value").isNotNull())
     model = kriging.fit_spherical(kriging.variogram(long, max_lag, n_lags))
     meta = raster.grid_meta(grid).withColumn("layer", F.lit("kriged"))
-    targets = raster.target_grid(meta).select("codigo", "tid", "row", "col", "x", "y")
+    targets = raster.target_grid(meta).select("codigo", "layer", "tid", "row", "col", "x", "y")
     k = kriging.krige(long, targets.select("codigo", "tid", "x", "y"), model)
-    kriged = spatial.points_in_polygons(
-        k.join(targets, ["codigo", "tid"]).select("codigo", "variable", "row", "col", "x", "y", "value"),
-        fields)
+    kriged = spatial.pixels_in_polygons(
+        k.join(targets, ["codigo", "tid"]).select("codigo", "layer", "row", "col", "variable", "value"),
+        fields, meta)
     zv = [v for v in ZONING_VARIABLES if v in grid.columns]
     z = cut_lineage(stats.standardise(stats.impute_mean(grid, zv), zv))
     fit = stats.pca_fit(z, zv)
@@ -113,10 +113,15 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
 
 
 def zone_report_job(zone_vertices: DataFrame, pixels: DataFrame, layers: list[str],
-                    dose_name: str | None = None, out: str | None = None):
-    """Zone statistics, the per-zone soil report and the dosage template (third workflow)."""
+                    meta: DataFrame | None = None, dose_name: str | None = None,
+                    out: str | None = None):
+    """Zone statistics, the per-zone soil report and the dosage template (third workflow).
+
+    With the raster ``meta`` pixel containment is the scanline equi-join; without it the
+    pixels need ``x, y`` centres.
+    """
     zones = spatial.build_polygons(zone_vertices, keys=("codigo", "Zonas"))
-    layer = zonal.zone_statistics(zones, pixels, layers)
+    layer = zonal.zone_statistics(zones, pixels, layers, meta)
     report = zonal.zone_report(layer)
     dose = dosage.dosage_layer(layer, dose_name) if dose_name else None
     if out:

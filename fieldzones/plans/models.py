@@ -105,10 +105,10 @@ def kriged(spark, sf):
     targets = raster.target_grid(meta).select("codigo", "tid", "row", "col", "x", "y")
     k = kriging.krige(pts.select("codigo", "variable", "pid", "x", "y", "value"),
                       targets.select("codigo", "tid", "x", "y"), model, tile=KRIGE_TILE)
-    cells = k.join(targets, ["codigo", "tid"])
-    inside = spatial.points_in_polygons(cells.select("codigo", "variable", "row", "col", "x", "y", "value"),
-                                        fields(spark, sf))
-    return inside
+    cells = k.join(targets, ["codigo", "tid"]).withColumn("layer", F.lit("kriged"))
+    # Clip to the field with the scanline intervals of the kriged grid
+    return spatial.pixels_in_polygons(cells.select("codigo", "layer", "row", "col", "variable", "value"),
+                                      fields(spark, sf), meta)
 
 
 @register("kriging")

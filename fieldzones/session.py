@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    One evaluation (a reliable RDD checkpoint would compute an unpersisted plan twice), the
+    lineage is cut, executor loss after this point only re-reads files, and the read-back
+    carries real size statistics for later join planning.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fz-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
@@ -68,9 +75,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``small`` when a bounded count proves it small, else a shuffle join.
 
-    The small side is persisted first, so the count and the join share one evaluation.
+    The count reads at most ``max_rows + 1`` rows of the small side.  Nothing is persisted
+    (a session full of cached relations slows every later plan analysis); plans whose small
+    side is expensive materialise their input first (``cut_lineage``).
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if is_small(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
@@ -81,6 +89,11 @@ def scratch_dir(prefix: str = "fieldzones-") -> str:
     return tempfile.mkdtemp(prefix=prefix)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Number of tasks to spread generated rows over (all cores of the cluster)."""
+    return max(int(spark.sparkContext.defaultParallelism), 1)
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))

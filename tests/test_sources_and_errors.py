@@ -74,3 +74,17 @@ def test_texture_aliases_and_order(spark):
     assert "Arc" not in out.columns and out.first()["Arcilla"] == 6.0 and out.first()["Limo"] is None
     rep = zonal.zone_report(out)
     assert rep.columns == ["codigo", "Zonas", "Area", "Arcilla", "Arena", "Limo", "pH"]
+
+
+def test_zone_report_job_matches_query(spark, sf):
+    import __spark_entry__ as se
+    from fieldzones import fixtures as fx
+    from fieldzones.plans import jobs
+    from fieldzones.plans.zones import FX_LAYERS
+    d = tempfile.mkdtemp(prefix="fz-test-")
+    _, report, dose = jobs.zone_report_job(fx.table(spark, sf, "fx_zone_vertices"), fx.table(spark, sf, "fx_pixels"),
+                                           FX_LAYERS, fx.table(spark, sf, "fx_raster_meta"), "Dosis", out=d)
+    got = {(r["codigo"], r["Zonas"]): round(r["pH"], 6) for r in report.collect()}
+    want = {(r["codigo"], r["Zonas"]): r["pH"] for r in se.queries()["zone_report"](spark, sf).collect()}
+    assert got == want
+    assert io.read_table(spark, f"{d}/dosificacion").filter(F.col("Dosis") == 0.0).count() == dose.count()

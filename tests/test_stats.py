@@ -86,3 +86,38 @@ def test_forest_importances_sum_to_one(spark, cloud):
     total = imp.groupBy("variable").agg(F.sum("importance")).first()[1]
     assert abs(total - 1.0) < 1e-9
     assert imp.filter(F.col("rank") == 1).first()["predictor"] == "b"
+
+
+def test_exact_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    vals = {"A": rng.normal(size=2001), "B": rng.integers(0, 5, size=300).astype(float), "C": np.array([7.0])}
+    rows = [(k, float(x)) for k, xs in vals.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, value double")
+    # a tiny leaf size forces several refinement passes
+    out = stats.exact_quantiles(df, ["g"], [0.25, 0.5, 0.75], max_leaf=40, bins=8).collect()
+    for r in out:
+        assert abs(r["quantile"] - float(np.quantile(vals[r["g"]], r["p"]))) < 1e-12
+
+
+def test_fcm_local_and_distributed_paths_agree(spark, cloud, monkeypatch):
+    loc, _ = fcm.fuzzy_cmeans(cloud, VARS, cs=(3,))
+    monkeypatch.setattr(fcm, "LOCAL_MAX_POINTS", 10)  # force the distributed rounds
+    dist, _ = fcm.fuzzy_cmeans(cloud, VARS, cs=(3,))
+    a = {r["codigo"]: r for r in loc.collect()}
+    b = {r["codigo"]: r for r in dist.collect()}
+    for k in a:
+        assert a[k]["rounds"] == b[k]["rounds"]
+        assert np.allclose(np.array(a[k]["centres"]), np.array(b[k]["centres"]), atol=1e-6)
+        assert abs(a[k]["fpc"] - b[k]["fpc"]) < 1e-9
+
+
+def test_kmeans_local_and_distributed_paths_agree(spark, cloud, monkeypatch):
+    from fieldzones.operators import sampling
+    q = spark.createDataFrame([("F1", 4), ("F2", 3)], "codigo string, k int")
+    pts = cloud.select("codigo", "pid", "x", "y")
+    _, c1 = sampling.spatial_kmeans(pts, q)
+    monkeypatch.setattr(sampling, "LOCAL_MAX_POINTS", 10)
+    _, c2 = sampling.spatial_kmeans(pts, q)
+    a = sorted((r["codigo"], r["cluster"], round(r["cx"], 6), round(r["cy"], 6)) for r in c1.collect())
+    b = sorted((r["codigo"], r["cluster"], round(r["cx"], 6), round(r["cy"], 6)) for r in c2.collect())
+    assert a == b and len(a) == 7
