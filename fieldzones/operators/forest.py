@@ -34,7 +34,7 @@ def _forest(num_trees: int, seed: int, max_features: int) -> RandomForestRegress
     return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
                                  featureSubsetStrategy=str(max_features), seed=seed, maxDepth=30,
                                  minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
-                                 maxMemoryInMB=4096, cacheNodeIds=True)
+                                 maxMemoryInMB=1024, cacheNodeIds=True)
 
 
 def _parallel(fn, items):

@@ -67,28 +67,56 @@ def nearest_centre(points: DataFrame, centres: str = "C") -> DataFrame:
 
 
 LOCAL_MAX_POINTS = 200_000
+LOCAL_MAX_CELLS = 20_000_000  # points x k of the distance matrix of one local field
+
+
+def _nearest(xy: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre (first on ties) and its distance ``sqrt(dx*dx + dy*dy)``.
+
+    Candidates come from one matrix product on origin-shifted coordinates; the best four
+    are re-measured exactly, so the choice equals the exact first-minimum rule.
+    """
+    k = len(cur)
+    o = xy.mean(0)
+    a, c = xy - o, cur - o
+    d2 = (a * a).sum(1)[:, None] - 2.0 * (a @ c.T) + (c * c).sum(1)[None, :]
+    m = min(4, k)
+    cand = np.argsort(d2, axis=1)[:, :m] if k <= 4 else np.argpartition(d2, m - 1, axis=1)[:, :m]
+    cand = np.sort(cand, axis=1)  # ties resolve to the smaller centre index
+    dx = xy[:, 0:1] - cur[cand, 0]
+    dy = xy[:, 1:2] - cur[cand, 1]
+    d = np.sqrt(dx * dx + dy * dy)
+    j = d.argmin(1)
+    rows = np.arange(len(xy))
+    return cand[rows, j], d[rows, j]
 
 
 def _local_lloyd(max_iter: int, tol: float):
     """Lloyd iterations for one bounded field in NumPy (same rules as the distributed
-    rounds: first centre on ties, an empty cluster keeps its centre, relative tolerance)."""
+    rounds: first centre on ties, an empty cluster keeps its centre, relative tolerance).
+    Returns the final assignment of every point with its centre."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xy = pdf[["x", "y"]].to_numpy(float)
         cur = np.array([list(c) for c in pdf["C"].iloc[0]], dtype=float)
         var = float(((xy - xy.mean(0)) ** 2).mean(0).mean())
+        k = len(cur)
         for _ in range(max_iter):
-            d = np.sqrt(((xy[:, None, :] - cur[None, :, :]) ** 2).sum(-1))
-            lab = d.argmin(1)
-            upd = cur.copy()
-            for k in range(len(cur)):
-                sel = lab == k
-                if sel.any():
-                    upd[k] = xy[sel].mean(0)
+            lab, _d = _nearest(xy, cur)
+            cnt = np.bincount(lab, minlength=k)
+            sx = np.bincount(lab, weights=xy[:, 0], minlength=k)
+            sy = np.bincount(lab, weights=xy[:, 1], minlength=k)
+            upd = cur.copy()  # an empty cluster keeps its centre
+            has = cnt > 0
+            upd[has, 0] = sx[has] / cnt[has]
+            upd[has, 1] = sy[has] / cnt[has]
             shift = float(((upd - cur) ** 2).sum())
             cur = upd
             if shift <= tol * var:
                 break
-        return pd.DataFrame([{"codigo": pdf["codigo"].iloc[0], "C": cur.tolist()}])
+        lab, d = _nearest(xy, cur)
+        return pd.DataFrame({"codigo": pdf["codigo"].to_numpy(), "pid": pdf["pid"].to_numpy(),
+                             "x": xy[:, 0], "y": xy[:, 1], "cluster": lab.astype("int32"), "dist": d,
+                             "cx": cur[lab, 0], "cy": cur[lab, 1]})
     return run
 
 
@@ -107,11 +135,16 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
     schema = "codigo string, C array<array<double>>"
     pts = cut_lineage(points.select("codigo", "pid", "x", "y"))
     seeds = cut_lineage(_seed_centres(pts, quota, seed))
-    sizes = pts.groupBy("codigo").agg(F.count(F.lit(1)).alias("npts"))
-    small = sizes.filter(F.col("npts") <= LOCAL_MAX_POINTS).select("codigo")
-    local = (join_small(pts, small, "codigo", "left_semi").join(F.broadcast(seeds), "codigo")
-             .groupBy("codigo").applyInPandas(_local_lloyd(max_iter, tol), schema))
-    big = sizes.filter(F.col("npts") > LOCAL_MAX_POINTS).select("codigo")
+    sizes = (pts.groupBy("codigo").agg(F.count(F.lit(1)).alias("npts"))
+             .join(quota.select("codigo", "k"), "codigo", "left").fillna(1, subset=["k"]))
+    fits = (F.col("npts") <= LOCAL_MAX_POINTS) & (F.col("npts") * F.col("k") <= LOCAL_MAX_CELLS)
+    small = sizes.filter(fits).select("codigo")
+    local = cut_lineage(
+        join_small(pts, small, "codigo", "left_semi").join(F.broadcast(seeds), "codigo")
+        .groupBy("codigo").applyInPandas(
+            _local_lloyd(max_iter, tol),
+            "codigo string, pid long, x double, y double, cluster int, dist double, cx double, cy double"))
+    big = sizes.filter(~fits).select("codigo")
     pts_big = pts.join(F.broadcast(big), "codigo", "left_semi")
     var = {r[0]: (r[1] or 0.0) for r in pts_big.groupBy("codigo").agg(
         ((F.var_pop("x") + F.var_pop("y")) / 2.0).alias("v")).collect()}  # one number per field
@@ -134,10 +167,13 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
             (final if shift <= tol * var.get(code, 0.0) else nxt).append((code, upd))
         state = nxt
     final += state
-    cdf = cut_lineage(local.unionByName(spark.createDataFrame(final, schema)))
-    assigned = nearest_centre(pts.join(F.broadcast(cdf), "codigo")).drop("C")
-    centres = cdf.select("codigo", F.posexplode("C").alias("cluster", "c")) \
+    cdf = spark.createDataFrame(final, schema)
+    big_assigned = nearest_centre(pts_big.join(F.broadcast(cdf), "codigo")).drop("C")
+    big_centres = cdf.select("codigo", F.posexplode("C").alias("cluster", "c")) \
         .select("codigo", "cluster", F.col("c")[0].alias("cx"), F.col("c")[1].alias("cy"))
+    assigned = local.select("codigo", "pid", "x", "y", "cluster", "dist").unionByName(
+        big_assigned.select("codigo", "pid", "x", "y", "cluster", "dist"))
+    centres = local.select("codigo", "cluster", "cx", "cy").distinct().unionByName(big_centres)
     return assigned, centres
 
 

@@ -155,10 +155,11 @@ def exact_quantiles(df: DataFrame, keys, probs, value: str = "value", max_leaf:
         if leaf:
             sel = w.join(F.broadcast(spark.createDataFrame([k for k in leaf], f"{key_schema}, rnk long")),
                          [*keys, "rnk"], "left_semi")
-            for r in (sel.groupBy(*keys, "rnk", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-                      .collect()):
-                k = tuple(r[c] for c in keys) + (r["rnk"],)
-                found[k] = r["vs"][k[-1] - r["below"]]
+            # the wanted element is picked on the executors: one number per rank to the driver
+            pick = F.element_at(F.sort_array(F.collect_list("v")),
+                                (F.first("rnk") - F.first("below") + 1).cast("int"))
+            for r in sel.groupBy(*keys, "rnk").agg(pick.alias("q")).collect():
+                found[tuple(r[c] for c in keys) + (r["rnk"],)] = r["q"]
             for k in leaf:
                 want.pop(k, None)
         if not want:
