@@ -73,31 +73,35 @@ LOCAL_MAX_CELLS = 20_000_000  # points x k of the distance matrix of one local f
 def _nearest(xy: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre (first on ties) and its distance ``sqrt(dx*dx + dy*dy)``.
 
-    Candidates come from one matrix product on origin-shifted coordinates; the best four
-    are re-measured exactly, so the choice equals the exact first-minimum rule.
+    Squared distances come from one matrix product on origin-shifted coordinates; rows
+    whose best two are within rounding of each other are re-measured exactly, so the
+    choice equals the exact first-minimum rule.
     """
-    k = len(cur)
     o = xy.mean(0)
     a, c = xy - o, cur - o
     d2 = (a * a).sum(1)[:, None] - 2.0 * (a @ c.T) + (c * c).sum(1)[None, :]
-    m = min(4, k)
-    cand = np.argsort(d2, axis=1)[:, :m] if k <= 4 else np.argpartition(d2, m - 1, axis=1)[:, :m]
-    cand = np.sort(cand, axis=1)  # ties resolve to the smaller centre index
-    dx = xy[:, 0:1] - cur[cand, 0]
-    dy = xy[:, 1:2] - cur[cand, 1]
-    d = np.sqrt(dx * dx + dy * dy)
-    j = d.argmin(1)
+    lab = d2.argmin(1)
     rows = np.arange(len(xy))
-    return cand[rows, j], d[rows, j]
+    dmin = d2[rows, lab]
+    amb = np.nonzero((d2 <= (dmin + 1e-6 * (1.0 + np.abs(dmin)))[:, None]).sum(1) > 1)[0]
+    if len(amb):
+        dx = xy[amb, 0:1] - cur[None, :, 0]
+        dy = xy[amb, 1:2] - cur[None, :, 1]
+        lab[amb] = np.sqrt(dx * dx + dy * dy).argmin(1)
+    dx = xy[:, 0] - cur[lab, 0]
+    dy = xy[:, 1] - cur[lab, 1]
+    return lab, np.sqrt(dx * dx + dy * dy)
 
 
 def _local_lloyd(max_iter: int, tol: float):
     """Lloyd iterations for one bounded field in NumPy (same rules as the distributed
     rounds: first centre on ties, an empty cluster keeps its centre, relative tolerance).
     Returns the final assignment of every point with its centre."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or seeds.empty:
+            return pd.DataFrame(columns=["codigo", "pid", "x", "y", "cluster", "dist", "cx", "cy"])
         xy = pdf[["x", "y"]].to_numpy(float)
-        cur = np.array([list(c) for c in pdf["C"].iloc[0]], dtype=float)
+        cur = np.array([list(c) for c in seeds["C"].iloc[0]], dtype=float)
         var = float(((xy - xy.mean(0)) ** 2).mean(0).mean())
         k = len(cur)
         for _ in range(max_iter):
@@ -139,9 +143,10 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
              .join(quota.select("codigo", "k"), "codigo", "left").fillna(1, subset=["k"]))
     fits = (F.col("npts") <= LOCAL_MAX_POINTS) & (F.col("npts") * F.col("k") <= LOCAL_MAX_CELLS)
     small = sizes.filter(fits).select("codigo")
+    # the seeds travel once per field (cogroup), not once per point
     local = cut_lineage(
-        join_small(pts, small, "codigo", "left_semi").join(F.broadcast(seeds), "codigo")
-        .groupBy("codigo").applyInPandas(
+        join_small(pts, small, "codigo", "left_semi").groupBy("codigo")
+        .cogroup(seeds.groupBy("codigo")).applyInPandas(
             _local_lloyd(max_iter, tol),
             "codigo string, pid long, x double, y double, cluster int, dist double, cx double, cy double"))
     big = sizes.filter(~fits).select("codigo")
