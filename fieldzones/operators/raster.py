@@ -35,7 +35,9 @@ def sample_layers(points: DataFrame, pixels: DataFrame, meta: DataFrame,
     cells = lookup_cells(points.select(*keys, "x", "y"), meta, layers)
     px = pixels.select("codigo", "layer", "row", "col", "value")
     hit = cells.join(px, ["codigo", "layer", "row", "col"], "left")
-    wide = (hit.groupBy(*keys, "x", "y").pivot("layer", layers).agg(F.first("value")))
+    # one value per (point, layer): a single conditional aggregate instead of a two-phase pivot
+    wide = hit.groupBy(*keys, "x", "y").agg(
+        *[F.max(F.when(F.col("layer") == l, F.col("value"))).alias(l) for l in layers])
     return wide.select(*keys, "x", "y", *layers)
 
 
