@@ -129,7 +129,7 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
              .groupBy(*keys, "n_clusters")
              .applyInPandas(_local_fcm(cols, keys, m, error, maxiter), out_schema))
     big = sizes.filter(F.col("npts") > LOCAL_MAX_POINTS).select(*keys, "n_clusters")
-    pts_big = pts.join(F.broadcast(big), [*keys, "n_clusters"], "left_semi")
+    pts_big = join_small(pts, big, [*keys, "n_clusters"], "left_semi")
     state = _initial_centres(pts_big, cols, keys, seed, init).withColumn(
         "prev", F.lit(None).cast("array<array<double>>"))
     done_rows = []
@@ -170,7 +170,7 @@ def with_memberships(pts: DataFrame, centres: DataFrame, cols: list[str], m: flo
                      keys=("codigo",)) -> DataFrame:
     """Memberships from final centres and the class of greatest membership."""
     keys = list(keys)
-    j = pts.join(F.broadcast(centres.select(*keys, "n_clusters", "centres")), [*keys, "n_clusters"])
+    j = join_small(pts, centres.select(*keys, "n_clusters", "centres"), [*keys, "n_clusters"])
     j = j.withColumn("u", _memberships(cols, "centres", m))
     return j.select(*keys, "n_clusters", "pid", *cols, "u", argmax(F.col("u")).alias("Cluster"))
 

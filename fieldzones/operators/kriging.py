@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldzones.operators.moran import neighbour_pairs
+from fieldzones.session import join_small
 
 
 def spherical(h, nugget, psill, rng):
@@ -81,11 +82,11 @@ def krige(points: DataFrame, targets: DataFrame, model: DataFrame, tile: float =
     x, y) with the per-group spherical ``model``.  Returns keys, tid, value, variance."""
     keys = list(keys)
     m = model.select(*keys, "nugget", "psill", "range")
-    tgt = targets.join(F.broadcast(m.select(*keys).distinct()), "codigo")  # one copy per variable
+    tgt = join_small(targets, m.select(*keys).distinct(), "codigo")  # one copy per variable
     tgt = tgt.select(*keys, "tid", "x", "y",
                      F.floor(F.col("x") / tile).cast("long").alias("tx"),
                      F.floor(F.col("y") / tile).cast("long").alias("ty"))
-    pts = points.join(F.broadcast(m), keys)
+    pts = join_small(points, m, keys)
     lo_x = F.floor((F.col("x") - F.col("range")) / tile).cast("long")
     hi_x = F.floor((F.col("x") + F.col("range")) / tile).cast("long")
     lo_y = F.floor((F.col("y") - F.col("range")) / tile).cast("long")

@@ -110,7 +110,7 @@ def align_meta(meta: DataFrame, reference_layer: str, layers: list[str]) -> Data
     """Metadata of ``layers`` replaced by the grid of the reference layer."""
     ref = meta.filter(F.col("layer") == reference_layer).drop("layer")
     names = meta.filter(F.col("layer").isin(layers)).select("codigo", "layer")
-    return names.join(F.broadcast(ref), "codigo")
+    return join_small(names, ref, "codigo")
 
 
 def grid_meta(points: DataFrame, cellsize: float = 10.0, cell_extent: bool = False) -> DataFrame:

@@ -150,10 +150,10 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
             _local_lloyd(max_iter, tol),
             "codigo string, pid long, x double, y double, cluster int, dist double, cx double, cy double"))
     big = sizes.filter(~fits).select("codigo")
-    pts_big = pts.join(F.broadcast(big), "codigo", "left_semi")
+    pts_big = join_small(pts, big, "codigo", "left_semi")
     var = {r[0]: (r[1] or 0.0) for r in pts_big.groupBy("codigo").agg(
         ((F.var_pop("x") + F.var_pop("y")) / 2.0).alias("v")).collect()}  # one number per field
-    state = [tuple(r) for r in seeds.join(F.broadcast(big), "codigo", "left_semi").collect()]
+    state = [tuple(r) for r in join_small(seeds, big, "codigo", "left_semi").collect()]
     rounds = 0
     final: list = []
     while state and rounds < max_iter:

@@ -155,7 +155,7 @@ def scanline_intervals(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame
     """
     p = polys.select("codigo", *attrs, F.posexplode(_edges()).alias("part", "edges"), "ymin", "ymax")
     m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y", "n_rows", "n_cols")
-    j = p.join(F.broadcast(m), "codigo")
+    j = join_small(p, m, "codigo")
     r_lo = F.greatest(F.lit(0), F.ceil((F.col("y0") - F.col("ymax")) / F.col("res_y") - 0.5).cast("int"))
     r_hi = F.least(F.col("n_rows") - 1, F.floor((F.col("y0") - F.col("ymin")) / F.col("res_y") - 0.5).cast("int"))
     j = j.filter(r_lo <= r_hi).select("*", F.explode(F.sequence(r_lo, r_hi)).alias("row"))

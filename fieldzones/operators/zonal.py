@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldzones.session import join_small
+
 from fieldzones.operators.spatial import pixels_in_polygons, points_in_polygons, with_area_ha
 
 # Statistic columns of the report in agronomic order (textures first,
@@ -31,7 +33,7 @@ def mask_nodata(pixels: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     if meta is None or "nodata" not in meta.columns:
         return pixels.withColumn("value", F.when((v == 0) | F.isnan(v), None).otherwise(v))
     m = meta.select("codigo", "layer", F.col("nodata").alias("_nd"))
-    out = pixels.join(F.broadcast(m), ["codigo", "layer"], "left")
+    out = join_small(pixels, m, ["codigo", "layer"], "left")
     bad = F.when(F.col("_nd").isNotNull(), v == F.col("_nd")).otherwise((v == 0) | F.isnan(v))
     return out.withColumn("value", F.when(bad, None).otherwise(v)).drop("_nd")
 
@@ -45,7 +47,7 @@ def fill_nodata(pixels: DataFrame, nodata: float = -9999.0) -> DataFrame:
 def pixel_centres(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     """Cell centre coordinates from the raster metadata (top-left origin, row 0 on top)."""
     m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y")
-    out = pixels.join(F.broadcast(m), ["codigo", "layer"])
+    out = join_small(pixels, m, ["codigo", "layer"])
     return out.select(*pixels.columns,
                       (F.col("x0") + (F.col("col") + 0.5) * F.col("res_x")).alias("x"),
                       (F.col("y0") - (F.col("row") + 0.5) * F.col("res_y")).alias("y"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldzones.operators import (dosage, fcm, forest, kriging, moran, raster, samples, sampling,
                                   spatial, stats, zonal)
-from fieldzones.session import cut_lineage
+from fieldzones.session import cut_lineage, join_small
 from fieldzones.sources import io
 
 # The eight soil variables of the multivariate zoning step.
@@ -100,7 +100,7 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
     cs = (c,) if c is not None else tuple(sorted({r[0] for r in chosen.select("n_clusters").collect()}))
     _, memb = fcm.fuzzy_cmeans(scores, ["PC1", "PC2", "PC3"], cs=cs)
     if chosen is not None:
-        memb = memb.join(F.broadcast(chosen), ["codigo", "n_clusters"], "left_semi")
+        memb = join_small(memb, chosen, ["codigo", "n_clusters"], "left_semi")
     zones = scores.select("codigo", "pid", "x", "y").join(memb.select("codigo", "pid", "u", "Cluster"),
                                                           ["codigo", "pid"])
     zr = raster.rasterise_zones(zones)
