@@ -93,13 +93,13 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def pieces(column, most: int = 2 << 20):
-    """(first row, last row + 1, bytes, offsets) of runs of rows of about ``most`` bytes, so
-    that the arrays over them stay small; a longer text is a run of its own."""
+def pieces(column, most: int = 2 << 20, rows: int = 1 << 20):
+    """(first row, last row + 1, bytes, offsets) of runs of at most ``rows`` rows and about
+    ``most`` bytes, so that arrays over them stay small; a longer text is a run of its own."""
     data, offs = text_bytes(column)
     at, n = 0, len(offs) - 1
     while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1))
+        to = min(n, at + rows, max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1))
         yield at, to, data[offs[at]:offs[to]], offs[at:to + 1] - offs[at]
         at = to
 
