@@ -149,6 +149,30 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+class Lookup:
+    """Places of 64-bit hashes in a sorted list of different ones, by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.shift = U64(64 - max(4, int(len(keys)).bit_length() + 1))
+        self.start = np.searchsorted(self.keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(keys)))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Of each hash: its place, or -1."""
+        top = (h >> self.shift).astype(np.int64)
+        at, end = self.start[top].astype(np.int64), self.start[top + 1]
+        out = np.full(len(h), -1, np.int64)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            same = self.keys[at[rest]] == h[rest]
+            out[rest[same]] = at[rest[same]]
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
+        return out
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
