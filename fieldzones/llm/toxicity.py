@@ -56,33 +56,54 @@ def discounted(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    at = np.searchsorted(keys, x)
+    if not len(keys):
+        return at, np.zeros(len(x), bool)
+    at = np.minimum(at, len(keys) - 1)
     return at, keys[at] == x
 
 
+def tables(rows: DataFrame):
+    """From (label, before, word, stem, n): of each word its stem and the different words before
+    it, in either class and in both; and of each pair above the discount its counts and those of
+    its first word.  The other pairs' whole counts go to backing off, which needs no table."""
+    cut = F.lit(DISCOUNT)
+    n = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
+    pairs = rows.groupBy("before", "word", "stem").agg(n(1).alias("n_t"), n(0).alias("n_o"))
+    words = pairs.groupBy("word", "stem").agg(F.count_if(F.col("n_t") > 0).alias("cont_t"), F.count_if(F.col("n_o") > 0).alias("cont_o"), F.count("*").alias("both"))
+    heads = pairs.groupBy("before").agg(*[x for c in "to" for x in (F.sum(f"n_{c}").alias(f"head_{c}"), F.sum(F.least(F.col(f"n_{c}"), cut)).alias(f"taken_{c}"))])
+    high = pairs.where((F.col("n_t") > cut) | (F.col("n_o") > cut)).join(heads, "before")
+    return words.toArrow(), high.toArrow()  # bounded by the sample
+
+
 class Model:
-    """Both classes' counts, from rows (label, word before, word, its stem, count)."""
-
-    def __init__(self, label, before, w, stem, n):
-        self.words, wfirst, wi = np.unique(w, return_index=True, return_inverse=True)
-        self.heads, hi = np.unique(before, return_inverse=True)
-        self.stems, si = np.unique(stem, return_inverse=True)
-        self.keys, kfirst, ki = np.unique(pair(before, w), return_index=True, return_inverse=True)
-        v, stem_of = len(self.words), si[wfirst]
-        shared = np.bincount(wi[kfirst], minlength=v) + FLOOR
+    """Both classes' smoothed shares, from three tables of counts (see ``tables``)."""
+
+    def __init__(self, words, pairs):
+        self.words = base.unsigned(words.column("word").to_numpy())
+        order = np.argsort(self.words)
+        self.words = self.words[order]
+        stem = base.unsigned(words.column("stem").to_numpy())[order]
+        self.stems, stem_of = np.unique(stem, return_inverse=True)
+        shared = words.column("both").to_numpy()[order] + FLOOR
         by_stem = np.bincount(stem_of, shared, minlength=len(self.stems))
         whole = shared.sum() + FLOOR
+        before, word = (base.unsigned(pairs.column(c).to_numpy()) for c in ("before", "word"))
+        keys = pair(before, word)
+        order2 = np.argsort(keys)
+        self.keys = keys[order2]
+        self.heads, head = np.unique(before, return_index=True)
         self.classes = []
-        for c in (1, 0):
-            own = label == c
-            stems, free = discounted(np.bincount(si[own], minlength=len(self.stems)), by_stem / whole)
-            words, rest = discounted(np.bincount(wi[own], minlength=v), stems[stem_of] * shared / by_stem[stem_of])
-            n_head = np.maximum(np.bincount(hi[own], n[own], minlength=len(self.heads)), 1)
-            taken = np.bincount(hi[own], np.minimum(n[own], DISCOUNT), minlength=len(self.heads))
-            pairs = np.maximum(np.bincount(ki[own], n[own], minlength=len(self.keys)) - DISCOUNT, 0) / n_head[hi[kfirst]]
+        for c in ("t", "o"):
+            own = words.column(f"cont_{c}").to_numpy()[order].astype(float)
+            stems, free = discounted(np.bincount(stem_of, own, minlength=len(self.stems)), by_stem / whole)
+            shares, rest = discounted(own, stems[stem_of] * shared / by_stem[stem_of])
+            n_head = np.maximum(pairs.column(f"head_{c}").to_numpy().astype(float), 1)
+            taken = pairs.column(f"taken_{c}").to_numpy().astype(float)
+            above = np.maximum(pairs.column(f"n_{c}").to_numpy() - DISCOUNT, 0) / n_head
             # the last three: a new word of a known stem (times a share that is the same for
             # both classes), a new stem (likewise), and what is left for backing off after a head
-            self.classes.append((words, pairs, rest * stems, rest * free * FLOOR / whole, np.where(taken > 0, taken / n_head, 1.0)))
+            self.classes.append((shares, above[order2], rest * stems, rest * free * FLOOR / whole, np.where(taken > 0, taken / n_head, 1.0)[head]))
         self.seen = np.zeros(1 << 22, bool)  # most pairs of a text are new: spares their search
         self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -96,7 +117,7 @@ class Model:
         k, hit = find(self.keys, p[some])
         logs = []
         for words, pairs, stems, new, back in self.classes:
-            q = np.where(headed, back[h], 1.0) * np.where(known, words[at], np.where(stemmed, stems[s], new))
+            q = (np.where(headed, back[h], 1.0) if len(back) else 1.0) * np.where(known, words[at], np.where(stemmed, stems[s], new))
             q[some[hit]] += pairs[k[hit]]
             logs.append(np.log(q))
         return logs[0] - logs[1]
@@ -158,26 +179,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
 
     def count(batches):
         for rb in batches:
-            label_, fold = (rb.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            label_, fold = (rb.column(i).to_numpy(zero_copy_only=False).astype(np.int32) for i in (1, 2))
             for a, to, data, offs in base.pieces(rb.column(0)):
                 w, before, stem, first = tokens(data, offs)
                 of = np.repeat(np.arange(a, to), np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(label_[of] * FOLDS + fold[of]), *[pa.array(base.signed(x)) for x in (before, w, stem)]], names=["part", "before", "word", "stem"])
-
-    rows = sample.mapInArrow(count, "part long, before long, word long, stem long").groupBy("part", "before", "word", "stem").agg(F.count("*").cast("int").alias("n"))
-    got = rows.toArrow()  # bounded by the sample
-    part, before, word, stem, times = (got.column(c).to_numpy() for c in ("part", "before", "word", "stem", "n"))
-    del got
-    order = np.lexsort([word, before, part])
-    part, before, word, stem, times = part[order], base.unsigned(before[order]), base.unsigned(word[order]), base.unsigned(stem[order]), times[order].astype(float)
-
-    def model(use):
-        key = pair(before[use], word[use]) * np.uint64(2) + (part[use] // FOLDS).astype(np.uint64)
-        _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        return Model((part[use] // FOLDS)[first], before[use][first], word[use][first], stem[use][first], np.bincount(at, times[use]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold)] + [pa.array(base.signed(x)) for x in (before, w, stem)], names=["label", "fold", "before", "word", "stem"])
 
+    rows = base.stored(sample.mapInArrow(count, "label int, fold int, before long, word long, stem long").groupBy("label", "fold", "before", "word", "stem").agg(F.count("*").alias("n")))
     sc = docs.sparkSession.sparkContext
-    held = sc.broadcast([model(part % FOLDS != f) for f in range(FOLDS)])
+    held = sc.broadcast([Model(*tables(rows.where(F.col("fold") != f))) for f in range(FOLDS)])
 
     def left_out(batches):
         for rb in batches:
@@ -190,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
     x, y = np.array(seen["x"].tolist()).reshape(-1, 1 + len(WINDOWS)), seen["y"].to_numpy(float)
     order = np.lexsort([*x.T, y])
     weight = np.where(y == 1, max(n[1] / toxic, 1.0), max(n[0] / ordinary, 1.0))  # the labels' own proportions
-    held.unpersist()
-    return {"model": model(part >= 0), "curve": logistic(x[order], y[order], weight[order])}
+    held.destroy()
+    return {"model": Model(*tables(rows)), "curve": logistic(x[order], y[order], weight[order])}
 
 
 def score(docs: DataFrame, scorer: dict) -> DataFrame:
