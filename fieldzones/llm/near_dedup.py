@@ -8,10 +8,12 @@ J^MINIMA (J: shared runs), and not if shared runs are in another order, which fo
 similarity.  All keys miss a pair with a chance of 0.1 % at J = 0.5, which an edit similarity of 0.9
 still has, and of 1 in 10^10 at J = 0.8.
 
-Equal texts are one node (MD5).  A bucket's members are compared with its leader, the member of
-least doc_id, not with each other; members that differ from it elect a leader among themselves,
-until none is left, so no bucket is cut, and a bucket of n members of which m differ takes about
-n + m pairs.  A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is
+Equal texts are one node (MD5).  A bucket's members are first compared with its leader, the
+member of least doc_id, not with each other.  Buckets that then still hold several components are
+finished in rounds: members outside the bucket's largest component take turns (about ``AT_ONCE``
+a round) to be compared with all members of other components, until one component is left or all
+have had their turn.  So no bucket is cut, every pair that could still join two classes is looked
+at, and pairs inside a class are not.  A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is
 computed exactly, in bands that widen as long as needed, many pairs at a time; pairs that share
 too few words or runs of three words for that distance (q-gram bound) are not aligned.
 Classes are the components of the links (alternating large-star and small-star rounds).
@@ -36,6 +38,8 @@ SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 24, 2, 0.8
 _rng = np.random.default_rng(77)
 _FLIP, _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64), _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _CELLS = 1 << 15
+#: Members of a bucket that are compared with all others of it in one round.
+AT_ONCE = 16
 
 
 def word_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,48 +197,59 @@ def sequences(texts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ links
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified (leader, member) links between the nodes (node, text_key, id, keys)."""
+def links(docs: DataFrame, nodes: DataFrame, at_once: int = AT_ONCE) -> DataFrame | None:
+    """Verified links (leader, member) between the nodes (node, text_key, id, keys); None where no
+    two nodes share a bucket."""
     keyed = nodes.select("node", F.struct("id", "text_key", "node").alias("rank"), F.posexplode("keys").alias("band", "key"))
-    crowd = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    alive = base.stored(keyed.join(crowd, ["band", "key"]))
+    first = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1").select("band", "key", F.col("first.node").alias("leader"))
+    alive = base.stored(keyed.select("node", "band", "key").join(first, ["band", "key"]))
+    if alive.isEmpty():
+        return None
     some = alive.select("node").distinct().join(nodes.select("node", "text_key", "id"), "node")
     texts = docs.select(F.col("text_key").alias("key_"), F.col("doc_id").alias("id_"), "text")
     texts = texts.join(some, (F.col("key_") == F.col("text_key")) & F.col("id_").eqNullSafe(F.col("id"))).select("node", "text")
-    words = base.stored(sequences(texts)).dropDuplicates(["node"])  # rows of one id and text
-    asked = None
-    while True:
-        leaders = alive.groupBy("band", "key").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1")
-        pairs = base.stored(alive.join(leaders, ["band", "key"]).where(F.col("node") != F.col("first.node")).select("band", "key", F.col("first.node").alias("leader"), F.col("node").alias("member"), "rank"))
-        if pairs.isEmpty():
-            break
-        new = pairs.select("leader", "member").distinct()
-        if asked is not None:
-            new = new.join(asked, ["leader", "member"], "left_anti")
-        rows = new.join(words.select(F.col("node").alias("member"), F.col("words").alias("member_words")), "member")
+    words = base.stored(sequences(texts).dropDuplicates(["node"]))  # rows of one id and text
+
+    def check(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(words.select(F.col("node").alias("member"), F.col("words").alias("member_words")), "member")
         rows = rows.join(words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
-        checked = base.stored(similar(rows.select("leader", "member", "leader_words", "member_words")))
-        asked = checked if asked is None else asked.unionByName(checked)
-        alive = base.stored(pairs.join(asked.where(~F.col("linked")), ["leader", "member"]).select(F.col("member").alias("node"), "rank", "band", "key"))
-    if asked is None:
-        return docs.sparkSession.createDataFrame([], "leader long, member long")
-    return asked.where("linked").select("leader", "member")
+        return base.stored(similar(rows.select("leader", "member", "leader_words", "member_words")))
+
+    asked = check(alive.where("node <> leader").select("leader", F.col("node").alias("member")).distinct())
+    alive, turn = alive.drop("leader"), 0
+    while True:
+        roots = components(asked.where("linked").select("leader", "member"))
+        rows = base.stored(alive.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        sizes = rows.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("c")).where("c > 1")
+        share = F.ceil((F.col("m") - F.col("top.n")) / at_once)
+        turns = F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0
+        rows = base.stored(rows.join(mixed, ["band", "key"]).select("band", "key", "node", "root", ((F.col("root") != F.col("top.root")) & turns).alias("leads")))
+        if rows.isEmpty():
+            return asked.where("linked").select("leader", "member")
+        leaders = rows.where("leads").select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+        pairs = rows.join(leaders, ["band", "key"]).where("root <> other_root").select(F.least("node", "other").alias("leader"), F.greatest("node", "other").alias("member")).distinct()
+        done = asked.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
+        asked = asked.unionByName(check(pairs.join(done, ["leader", "member"], "left_anti")))
+        alive, turn = rows.where("NOT leads").select("node", "band", "key"), turn + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the least node of its component."""
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 32))).first())
     edges = base.stored(edges.toDF("u", "v").where("u <> v").distinct())
+    was = size(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = base.stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(small, "u")
-        after = base.stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(small, "u")
+        edges = base.stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        now = size(edges)
+        if now == was:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        was = now
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,8 +261,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = sketches(docs).groupBy("text_key").agg(F.first("keys").alias("keys"))
     nodes = base.stored(firsts.join(keys, "text_key").withColumn("node", F.monotonically_increasing_id()))
     edges = links(docs, nodes)
-    roots = components(edges)
-    found = nodes.select("node", "text_key", "id", "times").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = nodes.select("node", "text_key", "id", "times")
+    found = found.withColumn("root", F.col("node")) if edges is None else found.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("c")
     reps = found.groupBy("root").agg(first).select("root", F.col("c.id").alias("class_id"), F.col("c.text_key").alias("class_key"))
     return base.stored(found.join(reps, "root").select("text_key", "id", "times", "class_id", "class_key")), docs
