@@ -144,16 +144,17 @@ def mix(sized: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, with its columns and
-    ``copy`` (1, 2, 3)."""
+    """Pipeline stage: every document as often as the mix takes it, with its columns and the
+    number of the row among them in ``copy`` (1, 2, 3; ``copy_`` if the documents have a copy)."""
     base.prepare(spark)
-    taken = mix(sizes(docs)).groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.sort_array(F.collect_list("copies")).alias("copies_"))
-    rows = docs.withColumn("hash_own_", F.xxhash64("text"))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_own_") == F.col("hash_")))
-    # rows of one id and text: each gets a count of its own from the list
-    number = F.row_number().over(Window.partitionBy("id_", "hash_").orderBy("hash_"))
-    rows = rows.withColumn("times_", F.get("copies_", number - 1)).where("times_ > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times_")).alias("copy"))
+    taken = mix(sizes(docs)).groupBy(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), F.col("source").alias("_llm_source")).agg(F.sort_array(F.collect_list("copies")).alias("_llm_copies"))
+    rows = docs.withColumn("_llm_own", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_own") == F.col("_llm_hash")) & F.col("source").eqNullSafe(F.col("_llm_source"))
+    # rows of one id, text and source: each gets a count of its own from the list
+    number = F.row_number().over(Window.partitionBy("_llm_id", "_llm_hash", "_llm_source").orderBy("_llm_hash"))
+    rows = rows.join(taken, same).withColumn("_llm_times", F.get("_llm_copies", number - 1)).where("_llm_times > 0")
+    name = "copy" if "copy" not in [c.lower() for c in docs.columns] else "copy_"
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_llm_times")).alias(name))
 
 
 @register("op4_pivotal_rounding")

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -252,10 +252,13 @@ def components(edges: DataFrame) -> DataFrame:
         was = now
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text_key, ... ) needs ``text``; gives the texts (text_key, id, times,
-    class_key, class_id) with the class of each, and the docs with text_key."""
-    docs = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Of each different text of ``docs`` (doc_id, text, text_key): text_key, the least doc_id
+    ``id``, how many rows have both, and the class by the id and key of its first text."""
     ids = docs.groupBy("text_key", "doc_id").agg(F.count("*").alias("times"))
     firsts = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "times")).alias("f")).select("text_key", "f.id", "f.times")
     keys = sketches(docs).groupBy("text_key").agg(F.first("keys").alias("keys"))
@@ -265,23 +268,25 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = found.withColumn("root", F.col("node")) if edges is None else found.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("c")
     reps = found.groupBy("root").agg(first).select("root", F.col("c.id").alias("class_id"), F.col("c.text_key").alias("class_key"))
-    return base.stored(found.join(reps, "root").select("text_key", "id", "times", "class_id", "class_key")), docs
+    return base.stored(found.join(reps, "root").select("text_key", "id", "times", "class_id", "class_key"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class, that of least doc_id, with its columns."""
     base.prepare(spark)
-    texts, keyed = classes(docs)
-    first = texts.where(F.col("text_key") == F.col("class_key")).select(F.col("text_key").alias("key_"), F.col("id").alias("id_"), "times")
-    rows = keyed.join(first, (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
-    if not first.where("times > 1").isEmpty():  # rows of one id and text
-        number = F.row_number().over(Window.partitionBy("key_", "id_").orderBy("key_"))
-        rows = rows.withColumn("times", number).where("times = 1")
+    texts = classes(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")))
+    first = texts.where(F.col("text_key") == F.col("class_key")).select(F.col("text_key").alias("_llm_key"), F.col("id").alias("_llm_id"), F.col("times").alias("_llm_times"))
+    own = docs.withColumn("_llm_own", text_key(F.col("text")))
+    rows = own.join(first, (F.col("_llm_own") == F.col("_llm_key")) & F.col("doc_id").eqNullSafe(F.col("_llm_id")))
+    if not first.where("_llm_times > 1").isEmpty():  # rows of one id and text: one of them
+        number = F.row_number().over(Window.partitionBy("_llm_key", "_llm_id").orderBy("_llm_key"))
+        rows = rows.withColumn("_llm_times", number).where("_llm_times = 1")
     return rows.select(*docs.columns)
 
 
 @register("op6_order_minhash")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, docs = classes(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "text_key").join(texts.select("text_key", "class_id"), "text_key").select(
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    found = classes(docs).select("text_key", "class_id")
+    return docs.select("doc_id", "text_key").join(found, "text_key").select(
         "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -405,13 +405,17 @@ def merge(rows: DataFrame, parts: int) -> DataFrame:
 
 # --------------------------------------------------------------------------------- results
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("mark", F.xxhash64("text").bitwiseAND((1 << 23) - 1))
+def order_id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+
+
+def text_mark():
+    return F.xxhash64("text").bitwiseAND((1 << 23) - 1)
 
 
 def removals(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(did, mark, spans) with the intervals to remove of each document that has any."""
-    texts = keyed(docs).select("did", "mark", "text").where(F.octet_length("text") >= LENGTH)
+    texts = docs.select(order_id().alias("did"), text_mark().alias("mark"), "text").where(F.octet_length("text") >= LENGTH)
     found = base.stored(sort_out(runs(texts)))
     whole = found.where("kind = 0").select("did", F.col("at").bitwiseAND((1 << 23) - 1).alias("mark"), F.shiftright("at", 32).alias("start"),
                                            (F.shiftright("at", 32) + F.shiftright("at", 23).bitwiseAND(511) + (LENGTH - 1)).alias("end"))
@@ -440,13 +444,14 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def cut_out(docs: DataFrame, found: DataFrame, schema: str, make) -> DataFrame:
     """``make(batch, texts, spans)`` over documents and their spans: for each text its bytes, and
     the starts and ends of its maximal removed runs."""
-    found = found.select(F.col("did").alias("did_"), F.col("mark").alias("mark_"), "spans")
-    rows = keyed(docs).join(found, (F.col("did") == F.col("did_")) & (F.col("mark") == F.col("mark_")), "left").select(*docs.columns, F.col("spans").alias("spans_"))
+    found = found.select(F.col("did").alias("_llm_did"), F.col("mark").alias("_llm_mark"), F.col("spans").alias("_llm_spans"))
+    rows = docs.withColumn("_llm_own_did", order_id()).withColumn("_llm_own_mark", text_mark())
+    rows = rows.join(found, (F.col("_llm_own_did") == F.col("_llm_did")) & (F.col("_llm_own_mark") == F.col("_llm_mark")), "left").select(*docs.columns, "_llm_spans")
 
     def run(batches):
         for rb in batches:
             data, offs = base.text_bytes(rb.column(rb.schema.get_field_index("text")))
-            lists = rb.column(rb.schema.get_field_index("spans_"))
+            lists = rb.column(rb.schema.get_field_index("_llm_spans"))
             flat = lists.flatten()
             s, e = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
             n = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
@@ -477,7 +482,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 c = pa.array(new, f.type)
             elif f.name == "n_chars":
                 c = pa.array([len(t) if ch else o for t, ch, o in zip(new, changed, c.to_pylist())], f.type)
-            if f.name != "spans_":
+            if f.name != "_llm_spans":
                 out.append((f.name, c))
         return pa.RecordBatch.from_arrays([c for _, c in out], names=[n for n, _ in out])
 
