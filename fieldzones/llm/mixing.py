@@ -85,25 +85,28 @@ def duel(h: np.ndarray, size: np.ndarray, p: np.ndarray, last: bool) -> np.ndarr
     free = (size == 0) & (p > _OPEN) & (p < 1 - _OPEN)
     p[free] = u[free] < p[free]
     order = np.flatnonzero((p > _OPEN) & (p < 1 - _OPEN))
+    draw = 0
     for k, i in enumerate(order):
-        if p[i] <= _OPEN or p[i] >= 1 - _OPEN:
-            continue
-        up, down = (1 - p[i]) * size[i], p[i] * size[i]
-        have = room = 0.0  # words that the next documents can give, and take
         to = k + 1
-        while to < len(order) and (have < up or room < down):
-            j = order[to]
-            have, room, to = have + p[j] * size[j], room + (1 - p[j]) * size[j], to + 1
-        others = order[k + 1:to]
-        if have <= 0 or room <= 0:
-            continue  # no open document is left
-        up, down = min(up, have), min(down, room)
-        if u[i] * (up + down) < down:
-            p[i] += up / size[i]
-            p[others] *= 1 - up / have
-        else:
-            p[i] -= down / size[i]
-            p[others] = 1 - (1 - p[others]) * (1 - down / room)
+        while _OPEN < p[i] < 1 - _OPEN:
+            up, down = (1 - p[i]) * size[i], p[i] * size[i]  # words that settle it
+            room = sum(size[j] * p[j] * (1 - p[j]) for j in order[k + 1:to])
+            while to < len(order) and room < max(up, down):
+                j = order[to]
+                room, to = room + size[j] * p[j] * (1 - p[j]), to + 1
+            others = order[k + 1:to]
+            others = others[(p[others] > _OPEN) & (p[others] < 1 - _OPEN)]
+            if not len(others):
+                break  # the last open document
+            # the others share the words in one fixed proportion, so no expectation moves
+            q = p[others]
+            room = float((size[others] * q * (1 - q)).sum())
+            up, down = min(up, (room / (1 - q)).min()), min(down, (room / q).min())
+            draw += 1
+            u = float(base.mix(h[i:i + 1] ^ np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))[0] >> np.uint64(11)) / float(1 << 53)
+            move = up if u * (up + down) < down else -down
+            p[i] += move / size[i]
+            p[others] -= move * q * (1 - q) / room
     left = (p > _OPEN) & (p < 1 - _OPEN)
     if last:
         p[left] = p[left] >= 0.5

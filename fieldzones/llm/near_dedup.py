@@ -6,17 +6,22 @@ one run), each labelled with how often it occurred before, so repeats differ.  F
 the hash of that short sequence is a bucket key.  Two texts agree in it with about the chance
 J^MINIMA (J: shared runs), and not if shared runs are in another order, which follows the edit
 similarity.  All keys miss a pair with a chance of 0.1 % at J = 0.5, which an edit similarity of 0.9
-still has, and of 1 in 10^10 at J = 0.8.
-
-Equal texts are one node (MD5).  A bucket's members are first compared with its leader, the
-member of least doc_id, not with each other.  Buckets that then still hold several components are
-finished in rounds: members outside the bucket's largest component take turns (about ``AT_ONCE``
-a round) to be compared with all members of other components, until one component is left or all
-have had their turn.  So no bucket is cut, every pair that could still join two classes is looked
-at, and pairs inside a class are not.  A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is
-computed exactly, in bands that widen as long as needed, many pairs at a time; pairs that share
-too few words or runs of three words for that distance (q-gram bound) are not aligned.
-Classes are the components of the links (alternating large-star and small-star rounds).
+still has, and of 1 in 10^10 at J = 0.8 (of 3 in 10^6 for the finer keys below).
+
+Equal texts are one node (MD5).  A bucket's members are not compared with each other: of each
+component in it the member of least doc_id is compared with that of the largest component, for a
+few hash functions after the other, so that a large group of near copies is one component before
+most of its buckets are looked at.  In the finer buckets of ``FINER`` minima, which texts that only
+share a passage seldom crowd, the first text of each component is then compared with those of all
+others, or of some ``LEADERS`` of them (by a hash for each bucket) where there are more, so that
+pairs stay in proportion to the texts.  Every pair of a bucket is thus linked by way of a component
+or compared in it, but for pairs between small components of one crowded bucket; these meet in
+other buckets, under other leaders.  The README has the measured loss.
+
+A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is computed
+exactly (on 32 bits of word hashes), in bands that widen as long as needed, many pairs at a time;
+pairs whose lengths, bits of their words, or shared runs of three words rule that distance out
+(each an exact bound) are not aligned.  Classes are the components of the links (alternating large-star and small-star rounds).
 
 Null text counts as empty, and all texts without a word that are equal are one class.  Texts of
 fewer than five words only match equal word sequences.  Repeated rows are one class.  An empty
@@ -25,6 +30,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +41,14 @@ from pyspark.sql.window import Window
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 24, 2, 0.8
+SHINGLE, SKETCHES, MINIMA, FINER, SIMILARITY = 5, 24, 2, 4, 0.8
 _rng = np.random.default_rng(77)
 _FLIP, _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64), _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_CELLS = 1 << 15
-#: Members of a bucket that are compared with all others of it in one round.
-AT_ONCE = 16
+_CELLS, _PADDED = 1 << 15, 1 << 20  # of one band and row, and of padded sequences
+#: Components of a finer bucket whose first texts are compared with those of all others there.
+LEADERS, BITS = 16, 1024
+#: Bands whose buckets are linked by stars, one group after the other.
+STARS = ((0, 3), (3, 8), (8, SKETCHES))
 
 
 def word_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,53 +79,73 @@ def labelled_runs(words: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tup
     return base.mix(runs + label * np.uint64(0xC2B2AE3D27D4EB4F)), start
 
 
-def sketch(runs: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
-    """The bucket keys of one text."""
-    out = np.zeros(sketches, np.uint64)
-    for a in range(0, sketches, max(1, min(sketches, (1 << 21) // max(len(runs), 1)))):
-        b = min(sketches, a + max(1, min(sketches, (1 << 21) // max(len(runs), 1))))
+def sketch(runs: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA, finer: int = FINER) -> np.ndarray:
+    """The bucket keys of one text: of the ``minima`` least runs for each hash function, then of
+    the ``finer`` least."""
+    out = np.zeros((2, sketches), np.uint64)
+    step = max(1, min(sketches, (1 << 21) // max(len(runs), 1)))
+    for a in range(0, sketches, step):
+        b = min(sketches, a + step)
         h = (runs[None, :] ^ _FLIP[a:b, None]) * _ODD[a:b, None]
-        at = np.argpartition(h, minima - 1, axis=1)[:, :minima] if len(runs) > minima else np.broadcast_to(np.arange(len(runs)), (b - a, len(runs)))
-        at = np.sort(at, axis=1)  # text order
-        key = np.arange(a, b, dtype=np.uint64)
+        at = np.empty((b - a, min(finer, len(runs))), np.int64)
         for j in range(at.shape[1]):
-            key = base.mix(key * np.uint64(0x9FB21C651E98DF25) + runs[at[:, j]])
-        out[a:b] = key
-    return out
+            at[:, j] = h.argmin(axis=1)
+            h[np.arange(b - a), at[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        for row, some in enumerate((minima, finer)):
+            places = np.sort(at[:, :some], axis=1)  # text order
+            key = np.arange(a, b, dtype=np.uint64)
+            for j in range(places.shape[1]):
+                key = base.mix(key * np.uint64(0x9FB21C651E98DF25) + runs[places[:, j]])
+            out[row, a:b] = key
+    return out.ravel()
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(node, keys) of rows (node, text); texts without a word have no keys."""
+    """text_key, bucket keys (none without a word), number of words and ``BITS`` bits, each set by
+    some (word, occurrence) of the text, of every row (text_key, text)."""
     def run(batches):
         for rb in batches:
-            keys = []
-            for _, _, data, offs in base.pieces(rb.column(1)):
-                runs, start = labelled_runs(*word_ids(data, offs))
-                keys += [base.signed(sketch(runs[start[i]:start[i + 1]])) if start[i + 1] > start[i] else np.zeros(0, np.int64) for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["text_key", "keys"])
-
-    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, keys array<long>")
+            keys, n, bits = [], [], []
+            for a, to, data, offs in base.pieces(rb.column(1), rows=2048):
+                words, first = word_ids(data, offs)
+                runs, start = labelled_runs(words, first)
+                keys += [base.signed(sketch(runs[start[i]:start[i + 1]])) if start[i + 1] > start[i] else np.zeros(0, np.int64) for i in range(to - a)]
+                n.append(np.diff(first))
+                single, _ = labelled_runs(words, first, 1)
+                has = np.zeros((to - a, BITS), bool)
+                has[np.repeat(np.arange(to - a), n[-1]), (single >> np.uint64(40)).astype(np.int64) % BITS] = True
+                bits.append(np.packbits(has, axis=1).view(np.int64))
+            flat = np.concatenate(bits).ravel() if bits else np.zeros(0, np.int64)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(rb) + 1, dtype=np.int32) * (BITS // 64)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), vec], names=["text_key", "keys", "n", "vec"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, keys array<long>, n long, vec array<long>")
 
 
 # ------------------------------------------------------------------------------- alignment
 
-def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
-    """Edit distance of each pair of sequences where it is at most its limit, else limit + 1."""
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """Edit distance of each pair of sequences where it is at most its limit, else limit + 1.
+    ``least`` are known lower bounds: narrower bands are not tried."""
     out = limits.astype(np.int64) + 1
     size = np.array([[len(a), len(b)] for a, b in pairs], np.int64).reshape(-1, 2)
-    gap = np.abs(size[:, 0] - size[:, 1])
-    todo, t = np.flatnonzero(gap <= limits), 8
+    low = np.abs(size[:, 0] - size[:, 1])
+    low = low if least is None else np.maximum(low, least)
+    todo, t = np.flatnonzero(low <= limits), 8
     while len(todo):
-        now = todo[gap[todo] <= t]
+        now = todo[low[todo] <= t]
         now = now[np.argsort(size[now, 0], kind="stable")]
-        step = max(1, _CELLS // (2 * t + 1))
-        for i in range(0, len(now), step):
-            rows = now[i:i + step]
+        i = 0
+        while i < len(now):
+            k = min(len(now), i + max(1, _CELLS // (2 * t + 1)))
+            k = max(i + 1, i + int(np.searchsorted(size[now[i:k], 0] * np.arange(1, k - i + 1), _PADDED)))
+            rows = now[i:k]
             d = band([pairs[r] for r in rows], size[rows], t)
             good = d <= np.minimum(t, limits[rows])
             out[rows[good]] = d[good]
+            i = k
         todo = todo[(out[todo] > limits[todo]) & (limits[todo] > t)]
-        t *= 4
+        t *= 2
     return out
 
 
@@ -125,8 +154,8 @@ def band(pairs, size: np.ndarray, t: int) -> np.ndarray:
     Pairs are sorted by the length of the first sequence."""
     p, width = len(pairs), 2 * t + 1
     n, m = int(size[:, 0].max(initial=0)), int(size.max(initial=0))
-    a = np.full((n, p), -1, np.int64)
-    b = np.full((m + width + n + 1, p), -2, np.int64)
+    a = np.zeros((n, p), np.uint32)
+    b = np.zeros((max(n, m) + width + 1, p), np.uint32)  # what lies outside does not reach a result
     for k, (x, y) in enumerate(pairs):
         a[:len(x), k] = x
         b[t:t + len(y), k] = y
@@ -134,61 +163,60 @@ def band(pairs, size: np.ndarray, t: int) -> np.ndarray:
     far = np.int32(1 << 28)
     d = np.broadcast_to(np.where(ramp >= t, ramp - t, far), (width, p)).astype(np.int32)
     out = np.full(p, far, np.int64)
-    done = 0
-    below = np.full((1, p), far, np.int32)
+    done = 0  # d holds the pairs from this one on
     for i in range(n + 1):
+        was = done
         while done < p and size[done, 0] == i:
-            out[done] = d[size[done, 1] - i + t, done]
+            out[done] = d[size[done, 1] - i + t, done - was]
             done += 1
         if i == n:
             break
+        if done > was:
+            d = d[:, done - was:]
         # row i + 1: column j of it is at place j - (i + 1) + t
-        d = np.minimum(d + (b[i:i + width] != a[i]), np.concatenate([d[1:] + 1, below]))
+        new = d + (b[i:i + width, done:] != a[i, done:])
+        np.minimum(new[:-1], d[1:] + 1, out=new[:-1])
+        d = new
         if i + 1 <= t:
             d[:t - i - 1] = far
         d = np.minimum.accumulate(d - ramp, axis=0) + ramp
     return out
 
 
-def too_far(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
-    """Do two sequences share too few runs of 1 or 3 words for a distance of at most ``limit``?"""
-    for q in (1, 3):
-        x, y = (base.window_hashes(s, q) for s in (a, b))
-        need = max(len(a), len(b)) - q + 1 - q * limit
-        if need <= 0:
-            continue
-        x, y = np.sort(x), np.sort(y)
-        ux, nx = np.unique(x, return_counts=True)
-        uy, ny = np.unique(y, return_counts=True)
-        _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-        if np.minimum(nx[i], ny[j]).sum() < need:
-            return True
-    return False
+def lower_bound(a: np.ndarray, b: np.ndarray, q: int = 3) -> int:
+    """A lower bound of the distance: an edit changes at most q of the runs of q words."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = base.window_hashes(a, q), np.sort(base.window_hashes(b, q))
+    if not len(y):
+        return 0
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return max(0, -(-(len(x) - common) // q))
 
 
 def similar(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(leader, member, linked) of rows (leader, member, leader_words, member_words)."""
     def run(batches):
         for rb in batches:
-            seqs = [[np.frombuffer(x, np.uint64) for x in rb.column(c).to_pylist()] for c in (2, 3)]
+            seqs = [[np.frombuffer(x, np.uint32) for x in rb.column(c).to_pylist()] for c in (2, 3)]
             linked = np.zeros(len(rb), bool)
             limits = np.array([int((1 - similarity) * max(len(a), len(b)) + 1e-9) for a, b in zip(*seqs)], np.int64)
-            some = [i for i, (a, b) in enumerate(zip(*seqs)) if abs(len(a) - len(b)) <= limits[i] and not too_far(a, b, int(limits[i]))]
-            if some:
-                d = distances([(seqs[0][i].view(np.int64), seqs[1][i].view(np.int64)) for i in some], limits[some])
-                linked[some] = d <= limits[some]
+            least = np.array([lower_bound(a.astype(np.uint64), b.astype(np.uint64)) for a, b in zip(*seqs)], np.int64)
+            if len(rb):
+                linked = distances(list(zip(*seqs)), limits, least) <= limits
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(linked)], names=["leader", "member", "linked"])
 
     return rows.mapInArrow(run, "leader long, member long, linked boolean")
 
 
 def sequences(texts: DataFrame) -> DataFrame:
-    """(node, words) with the word hashes of (node, text) as bytes."""
+    """(node, words) with 32 bits of the word hashes of (node, text) as bytes."""
     def run(batches):
         for rb in batches:
             out = []
             for _, _, data, offs in base.pieces(rb.column(1)):
                 w, first = word_ids(data, offs)
+                w = (w >> np.uint64(32)).astype(np.uint32)
                 out += [w[first[i]:first[i + 1]].tobytes() for i in range(len(offs) - 1)]
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out, pa.binary())], names=["node", "words"])
 
@@ -197,41 +225,68 @@ def sequences(texts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ links
 
-def links(docs: DataFrame, nodes: DataFrame, at_once: int = AT_ONCE) -> DataFrame | None:
-    """Verified links (leader, member) between the nodes (node, text_key, id, keys); None where no
-    two nodes share a bucket."""
-    keyed = nodes.select("node", F.struct("id", "text_key", "node").alias("rank"), F.posexplode("keys").alias("band", "key"))
-    first = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1").select("band", "key", F.col("first.node").alias("leader"))
-    alive = base.stored(keyed.select("node", "band", "key").join(first, ["band", "key"]))
-    if alive.isEmpty():
+def plausible(a: str, b: str, similarity: float = SIMILARITY):
+    """Can columns ``n`` and ``vec`` of two nodes belong to texts that are similar?  An edit changes
+    the length by one, and takes and adds one (word, occurrence) at most."""
+    limit = F.floor(F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * (1 - similarity) + 1e-9)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get(F.col(f"{a}vec"), i).bitwiseXOR(F.get(F.col(f"{b}vec"), i))) for i in range(BITS // 64)])
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= limit) & (differ <= 2 * limit)
+
+
+def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFrame | None:
+    """Verified links (leader, member) between the nodes (node, text_key, id, keys, n, vec); None
+    where no two nodes share a bucket."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    rank = nodes.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank"))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    crowd = base.stored(keyed.join(shared, ["band", "key"]).join(rank, "node"))
+    if crowd.isEmpty():
         return None
-    some = alive.select("node").distinct().join(nodes.select("node", "text_key", "id"), "node")
+    some = crowd.select("node").distinct().join(nodes, "node")
     texts = docs.select(F.col("text_key").alias("key_"), F.col("doc_id").alias("id_"), "text")
     texts = texts.join(some, (F.col("key_") == F.col("text_key")) & F.col("id_").eqNullSafe(F.col("id"))).select("node", "text")
     words = base.stored(sequences(texts).dropDuplicates(["node"]))  # rows of one id and text
+    signs = base.stored(some.select("node", "n", "vec"))
+
+    def named(df: DataFrame, who: str, *columns: str) -> DataFrame:
+        return df.select(F.col("node").alias(who), *[F.col(c).alias(f"{who}_{c}") for c in columns])
 
     def check(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(words.select(F.col("node").alias("member"), F.col("words").alias("member_words")), "member")
-        rows = rows.join(words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
+        """The leader's words first: its key may be hot, and members are then dealt evenly."""
+        rows = pairs.join(named(words, "leader", "words"), "leader").join(named(words, "member", "words"), "member")
         return base.stored(similar(rows.select("leader", "member", "leader_words", "member_words")))
 
-    asked = check(alive.where("node <> leader").select("leader", F.col("node").alias("member")).distinct())
-    alive, turn = alive.drop("leader"), 0
-    while True:
+    def rooted(rows: DataFrame, asked: DataFrame | None) -> DataFrame:
+        if asked is None:
+            return rows.withColumn("root", F.col("node"))
         roots = components(asked.where("linked").select("leader", "member"))
-        rows = base.stored(alive.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        sizes = rows.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("c")).where("c > 1")
-        share = F.ceil((F.col("m") - F.col("top.n")) / at_once)
-        turns = F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0
-        rows = base.stored(rows.join(mixed, ["band", "key"]).select("band", "key", "node", "root", ((F.col("root") != F.col("top.root")) & turns).alias("leads")))
-        if rows.isEmpty():
-            return asked.where("linked").select("leader", "member")
-        leaders = rows.where("leads").select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        pairs = rows.join(leaders, ["band", "key"]).where("root <> other_root").select(F.least("node", "other").alias("leader"), F.greatest("node", "other").alias("member")).distinct()
-        done = asked.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-        asked = asked.unionByName(check(pairs.join(done, ["leader", "member"], "left_anti")))
-        alive, turn = rows.where("NOT leads").select("node", "band", "key"), turn + 1
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def new(pairs: DataFrame, asked: DataFrame | None) -> DataFrame:
+        pairs = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
+        return pairs if asked is None else pairs.join(asked, ["leader", "member"], "left_anti")
+
+    asked = None
+    for a, b in STARS:  # the first of each component in a bucket against that of the largest
+        rows = rooted(crowd.where(F.col("band").between(a, b - 1)), asked)
+        firsts = base.stored(rows.groupBy("band", "key", "root").agg(F.min("rank").alias("rank"), F.count("*").alias("c")))
+        tops = firsts.groupBy("band", "key").agg(F.max(F.struct("c", "rank")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("band", "key", F.col("top.rank.node").alias("leader"))
+        pairs = firsts.join(tops, ["band", "key"]).select("leader", F.col("rank.node").alias("member")).where("leader <> member")
+        pairs = new(pairs, asked).join(named(signs, "member", "n", "vec"), "member").join(named(signs, "leader", "n", "vec"), "leader").where(plausible("member_", "leader_"))
+        checked = check(pairs.select("leader", "member"))
+        asked = checked if asked is None else asked.unionByName(checked)
+    # then, in the finer buckets, the first of every component against those of some components
+    rows = rooted(crowd.where(F.col("band") >= SKETCHES), asked)
+    firsts = rows.groupBy("band", "key", "root").agg(F.min("rank.node").alias("node"))
+    firsts = base.stored(firsts.join(signs, "node"))
+    many = firsts.groupBy("band", "key").agg(F.count("*").alias("roots")).where("roots > 1")
+    turns = F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("roots") / leaders)) == 0
+    rows = base.stored(firsts.join(many, ["band", "key"]).withColumn("leads", turns))
+    some = rows.where("leads").select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "vec")])
+    near = (F.col("root") != F.col("other_root")) & plausible("", "other_")
+    pairs = rows.join(some, ["band", "key"]).where(near).select(F.col("other_node").alias("leader"), F.col("node").alias("member"))
+    asked = asked.unionByName(check(new(pairs, asked)))
+    return asked.where("linked").select("leader", "member")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +316,7 @@ def classes(docs: DataFrame) -> DataFrame:
     ``id``, how many rows have both, and the class by the id and key of its first text."""
     ids = docs.groupBy("text_key", "doc_id").agg(F.count("*").alias("times"))
     firsts = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "times")).alias("f")).select("text_key", "f.id", "f.times")
-    keys = sketches(docs).groupBy("text_key").agg(F.first("keys").alias("keys"))
+    keys = sketches(docs).groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("keys", "n", "vec")])
     nodes = base.stored(firsts.join(keys, "text_key").withColumn("node", F.monotonically_increasing_id()))
     edges = links(docs, nodes)
     found = nodes.select("node", "text_key", "id", "times")

@@ -197,10 +197,13 @@ def test_banded_alignment():
             b[int(rng.integers(0, len(b) + 1)):][:0] = []
             q = int(rng.integers(0, len(b) + 1))
             b[q:q + int(rng.integers(0, 2))] = list(rng.integers(0, 9, rng.integers(0, 2)))
-        pairs.append((np.array(a, np.int64), np.array(b, np.int64)))
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
         limits.append(int(rng.integers(0, 30)))
     want = [min(edit(list(a), list(b)), m + 1) for (a, b), m in zip(pairs, limits)]
     assert near_dedup.distances(pairs, np.array(limits)).tolist() == want
+    least = np.array([near_dedup.lower_bound(a.astype(np.uint64), b.astype(np.uint64)) for a, b in pairs])
+    assert all(x <= edit(list(a), list(b)) for x, (a, b) in zip(least, pairs))
+    assert near_dedup.distances(pairs, np.array(limits), least).tolist() == want
 
 
 def test_near_duplicates(spark, odd, odd_rows):
