@@ -64,6 +64,37 @@ select f.codigo, l.layer, f.ox as x0, f.oy + f.h as y0, 1e1 as res_x, 1e1 as res
 from fx_fields f cross join (
   select 'NDVI_Pl_1' as layer union all select 'EVI_Hist_1' union all select 'PROD_1'
   union all select 'Arcilla' union all select 'Arena' union all select 'Limo' union all select 'pH') l""",
+    # fields of several parts: a rectangle (with a hole where k % 3 = 0) and a second one, which
+    # crosses itself where k % 5 = 4
+    "fx_parcel_vertices": """
+select codigo, part, ring, seq, x, y from (
+  select codigo, k, 1 as part, 0 as ring, 1 as seq, ox + 0e0 as x, oy + 0e0 as y from fx_fields
+  union all select codigo, k, 1 as part, 0 as ring, 2 as seq, ox + (1e2 + 1e1 * k) as x, oy + 0e0 as y from fx_fields
+  union all select codigo, k, 1 as part, 0 as ring, 3 as seq, ox + (1e2 + 1e1 * k) as x, oy + 1.2e2 as y from fx_fields
+  union all select codigo, k, 1 as part, 0 as ring, 4 as seq, ox + 0e0 as x, oy + 1.2e2 as y from fx_fields
+  union all select codigo, k, 1 as part, 0 as ring, 5 as seq, ox + 0e0 as x, oy + 0e0 as y from fx_fields
+  union all select codigo, k, 1 as part, 1 as ring, 1 as seq, ox + 2e1 as x, oy + 2e1 as y from fx_fields where k % 3 = 0
+  union all select codigo, k, 1 as part, 1 as ring, 2 as seq, ox + 4e1 as x, oy + 2e1 as y from fx_fields where k % 3 = 0
+  union all select codigo, k, 1 as part, 1 as ring, 3 as seq, ox + 4e1 as x, oy + 4e1 as y from fx_fields where k % 3 = 0
+  union all select codigo, k, 1 as part, 1 as ring, 4 as seq, ox + 2e1 as x, oy + 4e1 as y from fx_fields where k % 3 = 0
+  union all select codigo, k, 1 as part, 1 as ring, 5 as seq, ox + 2e1 as x, oy + 2e1 as y from fx_fields where k % 3 = 0
+  union all select codigo, k, 2 as part, 0 as ring, 1 as seq, ox + 5e2 as x, oy + 0e0 as y from fx_fields where k % 5 <> 4
+  union all select codigo, k, 2 as part, 0 as ring, 2 as seq, ox + 6e2 as x, oy + 0e0 as y from fx_fields where k % 5 <> 4
+  union all select codigo, k, 2 as part, 0 as ring, 3 as seq, ox + 6e2 as x, oy + (6e1 + 5e0 * k) as y from fx_fields where k % 5 <> 4
+  union all select codigo, k, 2 as part, 0 as ring, 4 as seq, ox + 5e2 as x, oy + (6e1 + 5e0 * k) as y from fx_fields where k % 5 <> 4
+  union all select codigo, k, 2 as part, 0 as ring, 5 as seq, ox + 5e2 as x, oy + 0e0 as y from fx_fields where k % 5 <> 4
+  union all select codigo, k, 2, 0, 1, ox + 5e2, oy + 0e0 from fx_fields where k % 5 = 4
+  union all select codigo, k, 2, 0, 2, ox + 6e2, oy + 8e1 from fx_fields where k % 5 = 4
+  union all select codigo, k, 2, 0, 3, ox + 6e2, oy + 0e0 from fx_fields where k % 5 = 4
+  union all select codigo, k, 2, 0, 4, ox + 5e2, oy + 4e1 from fx_fields where k % 5 = 4
+  union all select codigo, k, 2, 0, 5, ox + 5e2, oy + 0e0 from fx_fields where k % 5 = 4) v""",
+    # input rasters of the layer plan, some of them missing
+    "fx_input_meta": """
+select f.codigo, p.pre || '_' || f.codigo || '_' || cast(n.i as string) as layer
+from fx_fields f
+cross join (select 'NDVI_median' as pre union all select 'EVI_median' union all select 'PROD_median') p
+cross join (select 1 as i union all select 2 union all select 3 union all select 4 union all select 5) n
+where (f.k + n.i) % 4 <> 0""",
     "fx_samples": """
 select f.codigo, cast(row_number() over (partition by f.codigo order by s.s_suppkey) as int) as n,
        f.ox + 2e1 + (s.s_suppkey * 37) % 160 as x, f.oy + 2e1 + (s.s_suppkey * 53) % 25 as y, s.s_suppkey
@@ -99,6 +130,8 @@ DEPENDS = {
     "fx_zone_vertices": ("fx_zones",),
     "fx_pixels": ("part", "fx_fields"),
     "fx_raster_meta": ("fx_fields",),
+    "fx_parcel_vertices": ("fx_fields",),
+    "fx_input_meta": ("fx_fields",),
     "fx_samples": ("supplier", "fx_fields"),
     "fx_soil_lab": ("fx_samples", "supplier"),
     "fx_chronology": ("orders", "customer"),

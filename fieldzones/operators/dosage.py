@@ -29,8 +29,3 @@ def dosage_layer(zones: DataFrame, name: str, dose: float = 0.0, src: str = "EPS
                  F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     v = crs.transform_xy(v, src, dst)
     return v.withColumnsRenamed({"x": "lon", "y": "lat"}) if dst == "EPSG:4326" else v
-
-
-def vertices(layer: DataFrame) -> DataFrame:
-    """The vertex rows of a dosage layer (already one row per vertex)."""
-    return layer

@@ -114,8 +114,6 @@ def fuzzy_cmeans(df: DataFrame, cols: list[str], cs=(3,), m: float = 2.0, error:
     """
     spark: SparkSession = df.sparkSession
     keys = list(keys)
-    if max(cs) > 8:
-        raise ValueError("c is limited to 8 clusters")
     cs_col = F.explode(F.array(*[F.lit(int(c)) for c in cs])).alias("n_clusters")
     pts = cut_lineage(df.select(*keys, "pid", *cols).na.drop(subset=cols).select("*", cs_col))
     key_schema = ", ".join(k + " string" for k in keys)

@@ -157,31 +157,46 @@ def rasterise_zones(df: DataFrame, res: float = 10.0, cluster: str = "Cluster")
             .agg(F.max_by("klass", "pid").alias("value")))
 
 
-def dissolve_zones(df: DataFrame, res: float = 10.0, cluster: str = "Cluster",
-                   attrs=()) -> DataFrame:
-    """Cells dissolved by cluster - boundary edges, perimeter and area per zone.
-
-    Each cell contributes its four edges on the integer lattice; an edge seen once inside
-    a cluster is on the zone boundary.  Other attributes take the value of the first
-    point (smallest ``pid``).
-    """
+def _lattice(df: DataFrame, res: float, cluster: str) -> DataFrame:
+    """Points of a cluster with their cell (ci, ri) on the field's lattice."""
     b = df.groupBy("codigo").agg(F.min("x").alias("bx"), F.min("y").alias("by"))
     d = join_small(df.filter(F.col(cluster).isNotNull()), b, "codigo")
-    d = d.withColumns({"ci": F.round((F.col("x") - F.col("bx")) / res).cast("long"),
-                       "ri": F.round((F.col("y") - F.col("by")) / res).cast("long")})
+    return d.withColumns({"ci": F.round((F.col("x") - F.col("bx")) / res).cast("long"),
+                          "ri": F.round((F.col("y") - F.col("by")) / res).cast("long")})
+
+
+def zone_boundary(df: DataFrame, res: float = 10.0, cluster: str = "Cluster") -> DataFrame:
+    """The boundary of each zone as edge rows ``x1, y1, x2, y2``: edges of its different
+    cells that occur once."""
+    d = _lattice(df, res, cluster).select("codigo", cluster, "ci", "ri", "bx", "by").distinct()
     edges = F.array(
         F.struct(F.lit("h").alias("k"), F.col("ci").alias("a"), F.col("ri").alias("b")),
         F.struct(F.lit("h").alias("k"), F.col("ci").alias("a"), (F.col("ri") + 1).alias("b")),
         F.struct(F.lit("v").alias("k"), F.col("ci").alias("a"), F.col("ri").alias("b")),
         F.struct(F.lit("v").alias("k"), (F.col("ci") + 1).alias("a"), F.col("ri").alias("b")))
-    e = d.select("codigo", cluster, F.explode(edges).alias("e"))
-    per_edge = e.groupBy("codigo", cluster, "e").agg(F.count(F.lit(1)).alias("m"))
-    boundary = (per_edge.filter(F.col("m") == 1).groupBy("codigo", cluster)
-                .agg(F.count(F.lit(1)).alias("n_edges")))
-    cells = d.groupBy("codigo", cluster).agg(
-        F.count(F.lit(1)).alias("n_cells"),
-        *[F.min_by(a, "pid").alias(a) for a in attrs])
+    e = d.select("codigo", cluster, "bx", "by", F.explode(edges).alias("e"))
+    once = e.groupBy("codigo", cluster, "bx", "by", "e").agg(F.count(F.lit(1)).alias("m")).filter("m = 1")
+    x = F.col("bx") + (F.col("e.a") - 0.5) * res
+    y = F.col("by") + (F.col("e.b") - 0.5) * res
+    flat = F.col("e.k") == "h"
+    return once.select("codigo", cluster, x.alias("x1"), y.alias("y1"), F.when(flat, x + res).otherwise(x).alias("x2"),
+                       F.when(flat, y).otherwise(y + res).alias("y2"))
+
+
+def dissolve_zones(df: DataFrame, res: float = 10.0, cluster: str = "Cluster",
+                   attrs=()) -> DataFrame:
+    """Cells dissolved by cluster - boundary edges, perimeter and area per zone.
+
+    Points of one cell are one cell.  Other attributes take the first value (by ``pid``) that is
+    not null.  The edges themselves: :func:`zone_boundary`.
+    """
+    d = _lattice(df, res, cluster)
+    boundary = zone_boundary(df, res, cluster).groupBy("codigo", cluster).agg(F.count(F.lit(1)).alias("n_edges"))
+    cells = d.select("codigo", cluster, "ci", "ri").distinct().groupBy("codigo", cluster).agg(F.count(F.lit(1)).alias("n_cells"))
     out = cells.join(boundary, ["codigo", cluster], "left")
+    if attrs:
+        first = d.groupBy("codigo", cluster).agg(*[F.min_by(a, F.when(F.col(a).isNotNull(), F.col("pid"))).alias(a) for a in attrs])
+        out = out.join(first, ["codigo", cluster])
     return out.select("codigo", cluster, (F.col("n_cells") * (res * res)).alias("area_m2"),
                       (F.col("n_edges") * res).alias("perimeter_m"), "n_edges", *attrs)
 
@@ -205,13 +220,6 @@ def clip_raster(pixels: DataFrame, meta: DataFrame, fields: DataFrame) -> tuple[
     return out, new_meta
 
 
-def _centres(pixels: DataFrame, meta: DataFrame) -> DataFrame:
-    m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y")
-    j = join_small(pixels, m, ["codigo", "layer"])
-    return j.select(*pixels.columns, (F.col("x0") + (F.col("col") + 0.5) * F.col("res_x")).alias("x"),
-                    (F.col("y0") - (F.col("row") + 0.5) * F.col("res_y")).alias("y"))
-
-
 def default_target_meta(meta: DataFrame, src: str, dst: str) -> DataFrame:
     """Target grid for a reprojection: the bounding box of the transformed raster corners at
     the source resolution (one row per raster; the four corners are exploded and moved)."""
@@ -235,18 +243,19 @@ REFERENCE_LAYER = "NDVI_Pl_1"
 
 
 def build_layers(spark, meta: DataFrame, per_family: int = 5) -> DataFrame:
-    """The layer plan joined to the available rasters of every field.
+    """The layer plan of every field, and whether its input raster is there.
 
-    Number 1 of each family keeps its own grid; numbers 2..5 are aligned to NDVI_Pl_1.
-    Missing inputs are reported (``present = false``) instead of failing the run.
+    The input of a layer is named ``{input prefix}_{codigo}_{i}``.  All layers but the reference
+    are aligned to it, so that they share one grid.  Missing inputs are reported
+    (``present = false``) instead of failing the run.
     """
-    plan = spark.createDataFrame(
-        [(pre, out, i, f"{out}_{i}", None if i == 1 else REFERENCE_LAYER)
-         for pre, out in LAYER_FAMILIES for i in range(1, per_family + 1)],
-        "input_prefix string, family string, i int, layer string, align_to string")
-    fields = meta.select("codigo").distinct()
-    have = meta.select("codigo", "layer", F.lit(True).alias("present"))
-    # every field gets the 15-row plan: an equi-join on a constant key against a 15-row table
-    p = fields.withColumn("_j", F.lit(1)).join(F.broadcast(plan.withColumn("_j", F.lit(1))), "_j").drop("_j")
-    return (p.join(have, ["codigo", "layer"], "left").fillna(False, subset=["present"])
-            .select("codigo", "layer", "family", "i", "align_to", "present"))
+    plan = [F.struct(F.lit(pre).alias("pre"), F.lit(out).alias("family"), F.lit(i).alias("i"))
+            for pre, out in LAYER_FAMILIES for i in range(1, per_family + 1)]
+    p = meta.select("codigo").distinct().select("codigo", F.explode(F.array(*plan)).alias("p"))
+    layer = F.concat_ws("_", "p.family", F.col("p.i").cast("string"))
+    source = F.concat_ws("_", "p.pre", "codigo", F.col("p.i").cast("string"))
+    p = p.select("codigo", layer.alias("layer"), "p.family", "p.i", source.alias("source"),
+                 F.when(layer != REFERENCE_LAYER, F.lit(REFERENCE_LAYER)).alias("align_to"))
+    have = meta.select("codigo", F.col("layer").alias("source"), F.lit(True).alias("present")).distinct()
+    return p.join(have, ["codigo", "source"], "left").fillna(False, subset=["present"]).select(
+        "codigo", "layer", "family", "i", "source", "align_to", "present")

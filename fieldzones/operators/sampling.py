@@ -16,16 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldzones.functions import geometry as geo
 from fieldzones.functions.numeric import distance, round_even
 from fieldzones.session import cut_lineage, join_small
 
 
 def sampling_quota(fields: DataFrame, ha_per_point: float) -> DataFrame:
-    """Z3: points per field = round-half-even(area_ha / ha_per_point); 0 -> 1, flagged."""
+    """Z3: points per field = the sum over its polygons of round-half-even(area / ha_per_point);
+    0 -> 1, flagged.  Without ``parts`` the field is one polygon of ``area_ha``."""
     if not ha_per_point > 0:
         raise ValueError("hectares per point must be greater than zero")
-    q = round_even(F.col("area_ha") / F.lit(float(ha_per_point))).cast("int")
-    return fields.withColumn("n_puntos_raw", q).withColumn(
+    points = lambda ha: round_even(ha / F.lit(float(ha_per_point)))
+    if "parts" in fields.columns:
+        q = F.aggregate("parts", F.lit(0.0), lambda n, p: n + points(geo.polygon_area(p) / 1e4))
+    else:
+        q = points(F.col("area_ha"))
+    return fields.withColumn("n_puntos_raw", q.cast("int")).withColumn(
         "n_puntos", F.greatest(F.col("n_puntos_raw"), F.lit(1))).withColumn(
         "quota_raised", F.col("n_puntos_raw") < 1)
 
@@ -225,37 +231,39 @@ def tag_and_union(total: DataFrame, sample: DataFrame, cols: list[str], keys=("c
 
 
 def density_histogram(long: DataFrame, keys=("codigo", "index")) -> DataFrame:
-    """Density histograms of population and sample.
+    """Density histograms of population and sample, empty bins included.
 
     Both sets use bins = min(50, int(sqrt(n))) with n the population count; each set's
-    edges span its own min..max (the last bin is closed).  density = count / (n * width).
+    edges span its own min..max (the last bin is closed), widened by 0.5 on both sides for a
+    constant set.  density = count / (n * width).
     """
     keys = list(keys)
     v = long.filter(F.col("value").isNotNull())
     rng = v.groupBy(*keys, "Dataset").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("nset"))
     npop = rng.filter(F.col("Dataset") == "Total").select(*keys, F.col("nset").alias("npop"))
+    flat = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
     st = (rng.join(npop, keys)
           .withColumn("bins", F.least(F.lit(50), F.floor(F.sqrt("npop")).cast("int")))
           .filter(F.col("bins") > 0)
+          .select(*keys, "Dataset", "nset", "bins", (F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
           .withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins")))
+    st = cut_lineage(st)  # a row for each set: read twice below
     j = join_small(v, st, [*keys, "Dataset"])
-    b = F.when(F.col("width") == 0, F.lit(0)).otherwise(
-        F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"))
-    j = j.withColumn("bin", F.least(b, F.col("bins") - 1))
-    c = j.groupBy(*keys, "Dataset", "bin", "lo", "width", "nset").agg(F.count(F.lit(1)).alias("count"))
-    dens = F.when(F.col("width") == 0, F.lit(None).cast("double")) \
-        .otherwise(F.col("count") / (F.col("nset") * F.col("width")))
+    b = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"), F.col("bins") - 1)
+    counts = j.withColumn("bin", b).groupBy(*keys, "Dataset", "bin").agg(F.count(F.lit(1)).alias("count"))
+    every = st.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    c = every.join(counts, [*keys, "Dataset", "bin"], "left").fillna(0, subset=["count"])
     return c.select(*keys, "Dataset", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"),
-                    "count", dens.alias("density"))
+                    "count", (F.col("count") / (F.col("nset") * F.col("width"))).alias("density"))
 
 
 def kde_curve(long: DataFrame, n_points: int = 200, keys=("codigo", "index")) -> DataFrame:
     """Gaussian kernel density on ``n_points`` evaluation points over each set's range.
 
-    Bandwidth by Scott's rule h = s * n^(-1/5).  The evaluation grid is exploded per set
-    and meets the values through an equi-join on the set key; the sum is a partial
-    aggregate.
+    Bandwidth by Scott's rule h = s * n^(-1/5).  Each value meets its set's parameters in one
+    broadcast row and adds to one partial sum for each evaluation point, so a hot set is summed
+    on every partition and nothing is exploded before that.
     """
     keys = list(keys)
     v = long.filter(F.col("value").isNotNull())
@@ -263,22 +271,24 @@ def kde_curve(long: DataFrame, n_points: int = 200, keys=("codigo", "index")) ->
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"),
         F.stddev_samp("value").alias("s"))
     st = st.withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).filter(F.col("h") > 0)
-    grid = st.select(*keys, "Dataset", "n", "h",
-                     F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("t"), "lo", "hi")
-    grid = grid.withColumn("at", F.col("lo") + F.col("t") * (F.col("hi") - F.col("lo")) / (n_points - 1))
-    j = grid.join(v.select(*keys, "Dataset", "value"), [*keys, "Dataset"])
-    zz = (F.col("at") - F.col("value")) / F.col("h")
-    k = F.exp(-0.5 * zz * zz)
-    out = j.groupBy(*keys, "Dataset", "t", "at", "n", "h").agg(F.sum(k).alias("ks"))
+    j = join_small(v.select(*keys, "Dataset", "value"), st, [*keys, "Dataset"])
+    at = lambda t: F.col("lo") + t * (F.col("hi") - F.col("lo")) / (n_points - 1)
+
+    def kernel(t):
+        z = (at(F.lit(t)) - F.col("value")) / F.col("h")
+        return F.sum(F.exp(-0.5 * z * z)).alias(f"k{t}")
+
+    sums = j.groupBy(*keys, "Dataset", "lo", "hi", "n", "h").agg(*[kernel(t) for t in range(n_points)])
+    out = sums.select(*keys, "Dataset", "lo", "hi", "n", "h", F.posexplode(F.array(*[f"k{t}" for t in range(n_points)])).alias("t", "ks"))
     dens = F.col("ks") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))
-    return out.select(*keys, "Dataset", "t", "at", dens.alias("density"))
+    return out.select(*keys, "Dataset", "t", at(F.col("t")).alias("at"), dens.alias("density"))
 
 
 def box_summary(long: DataFrame, keys=("codigo", "index", "Dataset")) -> DataFrame:
     """Quartiles (linear), whiskers at the last values within 1.5 IQR, mean, outliers.
 
-    Quartiles are exact order statistics found by bin refinement (``exact_quantiles``), so
-    no group is ever gathered whole into one task.
+    Quartiles are exact order statistics (``exact_quantiles``), and no group is ever gathered
+    whole into one task.
     """
     from fieldzones.operators.stats import exact_quantiles
     keys = list(keys)

@@ -2,8 +2,8 @@
 
 Per-field moments are one partial aggregate (a hot field is pre-aggregated on every
 partition before the shuffle), joined back with a size-checked broadcast.  PCA needs only
-the p x p covariance of each field: the aggregate produces it, and the eigen step runs
-per field in ``applyInPandas`` over one row per field.
+the p x p covariance of each field: the aggregate produces it, and the eigen step takes whole
+batches of these rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldzones.session import join_small
+from fieldzones.session import cut_lineage, join_small
 
 
 def impute_mean(df: DataFrame, cols: list[str], keys=("codigo",)) -> DataFrame:
@@ -57,32 +57,29 @@ def pca_fit(df: DataFrame, cols: list[str], keys=("codigo",)) -> DataFrame:
     cov = covariance(df, cols, keys)
     keys = list(keys)
 
-    def eig(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            m = np.zeros((p, p))
+    def eig(batches):
+        for pdf in batches:  # one row for each field
+            if not len(pdf):
+                continue
+            m = np.zeros((len(pdf), p, p))
             for i in range(p):
                 for j in range(i, p):
-                    v = r[f"c_{i}_{j}"]
-                    m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
+                    m[:, i, j] = m[:, j, i] = np.nan_to_num(pdf[f"c_{i}_{j}"].to_numpy(float))
             w, v = np.linalg.eigh(m)
-            order = np.argsort(w)[::-1]
-            w, v = np.clip(w[order], 0.0, None), v[:, order]
-            total = w.sum()
-            for k in range(p):
-                vec = v[:, k]
-                if vec[np.argmax(np.abs(vec))] < 0:
-                    vec = -vec
-                rows.append({**{c: r[c] for c in keys}, "k": k + 1, "eigenvalue": float(w[k]),
-                             "ratio": float(w[k] / total) if total > 0 else 0.0,
-                             "component": vec.tolist(),
-                             "loading": (vec * np.sqrt(w[k])).tolist()})
-        return pd.DataFrame(rows, columns=[*keys, "k", "eigenvalue", "ratio", "component", "loading"])
+            w, v = np.clip(w[:, ::-1], 0.0, None), v[:, :, ::-1]
+            top = np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None, :], axis=1)
+            v = v * np.where(top < 0, -1.0, 1.0)
+            total = w.sum(axis=1, keepdims=True)
+            ratio = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+            vec = v.transpose(0, 2, 1).reshape(-1, p)
+            out = {c: np.repeat(pdf[c].to_numpy(), p) for c in keys}
+            yield pd.DataFrame(out | {"k": np.tile(np.arange(1, p + 1), len(pdf)), "eigenvalue": w.ravel(), "ratio": ratio.ravel(),
+                                      "component": list(vec), "loading": list(vec * np.sqrt(w.ravel())[:, None])})
 
     key_schema = ", ".join(f"{k} string" for k in keys)
     schema = (f"{key_schema}, k int, eigenvalue double, ratio double, "
               "component array<double>, loading array<double>")
-    fit = cov.groupBy(*keys).applyInPandas(eig, schema)
+    fit = cov.mapInPandas(eig, schema)
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     # One window per field over p rows (p = number of variables), never over points
     return fit.withColumn("cumulative", F.sum("ratio").over(w) * 100.0)
@@ -116,79 +113,34 @@ def component_matrix(fit: DataFrame, cols: list[str], n_components: int = 3,
             .pivot("pc", [f"PC{k + 1}" for k in range(n_components)]).agg(F.first("v")))
 
 
-def exact_quantiles(df: DataFrame, keys, probs, value: str = "value", max_leaf: int = 50_000,
-                    bins: int = 1024) -> DataFrame:
-    """Exact linear-interpolation quantiles per group without gathering a group in one task.
+def exact_quantiles(df: DataFrame, keys, probs, value: str = "value", partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: ``keys, p, quantile``.
 
-    Each wanted order statistic is located by value-bin refinement: one partial aggregate
-    counts the values of its current window per bin, the bin holding the wanted rank
-    becomes the next window (its own min..max, so windows are exact), and once a window
-    holds at most ``max_leaf`` values those values are sorted and the rank is read off.
-    A hot group costs a few extra passes, never an unbounded buffer.  Returns
-    ``keys, p, quantile`` (``p`` as given).
+    Rows are sorted once in ranges of (keys, value), which splits a hot group by value, and the
+    rows of each group are counted for each range.  A running sum of these counts tells the
+    range and the place in it of every wanted order statistic, which one equi-join picks.
     """
     keys = list(keys)
-    spark = df.sparkSession
     v = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    base = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    rows = base.collect()  # one row per group
-    want = {}
-    for r in rows:
-        key = tuple(r[k] for k in keys)
-        n = r["n"]
-        for p in probs:
-            h = p * (n - 1)
-            k0 = int(np.floor(h))
-            for k in {k0, min(k0 + 1, n - 1)}:
-                want[key + (k,)] = [r["lo"], r["hi"], 0]  # window [lo, hi], values below lo
-    found: dict = {}
-    key_schema = ", ".join(f"{k} string" for k in keys)
-    while want:
-        state = spark.createDataFrame([(*k, lo, hi, below) for k, (lo, hi, below) in want.items()],
-                                      f"{key_schema}, rnk long, lo double, hi double, below long")
-        w = v.join(F.broadcast(state), keys).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        sizes = {tuple(r[k] for k in keys) + (r["rnk"],): r["c"] for r in
-                 w.groupBy(*keys, "rnk").agg(F.count(F.lit(1)).alias("c")).collect()}
-        for k in [k for k in want if want[k][0] == want[k][1]]:  # constant window: no gathering
-            found[k] = want.pop(k)[0]
-        leaf = {k for k, c in sizes.items() if c <= max_leaf and k in want}
-        if leaf:
-            sel = w.join(F.broadcast(spark.createDataFrame([k for k in leaf], f"{key_schema}, rnk long")),
-                         [*keys, "rnk"], "left_semi")
-            # the wanted element is picked on the executors: one number per rank to the driver
-            pick = F.element_at(F.sort_array(F.collect_list("v")),
-                                (F.first("rnk") - F.first("below") + 1).cast("int"))
-            for r in sel.groupBy(*keys, "rnk").agg(pick.alias("q")).collect():
-                found[tuple(r[c] for c in keys) + (r["rnk"],)] = r["q"]
-            for k in leaf:
-                want.pop(k, None)
-        if not want:
-            break
-        binned = w.join(F.broadcast(spark.createDataFrame([k for k in want], f"{key_schema}, rnk long")),
-                        [*keys, "rnk"], "left_semi")
-        b = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-                    .cast("int"))
-        hist = (binned.withColumn("b", b).groupBy(*keys, "rnk", "b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bl"), F.max("v").alias("bh")).collect())
-        per: dict = {}
-        for r in hist:
-            per.setdefault(tuple(r[k] for k in keys) + (r["rnk"],), []).append((r["b"], r["c"], r["bl"], r["bh"]))
-        for k, hs in per.items():
-            lo, hi, below = want[k]
-            acc = below
-            for _, c, bl, bh in sorted(hs):
-                if k[-1] < acc + c:
-                    want[k] = [bl, bh, acc]
-                    break
-                acc += c
-    out = []
-    for r in rows:
-        key = tuple(r[k] for k in keys)
-        n = r["n"]
-        for p in probs:
-            h = p * (n - 1)
-            k0 = int(np.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            a, b2 = found[key + (k0,)], found[key + (k1,)]
-            out.append((*key, float(p), float(a + (h - k0) * (b2 - a))))
-    return spark.createDataFrame(out, f"{key_schema}, p double, quantile double")
+    order = [*keys, "v"]
+    rows = v.repartitionByRange(partitions, *order) if partitions else v.repartitionByRange(*order)
+    rows = cut_lineage(rows.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+                       .withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("first"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # windows over one row for each group and range, never over values
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn(
+        "n", F.sum("c").over(Window.partitionBy(*keys)))
+    wanted = counts.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    rank = F.col("p") * (F.col("n") - 1)
+    low = F.floor(rank)
+    wanted = wanted.select("*", (rank - low).alias("share"), F.explode(F.array(
+        F.struct(low.alias("k"), F.lit(0).alias("side")),
+        F.struct(F.least(low + 1, F.col("n") - 1).alias("k"), F.lit(1).alias("side")))).alias("w"))
+    here = (F.col("w.k") >= F.col("before")) & (F.col("w.k") < F.col("before") + F.col("c"))
+    picks = wanted.filter(here).select(*keys, "p", "share", F.col("w.side").alias("side"), "part",
+                                       (F.col("first") + F.col("w.k") - F.col("before")).alias("at"))
+    got = join_small(rows.select("part", "at", "v"), picks, ["part", "at"])
+    side = lambda i: F.max(F.when(F.col("side") == i, F.col("v")))
+    out = got.groupBy(*keys, "p", "share").agg(side(0).alias("a"), side(1).alias("b"))
+    return out.select(*keys, "p", (F.col("a") + F.col("share") * (F.col("b") - F.col("a"))).alias("quantile"))

@@ -27,14 +27,15 @@ TEXTURES = [("Arcilla", "Arc"), ("Arena", "Aren"), ("Limo", "Lim")]
 ZONE_FIELDS = ["Zonas", "zona", "DN", "ID", "id"]
 
 
-def mask_nodata(pixels: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """Value -> null when equal to the layer's nodata; without one, 0 or NaN."""
+def mask_nodata(pixels: DataFrame, meta: DataFrame | None = None, undeclared: bool = True) -> DataFrame:
+    """Value -> null when equal to the layer's nodata; without one, 0 or NaN
+    (``undeclared=False``: such layers stay as they are)."""
     v = F.col("value")
     if meta is None or "nodata" not in meta.columns:
-        return pixels.withColumn("value", F.when((v == 0) | F.isnan(v), None).otherwise(v))
+        return pixels.withColumn("value", F.when((v == 0) | F.isnan(v), None).otherwise(v)) if undeclared else pixels
     m = meta.select("codigo", "layer", F.col("nodata").alias("_nd"))
     out = join_small(pixels, m, ["codigo", "layer"], "left")
-    bad = F.when(F.col("_nd").isNotNull(), v == F.col("_nd")).otherwise((v == 0) | F.isnan(v))
+    bad = F.when(F.col("_nd").isNotNull(), v == F.col("_nd")).otherwise(((v == 0) | F.isnan(v)) if undeclared else F.lit(False))
     return out.withColumn("value", F.when(bad, None).otherwise(v)).drop("_nd")
 
 
@@ -69,7 +70,7 @@ def zonal_mean(pixels: DataFrame, zones: DataFrame, layers: list[str],
     """
     names = [l.replace("_mean", "") for l in layers]
     if meta is not None:
-        px = pixels.select("codigo", "layer", "row", "col", "value")
+        px = mask_nodata(pixels.select("codigo", "layer", "row", "col", "value"), meta, undeclared=False)
         inside = pixels_in_polygons(px, zones, meta, attrs=("Zonas",))
     else:
         px = pixels.select("codigo", "layer", "x", "y", "value")
@@ -88,8 +89,9 @@ def zone_column(columns: list[str]) -> str:
 def zone_values(df: DataFrame, column: str | None = None) -> DataFrame:
     """Sorted distinct non-null zone values per field."""
     column = column or zone_column([c for c in df.columns if c != "codigo"])
-    return (df.filter(F.col(column).isNotNull())
-            .groupBy("codigo").agg(F.sort_array(F.collect_set(column)).alias("zone_values")))
+    # the classes of a field are made distinct before they meet in one row
+    classes = df.filter(F.col(column).isNotNull()).select("codigo", F.col(column).alias("_z")).distinct()
+    return classes.groupBy("codigo").agg(F.sort_array(F.collect_list("_z")).alias("zone_values"))
 
 
 def ensure_columns(df: DataFrame, cols, dtype: str = "double") -> DataFrame:

@@ -13,7 +13,8 @@ from fieldzones.session import cut_lineage, join_small
 CELL = 10.0
 INSET = 11.0
 HA_PER_POINT = 0.5
-INDEX_LAYERS = ["EVI_Hist_1", "NDVI_Pl_1", "PROD_1"]
+INDEX_LAYERS = sorted(FX_LAYERS)
+_VALUES = ", ".join(f"('{l}', {l})" for l in INDEX_LAYERS)
 
 # DuckDB: grid over each field's bounding box, kept when inside the ring and farther than
 # the inset from every edge (the same rule written independently as joins and aggregates).
@@ -165,12 +166,12 @@ def q_nearest_centre_step(spark, sf):
 _REPR_SQL = _FEATURES_SQL.replace("with b as", "with b as", 1) + _STEP_SQL[len(_GRID_SQL):] + """,
 smp as (select f.* from feat f join num on num.codigo = f.codigo and num.pid = f.pid),
 lt as (select codigo, idx as "index", v as value from feat
-       cross join lateral (values ('EVI_Hist_1', EVI_Hist_1), ('NDVI_Pl_1', NDVI_Pl_1), ('PROD_1', PROD_1)) u(idx, v)),
+       cross join lateral (values @VALUES) u(idx, v)),
 ls as (select codigo, idx as "index", v as value from smp
-       cross join lateral (values ('EVI_Hist_1', EVI_Hist_1), ('NDVI_Pl_1', NDVI_Pl_1), ('PROD_1', PROD_1)) u(idx, v)),
+       cross join lateral (values @VALUES) u(idx, v)),
 st as (select codigo, "index", avg(value) as mean_total, stddev_samp(value) as std_total from lt group by codigo, "index"),
 ss as (select codigo, "index", avg(value) as mean_sample, stddev_samp(value) as std_sample from ls group by codigo, "index")
-"""
+""".replace("@VALUES", _VALUES)
 
 _REPR_OUT = """
 select st.codigo, st."index", round(mean_total, 6) as mean_total, round(std_total, 6) as std_total,
@@ -234,15 +235,16 @@ v as (select * from lng where value is not null),
 r as (select codigo, "index", Dataset, min(value) as lo, max(value) as hi, count(*) as nset
       from v group by codigo, "index", Dataset),
 p as (select codigo, "index", nset as npop from r where Dataset = 'Total'),
-pb as (select r.*, least(50, cast(floor(sqrt(npop)) as int)) as bins
+pb as (select r.*, least(50, cast(floor(sqrt(npop)) as int)) as bins, case when lo = hi then 5e-1 else 0e0 end as wide
        from r join p on p.codigo = r.codigo and p."index" = r."index"),
-pw as (select *, (hi - lo) / bins as width from pb where bins > 0),
-j as (select v.codigo, v."index", v.Dataset, pw.lo, pw.width, pw.nset,
-             least(case when pw.width = 0 then 0 else cast(floor((v.value - pw.lo) / pw.width) as int) end, pw.bins - 1) as bin
-      from v join pw on pw.codigo = v.codigo and pw."index" = v."index" and pw.Dataset = v.Dataset)
-select codigo, "index", Dataset, bin, round(lo + bin * width, 6) as "left", count(*) as count,
-       round(case when width = 0 then null else count(*) / (nset * width) end, 6) as density
-from j group by codigo, "index", Dataset, bin, lo, width, nset
+pw as (select codigo, "index", Dataset, nset, bins, lo - wide as lo, (hi + wide - (lo - wide)) / bins as width from pb where bins > 0),
+j as (select v.codigo, v."index", v.Dataset, least(cast(floor((v.value - pw.lo) / pw.width) as int), pw.bins - 1) as bin, count(*) as count
+      from v join pw on pw.codigo = v.codigo and pw."index" = v."index" and pw.Dataset = v.Dataset
+      group by all),
+ev as (select pw.*, cast(b as int) as bin from pw, range(0, 50) r(b) where b < bins)
+select ev.codigo, ev."index", ev.Dataset, ev.bin, round(lo + ev.bin * width, 6) as "left", coalesce(j.count, 0) as count,
+       round(coalesce(j.count, 0) / (nset * width), 6) as density
+from ev left join j on j.codigo = ev.codigo and j."index" = ev."index" and j.Dataset = ev.Dataset and j.bin = ev.bin
 """
 
 
@@ -257,7 +259,7 @@ v as (select * from lng where value is not null),
 s as (select codigo, "index", Dataset, min(value) as lo, max(value) as hi, count(*) as n, stddev_samp(value) as sd
       from v group by codigo, "index", Dataset),
 h as (select *, sd * power(n, -0.2) as h from s where sd * power(n, -0.2) > 0),
-ev as (select h.*, t, lo + t * (hi - lo) / 49 as "at" from h, range(0, 50) r(t))
+ev as (select h.*, t, lo + t * (hi - lo) / 199 as "at" from h, range(0, 200) r(t))
 select ev.codigo, ev."index", ev.Dataset, t, round(ev."at", 6) as "at",
        round(sum(exp(-0.5e0 * ((ev."at" - v.value) / ev.h) * ((ev."at" - v.value) / ev.h))) / (ev.n * ev.h * 2.5066282746310002e0), 6) as density
 from ev join v on v.codigo = ev.codigo and v."index" = ev."index" and v.Dataset = ev.Dataset
@@ -267,6 +269,6 @@ group by ev.codigo, ev."index", ev.Dataset, t, ev."at", ev.n, ev.h
 
 @register("kde_curve", fx.oracle(_KDE_SQL, *_DEPS))
 def q_kde_curve(spark, sf):
-    """Gaussian kernel density (Scott's bandwidth) of population and sample, 50 points."""
-    out = sampling.kde_curve(long_values(spark, sf), n_points=50)
+    """Gaussian kernel density (Scott's bandwidth) of population and sample, 200 points."""
+    out = sampling.kde_curve(long_values(spark, sf))
     return rounded(out.withColumn("t", F.col("t").cast("bigint")))

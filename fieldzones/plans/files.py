@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from fieldzones import fixtures as fx
 from fieldzones.operators import chronology as chrono
 from fieldzones.plans.registry import register, rounded
-from fieldzones.session import checkpoint_dir
+from fieldzones.session import run_dir
 from fieldzones.sources import io
 
 
 def _scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local one)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared run folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 _LAB_SQL = """
@@ -75,5 +75,5 @@ def q_chronology_csv(spark, sf):
     src = fx.table(spark, sf, "fx_chronology")
     src.select(*[F.col(c).alias(h) for c, h in HEADINGS.items()]) \
         .write.mode("overwrite").option("header", True).csv(path)
-    df = chrono.with_codigo(io.read_chronology(spark, path)).cache()  # S12: read once, reused
+    df = chrono.with_codigo(io.read_chronology(spark, path))
     return rounded(chrono.harvest_view(df))

@@ -81,25 +81,25 @@ def sample_sources(spark, sf):
     return s.select("codigo", "n", "x", "y", F.expr(_PATH).alias("path"))
 
 
-_UNIFY_BASE = f"select n, x, y, {_PATH} as path from fx_samples"
+_CRS = "case when n % 3 = 1 then 'EPSG:3115' when n % 3 = 2 then 'EPSG:3116' end"
 
 
 def _unify_sql():
-    moved = crs.sql_steps(_UNIFY_BASE, ["n", "x", "y", "path"],
-                          crs.transform_steps("EPSG:3115", "EPSG:3116"))
+    base = f"select n, x, y, {_PATH} as path from fx_samples where n % 3"
+    moved = crs.sql_steps(f"{base} = 1", ["n", "x", "y", "path"], crs.transform_steps("EPSG:3115", "EPSG:3116"))
     return f"""
 select n, 'M' || cast(n as varchar) as Muestra,
        'M' || cast(n as varchar) || '_' || split_part(replace(path, '/campo/HDA', ''), '/', 2) as name,
        round(x, 3) as x, round(y, 3) as y, path
-from ({moved}) m
+from ({moved} union all {base} <> 1) m
 """
 
 
 @register("unify_samples", fx.oracle(_unify_sql(), "fx_samples"))
 def q_unify_samples(spark, sf):
-    """All sample layers as one layer in EPSG:3116."""
-    pts = crs.to_crs(sample_sources(spark, sf).withColumn("crs", F.lit(None).cast("string")),
-                     "EPSG:3116", default_src="EPSG:3115")
+    """Sample layers of several systems as one in EPSG:3116; where the system
+    is missing it is EPSG:3116 already."""
+    pts = crs.to_crs(sample_sources(spark, sf).withColumn("crs", F.expr(_CRS)), "EPSG:3116", default_src="EPSG:3116")
     out = smp.unify_samples(pts)
     return out.select("n", "Muestra", "name", F.round("x", 3).alias("x"),
                       F.round("y", 3).alias("y"), "path")
@@ -151,13 +151,15 @@ def q_join_lab(spark, sf):
                                                "Limo", "pH", "MO"))
 
 
-_COMPLETE_SQL = """
-select codigo, n, round(MO, 6) as MO from fx_soil_lab where MO is not null
+_SOIL = ["Arcilla", "Arena", "Limo", "pH", "MO"]
+_COMPLETE_SQL = f"""
+select codigo, n, {", ".join(f"round({c}, 6) as {c}" for c in _SOIL)} from fx_soil_lab
+where {" and ".join(f"{c} is not null" for c in _SOIL)}
 """
 
 
 @register("complete_cases", fx.oracle(_COMPLETE_SQL, "fx_soil_lab"))
 def q_complete_cases(spark, sf):
-    """Complete-case filter on the laboratory table."""
+    """Complete-case filter over all soil columns of the laboratory table."""
     lab = fx.table(spark, sf, "fx_soil_lab")
-    return rounded(smp.complete_cases(lab, ["MO"]).select("codigo", "n", "MO"))
+    return rounded(smp.complete_cases(lab, _SOIL).select("codigo", "n", *_SOIL))

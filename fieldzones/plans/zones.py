@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldzones import fixtures as fx
-from fieldzones.operators import spatial, zonal
+from fieldzones.operators import sampling, spatial, zonal
 from fieldzones.plans.registry import register, rounded
+from fieldzones.session import run_dir
+from fieldzones.sources import io
 
 # Layers of the fixture rasters.
 FX_LAYERS = ["NDVI_Pl_1", "EVI_Hist_1", "PROD_1", "Arcilla", "Arena", "Limo", "pH"]
@@ -79,19 +83,31 @@ def q_zone_values(spark, sf):
 
 
 _RASTER_ZONE_VALUES_SQL = """
-select codigo, list_sort(list(distinct cast(trunc(value) as int))) as zone_values
-from fx_pixels where layer = 'pH' and value is not null and value <> 0 and not isnan(value)
-group by codigo
+select codigo, layer, list_sort(list(distinct cast(trunc(value) as int))) as zone_values
+from fx_pixels where value is not null and value <> 0 and not isnan(value)
+group by codigo, layer
 """
 
 
 @register("raster_zone_values", fx.oracle(_RASTER_ZONE_VALUES_SQL, "fx_pixels"))
 def q_raster_zone_values(spark, sf):
-    """Distinct class values of a raster (nodata masked, cast to int)."""
-    px = _pixels(spark, sf).filter(F.col("layer") == "pH")
-    px = zonal.mask_nodata(px).filter(F.col("value").isNotNull())
-    return (px.groupBy("codigo")
-            .agg(F.sort_array(F.collect_set(F.col("value").cast("int"))).alias("zone_values")))
+    """Distinct class values of every raster (nodata masked, cast to int first)."""
+    px = zonal.mask_nodata(_pixels(spark, sf)).filter(F.col("value").isNotNull())
+    classes = px.select("codigo", "layer", F.col("value").cast("int").alias("z")).distinct()
+    return classes.groupBy("codigo", "layer").agg(F.sort_array(F.collect_list("z")).alias("zone_values"))
+
+
+@register("zonal_mean_nodata", fx.oracle(_ZONE_STATS_SQL, "fx_pixels", "fx_zones"))
+def q_zonal_mean_nodata(spark, sf):
+    """The zone means of rasters that were written with a declared nodata sentinel."""
+    path = f"{run_dir(spark)}/nodata-{uuid.uuid4().hex}"
+    px = _pixels(spark, sf).select("codigo", "layer", "row", "col", "value")
+    io.write_pixels(px, fx.table(spark, sf, "fx_raster_meta"), path, nodata=-9999.0)
+    # read as plain tables: the operator itself masks what the metadata declares
+    px, meta = spark.read.parquet(f"{path}/pixels"), spark.read.parquet(f"{path}/meta")
+    px = px.withColumn("codigo", F.lpad(F.col("codigo").cast("string"), 7, "0"))  # a partition folder's name
+    layer = zonal.zone_statistics(_zones(spark, sf), px, FX_LAYERS, meta)
+    return rounded(layer.select("codigo", "Zonas", "Area", *FX_LAYERS))
 
 
 _AREA_SQL = """
@@ -137,6 +153,45 @@ def q_valid_polygons(spark, sf):
     return spatial.valid_polygons(fields(spark, sf)).select("codigo")
 
 
+_PARCEL_AREA_SQL = """
+with e as (
+  select a.codigo, a.part, a.ring, a.x * b.y - b.x * a.y as t
+  from fx_parcel_vertices a join fx_parcel_vertices b
+    on a.codigo = b.codigo and a.part = b.part and a.ring = b.ring and b.seq = a.seq + 1),
+r as (select codigo, part, ring, abs(sum(t)) / 2e0 as a from e group by codigo, part, ring),
+p as (select codigo, part, sum(case when ring = 0 then a else -a end) as a from r group by codigo, part)
+"""
+
+
+@register("parcel_quota", fx.oracle(_PARCEL_AREA_SQL + """
+select codigo, round(sum(a) / 1e4, 6) as area_ha, greatest(cast(sum(round_even(a / 1e4 / 2.5e-1, 0)) as int), 1) as n_puntos
+from p group by codigo""", "fx_parcel_vertices"))
+def q_parcel_quota(spark, sf):
+    """Fields of several parts and holes; the quota is rounded for each part, then summed."""
+    f = spatial.polygon_area(spatial.build_polygons(fx.table(spark, sf, "fx_parcel_vertices")))
+    return rounded(sampling.sampling_quota(f, 0.25).select("codigo", "area_ha", "n_puntos"))
+
+
+_PARCEL_VALID_SQL = """
+with e as (
+  select a.codigo, a.part, a.ring, a.seq, a.x as ax, a.y as ay, b.x as bx, b.y as by
+  from fx_parcel_vertices a join fx_parcel_vertices b
+    on a.codigo = b.codigo and a.part = b.part and a.ring = b.ring and b.seq = a.seq + 1),
+x as (
+  select distinct p.codigo from e p join e q
+    on p.codigo = q.codigo and p.part = q.part and p.ring = q.ring and q.seq > p.seq
+  where ((p.bx - p.ax) * (q.ay - p.ay) - (p.by - p.ay) * (q.ax - p.ax)) * ((p.bx - p.ax) * (q.by - p.ay) - (p.by - p.ay) * (q.bx - p.ax)) < 0
+    and ((q.bx - q.ax) * (p.ay - q.ay) - (q.by - q.ay) * (p.ax - q.ax)) * ((q.bx - q.ax) * (p.by - q.ay) - (q.by - q.ay) * (p.bx - q.ax)) < 0)
+select distinct codigo from fx_parcel_vertices where codigo not in (select codigo from x)
+"""
+
+
+@register("valid_parcels", fx.oracle(_PARCEL_VALID_SQL, "fx_parcel_vertices"))
+def q_valid_parcels(spark, sf):
+    """Fields of several parts, without those that have a ring crossing itself."""
+    return spatial.valid_polygons(spatial.build_polygons(fx.table(spark, sf, "fx_parcel_vertices"))).select("codigo")
+
+
 _CLIP_SQL = """
 with e as (
   select a.codigo, a.x as ax, a.y as ay, b.x as bx, b.y as by
@@ -147,7 +202,6 @@ c as (
          sum(case when ((e.ay > p.y) <> (e.by > p.y))
                    and p.x < (e.bx - e.ax) * (p.y - e.ay) / (e.by - e.ay) + e.ax then 1 else 0 end) as k
   from fx_pixels p join e on e.codigo = p.codigo
-  where p.layer = 'NDVI_Pl_1'
   group by p.codigo, p.layer, p."row", p."col", p.value)
 select codigo, layer, "row", "col", round(value, 6) as value from c where k % 2 = 1
 """
@@ -155,7 +209,6 @@ select codigo, layer, "row", "col", round(value, 6) as value from c where k % 2
 
 @register("clip_pixels", fx.oracle(_CLIP_SQL, "fx_pixels", "fx_field_vertices"))
 def q_clip_pixels(spark, sf):
-    """Pixels of one layer whose centre lies inside the L-shaped field."""
-    px = _pixels(spark, sf).filter(F.col("layer") == "NDVI_Pl_1")
-    out = spatial.pixels_in_polygons(px, fields(spark, sf), fx.table(spark, sf, "fx_raster_meta"))
+    """Pixels whose centre lies inside the L-shaped field."""
+    out = spatial.pixels_in_polygons(_pixels(spark, sf), fields(spark, sf), fx.table(spark, sf, "fx_raster_meta"))
     return rounded(out.select("codigo", "layer", "row", "col", "value"))

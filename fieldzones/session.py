@@ -1,8 +1,10 @@
-"""Spark session helpers and the size-checked broadcast join used across the package."""
+"""Spark session helpers: size-checked broadcast joins and tables in the shared run folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,10 +12,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Small sides (polygons, scanline intervals, per-field statistics, centres) are broadcast
-# only when a bounded count proves them small (2 M rows of a few numbers: well under the
-# broadcast limit); beyond this they go through a shuffle join.
-BROADCAST_MAX_ROWS = 2_000_000
+# Small sides (polygons, scanline intervals, per-field statistics, centres) are written once
+# and broadcast only if their files are at most this large (columnar and compressed: some ten
+# times as much in memory at worst); beyond this they go through a shuffle join.
+BROADCAST_MAX_BYTES = 16 << 20
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -61,62 +63,72 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster sets it; only when it is unset (local tests) a scratch folder is made.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, which a cluster has to set; only a
+    ``local`` master, whose executors are the driver, gets a scratch folder without it."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="fieldzones-ckpt-")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="fieldzones-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{checkpoint_dir(spark).rstrip('/')}/fieldzones-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(release, spark)
+    return _RUNS[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the run folder (its tables must not be read afterwards)."""
+    sc = spark.sparkContext
+    path = _RUNS.pop(sc.applicationId, None) if sc._jsc is not None else None
+    if path is None:
+        return
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+    """Materialise ``df`` as a parquet table in the run folder and read it back.
 
     One evaluation (a reliable RDD checkpoint would compute an unpersisted plan twice), the
     lineage is cut, executor loss after this point only re-reads files, and the read-back
     carries real size statistics for later join planning.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/fz-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Bounded count: reads at most ``max_rows + 1`` rows of ``df``."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def stored_bytes(df: DataFrame) -> int:
+    """File bytes of a table that was just read back (the optimizer's own figure)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` when a bounded count proves it small, else a shuffle join.
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side that is expected, but not known, to be small.
 
-    The count reads at most ``max_rows + 1`` rows of the small side.  Nothing is persisted
-    (a session full of cached relations slows every later plan analysis); plans whose small
-    side is expensive materialise their input first (``cut_lineage``).
+    ``small`` is evaluated once, into a table whose size in bytes is then known: up to
+    ``BROADCAST_MAX_BYTES`` it is broadcast and the big side is not shuffled, beyond that both
+    sides are shuffled (and skewed keys split by adaptive execution).
     """
-    if is_small(small, max_rows):
+    small = cut_lineage(small)
+    if stored_bytes(small) <= BROADCAST_MAX_BYTES:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
-def scratch_dir(prefix: str = "fieldzones-") -> str:
-    """A fresh local scratch folder (tests only; jobs write under the checkpoint folder)."""
-    return tempfile.mkdtemp(prefix=prefix)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks to spread generated rows over (all cores of the cluster)."""
     return max(int(spark.sparkContext.defaultParallelism), 1)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

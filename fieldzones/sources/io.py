@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from fieldzones.functions.text import file_name, zone_code
 from fieldzones.operators.chronology import strip_headings
+from fieldzones.operators.zonal import mask_nodata
 
 # Columns of the laboratory CSV, in file order.
 LAB_COLUMNS = ["Lab", "Lote", "n", "cm", "Arena", "Arcilla", "Limo", "Textural", "pH", "MO", "P",
@@ -70,6 +71,12 @@ def read_chronology(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return strip_headings(df)
 
 
+def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels and metadata written by :func:`write_pixels`; declared nodata is null."""
+    meta = spark.read.parquet(f"{path}/meta")
+    return mask_nodata(spark.read.parquet(f"{path}/pixels"), meta, undeclared=False), meta
+
+
 def list_files(spark: SparkSession, base: str, glob: str = "*") -> DataFrame:
     """File catalogue under ``base`` (recursive): only the ``path`` column is read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -116,9 +123,11 @@ def write_layer(df: DataFrame, path: str) -> None:
 
 
 def write_pixels(pixels: DataFrame, meta: DataFrame, path: str, nodata: float | None = None) -> None:
-    """Raster pixels partitioned by field and layer, metadata next to them."""
+    """Raster pixels partitioned by field and layer, metadata next to them; a sentinel for
+    missing values is declared in the metadata, so that readers mask it again."""
     if nodata is not None:
         pixels = pixels.withColumn("value", F.coalesce(F.col("value"), F.lit(float(nodata))))
+        meta = meta.withColumn("nodata", F.lit(float(nodata)))
     pixels.write.mode("overwrite").partitionBy("codigo", "layer").parquet(f"{path}/pixels")
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
