@@ -55,7 +55,11 @@ def _local_fcm(cols, keys, m, error, maxiter):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[cols].to_numpy(float)
         k0 = pdf["k0"].to_numpy()
-        cur = np.array([x[k0 == k].mean(0) for k in sorted(set(k0.tolist()))])
+        c = int(pdf["n_clusters"].iloc[0])
+        # always c centres: an empty start class takes a class mean that is there
+        have = [x[k0 == k].mean(0) for k in sorted(set(k0.tolist()))]
+        own = dict(zip(sorted(set(k0.tolist())), have))
+        cur = np.array([own.get(k, have[k % len(have)]) for k in range(c)])
 
         def memb(c):
             d = np.fmax(np.sqrt(((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)), EPS)
@@ -83,7 +87,11 @@ def _initial_centres(pts: DataFrame, cols: list[str], keys: list[str], seed: int
     """Centres from a crisp seeded partition: point -> class ``hash(seed, pid) mod c``."""
     g = pts.withColumn("k", _init_class(seed, init)).groupBy(*keys, "n_clusters", "k").agg(*[F.avg(x).alias(x) for x in cols])
     g = g.groupBy(*keys, "n_clusters").agg(F.sort_array(F.collect_list(F.struct("k", F.array(*cols).alias("v")))).alias("s"))
-    return g.select(*keys, "n_clusters", F.transform("s", lambda t: t["v"]).alias("cur"))
+    # always c centres: an empty start class takes a class mean that is there
+    own = lambda k: F.get(F.filter("s", lambda t: t["k"] == k), F.lit(0))["v"]
+    centres = F.transform(F.sequence(F.lit(0), F.col("n_clusters") - 1),
+                          lambda k: F.coalesce(own(k), F.get("s", k % F.size("s"))["v"]))
+    return g.select(*keys, "n_clusters", centres.alias("cur"))
 
 
 def fcm_round(pts: DataFrame, state: DataFrame, cols: list[str], keys: list[str], m: float) -> DataFrame:

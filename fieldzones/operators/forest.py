@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldzones.operators.samples import coerce_numeric, complete_cases, present
 from fieldzones.operators.stats import impute_mean
+from fieldzones.session import cut_lineage
 
 IMPORTANCE_THRESHOLD = 0.05
 
@@ -28,11 +29,11 @@ class SoilModel:
     model: RandomForestRegressionModel
 
 
-def _forest(num_trees: int, seed: int, max_features: int) -> RandomForestRegressor:
-    # unbounded trees as in the usual defaults: depth limit at Spark's maximum, leaves of 1;
-    # node ids cached and a large node-group budget, so each tree level is one pass
+def _forest(num_trees: int, seed: int, max_features: int, max_bins: int) -> RandomForestRegressor:
+    # unbounded trees as in the usual defaults: leaves of 1 and a depth limit of 30, which is
+    # Spark's maximum; node ids cached and a large node-group budget, so each tree level is one pass
     return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                 featureSubsetStrategy=str(max_features), seed=seed, maxDepth=30,
+                                 featureSubsetStrategy=str(max_features), seed=seed, maxDepth=30, maxBins=max_bins,
                                  minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
                                  maxMemoryInMB=1024, cacheNodeIds=True)
 
@@ -47,22 +48,26 @@ def _parallel(fn, items):
 
 
 def _fit(train: DataFrame, variable: str, predictors: list[str], num_trees: int, seed: int,
-         max_features: int) -> RandomForestRegressionModel:
+         max_features: int, max_bins: int) -> RandomForestRegressionModel:
     data = complete_cases(coerce_numeric(train, [*predictors, variable]), [*predictors, variable])
     vec = VectorAssembler(inputCols=predictors, outputCol="features").transform(data)
-    return _forest(num_trees, seed, max_features).fit(vec.select("features", F.col(variable).alias("label")))
+    return _forest(num_trees, seed, max_features, max_bins).fit(vec.select("features", F.col(variable).alias("label")))
 
 
 def rf_importance(train: DataFrame, variables: list[str], predictors: list[str],
                   num_trees: int = 1500, seed: int = 42, max_features: int = 3,
-                  fields: list[str] | None = None) -> tuple[DataFrame, dict]:
+                  fields: list[str] | None = None, max_bins: int | None = None) -> tuple[DataFrame, dict]:
     """M6/O1: importance of every predictor for every soil variable present (P20 skips the
-    rest), ranked in descending order.  Returns ``(importance table, fitted models)``."""
+    rest), ranked in descending order.  Returns ``(importance table, fitted models)``.
+
+    ``max_bins`` bounds the split points of a predictor; the default, the number of training
+    rows, lets every value be one."""
     spark: SparkSession = train.sparkSession
     if fields is not None:
         train = train.filter(F.col("codigo").isin(fields))
     have, _skipped = present(train.columns, variables)
-    fitted = _parallel(lambda v: _fit(train, v, predictors, num_trees, seed, max_features), have)
+    bins = max_bins or max(32, train.count())
+    fitted = _parallel(lambda v: _fit(train, v, predictors, num_trees, seed, max_features, bins), have)
     rows, models = [], {}
     for v, m in zip(have, fitted):
         models[v] = m
@@ -84,7 +89,8 @@ def count_selected(selected: DataFrame) -> DataFrame:
 
 
 def rf_fit_selected(train: DataFrame, selected: DataFrame, num_trees: int = 1500, seed: int = 42,
-                    max_features: int = 3, fields: list[str] | None = None) -> dict[str, SoilModel]:
+                    max_features: int = 3, fields: list[str] | None = None,
+                    max_bins: int | None = None) -> dict[str, SoilModel]:
     """M7: refit each variable on its selected predictors; none selected -> variable skipped."""
     if fields is not None:
         train = train.filter(F.col("codigo").isin(fields))
@@ -92,23 +98,22 @@ def rf_fit_selected(train: DataFrame, selected: DataFrame, num_trees: int = 1500
     for r in selected.orderBy("variable", "rank").collect():  # a few rows per variable
         chosen.setdefault(r["variable"], []).append(r["predictor"])
     items = list(chosen.items())
-    fitted = _parallel(lambda kv: _fit(train, kv[0], kv[1], num_trees, seed, max_features), items)
+    bins = max_bins or max(32, train.count())
+    fitted = _parallel(lambda kv: _fit(train, kv[0], kv[1], num_trees, seed, max_features, bins), items)
     return {v: SoilModel(v, preds, m) for (v, preds), m in zip(items, fitted)}
 
 
 def rf_predict(grid: DataFrame, models: dict[str, SoilModel], keys=("codigo",)) -> DataFrame:
     """M8: predict every variable on the grid - predictors in training order, coerced to
     numbers, missing values filled with the field mean; a model whose predictors are
-    missing from the grid is skipped."""
-    out = grid
-    for v, sm in models.items():
-        if any(p not in grid.columns for p in sm.predictors):
-            continue
-        tmp = [f"_x{i}" for i in range(len(sm.predictors))]
-        x = out.withColumns({t: F.col(p) for t, p in zip(tmp, sm.predictors)})
-        x = impute_mean(coerce_numeric(x, tmp), tmp, keys)
-        vec = VectorAssembler(inputCols=tmp, outputCol="features", handleInvalid="keep").transform(x)
-        if v in vec.columns:
-            vec = vec.drop(v)
-        out = sm.model.setPredictionCol(v).transform(vec).drop("features", *tmp)
-    return out
+    missing from the grid is skipped.  All predictors are filled once; then each variable is a
+    projection."""
+    usable = {v: sm for v, sm in models.items() if all(p in grid.columns for p in sm.predictors)}
+    names = sorted({p for sm in usable.values() for p in sm.predictors})
+    filled = {p: f"_x{i}" for i, p in enumerate(names)}
+    x = grid.withColumns({t: F.col(p) for p, t in filled.items()}).drop(*usable)
+    x = cut_lineage(impute_mean(coerce_numeric(x, filled.values()), list(filled.values()), keys))
+    for v, sm in usable.items():
+        vec = VectorAssembler(inputCols=[filled[p] for p in sm.predictors], outputCol="features", handleInvalid="keep").transform(x)
+        x = sm.model.setPredictionCol(v).transform(vec).drop("features")
+    return x.drop(*filled.values())

@@ -4,10 +4,12 @@
   bin) is an aggregate over the pair table of a bucketed distance-band join up to the
   cutoff, keyed by (field, variable).  The spherical model is fitted per (field,
   variable) on the binned result - a handful of rows per group - with NumPy.
-* M10: targets are grouped in square tiles; each data point is copied to every tile
-  whose extent lies within the fitted range (the halo), and each (field, variable, tile)
-  solves one ordinary-kriging system with NumPy in ``cogroup().applyInPandas``.  The group
-  size depends on the data density and the range, never on the size of a field.
+* M10: the covariance of the spherical model is zero beyond its range, so the kriging
+  system of a (field, variable) is sparse.  Its entries are an edge table (the same
+  distance-band join, on a lattice of each group's own range), and C u = z, C v = 1 are
+  solved for all groups together by conjugate gradients, a join and a partial aggregate a
+  round.  With m = sum(u) / sum(v) and b = u - m v, the value anywhere is m + sum(b C(d)) over
+  the data in range: no tile, no halo, no dense matrix, and a value for every target.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldzones.functions.numeric import distance
 from fieldzones.operators.moran import neighbour_pairs
-from fieldzones.session import join_small
+from fieldzones.session import cut_lineage, join_small
 
 
 def spherical(h, nugget, psill, rng):
@@ -76,57 +79,81 @@ def fit_spherical(bins: DataFrame, keys=("codigo", "variable")) -> DataFrame:
     return bins.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def krige(points: DataFrame, targets: DataFrame, model: DataFrame, tile: float = 50.0,
+def _covariance(d):
+    """C(d) of the columns psill, range and c0 (the covariance of a datum with itself)."""
+    h = d / F.col("range")
+    near = F.col("psill") * (1.0 - 1.5 * h + 0.5 * h * h * h)
+    return F.when(d == 0, F.col("c0")).when(d < F.col("range"), near).otherwise(0.0)
+
+
+def _buckets(df: DataFrame, around: bool) -> DataFrame:
+    """Lattice cell of each row on its group's range, or the 3 x 3 cells around it."""
+    df = df.withColumns({"bx": F.floor(F.col("x") / F.col("range")), "by": F.floor(F.col("y") / F.col("range"))})
+    if not around:
+        return df
+    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    df = df.withColumn("o", F.explode(offs))
+    return df.withColumns({"bx": F.col("bx") + F.col("o.i"), "by": F.col("by") + F.col("o.j")}).drop("o")
+
+
+def solve_groups(data: DataFrame, edges: DataFrame, keys: list[str], tol: float = 1e-9,
+                 max_rounds: int = 1000) -> DataFrame:
+    """``data`` (keys, node, c0, z) with the solutions ``u`` of C u = z and ``v`` of C v = 1 of each
+    group, by conjugate gradients to a residual of ``tol`` times the right side; raises if that
+    is not reached.  ``edges``: i, j, c of the entries off the diagonal."""
+    state = data.withColumns({"u": F.lit(0.0), "ru": F.col("z"), "pu": F.col("z"),
+                              "v": F.lit(0.0), "rv": F.lit(1.0), "pv": F.lit(1.0)})
+    for _ in range(max_rounds):
+        far = (edges.join(state.select(F.col("node").alias("j"), "pu", "pv"), "j").groupBy(F.col("i").alias("node"))
+               .agg(F.sum(F.col("c") * F.col("pu")).alias("fu"), F.sum(F.col("c") * F.col("pv")).alias("fv")))
+        q = lambda s: F.col("c0") * F.col(f"p{s}") + F.coalesce(F.col(f"f{s}"), F.lit(0.0))
+        state = cut_lineage(state.join(far, "node", "left").withColumns({"qu": q("u"), "qv": q("v")}).drop("fu", "fv"))
+        over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+        dots = state.groupBy(*keys).agg(*[x for s in "uv" for x in (
+            F.sum(F.col(f"r{s}") * F.col(f"r{s}")).alias(f"rr{s}"), F.sum(F.col(f"p{s}") * F.col(f"q{s}")).alias(f"pq{s}"))])
+        state = state.join(dots, keys).withColumns({f"a{s}": over(f"rr{s}", f"pq{s}") for s in "uv"})
+        state = cut_lineage(state.withColumns({x: e for s in "uv" for x, e in (
+            (s, F.col(s) + F.col(f"a{s}") * F.col(f"p{s}")), (f"r{s}", F.col(f"r{s}") - F.col(f"a{s}") * F.col(f"q{s}")))}))
+        now = state.groupBy(*keys).agg(*[F.sum(F.col(f"r{s}") * F.col(f"r{s}")).alias(f"new{s}") for s in "uv"],
+                                       F.sum(F.col("z") * F.col("z")).alias("zz"), F.count(F.lit(1)).alias("n"))
+        state = state.join(now.drop("zz", "n"), keys).withColumns(
+            {f"p{s}": F.col(f"r{s}") + over(f"new{s}", f"rr{s}") * F.col(f"p{s}") for s in "uv"})
+        state = state.select(*data.columns, *[f"{x}{s}" for s in "uv" for x in ("", "r", "p")])
+        left = now.agg(F.max(F.greatest(F.col("newu") - tol * tol * F.col("zz"), F.col("newv") - tol * tol * F.col("n")))).first()[0]
+        if left is None or left <= 0:
+            return state.select(*data.columns, "u", "v")
+    raise RuntimeError("kriging systems did not converge")
+
+
+def krige(points: DataFrame, targets: DataFrame, model: DataFrame,
           keys=("codigo", "variable")) -> DataFrame:
-    """Ordinary kriging of ``points`` (keys, x, y, value) at ``targets`` (codigo, tid,
-    x, y) with the per-group spherical ``model``.  Returns keys, tid, value, variance."""
+    """Ordinary kriging of ``points`` (keys, x, y, value) at ``targets`` (codigo, tid, x, y)
+    with the per-group spherical ``model``: keys, tid, value, one row for every target and every
+    variable that its field has data for.
+
+    Data at one place are averaged.  Without a model (fewer than two data) or with a zero sill a
+    group is its constant mean, and the datum itself at its own place.
+    """
     keys = list(keys)
-    m = model.select(*keys, "nugget", "psill", "range")
-    tgt = join_small(targets, m.select(*keys).distinct(), "codigo")  # one copy per variable
-    tgt = tgt.select(*keys, "tid", "x", "y",
-                     F.floor(F.col("x") / tile).cast("long").alias("tx"),
-                     F.floor(F.col("y") / tile).cast("long").alias("ty"))
-    pts = join_small(points, m, keys)
-    lo_x = F.floor((F.col("x") - F.col("range")) / tile).cast("long")
-    hi_x = F.floor((F.col("x") + F.col("range")) / tile).cast("long")
-    lo_y = F.floor((F.col("y") - F.col("range")) / tile).cast("long")
-    hi_y = F.floor((F.col("y") + F.col("range")) / tile).cast("long")
-    pts = pts.select(*keys, "x", "y", "value", "nugget", "psill", "range",
-                     F.explode(F.sequence(lo_x, hi_x)).alias("tx"), lo_y.alias("ly"), hi_y.alias("hy"))
-    pts = pts.select(*keys, "x", "y", "value", "nugget", "psill", "range", "tx",
-                     F.explode(F.sequence("ly", "hy")).alias("ty"))
-    # only tiles that hold targets are kept (semi-join on the tile key)
-    pts = pts.join(tgt.select(*keys, "tx", "ty").distinct(), [*keys, "tx", "ty"], "left_semi")
-
-    def solve(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, "tid", "value", "variance"]
-        if t.empty:
-            return pd.DataFrame(columns=cols)
-        if p.empty:
-            out = t[[*keys, "tid"]].copy()
-            out["value"] = np.nan
-            out["variance"] = np.nan
-            return out[cols]
-        nug, ps, rng = float(p["nugget"].iloc[0]), float(p["psill"].iloc[0]), float(p["range"].iloc[0])
-        rng = rng if rng > 0 else 1.0
-        xy = p[["x", "y"]].to_numpy(float)
-        z = p["value"].to_numpy(float)
-        n = len(z)
-        d = np.sqrt(((xy[:, None, :] - xy[None, :, :]) ** 2).sum(-1))
-        a = np.ones((n + 1, n + 1))
-        a[:n, :n] = spherical(d, nug, ps, rng)
-        a[n, n] = 0.0
-        txy = t[["x", "y"]].to_numpy(float)
-        dt = np.sqrt(((xy[:, None, :] - txy[None, :, :]) ** 2).sum(-1))
-        b = np.ones((n + 1, len(t)))
-        b[:n] = spherical(dt, nug, ps, rng)
-        w = np.linalg.lstsq(a, b, rcond=None)[0]
-        out = t[[*keys, "tid"]].copy()
-        out["value"] = w[:n].T @ z
-        out["variance"] = (w * b).sum(0)
-        return out[cols]
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", tid long, value double, variance double"
-    return (pts.groupBy(*keys, "tx", "ty")
-            .cogroup(tgt.groupBy(*keys, "tx", "ty"))
-            .applyInPandas(solve, schema))
+    data = points.filter(F.col("value").isNotNull()).groupBy(*keys, "x", "y").agg(F.avg("value").alias("value"))
+    groups = data.groupBy(*keys).agg(F.avg("value").alias("mean")).join(model.select(*keys, "nugget", "psill", "range"), keys, "left")
+    psill, sill = F.coalesce("psill", F.lit(0.0)), F.coalesce(F.col("psill") + F.col("nugget"), F.lit(0.0))
+    groups = cut_lineage(groups.select(*keys, "mean", psill.alias("psill"), F.when(sill > 0, sill).otherwise(1.0).alias("c0"),
+                                       F.when((psill > 0) & (F.col("range") > 0), F.col("range")).otherwise(1.0).alias("range")))
+    data = data.join(groups, keys).withColumn("z", F.col("value") - F.col("mean"))
+    data = cut_lineage(data.withColumn("node", F.monotonically_increasing_id()))
+    here = _buckets(data.select(*keys, "node", "x", "y", "range", "psill", "c0"), False)
+    there = _buckets(data.select(*keys, F.col("node").alias("j"), "x", "y", "range"), True).select(*keys, "j", F.col("x").alias("xj"), F.col("y").alias("yj"), "bx", "by")
+    d = distance("x", "y", "xj", "yj")
+    edges = here.join(there, [*keys, "bx", "by"]).filter((F.col("node") != F.col("j")) & (d < F.col("range")))
+    edges = cut_lineage(edges.select(F.col("node").alias("i"), "j", _covariance(d).alias("c")).filter("c <> 0"))
+    solved = cut_lineage(solve_groups(data.select(*keys, "node", "x", "y", "c0", "z"), edges, keys))
+    middle = solved.groupBy(*keys).agg((F.sum("u") / F.sum("v")).alias("m"))
+    groups = cut_lineage(groups.join(middle, keys))
+    weights = solved.join(groups.select(*keys, "m", "range"), keys).withColumn("b", F.col("u") - F.col("m") * F.col("v"))
+    weights = _buckets(weights.select(*keys, "x", "y", "b", "range"), True).select(*keys, F.col("x").alias("xj"), F.col("y").alias("yj"), "b", "bx", "by")
+    wanted = _buckets(join_small(targets.select("codigo", "tid", "x", "y"), groups, "codigo"), False)
+    reach = wanted.join(weights, [*keys, "bx", "by"], "left")
+    d = distance("x", "y", "xj", "yj")
+    out = reach.groupBy(*keys, "tid").agg((F.first(F.col("mean") + F.col("m")) + F.coalesce(F.sum(F.col("b") * _covariance(d)), F.lit(0.0))).alias("value"))
+    return out.select(*keys, "tid", "value")

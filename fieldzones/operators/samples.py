@@ -57,8 +57,9 @@ def complete_cases(df: DataFrame, cols) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, cols) -> DataFrame:
-    """P5 over columns: text that is not a number becomes null."""
-    return df.withColumns({c: to_number(F.col(c)) for c in cols})
+    """P5 over columns: text that is not a number becomes null; numbers stay as they are."""
+    text = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "varchar", "char")}
+    return df.withColumns({c: to_number(F.col(c)) if c in text else F.col(c).cast("double") for c in cols})
 
 
 def join_lab(samples: DataFrame, lab: DataFrame) -> DataFrame:

@@ -87,7 +87,9 @@ def pca_fit(df: DataFrame, cols: list[str], keys=("codigo",)) -> DataFrame:
 
 def pca_transform(z: DataFrame, fit: DataFrame, cols: list[str], n_components: int = 3,
                   keys=("codigo",)) -> DataFrame:
-    """M3: scores ``PC1..PCn`` of standardised rows (dot products with broadcast components)."""
+    """M3: scores ``PC1..PCn`` of standardised rows (dot products with broadcast components), as
+    many as there are columns at most."""
+    n_components = min(n_components, len(cols))
     comps = (fit.filter(F.col("k") <= n_components).groupBy(*keys)
              .agg(F.sort_array(F.collect_list(F.struct("k", "component"))).alias("_cs")))
     j = join_small(z, comps, list(keys))

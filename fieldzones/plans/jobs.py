@@ -20,12 +20,9 @@ from pyspark.sql import functions as F
 from fieldzones.operators import (dosage, fcm, forest, kriging, moran, raster, samples, sampling,
                                   spatial, stats, zonal)
 from fieldzones.session import cut_lineage, join_small
+from fieldzones.plans.zoning import ZONING_VARS
 from fieldzones.sources import io
 
-# The eight soil variables of the multivariate zoning step.
-ZONING_VARIABLES = ["Arcilla", "Limo", "Arena", "pH", "MO", "Na", "Ca", "CIC"]
-
-
 @dataclass
 class SamplingDesign:
     features: DataFrame
@@ -82,7 +79,7 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
     grid = cut_lineage(forest.rf_predict(grid, models))
     have = [v for v in samples.SOIL_VARIABLES if v in grid.columns]
     long = sampling.unpivot(grid, have, keys=("codigo", "pid", "x", "y"), name="variable")
-    long = long.filter(F.col("value").isNotNull())
+    long = cut_lineage(long.filter(F.col("value").isNotNull()))
     model = kriging.fit_spherical(kriging.variogram(long, max_lag, n_lags))
     meta = raster.grid_meta(grid).withColumn("layer", F.lit("kriged"))
     targets = raster.target_grid(meta).select("codigo", "layer", "tid", "row", "col", "x", "y")
@@ -90,17 +87,14 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
     kriged = spatial.pixels_in_polygons(
         k.join(targets, ["codigo", "tid"]).select("codigo", "layer", "row", "col", "variable", "value"),
         fields, meta)
-    zv = [v for v in ZONING_VARIABLES if v in grid.columns]
+    zv = [v for v in ZONING_VARS if v in grid.columns]
     z = cut_lineage(stats.standardise(stats.impute_mean(grid, zv), zv))
     fit = stats.pca_fit(z, zv)
     scores = cut_lineage(stats.pca_transform(z, fit, zv, 3))
-    mi = moran.morans_i(scores, ["PC1", "PC2", "PC3"], radius)
-    fits, _ = fcm.fuzzy_cmeans(scores, ["PC1", "PC2", "PC3"], cs=(2, 3, 4, 5))
-    chosen = fcm.choose_c(fits) if c is None else None
-    cs = (c,) if c is not None else tuple(sorted({r[0] for r in chosen.select("n_clusters").collect()}))
-    _, memb = fcm.fuzzy_cmeans(scores, ["PC1", "PC2", "PC3"], cs=cs)
-    if chosen is not None:
-        memb = join_small(memb, chosen, ["codigo", "n_clusters"], "left_semi")
+    pcs = [c for c in ("PC1", "PC2", "PC3") if c in scores.columns]
+    mi = moran.morans_i(scores, pcs, radius)
+    fits, memb = fcm.fuzzy_cmeans(scores, pcs, cs=(2, 3, 4, 5) if c is None else (c,))
+    memb = join_small(memb, fcm.choose_c(fits), ["codigo", "n_clusters"], "left_semi")
     zones = scores.select("codigo", "pid", "x", "y").join(memb.select("codigo", "pid", "u", "Cluster"),
                                                           ["codigo", "pid"])
     zr = raster.rasterise_zones(zones)

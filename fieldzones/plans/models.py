@@ -9,19 +9,19 @@ from fieldzones.operators import forest, kriging, raster, samples, sampling, spa
 from fieldzones.plans.design import grid_features
 from fieldzones.plans.registry import register, rounded
 from fieldzones.plans.zones import FX_LAYERS, fields
+from fieldzones.session import cut_lineage
 
 LAB_VARS = ["Arcilla", "Arena", "Limo", "pH", "MO"]
 NUM_TREES = 1500  # as in the reference (1500 trees, 3 features per split, seed 42)
 MAX_LAG = 200.0
 N_LAGS = 6
-KRIGE_TILE = 200.0  # target tile edge (m); the halo around a tile is the fitted range
 
 
 def training_table(spark, sf):
     """Sample points with the predictor layers sampled at them and their lab results."""
     pts = fx.table(spark, sf, "fx_samples").select("codigo", F.col("n").alias("pid"), "x", "y")
     feat = raster.sample_layers(pts, fx.table(spark, sf, "fx_pixels"),
-                                fx.table(spark, sf, "fx_raster_meta"), FX_LAYERS[:3])
+                                fx.table(spark, sf, "fx_raster_meta"), samples.predictor_columns(FX_LAYERS))
     feat = samples.standardise_layers(feat.withColumnRenamed("pid", "n"))
     return samples.join_lab(feat, fx.table(spark, sf, "fx_soil_lab"))
 
@@ -37,9 +37,9 @@ def importances(spark, sf):
     """Forest importances, fitted once per session and scale (the three queries share them)."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITS:
-        train = training_table(spark, sf).coalesce(1).cache()
+        train = cut_lineage(training_table(spark, sf))
         imp, _ = forest.rf_importance(train, samples.SOIL_VARIABLES, _predictors(train), NUM_TREES)
-        _FITS[key] = (train, imp.cache())
+        _FITS[key] = (train, cut_lineage(imp))
     return _FITS[key]
 
 
@@ -104,13 +104,56 @@ def kriged(spark, sf):
     meta = raster.grid_meta(grid, 10.0).withColumn("layer", F.lit("kriged"))
     targets = raster.target_grid(meta).select("codigo", "tid", "row", "col", "x", "y")
     k = kriging.krige(pts.select("codigo", "variable", "pid", "x", "y", "value"),
-                      targets.select("codigo", "tid", "x", "y"), model, tile=KRIGE_TILE)
+                      targets.select("codigo", "tid", "x", "y"), model)
     cells = k.join(targets, ["codigo", "tid"]).withColumn("layer", F.lit("kriged"))
     # Clip to the field with the scanline intervals of the kriged grid
     return spatial.pixels_in_polygons(cells.select("codigo", "layer", "row", "col", "variable", "value"),
                                       fields(spark, sf), meta)
 
 
+_LONG_LAB_SQL = """
+with p as (select m.codigo, m.x, m.y, l.Arcilla, l.Arena, l.Limo, l.pH, l.MO
+           from fx_samples m join fx_soil_lab l on l.codigo = m.codigo and l.n = m.n),
+lg as (select codigo, x, y, v.variable, v.value from p
+       cross join lateral (values ('Arcilla', Arcilla), ('Arena', Arena), ('Limo', Limo), ('pH', pH), ('MO', MO)) v(variable, value)
+       where v.value is not null)
+"""
+
+
+@register("kriging_at_samples", fx.oracle(_LONG_LAB_SQL + """
+select codigo, variable, count(*) as n_places, 0e0 as largest_difference
+from (select distinct codigo, variable, x, y from lg) t group by codigo, variable""", "fx_samples", "fx_soil_lab"))
+def q_kriging_at_samples(spark, sf):
+    """Without a nugget the kriged value at every sampled place is the (mean) datum there."""
+    pts = cut_lineage(lab_points(spark, sf))
+    model = kriging.fit_spherical(kriging.variogram(pts, MAX_LAG, N_LAGS)).withColumn("nugget", F.lit(0.0))
+    places = pts.groupBy("codigo", "variable", "x", "y").agg(F.avg("value").alias("datum"))
+    places = cut_lineage(places.withColumn("tid", F.monotonically_increasing_id()))
+    out = kriging.krige(pts, places.select("codigo", "tid", "x", "y"), model)
+    both = out.join(places.select("codigo", "variable", "tid", "datum"), ["codigo", "variable", "tid"])
+    return both.groupBy("codigo", "variable").agg(
+        F.count(F.lit(1)).alias("n_places"), F.round(F.max(F.abs(F.col("value") - F.col("datum"))), 4).alias("largest_difference"))
+
+
+@register("kriging_cells", fx.oracle(_LONG_LAB_SQL + """,
+b as (select codigo, min(x) as xmin, min(y) as ymin, cast(ceil((max(x) - min(x)) / 1e1) as int) as nx,
+             cast(ceil((max(y) - min(y)) / 1e1) as int) as ny from fx_field_vertices group by codigo),
+c as (select codigo, r, k, xmin + (k + 5e-1) * 1e1 as x, ymin + (ny - 1) * 1e1 - (r + 5e-1) * 1e1 as y
+      from b, range(0, 100000) a(r), range(0, 1000) d(k) where r < ny - 1 and k < nx - 1),
+e as (select a.codigo, a.x as ax, a.y as ay, b.x as bx, b.y as by
+      from fx_field_vertices a join fx_field_vertices b on a.codigo = b.codigo and b.seq = a.seq + 1),
+i as (select c.codigo, c.r, c.k, sum(case when ((e.ay > c.y) <> (e.by > c.y)) and c.x < (e.bx - e.ax) * (c.y - e.ay) / (e.by - e.ay) + e.ax then 1 else 0 end) as n
+      from c join e on e.codigo = c.codigo group by c.codigo, c.r, c.k),
+f as (select codigo, count(*) as n_cells from i where n % 2 = 1 group by codigo)
+select f.codigo, v.variable as layer, n_cells, 0 as n_missing
+from f join (select distinct codigo, variable from lg) v on v.codigo = f.codigo""", "fx_samples", "fx_soil_lab", "fx_field_vertices"))
+def q_kriging_cells(spark, sf):
+    """One value for every cell of the field and every variable with data."""
+    out = kriged(spark, sf)
+    missing = F.count_if(F.col("value").isNull() | F.isnan("value"))
+    return out.groupBy("codigo", F.col("variable").alias("layer")).agg(F.count(F.lit(1)).alias("n_cells"), missing.cast("int").alias("n_missing"))
+
+
 @register("kriging")
 def q_kriging(spark, sf):
     """Spherical model per field and variable, ordinary kriging onto the

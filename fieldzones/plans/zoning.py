@@ -56,6 +56,22 @@ def q_pca_fit(spark, sf):
     return rounded(fit.select("codigo", "k", "eigenvalue", "ratio", "cumulative"))
 
 
+@register("pca_residuals", fx.oracle(f"""
+select codigo, cast(k as int) as k, 0e0 as residual, 1e0 as norm
+from (select distinct codigo from fx_multivar) f, range(1, {len(ZONING_VARS) + 1}) r(k)""", "fx_multivar"))
+def q_pca_residuals(spark, sf):
+    """M2: every component is a unit vector with covariance * vector = eigenvalue * vector."""
+    z, p = _std(spark, sf), len(ZONING_VARS)
+    fit = stats.pca_fit(z, ZONING_VARS)
+    c = lambda i, j: F.coalesce(f"c_{min(i, j)}_{max(i, j)}", F.lit(0.0))
+    rows = F.array(*[F.array(*[c(i, j) for j in range(p)]) for i in range(p)])
+    m = stats.covariance(z, ZONING_VARS).select("codigo", rows.alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    off = F.transform("m", lambda row, i: F.abs(dot(row, F.col("component")) - F.col("eigenvalue") * F.get("component", i)))
+    out = fit.join(m, "codigo").select("codigo", "k", F.array_max(off).alias("residual"), dot(F.col("component"), F.col("component")).alias("norm"))
+    return rounded(out)
+
+
 def pca_scores(spark, sf):
     z = _std(spark, sf)
     fit = stats.pca_fit(z, ZONING_VARS)

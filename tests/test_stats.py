@@ -67,7 +67,7 @@ def test_kriging_exact_at_data_points(spark):
                                   "codigo string, variable string, nugget double, psill double, range double")
     targets = spark.createDataFrame([("F", 0, 0.0, 0.0), ("F", 1, 30.0, 30.0), ("F", 2, 15.0, 15.0)],
                                     "codigo string, tid long, x double, y double")
-    out = {r["tid"]: r["value"] for r in kriging.krige(pts, targets, model, tile=20.0).collect()}
+    out = {r["tid"]: r["value"] for r in kriging.krige(pts, targets, model).collect()}
     assert abs(out[0] - 1.0) < 1e-9 and abs(out[1] - 5.0) < 1e-9
     assert 1.0 < out[2] < 5.0
 
@@ -121,3 +121,34 @@ def test_kmeans_local_and_distributed_paths_agree(spark, cloud, monkeypatch):
     a = sorted((r["codigo"], r["cluster"], round(r["cx"], 6), round(r["cy"], 6)) for r in c1.collect())
     b = sorted((r["codigo"], r["cluster"], round(r["cx"], 6), round(r["cy"], 6)) for r in c2.collect())
     assert a == b and len(a) == 7
+
+
+def test_kriging_two_data_in_closed_form(spark):
+    """Two data at distance d: by symmetry the mean is theirs, and b = +-(z1 - z2) / 2 / (c0 - C(d))."""
+    pts = spark.createDataFrame([("F", "v", 0.0, 0.0, 1.0), ("F", "v", 30.0, 0.0, 4.0), ("G", "v", 5.0, 5.0, 7.0)],
+                                "codigo string, variable string, x double, y double, value double")
+    model = spark.createDataFrame([("F", "v", 0.5, 2.0, 60.0)], "codigo string, variable string, nugget double, psill double, range double")
+    targets = spark.createDataFrame([("F", 0, 10.0, 0.0), ("F", 1, 500.0, 500.0), ("F", 2, 30.0, 0.0), ("G", 3, 90.0, 5.0)],
+                                    "codigo string, tid long, x double, y double")
+    out = {r["tid"]: r["value"] for r in kriging.krige(pts, targets, model).collect()}
+    cov = lambda d: 2.0 * (1 - 1.5 * d / 60 + 0.5 * (d / 60) ** 3) if d < 60 else 0.0
+    b = (1.0 - 4.0) / 2 / (2.5 - cov(30))
+    assert abs(out[0] - (2.5 + b * cov(10) - b * cov(20))) < 1e-8
+    assert abs(out[1] - 2.5) < 1e-8 and abs(out[2] - 4.0) < 1e-8
+    assert out[3] == 7.0  # a single datum: its constant mean
+
+
+def test_fcm_more_than_eight_clusters_and_few_points(spark, cloud):
+    _, memb = fcm.fuzzy_cmeans(cloud, VARS, cs=(9,))
+    row = fcm.membership_columns(memb, 9).first()
+    assert abs(sum(row[f"Pertenencia_Cluster{i}"] for i in range(9)) - 1) < 1e-9
+    _, memb = fcm.fuzzy_cmeans(cloud.filter("pid < 2"), VARS, cs=(3,))
+    assert all(len(r["u"]) == 3 for r in memb.collect())
+
+
+def test_constant_set_has_a_histogram(spark):
+    from fieldzones.operators import sampling
+    rows = [("A", "i", d, 3.0) for d in ("Total", "Muestra") for _ in range(9)]
+    long = spark.createDataFrame(rows, "codigo string, index string, Dataset string, value double")
+    out = sampling.density_histogram(long).filter("Dataset = 'Total'").orderBy("bin").collect()
+    assert [(r["left"], r["count"]) for r in out] == [(2.5, 0), (2.5 + 1 / 3, 9), (2.5 + 2 / 3, 0)]
