@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-LENGTH, GRAM, LONGEST_RUN, SHARD = 100, 24, 400, 20_000
-_BLOCK, _CHUNK, _LANES = 1 << 20, 2 << 20, 4096
+LENGTH, GRAM, LONGEST_RUN, SHARD = 100, 24, 400, 6000
+_BLOCK, _CHUNK, _LANES = 1 << 19, 1 << 19, 4096
 _LAST = (1 << 63) - 1
 _P, _PINV = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
