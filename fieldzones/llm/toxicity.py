@@ -2,11 +2,13 @@
 
 Words are ASCII lower-cased runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  Two
 interpolated Kneser-Ney bigram models are counted, one on toxic and one on ordinary documents:
-a bigram backs off to its class's continuation counts (different words before a word), a word
+words and bigrams count by the different words before them or, if fewer, documents (so neither
+near copies nor a word repeated in one text weigh much); a bigram backs off to its class's continuation counts (different words before a word), a word
 to its class's counts of its stem (the first ``STEM`` bytes), and a stem to continuation counts
 shared by both classes, so that an expression that neither or only one class has seen often
-says little.  The discount is high, as most bigrams of a sample are seen once.  A text is judged by the length-normalised difference of the
-two log-likelihoods: over the whole text, and over its most toxic runs of ``WINDOWS`` words.  A
+says little.  The discounts are high, as most bigrams of a sample are seen once.  A text is judged by the length-normalised difference of the
+two log-likelihoods: over the whole text, over its most toxic runs of ``WINDOWS`` words, and over its
+most toxic ``TOPS`` words.  A
 logistic curve over these, fitted on scores of documents left out of the counts (two folds),
 gives the probability.
 
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-TOXIC, ORDINARY, DISCOUNT, FLOOR, STEM = 3000, 3000, 2.0, 0.5, 8
-WINDOWS, THRESHOLD, FOLDS = (1, 4, 16, 64), 0.3, 2
+TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 3000, 3000, 10.0, 0.5, 8
+#: Discounts of word and stem counts, of which the best on left-out documents is taken.
+DISCOUNTS = (1.0, 2.0, 3.0, 6.0, 10.0)
+WINDOWS, TOPS, THRESHOLD, FOLDS = (4, 16, 64), (1, 3, 8), 0.3, 2
+N_EVIDENCE = 1 + len(WINDOWS) + len(TOPS)
 _START = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,11 +53,11 @@ def pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
     return base.mix(before * _PAIR + w)
 
 
-def discounted(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, float]:
-    """Counts with DISCOUNT taken off, as shares, plus what that frees times ``lower``."""
+def discounted(n: np.ndarray, lower: np.ndarray, discount: float) -> tuple[np.ndarray, float]:
+    """Counts with the discount taken off, as shares, plus what that frees times ``lower``."""
     total = n.sum()
-    rest = np.minimum(n, DISCOUNT).sum() / total if total else 1.0
-    return np.maximum(n - DISCOUNT, 0) / max(total, 1) + rest * lower, rest
+    rest = np.minimum(n, discount).sum() / total if total else 1.0
+    return np.maximum(n - discount, 0) / max(total, 1) + rest * lower, rest
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +69,19 @@ def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tables(rows: DataFrame):
-    """From (label, before, word, stem, n): of each word its stem and the different words before
-    it, in either class and in both; and of each pair above the discount its counts and those of
+    """From different (label, doc, earlier, before, word, stem): of each word its stem and its
+    counts in either class and both; and of each pair above the discount its counts and those of
     its first word.  The other pairs' whole counts go to backing off, which needs no table."""
-    cut = F.lit(DISCOUNT)
-    n = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
-    pairs = rows.groupBy("before", "word", "stem").agg(n(1).alias("n_t"), n(0).alias("n_o"))
-    words = pairs.groupBy("word", "stem").agg(F.count_if(F.col("n_t") > 0).alias("cont_t"), F.count_if(F.col("n_o") > 0).alias("cont_o"), F.count("*").alias("both"))
+    cut = F.lit(PAIR_DISCOUNT)
+
+    def seen(by: list[str], over: str):
+        """Per ``by``: for either class, the different ``over`` or, if fewer, documents."""
+        both = [rows.select(*by, "label", F.col(c).alias("x")).distinct().groupBy(*by, "label").agg(F.count("*").alias(c)) for c in (over, "doc")]
+        n = both[0].join(both[1], [*by, "label"]).withColumn("m", F.least(over, "doc"))
+        return n.groupBy(*by).agg(*[F.sum(F.when(F.col("label") == c, F.col("m")).otherwise(0)).alias(f"n_{t}") for t, c in (("t", 1), ("o", 0))])
+
+    words = seen(["word", "stem"], "before").select("word", "stem", F.col("n_t").alias("cont_t"), F.col("n_o").alias("cont_o"), (F.col("n_t") + F.col("n_o")).alias("both"))
+    pairs = seen(["before", "word"], "earlier")
     heads = pairs.groupBy("before").agg(*[x for c in "to" for x in (F.sum(f"n_{c}").alias(f"head_{c}"), F.sum(F.least(F.col(f"n_{c}"), cut)).alias(f"taken_{c}"))])
     high = pairs.where((F.col("n_t") > cut) | (F.col("n_o") > cut)).join(heads, "before")
     return words.toArrow(), high.toArrow()  # bounded by the sample
@@ -79,7 +90,7 @@ def tables(rows: DataFrame):
 class Model:
     """Both classes' smoothed shares, from three tables of counts (see ``tables``)."""
 
-    def __init__(self, words, pairs):
+    def __init__(self, words, pairs, discount: float):
         self.words = base.unsigned(words.column("word").to_numpy())
         order = np.argsort(self.words)
         self.words = self.words[order]
@@ -96,11 +107,11 @@ class Model:
         self.classes = []
         for c in ("t", "o"):
             own = words.column(f"cont_{c}").to_numpy()[order].astype(float)
-            stems, free = discounted(np.bincount(stem_of, own, minlength=len(self.stems)), by_stem / whole)
-            shares, rest = discounted(own, stems[stem_of] * shared / by_stem[stem_of])
+            stems, free = discounted(np.bincount(stem_of, own, minlength=len(self.stems)), by_stem / whole, discount)
+            shares, rest = discounted(own, stems[stem_of] * shared / by_stem[stem_of], discount)
             n_head = np.maximum(pairs.column(f"head_{c}").to_numpy().astype(float), 1)
             taken = pairs.column(f"taken_{c}").to_numpy().astype(float)
-            above = np.maximum(pairs.column(f"n_{c}").to_numpy() - DISCOUNT, 0) / n_head
+            above = np.maximum(pairs.column(f"n_{c}").to_numpy() - PAIR_DISCOUNT, 0) / n_head
             # the last three: a new word of a known stem (times a share that is the same for
             # both classes), a new stem (likewise), and what is left for backing off after a head
             self.classes.append((shares, above[order2], rest * stems, rest * free * FLOOR / whole, np.where(taken > 0, taken / n_head, 1.0)[head]))
@@ -124,12 +135,13 @@ class Model:
 
 
 def evidence(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Of each text: the mean difference, and the greatest mean over runs of WINDOWS words."""
+    """Of each text: the mean difference, the greatest mean over runs of WINDOWS words, and the mean
+    of the greatest TOPS differences (as if 0 where there are fewer words)."""
     w, before, stem, first = tokens(data, offs)
     n = len(offs) - 1
     d = np.clip(model.differences(w, before, stem), -6, 6)
     total = np.concatenate([[0.0], np.cumsum(d)])
-    out = np.zeros((n, 1 + len(WINDOWS)))
+    out = np.zeros((n, N_EVIDENCE))
     size = np.diff(first)
     out[:, 0] = (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1)
     for j, k in enumerate(WINDOWS):
@@ -143,6 +155,12 @@ def evidence(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 out[full, j + 1] = np.maximum.reduceat(np.append(run, -np.inf), bounds)[::2]
         few = (size < k) & (size > 0)  # a shorter text is one run
         out[few, j + 1] = (out[few, 0] * size[few]) / k
+    of = np.repeat(np.arange(n), size)
+    order = np.lexsort([-d, of])
+    rank = np.arange(len(d)) - first[:-1][of]  # place among the text's words, greatest first
+    for j, k in enumerate(TOPS):
+        top = order[rank < k]
+        out[:, 1 + len(WINDOWS) + j] = np.bincount(of[top], d[top], minlength=n) / k
     return out
 
 
@@ -175,33 +193,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
     share = F.when(F.col("y") == 1, float(toxic) / n[1]).otherwise(float(ordinary) / n[0])
     picked = known.where(F.col("y").isin(0, 1) & (base.hash_share(F.col("doc_id"), 11) < share))
     sample = docs.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
-    sample = base.stored(sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")))
+    sample = base.stored(sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64("text").alias("doc")))
 
     def count(batches):
         for rb in batches:
             label_, fold = (rb.column(i).to_numpy(zero_copy_only=False).astype(np.int32) for i in (1, 2))
+            doc = rb.column(3).to_numpy(zero_copy_only=False)
             for a, to, data, offs in base.pieces(rb.column(0)):
                 w, before, stem, first = tokens(data, offs)
                 of = np.repeat(np.arange(a, to), np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold)] + [pa.array(base.signed(x)) for x in (before, w, stem)], names=["label", "fold", "before", "word", "stem"])
+                earlier = np.empty_like(w)
+                earlier[1:] = before[:-1]
+                earlier[first[:-1][first[:-1] < len(w)]] = _START
+                yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold, doc)] + [pa.array(base.signed(x)) for x in (earlier, before, w, stem)], names=["label", "fold", "doc", "earlier", "before", "word", "stem"])
 
-    rows = base.stored(sample.mapInArrow(count, "label int, fold int, before long, word long, stem long").groupBy("label", "fold", "before", "word", "stem").agg(F.count("*").alias("n")))
+    rows = base.stored(sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long").distinct())
     sc = docs.sparkSession.sparkContext
-    held = sc.broadcast([Model(*tables(rows.where(F.col("fold") != f))) for f in range(FOLDS)])
+    counts = [tables(rows.where(F.col("fold") != f)) for f in range(FOLDS)]
+    held = sc.broadcast([[Model(*counts[f], d) for f in range(FOLDS)] for d in DISCOUNTS])
+    del counts
 
     def left_out(batches):
         for rb in batches:
             fold = rb.column(2).to_numpy(zero_copy_only=False)
             for a, to, data, offs in base.pieces(rb.column(0)):
-                x = np.stack([evidence(m, data, offs) for m in held.value])[fold[a:to], np.arange(to - a)]
+                own = fold[a:to], np.arange(to - a)
+                x = np.concatenate([np.stack([evidence(m, data, offs) for m in models])[own] for models in held.value], axis=1)
                 yield pa.RecordBatch.from_arrays([rb.column(1)[a:to], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     seen = sample.mapInArrow(left_out, "y int, x array<double>").toPandas()  # bounded by the sample
-    x, y = np.array(seen["x"].tolist()).reshape(-1, 1 + len(WINDOWS)), seen["y"].to_numpy(float)
-    order = np.lexsort([*x.T, y])
+    x, y = np.array(seen["x"].tolist()).reshape(-1, len(DISCOUNTS), N_EVIDENCE), seen["y"].to_numpy(float)
+    order = np.lexsort([*x.reshape(len(x), -1).T, y])
+    x, y = x[order], y[order]
     weight = np.where(y == 1, max(n[1] / toxic, 1.0), max(n[0] / ordinary, 1.0))  # the labels' own proportions
     held.destroy()
-    return {"model": Model(*tables(rows)), "curve": logistic(x[order], y[order], weight[order])}
+
+    def loss(fitted, x):
+        p = np.clip(curve(fitted, x), 1e-6, 1 - 1e-6)
+        return -(weight * np.log(np.where(y == 1, p, 1 - p))).sum()
+
+    curves = [logistic(x[:, i], y, weight) for i in range(len(DISCOUNTS))]
+    best = int(np.argmin([loss(c, x[:, i]) for i, c in enumerate(curves)]))
+    # the model of all folds has so many times the counts: the discount grows with them
+    return {"model": Model(*tables(rows), DISCOUNTS[best] * FOLDS / (FOLDS - 1)), "curve": curves[best]}
 
 
 def score(docs: DataFrame, scorer: dict) -> DataFrame:
