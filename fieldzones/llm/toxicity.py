@@ -2,8 +2,9 @@
 
 Words are ASCII lower-cased runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  Two
 interpolated Kneser-Ney bigram models are counted, one on toxic and one on ordinary documents:
-words and bigrams count by the different words before them or, if fewer, documents (so neither
-near copies nor a word repeated in one text weigh much); a bigram backs off to its class's continuation counts (different words before a word), a word
+words count by the different words before them or, if fewer, documents, and bigrams by the
+different words before them (so neither near copies nor a word repeated in one text weigh much);
+a bigram backs off to its class's continuation counts (different words before a word), a word
 to its class's counts of its stem (the first ``STEM`` bytes), and a stem to continuation counts
 shared by both classes, so that an expression that neither or only one class has seen often
 says little.  The discounts are high, as most bigrams of a sample are seen once.  A text is judged by the length-normalised difference of the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 3000, 3000, 10.0, 0.5, 8
+TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 2000, 2000, 10.0, 0.5, 8
 #: Discounts of word and stem counts, of which the best on left-out documents is taken.
 DISCOUNTS = (1.0, 2.0, 3.0, 6.0, 10.0)
 WINDOWS, TOPS, THRESHOLD, FOLDS = (4, 16, 64), (1, 3, 8), 0.3, 2
@@ -68,20 +69,29 @@ def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
-def tables(rows: DataFrame):
-    """From different (label, doc, earlier, before, word, stem): of each word its stem and its
-    counts in either class and both; and of each pair above the discount its counts and those of
-    its first word.  The other pairs' whole counts go to backing off, which needs no table."""
+def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (label, fold, doc, earlier, before, word, stem): the counts ``m`` of each (word, stem) and
+    of each (before, word) in every label and fold, stored."""
+    def different(by: list[str], over: str) -> DataFrame:
+        by = [*by, "label", "fold"]
+        return rows.select(*by, over).distinct().groupBy(*by).agg(F.count("*").alias(over))
+
+    key = ["word", "stem", "label", "fold"]
+    words = different(["word", "stem"], "before").join(different(["word", "stem"], "doc"), key).select(*key, F.least("before", "doc").alias("m"))
+    pairs = different(["before", "word"], "earlier").withColumnRenamed("earlier", "m")
+    return base.stored(words), base.stored(pairs)
+
+
+def tables(words: DataFrame, pairs: DataFrame):
+    """Of each word its stem and its counts in either class and both; and of each pair above the
+    discount its counts and those of its first word.  The other pairs' whole counts go to backing
+    off, which needs no table."""
+    n = lambda c: F.sum(F.when(F.col("label") == c, F.col("m")).otherwise(0))
+    words = words.groupBy("word", "stem").agg(n(1).alias("cont_t"), n(0).alias("cont_o"), F.sum("m").alias("both"))
+    # a pair above the discount has its share of it in some fold; bounded by the sample
+    some = pairs.where(F.col("m") > PAIR_DISCOUNT / FOLDS).select("before").distinct()
+    pairs = pairs.join(F.broadcast(some), "before").groupBy("before", "word").agg(n(1).alias("n_t"), n(0).alias("n_o"))
     cut = F.lit(PAIR_DISCOUNT)
-
-    def seen(by: list[str], over: str):
-        """Per ``by``: for either class, the different ``over`` or, if fewer, documents."""
-        both = [rows.select(*by, "label", F.col(c).alias("x")).distinct().groupBy(*by, "label").agg(F.count("*").alias(c)) for c in (over, "doc")]
-        n = both[0].join(both[1], [*by, "label"]).withColumn("m", F.least(over, "doc"))
-        return n.groupBy(*by).agg(*[F.sum(F.when(F.col("label") == c, F.col("m")).otherwise(0)).alias(f"n_{t}") for t, c in (("t", 1), ("o", 0))])
-
-    words = seen(["word", "stem"], "before").select("word", "stem", F.col("n_t").alias("cont_t"), F.col("n_o").alias("cont_o"), (F.col("n_t") + F.col("n_o")).alias("both"))
-    pairs = seen(["before", "word"], "earlier")
     heads = pairs.groupBy("before").agg(*[x for c in "to" for x in (F.sum(f"n_{c}").alias(f"head_{c}"), F.sum(F.least(F.col(f"n_{c}"), cut)).alias(f"taken_{c}"))])
     high = pairs.where((F.col("n_t") > cut) | (F.col("n_o") > cut)).join(heads, "before")
     return words.toArrow(), high.toArrow()  # bounded by the sample
@@ -207,11 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
                 earlier[first[:-1][first[:-1] < len(w)]] = _START
                 yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold, doc)] + [pa.array(base.signed(x)) for x in (earlier, before, w, stem)], names=["label", "fold", "doc", "earlier", "before", "word", "stem"])
 
-    rows = base.stored(sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long").distinct())
+    rows = base.stored(sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long"))
+    words, pairs = counts(rows)
     sc = docs.sparkSession.sparkContext
-    counts = [tables(rows.where(F.col("fold") != f)) for f in range(FOLDS)]
-    held = sc.broadcast([[Model(*counts[f], d) for f in range(FOLDS)] for d in DISCOUNTS])
-    del counts
+    others = [tables(words.where(F.col("fold") != f), pairs.where(F.col("fold") != f)) for f in range(FOLDS)]
+    held = sc.broadcast([[Model(*others[f], d) for f in range(FOLDS)] for d in DISCOUNTS])
+    del others
 
     def left_out(batches):
         for rb in batches:
@@ -235,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
     curves = [logistic(x[:, i], y, weight) for i in range(len(DISCOUNTS))]
     best = int(np.argmin([loss(c, x[:, i]) for i, c in enumerate(curves)]))
     # the model of all folds has so many times the counts: the discount grows with them
-    return {"model": Model(*tables(rows), DISCOUNTS[best] * FOLDS / (FOLDS - 1)), "curve": curves[best]}
+    return {"model": Model(*tables(words, pairs), DISCOUNTS[best] * FOLDS / (FOLDS - 1)), "curve": curves[best], "discount": DISCOUNTS[best]}
 
 
 def score(docs: DataFrame, scorer: dict) -> DataFrame:
