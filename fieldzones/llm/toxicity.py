@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 2000, 2000, 10.0, 0.5, 8
+TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 2000, 1500, 10.0, 0.5, 8
 #: Discounts of word and stem counts, of which the best on left-out documents is taken.
 DISCOUNTS = (1.0, 2.0, 3.0, 6.0, 10.0)
 WINDOWS, TOPS, THRESHOLD, FOLDS = (4, 16, 64), (1, 3, 8), 0.3, 2
@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
                 earlier[first[:-1][first[:-1] < len(w)]] = _START
                 yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold, doc)] + [pa.array(base.signed(x)) for x in (earlier, before, w, stem)], names=["label", "fold", "doc", "earlier", "before", "word", "stem"])
 
-    rows = base.stored(sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long"))
+    # read three times below, from the stored sample: cheaper than a table of its words
+    rows = sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long")
     words, pairs = counts(rows)
     sc = docs.sparkSession.sparkContext
     others = [tables(words.where(F.col("fold") != f), pairs.where(F.col("fold") != f)) for f in range(FOLDS)]
