@@ -12,11 +12,11 @@ Equal texts are one node (MD5).  A bucket's members are not compared with each o
 component in it the member of least doc_id is compared with that of the largest component, for a
 few hash functions after the other, so that a large group of near copies is one component before
 most of its buckets are looked at.  In the finer buckets of ``FINER`` minima, which texts that only
-share a passage seldom crowd, the first text of each component is then compared with those of all
-others, or of some ``LEADERS`` of them (by a hash for each bucket) where there are more, so that
-pairs stay in proportion to the texts.  Every pair of a bucket is thus linked by way of a component
-or compared in it, but for pairs between small components of one crowded bucket; these meet in
-other buckets, under other leaders.  The README has the measured loss.
+share a passage seldom crowd, the first text of each component is then compared with those of some
+``LEADERS`` others (by a hash for each bucket).  All this only joins components early.  Last, of every
+bucket of either kind that still holds several components, all members are compared with all those
+of its other components, in blocks of ``BLOCK`` members: every pair of a bucket is in one component
+or compared.
 
 A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is computed
 exactly (on 32 bits of word hashes), in bands that widen as long as needed, many pairs at a time;
@@ -45,10 +45,13 @@ SHINGLE, SKETCHES, MINIMA, FINER, SIMILARITY = 5, 24, 2, 4, 0.8
 _rng = np.random.default_rng(77)
 _FLIP, _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64), _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _CELLS, _PADDED = 1 << 15, 1 << 20  # of one band and row, and of padded sequences
-#: Components of a finer bucket whose first texts are compared with those of all others there.
+#: Components of a finer bucket whose first texts are compared early with those of all others there.
 LEADERS, BITS = 16, 1024
 #: Bands whose buckets are linked by stars, one group after the other.
 STARS = ((0, 3), (3, 8), (8, SKETCHES))
+#: Bands whose buckets are compared whole, one group after the other (the finer ones first), and the
+#: members of a bucket in one block.
+WHOLE, BLOCK = ((SKETCHES, SKETCHES + 6), (SKETCHES + 6, 2 * SKETCHES), (0, 6), (6, SKETCHES)), 1024
 
 
 def word_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +278,7 @@ def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFram
         pairs = new(pairs, asked).join(named(signs, "member", "n", "vec"), "member").join(named(signs, "leader", "n", "vec"), "leader").where(plausible("member_", "leader_"))
         checked = check(pairs.select("leader", "member"))
         asked = checked if asked is None else asked.unionByName(checked)
-    # then, in the finer buckets, the first of every component against those of some components
+    # in the finer buckets, the first of every component against those of some components
     rows = rooted(crowd.where(F.col("band") >= SKETCHES), asked)
     firsts = rows.groupBy("band", "key", "root").agg(F.min("rank.node").alias("node"))
     firsts = base.stored(firsts.join(signs, "node"))
@@ -286,9 +289,27 @@ def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFram
     near = (F.col("root") != F.col("other_root")) & plausible("", "other_")
     pairs = rows.join(some, ["band", "key"]).where(near).select(F.col("other_node").alias("leader"), F.col("node").alias("member"))
     asked = asked.unionByName(check(new(pairs, asked)))
+    for a, b in WHOLE:  # all members that are still apart, block by block
+        rows = rooted(crowd.where(F.col("band").between(a, b - 1)), asked)
+        asked = asked.unionByName(check(new(apart(rows, signs), asked)))
     return asked.where("linked").select("leader", "member")
 
 
+def apart(rows: DataFrame, signs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All plausible pairs (leader, member) of one bucket and different roots, from (node, band, key,
+    root).  A bucket's members are dealt into blocks by a hash, and every two blocks (and each with
+    itself) meet under a key of their own, so that no task holds a whole bucket."""
+    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
+    mixed = rows.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z"), blocks).where("a < z").select("band", "key", "blocks")
+    rows = rows.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = base.stored(rows.join(signs, "node"))
+    one = rows.withColumn("other", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    two = rows.select("band", "key", F.explode(F.sequence(F.lit(0), "own")).alias("own"), F.col("own").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "vec")])
+    once = (F.col("own") < F.col("other")) | (F.col("node") < F.col("other_node"))
+    near = (F.col("root") != F.col("other_root")) & once & plausible("", "other_")
+    return one.join(two, ["band", "key", "own", "other"]).where(near).select(F.col("node").alias("leader"), F.col("other_node").alias("member"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (u, v): root is the least node of its component."""
     size = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 32))).first())

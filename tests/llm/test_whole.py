@@ -239,6 +239,39 @@ def test_near_duplicate_rounds(spark, tmp_path):
     assert all((cls[a] == cls[b]) == (family[a] == family[b]) for a in family for b in family)
 
 
+def test_near_duplicates_of_one_bucket_all_meet(spark, tmp_path):
+    """More components than lead early, and texts at all distances from their family's centre: whoever shares a bucket and is similar is one class."""
+    from fieldzones.llm import near_dedup
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for f in range(5):
+        for _ in range(60):
+            words = [f"f{f}x{i}" for i in range(100)]
+            at, n = int(rng.integers(0, 75)), int(rng.integers(8, 26))
+            words[at:at + n] = [f"e{len(rows)}x{i}" for i in range(n)]
+            rows.append((len(rows), " ".join(words), "en", "s"))
+    got = {r["doc_id"]: r["class_id"] for r in rows_of(spark, "op6_order_minhash", build(spark, tmp_path, rows))}
+    texts = [t.split() for _, t, _, _ in rows]
+    keys = []
+    for t in texts:
+        raw = " ".join(t).encode()
+        w, first = near_dedup.word_ids(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        keys.append(set(near_dedup.sketch(near_dedup.labelled_runs(w, first)[0]).tolist()))
+    ids = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    seqs = [np.array([ids[w] for w in t], np.uint32) for t in texts]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if keys[a] & keys[b]]
+    d = near_dedup.distances([(seqs[a], seqs[b]) for a, b in pairs], np.full(len(pairs), 20))
+    root = list(range(len(rows)))
+    for (a, b), x in zip(pairs, d):
+        if x <= 20:
+            root = [root[b] if r == root[a] else r for r in root] if root[a] != root[b] else root
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert got == {i: least[r] for i, r in enumerate(root)}
+
+
 def test_toxicity_and_quality_scores(spark, odd, odd_rows):
     for name, cut, m in (("op7_kneser_ney", 0.3, 4), ("op9_boosted_trees", 0.7, 4)):
         got = rows_of(spark, name, odd)
