@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
 
-TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 2000, 1500, 10.0, 0.5, 8
+TOXIC, ORDINARY, PAIR_DISCOUNT, FLOOR, STEM = 3000, 3000, 10.0, 0.5, 8
 #: Discounts of word and stem counts, of which the best on left-out documents is taken.
 DISCOUNTS = (1.0, 2.0, 3.0, 6.0, 10.0)
 WINDOWS, TOPS, THRESHOLD, FOLDS = (4, 16, 64), (1, 3, 8), 0.3, 2
@@ -69,17 +69,61 @@ def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
-def counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (label, fold, doc, earlier, before, word, stem): the counts ``m`` of each (word, stem) and
-    of each (before, word) in every label and fold, stored."""
-    def different(by: list[str], over: str) -> DataFrame:
-        by = [*by, "label", "fold"]
-        return rows.select(*by, over).distinct().groupBy(*by).agg(F.count("*").alias(over))
-
-    key = ["word", "stem", "label", "fold"]
-    words = different(["word", "stem"], "before").join(different(["word", "stem"], "doc"), key).select(*key, F.least("before", "doc").alias("m"))
-    pairs = different(["before", "word"], "earlier").withColumnRenamed("earlier", "m")
-    return base.stored(words), base.stored(pairs)
+def unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different rows of some columns."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return tuple(c[order[new]] for c in columns)
+
+
+def counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the sample (text, label, fold): the counts ``m`` of each (word, stem) and of each
+    (before, word) in every label and fold, stored.  Rows of a batch are made different, and
+    documents (whose texts differ) counted, before they are shuffled."""
+    def seen(kind: str):
+        def run(batches):
+            for rb in batches:
+                cell = rb.column(1).to_numpy(zero_copy_only=False).astype(np.int64) * FOLDS + rb.column(2).to_numpy(zero_copy_only=False)
+                for a, to, data, offs in base.pieces(rb.column(0)):
+                    w, before, stem, first = tokens(data, offs)
+                    of = np.repeat(np.arange(a, to), np.diff(first))
+                    if kind == "doc":  # the documents of each word: a sum of whole counts
+                        word, stem, at = unique(w, stem, of.astype(np.uint64))
+                        word, stem, at, n = totals(word, stem, cell[at.astype(np.int64)])
+                        columns = [word, stem, at, n]
+                    else:
+                        if kind == "before":
+                            word, over, other = w, before, stem
+                        else:
+                            earlier = np.empty_like(w)
+                            earlier[1:] = before[:-1]
+                            earlier[first[:-1][first[:-1] < len(w)]] = _START
+                            word, over, other = w, earlier, before
+                        word, other, over, at = unique(word, other, over, cell[of].astype(np.uint64))
+                        columns = [word, other, at.astype(np.int64), base.signed(over)]
+                    yield pa.RecordBatch.from_arrays([pa.array(base.signed(columns[0])), pa.array(base.signed(columns[1])), pa.array(columns[2].astype(np.int32)), pa.array(columns[3])], names=["word", "other", "cell", "x"])
+
+        return sample.select("text", "y", "fold").mapInArrow(run, "word long, other long, cell int, x long")
+
+    by = ["word", "other", "cell"]
+    # dealt by the group, so that both steps take one shuffle
+    different = lambda kind: seen(kind).repartition(*by).distinct().groupBy(by).agg(F.count("*").alias("m"))
+    docs = seen("doc").groupBy(by).agg(F.sum("x").alias("docs"))
+    words = different("before").join(docs, by).withColumn("m", F.least("m", "docs"))
+    cell = [F.floor(F.col("cell") / FOLDS).cast("int").alias("label"), F.pmod("cell", F.lit(FOLDS)).alias("fold"), "m"]
+    return (base.stored(words.select("word", F.col("other").alias("stem"), *cell)),
+            base.stored(different("earlier").select(F.col("other").alias("before"), "word", *cell)))
+
+
+def totals(word: np.ndarray, stem: np.ndarray, cell: np.ndarray):
+    """Different rows and how often each is there."""
+    order = np.lexsort((cell, stem, word))
+    word, stem, cell = word[order], stem[order], cell[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (stem[1:] != stem[:-1]) | (cell[1:] != cell[:-1])
+    at = np.flatnonzero(new)
+    return word[at], stem[at], cell[at], np.diff(np.append(at, len(word)))
 
 
 def tables(words: DataFrame, pairs: DataFrame):
@@ -203,34 +247,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, toxic: int = TOXIC, ordi
     share = F.when(F.col("y") == 1, float(toxic) / n[1]).otherwise(float(ordinary) / n[0])
     picked = known.where(F.col("y").isin(0, 1) & (base.hash_share(F.col("doc_id"), 11) < share))
     sample = docs.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
-    sample = base.stored(sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), F.xxhash64("text").alias("doc")))
+    sample = base.stored(sample.select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")))
 
-    def count(batches):
-        for rb in batches:
-            label_, fold = (rb.column(i).to_numpy(zero_copy_only=False).astype(np.int32) for i in (1, 2))
-            doc = rb.column(3).to_numpy(zero_copy_only=False)
-            for a, to, data, offs in base.pieces(rb.column(0)):
-                w, before, stem, first = tokens(data, offs)
-                of = np.repeat(np.arange(a, to), np.diff(first))
-                earlier = np.empty_like(w)
-                earlier[1:] = before[:-1]
-                earlier[first[:-1][first[:-1] < len(w)]] = _START
-                yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (label_, fold, doc)] + [pa.array(base.signed(x)) for x in (earlier, before, w, stem)], names=["label", "fold", "doc", "earlier", "before", "word", "stem"])
-
-    # read three times below, from the stored sample: cheaper than a table of its words
-    rows = sample.mapInArrow(count, "label int, fold int, doc long, earlier long, before long, word long, stem long")
-    words, pairs = counts(rows)
+    words, pairs = counts(sample)
     sc = docs.sparkSession.sparkContext
     others = [tables(words.where(F.col("fold") != f), pairs.where(F.col("fold") != f)) for f in range(FOLDS)]
-    held = sc.broadcast([[Model(*others[f], d) for f in range(FOLDS)] for d in DISCOUNTS])
+    held = sc.broadcast(others)  # the counts: ten models would be many times their size on every disk
     del others
 
     def left_out(batches):
+        of_discounts = [[Model(*counted, d) for counted in held.value] for d in DISCOUNTS]
         for rb in batches:
             fold = rb.column(2).to_numpy(zero_copy_only=False)
             for a, to, data, offs in base.pieces(rb.column(0)):
                 own = fold[a:to], np.arange(to - a)
-                x = np.concatenate([np.stack([evidence(m, data, offs) for m in models])[own] for models in held.value], axis=1)
+                x = np.concatenate([np.stack([evidence(m, data, offs) for m in models])[own] for models in of_discounts], axis=1)
                 yield pa.RecordBatch.from_arrays([rb.column(1)[a:to], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     seen = sample.mapInArrow(left_out, "y int, x array<double>").toPandas()  # bounded by the sample

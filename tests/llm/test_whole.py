@@ -297,6 +297,15 @@ def test_toxicity_finds_insults(spark, tmp_path):
     assert np.mean([r["predicted"] == (r["doc_id"] % 6 == 0) for r in got]) > 0.97
 
 
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/check_s"
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [(r["predicted"], y[r["doc_id"]]) for r in rows_of(spark, "op7_kneser_ney", folder) if r["held_out"] and y.get(r["doc_id"]) is not None]
+    hits, found, toxic = sum(p and t for p, t in got), sum(p for p, _ in got), sum(t for _, t in got)
+    assert hits / found > 0.95 and hits / toxic > 0.95, (hits, found, toxic)
+    print(f"precision {hits / found:.3f} recall {hits / toxic:.3f}")
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     y = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
