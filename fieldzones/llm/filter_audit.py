@@ -47,14 +47,25 @@ _CAPITALS = bytes(range(65, 91))
 _SIGNS = tuple(b"#$%&*|")
 
 SHARDS = ("shard long, words array<binary>, doc_id array<long>, part array<string>, digest array<binary>, "
-          "other array<int>, starts array<int>, columns array<int>, counts array<int>")
+          "other array<int>, starts array<int>, columns binary, counts binary")
 MATRIX = ("shard long, doc_id array<long>, part array<string>, digest array<binary>, other array<int>, "
           "starts array<int>, numbers array<long>, counts array<int>")
 ROWS = "doc_id long, part string, digest binary, fails int, n_words long, n_distinct long"
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of a shard as compressed differences."""
+    planes = np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Sparse rows over each shard's own word list; ``other``: the bits of C (4) and D (8)."""
+    """Sparse rows over each shard's own word list, packed; ``other``: the bits of C (4) and D (8)."""
     names = [x.split()[0] for x in SHARDS.split(", ")]
 
     def run(batches):
@@ -68,9 +79,9 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
         def out():
             sizes = [len(x) for x in held["columns"]]
-            flat = lambda k: np.concatenate(held[k] or [np.zeros(0, np.int32)]).astype(np.int32)
+            flat = lambda k: pack(np.concatenate(held[k]))
             row = [seed + made, list(held["of"]), held["id"], held["part"], held["digest"], held["other"], np.cumsum([0, *sizes]).astype(np.int32), flat("columns"), flat("counts")]
-            kinds = [pa.int64(), *[pa.list_(t) for t in (pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]]
+            kinds = [pa.int64(), *[pa.list_(t) for t in (pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32())], pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
         for rb in batches:
@@ -100,11 +111,12 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def numbered(shards: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """shard, place, number: the dictionary's number of each word of each shard's list."""
+    """shard, places, numbers: the dictionary's number of each word of each shard's list."""
     words = shards.select("shard", F.posexplode("words").alias("place", "word"))
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    return words.select("shard", "place", ((rank - 1) * buckets + F.col("bucket")).alias("number"))
+    words = words.select("shard", "place", ((rank - 1) * buckets + F.col("bucket")).alias("number"))
+    return words.groupBy("shard").agg(F.collect_list("place").alias("places"), F.collect_list("number").alias("numbers"))
 
 
 def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -112,15 +124,24 @@ def term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     shard has ``counts`` of the words ``numbers`` at starts[i] to starts[i + 1]."""
     shards = base.stored(shards_of(docs, shard_bytes))
 
-    def encode(places: pa.Table, rows: pa.Table) -> pa.Table:
-        number = np.zeros(len(places), np.int64)
-        number[places["place"].to_numpy()] = places["number"].to_numpy()
-        columns = rows["columns"].combine_chunks()
-        return pa.table([rows[c] if c != "numbers" else pa.ListArray.from_arrays(pa.array([0, len(columns.values)], pa.int32()), pa.array(number[columns.values.to_numpy()]))
-                         for c in names], names=names)
-
-    names = [x.split()[0] for x in MATRIX.split(", ")]
-    return numbered(shards).groupBy("shard").cogroup(shards.drop("words").groupBy("shard")).applyInArrow(encode, MATRIX)
+    def encode(batches):
+        for rb in batches:
+            for k in range(len(rb)):
+                value = {c: rb.column(i)[k] for i, c in enumerate(columns)}
+                places = value["places"].values
+                number = np.zeros(0 if places is None else len(places), np.int64)
+                if len(number):
+                    number[places.to_numpy()] = value["numbers"].values.to_numpy()
+                n = value["starts"].values[-1].as_py()
+                value["numbers"] = number[unpack(value["columns"].as_py(), n)]
+                value["counts"] = unpack(value["counts"].as_py(), n)
+                yield pa.RecordBatch.from_arrays([pa.array([value[c] if isinstance(value[c], np.ndarray) else value[c].as_py()], t) for c, t in kinds.items()], names=list(kinds))
+
+    lists = [pa.list_(t) for t in (pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
+    kinds = dict(zip([x.split()[0] for x in MATRIX.split(", ")], [pa.int64(), *lists]))
+    both = shards.drop("words").join(numbered(shards), "shard", "left")
+    columns = both.columns
+    return both.mapInArrow(encode, MATRIX)
 
 
 def measured(matrix: DataFrame) -> DataFrame:
