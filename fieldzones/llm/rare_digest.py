@@ -226,11 +226,11 @@ def edited(raw: bytes, n_chars: int, after: bytes) -> tuple[int, int]:
     return place_of(raw, n_chars - n_chars // 3), place_of(after, n_chars // 3)
 
 
-def joined_levels(raw, own, keep, after, other, take, text):
-    """Levels of ``text`` = raw[:keep] + after[:take], of which only windows over the seam are new."""
+def joined_levels(text: bytes, own, keep, seam, other, take):
+    """Levels of ``text`` = raw[:keep] + after[:take] from those of raw, of the seam and of after."""
+    n = max(len(text) - WINDOW + 1, 0)
     left, right = max(keep - WINDOW + 1, 0), max(take - WINDOW + 1, 0)
-    a, b = max(keep - WINDOW + 1, 0), min(keep + WINDOW - 1, len(text))
-    return np.concatenate([own[:left], levels(np.frombuffer(text, np.uint8)[a:b]), other[:right]])
+    return np.concatenate([own[:left], seam[:n - left - right], other[:right]])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -271,11 +271,11 @@ def compared(docs: list[tuple], rank: np.ndarray) -> list[tuple]:
     texts = [raw for _, raw in docs]
     known = levels_of(texts)
     own = digests(texts, known, rank)
-    new, new_levels = [], []
-    for k in range(len(docs) - 1):
-        keep, take = edited(texts[k], chars(texts[k]), texts[k + 1])
-        new.append(texts[k][:keep] + texts[k + 1][:take])
-        new_levels.append(joined_levels(texts[k], known[k], keep, texts[k + 1], known[k + 1], take, new[k]))
+    cuts = [edited(texts[k], chars(texts[k]), texts[k + 1]) for k in range(len(docs) - 1)]
+    new = [texts[k][:keep] + texts[k + 1][:take] for k, (keep, take) in enumerate(cuts)]
+    # only windows over the seam are new
+    seams = levels_of([x[max(keep - WINDOW + 1, 0):keep + WINDOW - 1] for x, (keep, _) in zip(new, cuts)])
+    new_levels = [joined_levels(x, known[k], keep, seams[k], known[k + 1], take) for k, (x, (keep, take)) in enumerate(zip(new, cuts))]
     other = digests(new, new_levels, rank)
     return [(docs[k][0], chars(texts[k]), hashlib.sha256(new[k]).hexdigest(), str(own[k]), str(other[k]),
              likeness(own[k], other[k]), likeness(own[k], own[k + 1])) for k in range(len(docs) - 1)]
