@@ -1,19 +1,32 @@
-"""Distance-band neighbours and Moran's I.
+"""Distance-band neighbours, Moran's I and its permutation test.
 
 A plain ``distance <= r`` join plans as a nested loop.  Instead both sides are bucketed on
 an r x r lattice; one side is exploded over the 3 x 3 surrounding buckets and the pair is
 an equi-join on ``(codigo, bx, by)`` followed by the exact distance filter.  Every bucket
 holds a bounded number of points, so a large field spreads over many join keys.
+
+The permutation test deals the values of a field anew over its places, ``permutations`` times: in
+permutation k the place of a value is its rank by ``md5(seed:k:field:pid)``, so any engine draws
+the same ones.  The sums over neighbours are matrix products: tiles of ``TILE`` radii, with the points
+up to one radius around them, times the values of ``CHUNK`` permutations.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldzones.functions.numeric import distance
+from fieldzones.session import cut_lineage, dealt, join_small
+
+#: Edge of a tile in radii, permutations of one matrix product, rows of it at a time.
+TILE, CHUNK, ROWS = 5, 125, 512
+#: A permuted I this close to the observed one counts as equal to it (sums differ in the last bits).
+SAME = 1e-9
 
 
 def neighbour_pairs(df: DataFrame, radius: float = 50.0, keys=("codigo",), pid="pid",
@@ -103,3 +116,83 @@ def morans_i(df: DataFrame, cols: list[str], radius: float = 50.0, row_standardi
     out = s.select(*keys, "n", ei.alias("EI"), F.explode(F.array(*per_col)).alias("r"))
     out = out.select(*keys, "r.variable", "r.I", "EI", "r.z_norm", "n")
     return out.withColumn("p_norm", upper_tail(F.col("z_norm")))
+
+
+def permuted_values(points: DataFrame, cols: list[str], permutations: int, seed: int, keys: list[str]) -> DataFrame:
+    """keys, place, chunk, ks, and for each column the values at the place in permutations ``ks`` of
+    the chunk; permutation 0 is the observed one.  ``points``: keys, pid, place (1..n), cols.
+
+    The ids of one field and one permutation are ranked in one task (a sort that spills)."""
+    k = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k")
+    dealt = points.select(*keys, "pid", k, *cols)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"), *[F.col(c).cast("string") for c in keys], F.col("pid").cast("string")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "k").orderBy("draw", "pid"))
+    dealt = dealt.withColumn("draw", draw).withColumn("place", rank).select(*keys, "place", "k", *cols)
+    dealt = dealt.unionByName(points.select(*keys, "place", F.lit(0).alias("k"), *cols))
+    rows = dealt.groupBy(*keys, "place", F.floor(F.col("k") / CHUNK).cast("int").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("k", *cols))).alias("r"))
+    return rows.select(*keys, "place", "chunk", F.col("r.k").alias("ks"), *[F.col(f"r.{c}").alias(c) for c in cols])
+
+
+def _tile_sums(cols: list[str], keys: list[str], radius: float, row_standardised: bool):
+    """Group function of one tile and chunk: sums over the tile's own points of z_i * sum_j w_ij z_j."""
+    def run(t: pa.Table) -> pa.Table:
+        x, y, own = (t[c].to_numpy() for c in ("x", "y", "own"))
+        ks = t["ks"][0].as_py()
+        z = {c: t[c].combine_chunks().flatten().to_numpy().reshape(len(x), len(ks)) for c in cols}
+        total, weight = {c: np.zeros(len(ks)) for c in cols}, 0.0
+        for at in np.array_split(np.flatnonzero(own), max(1, -(-int(own.sum()) // ROWS))):
+            dx, dy = x[at, None] - x[None], y[at, None] - y[None]
+            w = (np.sqrt(dx * dx + dy * dy) <= radius).astype(float)
+            w[np.arange(len(at)), at] = 0.0
+            degree = w.sum(axis=1, keepdims=True)
+            if row_standardised:
+                w = np.divide(w, degree, out=w, where=degree > 0)
+            weight += float(w.sum())
+            for c in cols:
+                total[c] += (z[c][at] * (w @ z[c])).sum(axis=0)
+        n = len(cols)
+        return pa.table([pa.array([t[k][0].as_py()] * n) for k in keys] + [pa.array(cols), pa.array([ks] * n, pa.list_(pa.int32())),
+                        pa.array([total[c] for c in cols], pa.list_(pa.float64())), pa.array([weight] * n)], names=[*keys, "variable", "ks", "sums", "weight"])
+    return run
+
+
+def morans_i_permuted(df: DataFrame, cols: list[str], radius: float = 50.0, permutations: int = 999, seed: int = 42,
+                      row_standardised: bool = True, keys=("codigo",), pid="pid") -> DataFrame:
+    """M4: Moran's I with its permutation p-value: keys, variable, I, EI, n, n_extreme, p_sim.
+
+    Rows with a null in ``cols`` are left out.  ``n_extreme`` is the number of permutations whose I is
+    at least the observed one, or of the others if they are fewer; p = (n_extreme + 1) / (permutations + 1).
+    A field without neighbours or without variance has a null I and p.
+    """
+    keys = list(keys)
+    pts = df.select(*keys, F.col(pid).alias("pid"), "x", "y", *cols).na.drop(subset=["x", "y", *cols])
+    mean = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{c}") for c in cols])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("pid", "x", "y"))
+    pts = join_small(pts, mean, keys).select(*keys, "pid", "x", "y", "n", place.alias("place"), *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in cols])
+    pts = cut_lineage(pts)
+    edge = TILE * radius
+    here = lambda v, d: F.floor((F.col(v) + d) / edge)
+    # a point belongs to its own tile, and to those whose points it may neighbour
+    tiles = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(here("x", -radius), here("x", radius)), lambda a: F.transform(
+        F.sequence(here("y", -radius), here("y", radius)), lambda b: F.struct(a.alias("tx"), b.alias("ty")))))))
+    where = pts.select(*keys, "place", "x", "y", tiles.alias("t"), here("x", 0).alias("hx"), here("y", 0).alias("hy")).select(
+        *keys, "place", "x", "y", "t.tx", "t.ty", ((F.col("t.tx") == F.col("hx")) & (F.col("t.ty") == F.col("hy"))).alias("own"))
+    values = cut_lineage(permuted_values(pts, cols, permutations, seed, keys))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", variable string, ks array<int>, sums array<double>, weight double"
+    sums = (dealt(join_small(values, where, [*keys, "place"]), *keys, "tx", "ty", "chunk").groupBy(*keys, "tx", "ty", "chunk")
+            .applyInArrow(_tile_sums(cols, keys, radius, row_standardised), schema))
+    each = sums.select(*keys, "variable", "weight", F.explode(F.arrays_zip("ks", "sums")).alias("s"))
+    each = each.groupBy(*keys, "variable", F.col("s.ks").alias("k")).agg(F.sum("s.sums").alias("total"), F.sum("weight").alias("weight"))
+    squares = pts.groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(F.col(c) * F.col(c)).alias(c) for c in cols])
+    squares = squares.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("square")) for c in cols])).alias("q"))
+    each = join_small(each, squares.select(*keys, "n", "q.variable", "q.square"), [*keys, "variable"])
+    value = F.when((F.col("weight") > 0) & (F.col("square") > 0), F.col("n") / F.col("weight") * F.col("total") / F.col("square"))
+    each = cut_lineage(each.select(*keys, "variable", "n", "k", value.alias("I")))
+    seen = each.where("k = 0").select(*keys, "variable", "n", F.col("I"))
+    drawn = join_small(each.where("k > 0").select(*keys, "variable", F.col("I").alias("drawn")), seen, [*keys, "variable"])
+    larger = F.count_if(F.col("drawn") >= F.col("I") - SAME)
+    out = drawn.groupBy(*keys, "variable").agg(F.max("n").alias("n"), F.max("I").alias("I"), larger.alias("larger"))
+    extreme = F.when(F.col("I").isNotNull(), F.least(F.col("larger"), F.lit(permutations) - F.col("larger")))
+    return out.select(*keys, "variable", "I", (-1.0 / (F.col("n") - 1.0)).alias("EI"), "n", extreme.alias("n_extreme"), ((extreme + 1) / (permutations + 1.0)).alias("p_sim"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldzones.operators import (dosage, fcm, forest, kriging, moran, raster, samples, sampling,
+from fieldzones.operators import (dosage, fcm, forest, lattice, moran, raster, samples, sampling,
                                   spatial, stats, zonal)
 from fieldzones.session import cut_lineage, join_small
 from fieldzones.plans.zoning import ZONING_VARS
@@ -65,7 +65,7 @@ class Zoning:
 
 def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
                fields: DataFrame, c: int | None = None, num_trees: int = 1500,
-               radius: float = 50.0, max_lag: float = 100.0, n_lags: int = 6,
+               radius: float = 50.0, max_lag: float | None = None, n_lags: int = 6,
                out: str | None = None) -> Zoning:
     """Interpolation and management zones for every field (the second workflow).
 
@@ -80,19 +80,17 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
     have = [v for v in samples.SOIL_VARIABLES if v in grid.columns]
     long = sampling.unpivot(grid, have, keys=("codigo", "pid", "x", "y"), name="variable")
     long = cut_lineage(long.filter(F.col("value").isNotNull()))
-    model = kriging.fit_spherical(kriging.variogram(long, max_lag, n_lags))
     meta = raster.grid_meta(grid).withColumn("layer", F.lit("kriged"))
-    targets = raster.target_grid(meta).select("codigo", "layer", "tid", "row", "col", "x", "y")
-    k = kriging.krige(long, targets.select("codigo", "tid", "x", "y"), model)
-    kriged = spatial.pixels_in_polygons(
-        k.join(targets, ["codigo", "tid"]).select("codigo", "layer", "row", "col", "variable", "value"),
-        fields, meta)
+    blocks = lattice.lattice_blocks(long, extent=meta)
+    model = cut_lineage(lattice.fit_weighted(lattice.lattice_variogram(blocks, n_lags, max_dist=max_lag)))
+    cells = lattice.krige_lattice(lattice.solve_lattice(blocks, model)).withColumn("layer", F.lit("kriged"))
+    kriged = spatial.pixels_in_polygons(cells, fields, meta)
     zv = [v for v in ZONING_VARS if v in grid.columns]
     z = cut_lineage(stats.standardise(stats.impute_mean(grid, zv), zv))
     fit = stats.pca_fit(z, zv)
     scores = cut_lineage(stats.pca_transform(z, fit, zv, 3))
     pcs = [c for c in ("PC1", "PC2", "PC3") if c in scores.columns]
-    mi = moran.morans_i(scores, pcs, radius)
+    mi = moran.morans_i_permuted(scores, pcs, radius)
     fits, memb = fcm.fuzzy_cmeans(scores, pcs, cs=(2, 3, 4, 5) if c is None else (c,))
     memb = join_small(memb, fcm.choose_c(fits), ["codigo", "n_clusters"], "left_semi")
     zones = scores.select("codigo", "pid", "x", "y").join(memb.select("codigo", "pid", "u", "Cluster"),

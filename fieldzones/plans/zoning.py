@@ -155,6 +155,34 @@ def q_morans_i(spark, sf):
     return rounded(out.select("codigo", "variable", "I", "EI", "z_norm", "n"))
 
 
+_PERMUTED_SQL = """
+with z as (select codigo, pid, x, y, count(*) over (partition by codigo) as n, row_number() over (partition by codigo order by pid) as place,
+                  Arcilla - avg(Arcilla) over (partition by codigo) as za, Limo - avg(Limo) over (partition by codigo) as zl from fx_multivar),
+e as (select a.codigo, a.place as i, b.place as j, 1e0 / count(*) over (partition by a.codigo, a.place) as w
+      from z a join z b on a.codigo = b.codigo and a.pid <> b.pid
+      where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5e1),
+d as (select codigo, k, row_number() over (partition by codigo, k order by md5(concat_ws(':', '42', cast(k as varchar), codigo, cast(pid as varchar)))) as place, za, zl
+      from z, range(1, 1000) r(k)
+      union all select codigo, 0, place, za, zl from z),
+s as (select e.codigo, di.k, sum(e.w) as s0, sum(e.w * di.za * dj.za) as ca, sum(e.w * di.zl * dj.zl) as cl
+      from e join d di on di.codigo = e.codigo and di.place = e.i join d dj on dj.codigo = e.codigo and dj.place = e.j and dj.k = di.k
+      group by e.codigo, di.k),
+q as (select codigo, max(n) as n, sum(za * za) as qa, sum(zl * zl) as ql from z group by codigo),
+v as (select q.codigo, n, k, n / s0 * ca / qa as ia, n / s0 * cl / ql as il from q join s on s.codigo = q.codigo),
+r as (select codigo, 'Arcilla' as variable, n, k, ia as i from v union all select codigo, 'Limo', n, k, il from v),
+o as (select r.codigo, r.variable, max(r.n) as n, max(t.i) as i, count(*) filter (r.i >= t.i - 1e-9) as larger
+      from r join r t on t.codigo = r.codigo and t.variable = r.variable and t.k = 0 where r.k > 0 group by r.codigo, r.variable)
+select codigo, variable, round(i, 6) as I, n, least(larger, 999 - larger) as n_extreme, round((least(larger, 999 - larger) + 1) / 1e3, 6) as p_sim from o
+"""
+
+
+@register("morans_i_permuted", fx.oracle(_PERMUTED_SQL, "fx_multivar"))
+def q_morans_i_permuted(spark, sf):
+    """M4: Moran's I, the number of 999 permutations at least as extreme, and the p-value from it."""
+    out = moran.morans_i_permuted(multivar(spark, sf), ["Arcilla", "Limo"], RADIUS)
+    return rounded(out.select("codigo", "variable", "I", "n", "n_extreme", "p_sim"))
+
+
 @register("morans_i_pca")
 def q_morans_i_pca(spark, sf):
     """M4 on the three PCA scores, with the analytic one-sided p-value (rows check)."""

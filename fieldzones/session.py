@@ -132,3 +132,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks to spread generated rows over (all cores of the cluster)."""
     return max(int(spark.sparkContext.defaultParallelism), 1)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over all cores: for group functions whose work is not told by the bytes they
+    read (adaptive execution would join their small partitions into one task)."""
+    spark = df.sparkSession
+    return df.repartition(max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
