@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldzones.operators import (dosage, fcm, forest, lattice, moran, raster, samples, sampling,
+from fieldzones.operators import (dosage, fcm, field_forest, lattice, moran, raster, samples, sampling,
                                   spatial, stats, zonal)
 from fieldzones.session import cut_lineage, join_small
 from fieldzones.plans.zoning import ZONING_VARS
@@ -69,15 +69,18 @@ def zoning_job(features: DataFrame, sample_points: DataFrame, lab: DataFrame,
                out: str | None = None) -> Zoning:
     """Interpolation and management zones for every field (the second workflow).
 
+    Each field has its own forests, so a field without laboratory results has no zones.
     ``c`` = number of zones; None picks the c of greatest fuzzy partition coefficient.
     """
     grid = samples.standardise_layers(features)
     train = samples.join_lab(samples.standardise_layers(sample_points), lab)
     preds = samples.predictor_columns(train.columns)
-    imp, _ = forest.rf_importance(train, samples.SOIL_VARIABLES, preds, num_trees)
-    models = forest.rf_fit_selected(train, forest.select_predictors(imp), num_trees)
-    grid = cut_lineage(forest.rf_predict(grid, models))
-    have = [v for v in samples.SOIL_VARIABLES if v in grid.columns]
+    have, _ = samples.present(train.columns, samples.SOIL_VARIABLES)
+    forests = field_forest.fit(train, have, preds, num_trees)
+    imp = forests.importances
+    predicted = field_forest.predict(grid, forests).groupBy("codigo", "pid").agg(
+        *[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in have])
+    grid = cut_lineage(grid.drop(*have).join(predicted, ["codigo", "pid"]))
     long = sampling.unpivot(grid, have, keys=("codigo", "pid", "x", "y"), name="variable")
     long = cut_lineage(long.filter(F.col("value").isNotNull()))
     meta = raster.grid_meta(grid).withColumn("layer", F.lit("kriged"))

@@ -7,7 +7,8 @@ from fieldzones import fixtures
 FAST = ["zone_report", "zonal_mean", "polygon_area", "field_bounds", "zone_values", "chronology_codigo",
         "harvest_view", "unify_samples", "join_lab", "neighbour_pairs", "neighbour_histogram", "morans_i",
         "hard_label", "fcm_step", "rasterise_zones", "dissolve_zones", "stack_layers", "variogram",
-        "sampling_quota", "dosage_layer", "build_layers", "lab_profile", "pca_covariance"]
+        "sampling_quota", "dosage_layer", "build_layers", "lab_profile", "pca_covariance", "prepared_layers", "rf_stump",
+        "variogram_full", "variogram_fit", "morans_i_permuted"]
 
 
 def test_registry_consistent():
