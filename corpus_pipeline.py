@@ -9,8 +9,8 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the
 last return the columns of ``documents``.  The stages' cases (nulls, empty and long texts, ties,
 repeated rows, empty tables) are those of their operators.  Languages, pivotal draws and Order
-MinHash have no SQL form, so there is no ORACLE_SQL; tests hold run() against a brute-force
-version.
+MinHash have no SQL form, so there is no ORACLE_SQL; tests hold each stage against its operator,
+and the operators against brute-force versions.
 """
 
 from __future__ import annotations
