@@ -176,27 +176,28 @@ def _fast(n: int) -> int:
 
 
 class Stencil:
-    """Covariances of one model by lattice offset."""
+    """Covariances of one model by lattice offset, as far as its range and the lattice (nx, ny) reach."""
 
-    def __init__(self, psill: float, c0: float, rng: float, cell: float):
-        self.psill, self.c0, self.range, self.cell = psill, c0, rng, cell
-        self.reach = int(np.ceil(rng / cell)) if psill > 0 else 0
+    def __init__(self, g: dict, cell: float):
+        self.psill, self.c0, self.range, self.cell = g["psill"], g["c0"], g["range"], cell
+        reach = int(np.ceil(self.range / cell)) if self.psill > 0 else 0
+        self.ry, self.rx = min(reach, g["ny"]), min(reach, g["nx"])
 
     def at(self, dx, dy):
         h = np.sqrt(dx * dx + dy * dy) * (self.cell / self.range)
         return np.where((dx == 0) & (dy == 0), self.c0, np.where(h < 1, self.psill * (1.0 - 1.5 * h + 0.5 * h * h * h), 0.0))
 
     def kernel(self, shift: float = 0.0) -> np.ndarray:
-        """Covariances at the offsets -reach - 1 .. reach + 1, moved by ``shift`` cells."""
-        o = np.arange(-self.reach - 1, self.reach + 2) + shift
-        return self.at(o[None, :], o[:, None])
+        """Covariances at the offsets up to one cell over the reach, moved by ``shift`` cells."""
+        y, x = (np.arange(-r - 1, r + 2) + shift for r in (self.ry, self.rx))
+        return self.at(x[None, :], y[:, None])
 
     def convolve(self, a: np.ndarray, shift: float = 0.0) -> np.ndarray:
         """Sums of ``a`` (layers, rows, columns) times the covariance, where all nodes within reach are in ``a``."""
         k = self.kernel(shift)
-        n, r, size = a.shape[1], self.reach + 1, _fast(a.shape[1])
-        f = np.fft.rfft2(a, (size, size)) * np.fft.rfft2(k, (size, size))
-        return np.fft.irfft2(f, (size, size))[:, 2 * r:n, 2 * r:n]
+        size = tuple(map(_fast, a.shape[1:]))
+        f = np.fft.rfft2(a, size) * np.fft.rfft2(k, size)
+        return np.fft.irfft2(f, size)[:, 2 * self.ry + 2:a.shape[1], 2 * self.rx + 2:a.shape[2]]
 
     def factor(self, mask: np.ndarray):
         """Coefficients of each node over the nodes before it: a row for each pattern, and each node's pattern.
@@ -245,16 +246,16 @@ class Stencil:
         return out * mask[2 * NEAR:-2 * NEAR, 2 * NEAR:-2 * NEAR]
 
 
-def _mosaic(t: pa.Table, column: str, margin: int, kind=np.float64, layers: int = 1) -> np.ndarray:
-    """The block at the middle of a group with ``margin`` cells around it, from its neighbours' rows."""
-    rings = -(-margin // BLOCK)
-    out = np.zeros((layers, (2 * rings + 1) * BLOCK, (2 * rings + 1) * BLOCK), kind)
+def _mosaic(t: pa.Table, column: str, margin: tuple[int, int], kind=np.float64, layers: int = 1) -> np.ndarray:
+    """The block at the middle of a group with ``margin`` cells (rows, columns) around it, from its neighbours' rows."""
+    ry, rx = (-(-m // BLOCK) for m in margin)
+    out = np.zeros((layers, (2 * ry + 1) * BLOCK, (2 * rx + 1) * BLOCK), kind)
     for packed, ex, ey in zip(t[column], t["ex"].to_pylist(), t["ey"].to_pylist()):
-        if (raw := packed.as_py()) is not None:
-            y, x = (rings + ey) * BLOCK, (rings + ex) * BLOCK
+        if abs(ey) <= ry and abs(ex) <= rx and (raw := packed.as_py()) is not None:
+            y, x = (ry + ey) * BLOCK, (rx + ex) * BLOCK
             out[:, y:y + BLOCK, x:x + BLOCK] = np.frombuffer(raw, kind).reshape(layers, BLOCK, BLOCK)
-    cut = rings * BLOCK - margin
-    return out[:, cut:out.shape[1] - cut, cut:out.shape[2] - cut]
+    cut_y, cut_x = ry * BLOCK - margin[0], rx * BLOCK - margin[1]
+    return out[:, cut_y:out.shape[1] - cut_y, cut_x:out.shape[2] - cut_x]
 
 
 def _spread(blocks: DataFrame, reach, carried: list[str], own: list[str]) -> DataFrame:
@@ -353,13 +354,13 @@ def solve_lattice(blocks: DataFrame, model: DataFrame, cell: float = 10.0, keys=
         if not len(mine):  # a block of the lattice without nodes
             return out_schema.empty_table()
         row = t.slice(int(mine[0]), 1).to_pylist()[0]
-        st = Stencil(row["psill"], row["c0"], row["range"], cell)
-        reach = st.reach + 1
-        r = _mosaic(t, "r", reach + 2 * NEAR, layers=2)
-        mask = _mosaic(t, "mask", reach + 2 * NEAR, bool)[0]
+        st = Stencil(row, cell)
+        around = st.ry + 1 + 2 * NEAR, st.rx + 1 + 2 * NEAR
+        r = _mosaic(t, "r", around, layers=2)
+        mask = _mosaic(t, "mask", around, bool)[0]
         z = st.precondition(r, mask)
         w = st.convolve(z) * _grid(row["mask"], bool)
-        z, own = z[:, reach:reach + BLOCK, reach:reach + BLOCK], _grid(row["r"], layers=2)
+        z, own = z[:, st.ry + 1:st.ry + 1 + BLOCK, st.rx + 1:st.rx + 1 + BLOCK], _grid(row["r"], layers=2)
         row |= {"z": np.ascontiguousarray(z).tobytes(), "w": np.ascontiguousarray(w).tobytes()}
         for k, side in enumerate("uv"):
             row |= {"rz" + side: float((own[k] * z[k]).sum()), "wz" + side: float((w[k] * z[k]).sum()), "rr" + side: float((own[k] * own[k]).sum())}
@@ -404,9 +405,9 @@ def krige_lattice(solved: DataFrame, cell: float = 10.0, keys=("codigo", "variab
 
     def apply(t: pa.Table) -> pa.Table:
         g = {c: t[c][0].as_py() for c in [*keys, "nx", "ny", "mean", "m", "psill", "c0", "range", "bx", "by"]}
-        st = Stencil(g["psill"], g["c0"], g["range"], cell)
+        st = Stencil(g, cell)
         near = t.filter(pa.compute.is_valid(t["x"]))
-        x = _mosaic(near, "x", st.reach + 1, layers=2) if len(near) else np.zeros((2, BLOCK + 2 * st.reach + 2, BLOCK + 2 * st.reach + 2))
+        x = _mosaic(near, "x", (st.ry + 1, st.rx + 1), layers=2) if len(near) else np.zeros((2, BLOCK + 2 * st.ry + 2, BLOCK + 2 * st.rx + 2))
         value = g["mean"] + g["m"] + st.convolve((x[0] - g["m"] * x[1])[None], 0.5)[0]
         i, j = np.meshgrid(np.arange(BLOCK) + g["bx"] * BLOCK, np.arange(BLOCK) + g["by"] * BLOCK)
         inside = (i < g["nx"] - 1) & (j < g["ny"] - 1)
@@ -424,7 +425,7 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
     keys = list(keys)
     kinds = dict(solved.dtypes)
     reach = F.when(F.col("psill") > 0, F.ceil(F.col("range") / cell)).otherwise(0) + 1
-    sent = _spread(solved, reach, [*keys, "x", "psill", "c0", "range"], ["x0", "y0", "mean", "mask", "value"])
+    sent = _spread(solved, reach, [*keys, "x", "psill", "c0", "range"], ["x0", "y0", "nx", "ny", "mean", "mask", "value"])
 
     def apply(t: pa.Table) -> pa.Table:
         mine = np.flatnonzero((t["ex"].to_numpy() == 0) & (t["ey"].to_numpy() == 0))
@@ -432,14 +433,14 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
         if not len(mine):
             return pa.table([pa.array([], pa.string() if c in keys else pa.float64()) for c in names], names=names)
         row = t.slice(int(mine[0]), 1).to_pylist()[0]
-        st = Stencil(row["psill"], row["c0"], row["range"], cell)
-        u = _mosaic(t, "x", st.reach, layers=2)[0]
+        st = Stencil(row, cell)
+        u = _mosaic(t, "x", (st.ry, st.rx), layers=2)[0]
         total = np.zeros((BLOCK, BLOCK))
-        for dy in range(-st.reach, st.reach + 1):
-            for dx in range(-st.reach, st.reach + 1):
+        for dy in range(-st.ry, st.ry + 1):
+            for dx in range(-st.rx, st.rx + 1):
                 c = float(st.at(np.float64(dx), np.float64(dy)))
                 if c:
-                    total += c * u[st.reach + dy:st.reach + dy + BLOCK, st.reach + dx:st.reach + dx + BLOCK]
+                    total += c * u[st.ry + dy:st.ry + dy + BLOCK, st.rx + dx:st.rx + dx + BLOCK]
         j, i = np.nonzero(_grid(row["mask"], bool))
         return pa.table([*[pa.array([row[k]] * len(i), pa.string()) for k in keys], pa.array(row["x0"] + (i + row["bx"] * BLOCK) * cell),
                          pa.array(row["y0"] + (j + row["by"] * BLOCK) * cell), pa.array(total[j, i] + row["mean"]), pa.array(_grid(row["value"])[j, i])], names=names)
