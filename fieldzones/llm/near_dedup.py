@@ -8,20 +8,22 @@ J^MINIMA (J: shared runs), and not if shared runs are in another order, which fo
 similarity.  All keys miss a pair with a chance of 0.1 % at J = 0.5, which an edit similarity of 0.9
 still has, and of 1 in 10^10 at J = 0.8 (of 3 in 10^6 for the finer keys below).
 
-Equal texts are one node (MD5).  A bucket's members are not compared with each other: of each
-component in it the member of least doc_id is compared with that of the largest component, for a
-few hash functions after the other, so that a large group of near copies is one component before
-most of its buckets are looked at.  In the finer buckets of ``FINER`` minima, which texts that only
-share a passage seldom crowd, the first text of each component is then compared with those of some
-``LEADERS`` others (by a hash for each bucket).  All this only joins components early.  Last, of every
-bucket of either kind that still holds several components, all members are compared with all those
-of its other components, in blocks of ``BLOCK`` members: every pair of a bucket is in one component
-or compared.
+Equal texts are one node (MD5).  First, of each component in a bucket the member of least doc_id is
+compared with that of the largest component, for a few hash functions after the other, so that a
+large group of near copies is one component before most of its buckets are looked at.  This only
+joins components early.  Then, of every bucket of either kind (of ``MINIMA`` and of ``FINER`` minima)
+that still holds several components, all members are compared with all those of its other
+components: every pair of a bucket is in one component or compared.  Similar texts differ by a
+factor of 1.25 in length at most, so members are compared within a class of such lengths and with
+the class below; a class is dealt into blocks of about ``BLOCK`` members or ``BLOCK_WORDS`` words, and
+each two blocks meet in a task with their words once.  No pair is written, shuffled or joined there.
 
 A pair is linked if its word edit distance is at most 0.2 of the longer text.  It is computed
 exactly (on 32 bits of word hashes), in bands that widen as long as needed, many pairs at a time;
 pairs whose lengths, bits of their words, or shared runs of three words rule that distance out
-(each an exact bound) are not aligned.  Classes are the components of the links (alternating large-star and small-star rounds).
+(each an exact bound) are not aligned, nor are those that links found before have joined.  Classes
+are the components of the links (alternating large-star and small-star rounds over the components
+found so far).  A group of m texts that share buckets and are not similar takes m^2 / 2 bounds.
 
 Null text counts as empty, and all texts without a word that are equal are one class.  Texts of
 fewer than five words only match equal word sequences.  Repeated rows are one class.  An empty
@@ -40,18 +42,17 @@ from pyspark.sql.window import Window
 
 from fieldzones.llm import base
 from fieldzones.llm.registry import register
+from fieldzones.session import dealt
 
 SHINGLE, SKETCHES, MINIMA, FINER, SIMILARITY = 5, 24, 2, 4, 0.8
 _rng = np.random.default_rng(77)
 _FLIP, _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64), _rng.integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _CELLS, _PADDED = 1 << 15, 1 << 20  # of one band and row, and of padded sequences
-#: Components of a finer bucket whose first texts are compared early with those of all others there.
-LEADERS, BITS = 16, 1024
+BITS = 1024
 #: Bands whose buckets are linked by stars, one group after the other.
 STARS = ((0, 3), (3, 8), (8, SKETCHES))
-#: Bands whose buckets are compared whole, one group after the other (the finer ones first), and the
-#: members of a bucket in one block.
-WHOLE, BLOCK = ((SKETCHES, SKETCHES + 6), (SKETCHES + 6, 2 * SKETCHES), (0, 6), (6, SKETCHES)), 1024
+#: Members of one block of a bucket, and their words (a longer text is a block's size by itself).
+BLOCK, BLOCK_WORDS = 512, 1 << 20
 
 
 def word_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,17 +214,17 @@ def similar(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def sequences(texts: DataFrame) -> DataFrame:
-    """(node, words) with 32 bits of the word hashes of (node, text) as bytes."""
+    """(node, keys, words) with 32 bits of the word hashes of (node, keys, text) as bytes."""
     def run(batches):
         for rb in batches:
             out = []
-            for _, _, data, offs in base.pieces(rb.column(1)):
+            for _, _, data, offs in base.pieces(rb.column(2)):
                 w, first = word_ids(data, offs)
                 w = (w >> np.uint64(32)).astype(np.uint32)
                 out += [w[first[i]:first[i + 1]].tobytes() for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(out, pa.binary())], names=["node", "words"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out, pa.binary())], names=["node", "keys", "words"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, words binary")
+    return texts.select("node", "keys", "text").mapInArrow(run, "node long, keys array<long>, words binary")
 
 
 # ------------------------------------------------------------------------------------ links
@@ -236,9 +237,9 @@ def plausible(a: str, b: str, similarity: float = SIMILARITY):
     return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= limit) & (differ <= 2 * limit)
 
 
-def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFrame | None:
-    """Verified links (leader, member) between the nodes (node, text_key, id, keys, n, vec); None
-    where no two nodes share a bucket."""
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes (node, text_key, id, keys, n, vec) that share a bucket with another:
+    root is the least node of its component of verified links.  None where no two share one."""
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     rank = nodes.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
@@ -247,7 +248,7 @@ def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFram
         return None
     some = crowd.select("node").distinct().join(nodes, "node")
     texts = docs.select(F.col("text_key").alias("key_"), F.col("doc_id").alias("id_"), "text")
-    texts = texts.join(some, (F.col("key_") == F.col("text_key")) & F.col("id_").eqNullSafe(F.col("id"))).select("node", "text")
+    texts = texts.join(some, (F.col("key_") == F.col("text_key")) & F.col("id_").eqNullSafe(F.col("id"))).select("node", "keys", "text")
     words = base.stored(sequences(texts).dropDuplicates(["node"]))  # rows of one id and text
     signs = base.stored(some.select("node", "n", "vec"))
 
@@ -259,59 +260,152 @@ def links(docs: DataFrame, nodes: DataFrame, leaders: int = LEADERS) -> DataFram
         rows = pairs.join(named(words, "leader", "words"), "leader").join(named(words, "member", "words"), "member")
         return base.stored(similar(rows.select("leader", "member", "leader_words", "member_words")))
 
-    def rooted(rows: DataFrame, asked: DataFrame | None) -> DataFrame:
-        if asked is None:
-            return rows.withColumn("root", F.col("node"))
-        roots = components(asked.where("linked").select("leader", "member"))
-        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def new(pairs: DataFrame, asked: DataFrame | None) -> DataFrame:
-        pairs = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
-        return pairs if asked is None else pairs.join(asked, ["leader", "member"], "left_anti")
+    def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
+        """The roots after more links: components are found among the roots alone."""
+        between = linked.join(named(roots, "leader", "root"), "leader").join(named(roots, "member", "root"), "member")
+        joined = components(between.select("leader_root", "member_root")).toDF("root", "to")
+        return base.stored(roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
+    roots = signs.select("node", F.col("node").alias("root"))
     asked = None
     for a, b in STARS:  # the first of each component in a bucket against that of the largest
-        rows = rooted(crowd.where(F.col("band").between(a, b - 1)), asked)
+        rows = crowd.where(F.col("band").between(a, b - 1)).join(roots, "node")
         firsts = base.stored(rows.groupBy("band", "key", "root").agg(F.min("rank").alias("rank"), F.count("*").alias("c")))
         tops = firsts.groupBy("band", "key").agg(F.max(F.struct("c", "rank")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("band", "key", F.col("top.rank.node").alias("leader"))
         pairs = firsts.join(tops, ["band", "key"]).select("leader", F.col("rank.node").alias("member")).where("leader <> member")
-        pairs = new(pairs, asked).join(named(signs, "member", "n", "vec"), "member").join(named(signs, "leader", "n", "vec"), "leader").where(plausible("member_", "leader_"))
+        pairs = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
+        pairs = pairs if asked is None else pairs.join(asked, ["leader", "member"], "left_anti")
+        pairs = pairs.join(named(signs, "member", "n", "vec"), "member").join(named(signs, "leader", "n", "vec"), "leader").where(plausible("member_", "leader_"))
         checked = check(pairs.select("leader", "member"))
         asked = checked if asked is None else asked.unionByName(checked)
-    # in the finer buckets, the first of every component against those of some components
-    rows = rooted(crowd.where(F.col("band") >= SKETCHES), asked)
-    firsts = rows.groupBy("band", "key", "root").agg(F.min("rank.node").alias("node"))
-    firsts = base.stored(firsts.join(signs, "node"))
-    many = firsts.groupBy("band", "key").agg(F.count("*").alias("roots")).where("roots > 1")
-    turns = F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("roots") / leaders)) == 0
-    rows = base.stored(firsts.join(many, ["band", "key"]).withColumn("leads", turns))
-    some = rows.where("leads").select("band", "key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "vec")])
-    near = (F.col("root") != F.col("other_root")) & plausible("", "other_")
-    pairs = rows.join(some, ["band", "key"]).where(near).select(F.col("other_node").alias("leader"), F.col("node").alias("member"))
-    asked = asked.unionByName(check(new(pairs, asked)))
-    for a, b in WHOLE:  # all members that are still apart, block by block
-        rows = rooted(crowd.where(F.col("band").between(a, b - 1)), asked)
-        asked = asked.unionByName(check(new(apart(rows, signs), asked)))
-    return asked.where("linked").select("leader", "member")
-
-
-def apart(rows: DataFrame, signs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """All plausible pairs (leader, member) of one bucket and different roots, from (node, band, key,
-    root).  A bucket's members are dealt into blocks by a hash, and every two blocks (and each with
-    itself) meet under a key of their own, so that no task holds a whole bucket."""
-    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    mixed = rows.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("z"), blocks).where("a < z").select("band", "key", "blocks")
-    rows = rows.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = base.stored(rows.join(signs, "node"))
-    one = rows.withColumn("other", F.explode(F.sequence("own", F.col("blocks") - 1)))
-    two = rows.select("band", "key", F.explode(F.sequence(F.lit(0), "own")).alias("own"), F.col("own").alias("other"), *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "vec")])
-    once = (F.col("own") < F.col("other")) | (F.col("node") < F.col("other_node"))
-    near = (F.col("root") != F.col("other_root")) & once & plausible("", "other_")
-    return one.join(two, ["band", "key", "own", "other"]).where(near).select(F.col("node").alias("leader"), F.col("other_node").alias("member"))
+        roots = merged(roots, checked.where("linked"))
+    return merged(roots, base.stored(met(blocks(crowd.join(roots, "node"), signs, words))))
+
+
+def blocks(rows: DataFrame, signs: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (band, key, zone, p, q, at, node, root, keys, words) of every two blocks that meet, from
+    (node, band, key, root).  ``zone`` is a class of lengths; its own blocks are numbered first, then
+    those of the class below, which visit it.  Blocks p <= q meet, p an own one; ``at`` is the row's."""
+    ratio = float(np.log(1 / SIMILARITY + 1e-7))  # similar texts are at most one class apart
+    zone = F.floor(F.log("n") / ratio).cast("int")
+    rows = rows.select("node", "band", "key", "root").join(signs.select("node", "n"), "node").withColumn("own", zone)
+    rows = rows.withColumn("zone", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("own", F.col("own") == F.col("zone"))
+
+    def parts(own: Column) -> Column:
+        return F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_WORDS)).cast("int")
+
+    mixed = rows.groupBy("band", "key", "zone").agg(F.min("root").alias("a"), F.max("root").alias("z"), parts(F.col("own")).alias("owns"), parts(~F.col("own")).alias("visits"))
+    mixed = mixed.where("a < z and owns > 0").select("band", "key", "zone", "owns", "visits")
+    rows = rows.join(mixed, ["band", "key", "zone"])
+    deal = F.xxhash64("node")
+    rows = rows.withColumn("at", F.when(F.col("own"), F.pmod(deal, F.col("owns"))).otherwise(F.col("owns") + F.pmod(deal, F.greatest("visits", F.lit(1)))).cast("int"))
+    last = F.when(F.col("own"), F.col("owns") + F.col("visits")).otherwise(F.col("owns")) - 1
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("band", "key", "zone", F.least("at", "with").alias("p"), F.greatest("at", "with").alias("q"), "at", "node", "root")
+    rows = base.stored(rows.join(words, "node").select("band", "key", "zone", "p", "q", "at", "node", "root", "keys", "words"))
+    group = ["band", "key", "zone", "p", "q"]
+    return dealt(rows, *group).sortWithinPartitions(*group)
+
+
+def met(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (leader, member) among the rows of ``blocks``, sorted by the blocks that meet: enough of
+    them to join all that are linked.  A task holds the two blocks of a meeting, or a batch of them."""
+    def run(batches):
+        held = None
+        for rb in batches:
+            t = pa.Table.from_batches([rb] if held is None else [*held.to_batches(), rb]).combine_chunks()
+            first = meetings(t)
+            cut = int(first[-1]) if len(first) else 0
+            if cut:
+                yield compare(t.slice(0, cut), similarity)
+            held = t.slice(cut)
+        if held is not None and len(held):
+            yield compare(held, similarity)
+
+    return rows.mapInArrow(run, "leader long, member long")
+
+
+def meetings(t: pa.Table) -> np.ndarray:
+    """The first row of each meeting of two blocks."""
+    new = np.zeros(len(t), bool)
+    new[:1] = True
+    for c in ("band", "key", "zone", "p", "q"):
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def compare(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    col = lambda c: t.column(c).to_numpy()
+    node, band, at, p, q = col("node"), col("band"), col("at"), col("p"), col("q")
+    names, root = np.unique(col("root"), return_inverse=True)
+    raw, offs = base.text_bytes(t.column("words"))
+    raw, offs = raw.view(np.uint32), offs // 4
+    n = np.diff(offs)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    first = np.append(meetings(t), len(t))
+    found = []
+    for a, b in zip(first[:-1], first[1:]):
+        if b - a > 1 and (root[a:b] != root[a]).any():
+            here = np.flatnonzero(at[a:b] == p[a]) + a
+            there = here if p[a] == q[a] else np.flatnonzero(at[a:b] == q[a]) + a
+            found.append(candidates(here, there, raw, offs, n, root, keys, int(band[a]), similarity))
+    i, j = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
+    limit = np.floor(np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9).astype(np.int64)
+    out, turn = [], 1
+    while len(i):  # a pair or a few of every two components, then of those still apart
+        apart = root[i] != root[j]
+        i, j, limit = i[apart], j[apart], limit[apart]
+        code = np.minimum(root[i], root[j]) * len(names) + np.maximum(root[i], root[j])
+        order = np.argsort(code, kind="stable")
+        s = code[order]
+        nth = np.arange(len(s)) - np.searchsorted(s, s)
+        now, later = order[nth < turn], order[nth >= turn]
+        pairs = [(raw[offs[x]:offs[x + 1]], raw[offs[y]:offs[y + 1]]) for x, y in zip(i[now], j[now])]
+        least = np.array([lower_bound(x.astype(np.uint64), y.astype(np.uint64)) for x, y in pairs], np.int64)
+        for k in now[distances(pairs, limit[now], least) <= limit[now]]:
+            x, y = root[i[k]], root[j[k]]
+            if x != y:
+                out.append((node[i[k]], node[j[k]]))
+                root[root == max(x, y)] = min(x, y)
+        i, j, limit = i[later], j[later], limit[later]
+        turn *= 4
+    return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["leader", "member"])
+
+
+def candidates(here, there, raw, offs, n, root, keys, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (here, there; each once where both are one block) of different roots that may be
+    similar and share no bucket of an earlier band, where they meet as well.  An edit changes the
+    length by one, and takes and adds q (run of q words, occurrence) at most."""
+    limit = np.floor(np.maximum(n[here][:, None], n[there][None]) * (1 - similarity) + 1e-9)
+    may = (root[here][:, None] != root[there][None]) & (np.abs(n[here][:, None] - n[there][None]) <= limit)
+    if here is there:
+        may &= here[:, None] < there[None]
+    x, y = np.nonzero(may)
+    limit = limit[x, y]
+    if len(x) > 64:  # fewer are as soon bounded one by one
+        rows = here if here is there else np.concatenate([here, there])
+        first = np.concatenate([[0], np.cumsum(n[rows])])
+        words = base.mix(np.concatenate([raw[offs[r]:offs[r + 1]] for r in rows]).astype(np.uint64))
+        width = 1 << int(np.clip(4 * n[rows].max(), 256, 8192) - 1).bit_length()
+        for k in (1, 2):
+            runs, start = labelled_runs(words, first, k)
+            has = np.zeros((len(rows), width), np.float32)
+            has[np.repeat(np.arange(len(rows)), np.diff(start)), (runs >> np.uint64(40)).astype(np.int64) % width] = 1
+            a, b = has[:len(here)], has[-len(there):]
+            differ = a.sum(axis=1)[:, None] + b.sum(axis=1)[None] - 2 * (a @ b.T)
+            good = differ[x, y] <= 2 * k * limit
+            x, y, limit = x[good], y[good], limit[good]
+    i, j = here[x], there[y]
+    for k in range(0, band):
+        good = keys[i, k] != keys[j, k]
+        i, j = i[good], j[good]
+    return i, j
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (u, v): root is the least node of its component."""
+    """(node, root) of every node of the edges (u, v): root is the least node of its component.
+    A round shortens paths; one more than needed finds that nothing changes."""
     size = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 32))).first())
     edges = base.stored(edges.toDF("u", "v").where("u <> v").distinct())
     was = size(edges)
@@ -339,9 +433,9 @@ def classes(docs: DataFrame) -> DataFrame:
     firsts = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "times")).alias("f")).select("text_key", "f.id", "f.times")
     keys = sketches(docs).groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("keys", "n", "vec")])
     nodes = base.stored(firsts.join(keys, "text_key").withColumn("node", F.monotonically_increasing_id()))
-    edges = links(docs, nodes)
+    roots = links(docs, nodes)
     found = nodes.select("node", "text_key", "id", "times")
-    found = found.withColumn("root", F.col("node")) if edges is None else found.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = found.withColumn("root", F.col("node")) if roots is None else found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("c")
     reps = found.groupBy("root").agg(first).select("root", F.col("c.id").alias("class_id"), F.col("c.text_key").alias("class_key"))
     return base.stored(found.join(reps, "root").select("text_key", "id", "times", "class_id", "class_key"))
