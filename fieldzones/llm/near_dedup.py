@@ -144,8 +144,9 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, le
             k = min(len(now), i + max(1, _CELLS // (2 * t + 1)))
             k = max(i + 1, i + int(np.searchsorted(size[now[i:k], 0] * np.arange(1, k - i + 1), _PADDED)))
             rows = now[i:k]
-            d = band([pairs[r] for r in rows], size[rows], t)
-            good = d <= np.minimum(t, limits[rows])
+            most = np.minimum(t, limits[rows])
+            d = band([pairs[r] for r in rows], size[rows], t, most)
+            good = d <= most
             out[rows[good]] = d[good]
             i = k
         todo = todo[(out[todo] > limits[todo]) & (limits[todo] > t)]
@@ -153,9 +154,10 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray, le
     return out
 
 
-def band(pairs, size: np.ndarray, t: int) -> np.ndarray:
-    """Distances that are at most ``t`` (others come out above), in a band of 2 t + 1 diagonals.
-    Pairs are sorted by the length of the first sequence."""
+def band(pairs, size: np.ndarray, t: int, most: np.ndarray) -> np.ndarray:
+    """Distances that are at most ``most`` (itself at most ``t``; others come out above), in a band of
+    2 t + 1 diagonals.  Pairs are sorted by the length of the first sequence.  Every 16 rows, pairs go
+    whose cells all lead to more: the rest of a way costs as much as its diagonals differ, at least."""
     p, width = len(pairs), 2 * t + 1
     n, m = int(size[:, 0].max(initial=0)), int(size.max(initial=0))
     a = np.zeros((n, p), np.uint32)
@@ -167,18 +169,23 @@ def band(pairs, size: np.ndarray, t: int) -> np.ndarray:
     far = np.int32(1 << 28)
     d = np.broadcast_to(np.where(ramp >= t, ramp - t, far), (width, p)).astype(np.int32)
     out = np.full(p, far, np.int64)
-    done = 0  # d holds the pairs from this one on
+    last = (size[:, 1] - size[:, 0] + t).astype(np.int32)  # the place of a pair's last cell
+    left = np.arange(p)  # the pairs in d
     for i in range(n + 1):
-        was = done
-        while done < p and size[done, 0] == i:
-            out[done] = d[size[done, 1] - i + t, done - was]
-            done += 1
-        if i == n:
+        done = int(np.searchsorted(size[left, 0], i, "right"))
+        if done:
+            out[left[:done]] = d[last[left[:done]], np.arange(done)]
+            left, a, b, d = left[done:], a[:, done:], b[:, done:], d[:, done:]
+        if i == n or not len(left):
             break
-        if done > was:
-            d = d[:, done - was:]
+        if i % 16 == 15:
+            keep = (d + np.abs(ramp - last[left])).min(axis=0) <= most[left]
+            if 4 * keep.sum() <= 3 * len(left):
+                left, a, b, d = left[keep], a[:, keep], b[:, keep], d[:, keep]
+                if not len(left):
+                    break
         # row i + 1: column j of it is at place j - (i + 1) + t
-        new = d + (b[i:i + width, done:] != a[i, done:])
+        new = d + (b[i:i + width] != a[i])
         np.minimum(new[:-1], d[1:] + 1, out=new[:-1])
         d = new
         if i + 1 <= t:
