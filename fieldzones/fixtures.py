@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldzones.session import parallelism, stored_bytes
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
@@ -142,6 +144,9 @@ DEPENDS = {
 # Base tables whose rows the recipes multiply into large fixtures.
 GENERATORS = {"part", "orders", "customer", "supplier", "embeddings"}
 
+# Bytes of a base file whose derived rows one task makes.
+GENERATOR_BYTES = 256 << 10
+
 # Fixtures with one row per field, zone, vertex or sample: cached once derived.
 SMALL = {"fx_fields", "fx_field_vertices", "fx_zones", "fx_zone_vertices", "fx_raster_meta",
          "fx_samples", "fx_soil_lab"}
@@ -185,13 +190,13 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
         for d in DEPENDS.get(n, (n,) if n in BASE_TABLES else ()):
             if d in BASE_TABLES:
                 bases.add(d)
-    par = max(int(spark.sparkContext.defaultParallelism), 1)
     for b in sorted(bases):
         df = spark.read.parquet(f"{sf_dir}/{b}.parquet")
         if b in GENERATORS:
             # a small file that is multiplied by the recipes (part -> pixels, orders ->
-            # chronology): spread it over all cores so the derived rows are made in parallel
-            df = df.repartition(par)
+            # chronology): spread it over all cores so the derived rows are made in parallel, and
+            # into bounded tasks where it is large
+            df = df.repartition(max(parallelism(spark), -(-stored_bytes(df) // GENERATOR_BYTES)))
         df.createOrReplaceTempView(b)
     for n in needed:
         df = spark.sql(sql_text(n, "spark"))

@@ -8,11 +8,11 @@ feature table is a pivot with an explicit layer list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldzones.functions import crs as crs_mod
-from fieldzones.session import join_small, parallelism
+from fieldzones.session import cut_lineage, join_small, parallelism
 
 
 def lookup_cells(points: DataFrame, meta: DataFrame, layers: list[str]) -> DataFrame:
@@ -26,25 +26,44 @@ def lookup_cells(points: DataFrame, meta: DataFrame, layers: list[str]) -> DataF
                      "n_rows", "n_cols")
 
 
+def grid_ids(meta: DataFrame, geometry=("x0", "y0", "res_x", "res_y")) -> DataFrame:
+    """``meta`` with ``grid``: the layers of a field with one geometry share a number (small: a row
+    for each raster)."""
+    return meta.withColumn("grid", F.dense_rank().over(Window.partitionBy("codigo").orderBy(*geometry)))
+
+
 def sample_layers(points: DataFrame, pixels: DataFrame, meta: DataFrame,
                   layers: list[str], keys=("codigo", "pid")) -> DataFrame:
     """Value of every layer at every point, as one column per layer (wide table).
 
-    Points outside a raster get null.  The join is on the full cell key, so no key is hot.
+    Points outside a raster get null.  The layers of a grid lie side by side in one row per cell before
+    they are shuffled, and a point meets each grid of its field once.  The join is on the full cell
+    key, so no key is hot, and the rows of a point in one grid are united where they were joined.
     """
-    cells = lookup_cells(points.select(*keys, "x", "y"), meta, layers)
-    px = pixels.select("codigo", "layer", "row", "col", "value")
-    hit = cells.join(px, ["codigo", "layer", "row", "col"], "left")
-    # one value per (point, layer): a single conditional aggregate instead of a two-phase pivot
-    wide = hit.groupBy(*keys, "x", "y").agg(
+    m = meta.filter(F.col("layer").isin(layers)).select("codigo", "layer", "x0", "y0", "res_x", "res_y").distinct()
+    m = cut_lineage(grid_ids(m))
+    # one value per (cell, layer): a single conditional aggregate instead of a two-phase pivot
+    px = join_small(pixels.select("codigo", "layer", "row", "col", "value"), m.select("codigo", "layer", "grid"), ["codigo", "layer"])
+    wide = px.groupBy("codigo", "grid", "row", "col").agg(
         *[F.max(F.when(F.col("layer") == l, F.col("value"))).alias(l) for l in layers])
-    return wide.select(*keys, "x", "y", *layers)
+    grids = m.drop("layer").distinct()
+    cells = join_small(points.select(*keys, "x", "y"), grids, "codigo")
+    cells = cells.select(*keys, "x", "y", "grid", F.floor((F.col("y0") - F.col("y")) / F.col("res_y")).cast("int").alias("row"),
+                         F.floor((F.col("x") - F.col("x0")) / F.col("res_x")).cast("int").alias("col"))
+    cell = ["codigo", "grid", "row", "col"]
+    hit = cells.hint("merge").join(wide, cell, "left")  # the size of generated points is not known
+    place = [*[k for k in keys if k != "codigo"], "x", "y"]
+    out = hit.groupBy(*cell, *place).agg(*[F.max(l).alias(l) for l in layers])
+    if not grids.groupBy("codigo").count().filter("count > 1").isEmpty():
+        out = out.groupBy("codigo", *place).agg(*[F.max(l).alias(l) for l in layers])
+    return out.select(*keys, "x", "y", *layers)
 
 
 def stack_layers(pixels: DataFrame, layers: list[str], keys=("codigo", "row", "col")) -> DataFrame:
-    """Aligned layers side by side (the raster stack) - a pivot of the long table."""
-    return (pixels.groupBy(*keys).pivot("layer", layers).agg(F.first("value"))
-            .select(*keys, *layers))
+    """Aligned layers side by side (the raster stack): one conditional aggregate, so that the layers of
+    a cell that lie together are united before the only shuffle (a pivot keeps them apart)."""
+    return pixels.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("layer") == l, F.col("value")), ignorenulls=True).alias(l) for l in layers])
 
 
 def bilinear(targets: DataFrame, pixels: DataFrame, meta: DataFrame) -> DataFrame:
