@@ -15,12 +15,16 @@ In both the large side is never shuffled while the small side fits the broadcast
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldzones.functions import geometry as geo
 from fieldzones.functions.numeric import arange, round_even
-from fieldzones.session import join_small, parallelism
+from fieldzones.operators.raster import grid_ids
+from fieldzones.session import cut_lineage, join_small, parallelism
+
+#: Raster rows that share a key when pixels meet the intervals of polygons.
+BAND = 32
 
 
 def build_polygons(vertices: DataFrame, keys=("codigo",)) -> DataFrame:
@@ -153,6 +157,11 @@ def scanline_intervals(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame
     with a column range.  Parts of a valid multipolygon do not overlap, so no cell is
     listed twice for one polygon.
     """
+    return _scanlines(polys, meta, attrs).drop("part")
+
+
+def _scanlines(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame:
+    """:func:`scanline_intervals` with the polygon's ``part``."""
     p = polys.select("codigo", *attrs, F.posexplode(_edges()).alias("part", "edges"), "ymin", "ymax")
     m = meta.select("codigo", "layer", "x0", "y0", "res_x", "res_y", "n_rows", "n_cols")
     j = join_small(p, m, "codigo")
@@ -167,24 +176,45 @@ def scanline_intervals(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame
     j = j.withColumn("xs", xs)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
                         lambda k: F.struct(F.col("xs")[2 * k].alias("a"), F.col("xs")[2 * k + 1].alias("b")))
-    j = j.filter(F.size("xs") >= 2).select("codigo", *attrs, "layer", "row", "x0", "res_x", "n_cols",
+    j = j.filter(F.size("xs") >= 2).select("codigo", *attrs, "part", "layer", "row", "x0", "res_x", "n_cols",
                                            F.explode(pairs).alias("iv"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("iv.a") - F.col("x0")) / F.col("res_x") - 0.5).cast("int"))
     hi = F.least(F.col("n_cols") - 1,
                  F.ceil((F.col("iv.b") - F.col("x0")) / F.col("res_x") - 0.5).cast("int") - 1)
-    return j.select("codigo", *attrs, "layer", "row", lo.alias("col_lo"), hi.alias("col_hi")) \
+    return j.select("codigo", *attrs, "part", "layer", "row", lo.alias("col_lo"), hi.alias("col_hi")) \
         .filter(F.col("col_lo") <= F.col("col_hi"))
 
 
+_GEOMETRY = ["x0", "y0", "res_x", "res_y", "n_rows", "n_cols"]
+
+
+def band_intervals(polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame:
+    """The scanline intervals for each ``grid`` of ``meta``: codigo, grid, band (``BAND`` rows), attrs, row_lo,
+    row_hi, col_lo, col_hi, where equal intervals of neighbouring rows of a band are one row."""
+    grids = meta.select("codigo", F.col("grid").alias("layer"), *_GEOMETRY).distinct()
+    p = polys.withColumn("_poly", F.monotonically_increasing_id())
+    iv = cut_lineage(_scanlines(p, grids, (*attrs, "_poly")).withColumnRenamed("layer", "grid"))
+    run = F.col("row") - F.row_number().over(Window.partitionBy("_poly", "part", "grid", "col_lo", "col_hi").orderBy("row"))
+    iv = iv.withColumn("run", run).groupBy("codigo", "_poly", *attrs, "part", "grid", "col_lo", "col_hi", "run", F.floor(F.col("row") / BAND).alias("band")).agg(
+        F.min("row").alias("row_lo"), F.max("row").alias("row_hi"))
+    return iv.select("codigo", "grid", "band", *attrs, "row_lo", "row_hi", "col_lo", "col_hi")
+
+
 def pixels_in_polygons(pixels: DataFrame, polys: DataFrame, meta: DataFrame, attrs=()) -> DataFrame:
     """J4/J5 for raster pixels: one row per (pixel, containing polygon) through an equi-join
-    on ``(codigo, layer, row)`` with the polygon's column intervals (no per-pixel geometry)."""
-    iv = scanline_intervals(polys, meta, attrs)
-    j = join_small(pixels, iv.withColumnRenamed("codigo", "_c").withColumnRenamed("layer", "_l")
-                   .withColumnRenamed("row", "_r"),
-                   (F.col("codigo") == F.col("_c")) & (F.col("layer") == F.col("_l")) & (F.col("row") == F.col("_r"))
-                   & (F.col("col") >= F.col("col_lo")) & (F.col("col") <= F.col("col_hi")))
-    return j.select(*pixels.columns, *attrs)
+    on ``(codigo, grid, band of rows)`` with the polygon's column intervals (no per-pixel geometry).
+
+    The intervals are worked out once for the layers of a grid, and equal ones of neighbouring rows of
+    a band are one row, so that this side stays small enough to be broadcast."""
+    m = cut_lineage(grid_ids(meta.select("codigo", "layer", *_GEOMETRY), _GEOMETRY))
+    iv = band_intervals(polys, m, attrs)
+    iv = iv.select(F.col("codigo").alias("_c"), F.col("grid").alias("_g"), F.col("band").alias("_b"), *[F.col(a).alias(f"_a_{a}") for a in attrs],
+                   "row_lo", "row_hi", "col_lo", "col_hi")
+    px = join_small(pixels, m.select(F.col("codigo").alias("_pc"), F.col("layer").alias("_pl"), "grid"),
+                    (F.col("codigo") == F.col("_pc")) & (F.col("layer") == F.col("_pl")))
+    j = join_small(px, iv, (F.col("codigo") == F.col("_c")) & (F.col("grid") == F.col("_g")) & (F.floor(F.col("row") / BAND) == F.col("_b"))
+                   & F.col("row").between(F.col("row_lo"), F.col("row_hi")) & F.col("col").between(F.col("col_lo"), F.col("col_hi")))
+    return j.select(*pixels.columns, *[F.col(f"_a_{a}").alias(a) for a in attrs])
 
 
 _IV = "array<struct<lo:double,hi:double>>"
