@@ -2,8 +2,8 @@
 
 K-means runs for all fields at once with a different k per field.  Fields up to a bounded
 size iterate inside one task each; larger fields run Lloyd rounds as partial aggregates
-over the checkpointed grid with the centres of every field joined in as a small broadcast
-table (the assignment is an argmin over the centre array); only centres travel to the
+over the checkpointed grid in which blocks of points meet the centres of their field
+(halved until few centres are left that may be nearest); only centres travel to the
 driver between rounds.  Representatives are chosen with a
 ``min(struct(dist, pid))`` aggregate rather than a window, so a huge field is still
 pre-aggregated on every partition.
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldzones.functions import geometry as geo
 from fieldzones.functions.numeric import distance, round_even
-from fieldzones.session import cut_lineage, join_small
+from fieldzones.session import cut_lineage, dealt, join_small
 
 
 def sampling_quota(fields: DataFrame, ha_per_point: float) -> DataFrame:
@@ -64,39 +65,77 @@ def _seed_centres(pts: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
         .select("codigo", F.transform("s", lambda t: F.array(t["x"], t["y"])).alias("C"))
 
 
-def nearest_centre(points: DataFrame, centres: str = "C") -> DataFrame:
-    """Index of the nearest centre (first on ties) and the distance to it."""
-    d = F.transform(F.col(centres), lambda c, i: F.struct(distance("x", "y", c[0], c[1]).alias("d"),
-                                                          i.alias("k")))
-    best = F.array_min(d)
-    return points.withColumn("cluster", best["k"]).withColumn("dist", best["d"])
-
-
-LOCAL_MAX_POINTS = 200_000
-LOCAL_MAX_CELLS = 20_000_000  # points x k of the distance matrix of one local field
+LOCAL_MAX_POINTS = 1_000_000
+#: Points of one task of ``nearest_centre``; points of a leaf and centres met at once.
+NEAREST_POINTS, LEAF, FEW = 200_000, 256, 16
 
 
 def _nearest(xy: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre (first on ties) and its distance ``sqrt(dx*dx + dy*dy)``.
 
-    Squared distances come from one matrix product on origin-shifted coordinates; rows
-    whose best two are within rounding of each other are re-measured exactly, so the
-    choice equals the exact first-minimum rule.
+    The points are halved by their longer side; a half keeps the centres that may be nearest to a point of
+    its bounding box (none farther than the least greatest distance to the box), until its points
+    or its centres are few.  Distances are measured there, so the choice is the exact first minimum.
     """
-    o = xy.mean(0)
-    a, c = xy - o, cur - o
-    d2 = (a * a).sum(1)[:, None] - 2.0 * (a @ c.T) + (c * c).sum(1)[None, :]
-    lab = d2.argmin(1)
-    rows = np.arange(len(xy))
-    dmin = d2[rows, lab]
-    amb = np.nonzero((d2 <= (dmin + 1e-6 * (1.0 + np.abs(dmin)))[:, None]).sum(1) > 1)[0]
-    if len(amb):
-        dx = xy[amb, 0:1] - cur[None, :, 0]
-        dy = xy[amb, 1:2] - cur[None, :, 1]
-        lab[amb] = np.sqrt(dx * dx + dy * dy).argmin(1)
-    dx = xy[:, 0] - cur[lab, 0]
-    dy = xy[:, 1] - cur[lab, 1]
-    return lab, np.sqrt(dx * dx + dy * dy)
+    lab, dist = np.zeros(len(xy), np.int64), np.full(len(xy), np.nan)
+    ok = np.flatnonzero(np.isfinite(cur).all(axis=1))
+    _, first = np.unique(cur[ok], axis=0, return_index=True)
+    known = np.isfinite(xy).all(axis=1)
+    todo = [(np.flatnonzero(known), ok[np.sort(first)])]  # equal centres: the first
+    if not len(ok):
+        return lab, dist
+    while todo:
+        at, near = todo.pop()
+        if not len(at):
+            continue
+        p, c = xy[at], cur[near]
+        lo, hi = p.min(axis=0), p.max(axis=0)
+        if len(near) > 1:
+            far = np.maximum(np.abs(c - lo), np.abs(c - hi))
+            gap = np.maximum(np.maximum(lo - c, c - hi), 0.0)
+            reach = (far * far).sum(axis=1).min()
+            keep = (gap * gap).sum(axis=1) <= reach * (1.0 + 1e-9) + 1e-9
+            near, c = near[keep], c[keep]
+        if len(at) <= LEAF or len(near) <= FEW or (lo == hi).all():
+            for k in range(0, len(at), max(1, 1_000_000 // len(near))):
+                rows = slice(k, k + max(1, 1_000_000 // len(near)))
+                dx, dy = p[rows, 0:1] - c[None, :, 0], p[rows, 1:2] - c[None, :, 1]
+                d = np.sqrt(dx * dx + dy * dy)
+                best = d.argmin(axis=1)
+                lab[at[rows]], dist[at[rows]] = near[best], d[np.arange(len(best)), best]
+            continue
+        side = int(hi[1] - lo[1] > hi[0] - lo[0])
+        order = np.argpartition(p[:, side], len(at) // 2)
+        todo += [(at[order[:len(at) // 2]], near), (at[order[len(at) // 2:]], near)]
+    return lab, dist
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """``points`` (codigo, pid, x, y, ...) of the fields of ``centres`` (codigo, C: array of [x, y]) with
+    the index of the nearest centre (first on ties) as ``cluster`` and the distance to it as ``dist``.
+
+    Blocks of a field's points meet its centres; a task holds one block, not a field."""
+    names, kinds = points.columns, dict(points.dtypes)
+    place = F.pmod(F.xxhash64("pid", "x", "y"), F.lit(1 << 30)) / (1 << 30)
+    sizes = cut_lineage(points.groupBy("codigo").agg(F.ceil(F.count(F.lit(1)) / NEAREST_POINTS).alias("blocks")).join(
+        centres.select("codigo", "C"), "codigo"))
+    blocked = join_small(points, sizes.select("codigo", "blocks"), "codigo").withColumn("block", F.floor(place * F.col("blocks")).cast("int"))
+    sent = sizes.select("codigo", "C", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(names)
+        xy = np.column_stack([left[c].cast(pa.float64()).to_numpy() for c in ("x", "y")])
+        tables = []
+        for c in right["C"].to_pylist() if len(left) else []:
+            cur = np.array([[np.nan if v is None else v for v in p] for p in c], dtype=float).reshape(-1, 2)
+            lab, d = _nearest(xy, cur)
+            none = np.isnan(d)
+            tables.append(left.append_column("cluster", pa.array(lab.astype(np.int32), mask=none)).append_column("dist", pa.array(d, mask=none)))
+        return pa.concat_tables(tables) if tables else left.slice(0, 0).append_column("cluster", pa.array([], pa.int32())).append_column("dist", pa.array([], pa.float64()))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", cluster int, dist double"
+    by = lambda df: dealt(df, "codigo", "block").groupBy("codigo", "block")
+    return by(blocked).cogroup(by(sent)).applyInArrow(run, schema)
 
 
 def _local_lloyd(max_iter: int, tol: float):
@@ -147,7 +186,7 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
     seeds = cut_lineage(_seed_centres(pts, quota, seed))
     sizes = (pts.groupBy("codigo").agg(F.count(F.lit(1)).alias("npts"))
              .join(quota.select("codigo", "k"), "codigo", "left").fillna(1, subset=["k"]))
-    fits = (F.col("npts") <= LOCAL_MAX_POINTS) & (F.col("npts") * F.col("k") <= LOCAL_MAX_CELLS)
+    fits = F.col("npts") <= LOCAL_MAX_POINTS
     small = sizes.filter(fits).select("codigo")
     # the seeds travel once per field (cogroup), not once per point
     local = cut_lineage(
@@ -165,7 +204,7 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
     while state and rounds < max_iter:
         rounds += 1
         cdf = spark.createDataFrame(state, schema)
-        a = nearest_centre(pts_big.join(F.broadcast(cdf), "codigo"))
+        a = nearest_centre(pts_big, cdf)
         agg = (a.groupBy("codigo", "cluster")
                .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect())
         new: dict = {}
@@ -179,7 +218,7 @@ def spatial_kmeans(points: DataFrame, quota: DataFrame, max_iter: int = 300,
         state = nxt
     final += state
     cdf = spark.createDataFrame(final, schema)
-    big_assigned = nearest_centre(pts_big.join(F.broadcast(cdf), "codigo")).drop("C")
+    big_assigned = nearest_centre(pts_big, cdf)
     big_centres = cdf.select("codigo", F.posexplode("C").alias("cluster", "c")) \
         .select("codigo", "cluster", F.col("c")[0].alias("cx"), F.col("c")[1].alias("cy"))
     assigned = local.select("codigo", "pid", "x", "y", "cluster", "dist").unionByName(
@@ -258,12 +297,16 @@ def density_histogram(long: DataFrame, keys=("codigo", "index")) -> DataFrame:
                     "count", (F.col("count") / (F.col("nset") * F.col("width"))).alias("density"))
 
 
+#: Values whose kernels are held at once, and sets of a task before their sums are passed on.
+KDE_VALUES, KDE_SETS = 2_000, 20_000
+
+
 def kde_curve(long: DataFrame, n_points: int = 200, keys=("codigo", "index")) -> DataFrame:
     """Gaussian kernel density on ``n_points`` evaluation points over each set's range.
 
     Bandwidth by Scott's rule h = s * n^(-1/5).  Each value meets its set's parameters in one
-    broadcast row and adds to one partial sum for each evaluation point, so a hot set is summed
-    on every partition and nothing is exploded before that.
+    broadcast row; a task adds up the kernels of its values as arrays, one for each set it sees, so a hot
+    set is summed on every partition and nothing is exploded before that.
     """
     keys = list(keys)
     v = long.filter(F.col("value").isNotNull())
@@ -271,17 +314,41 @@ def kde_curve(long: DataFrame, n_points: int = 200, keys=("codigo", "index")) ->
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"),
         F.stddev_samp("value").alias("s"))
     st = st.withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).filter(F.col("h") > 0)
-    j = join_small(v.select(*keys, "Dataset", "value"), st, [*keys, "Dataset"])
-    at = lambda t: F.col("lo") + t * (F.col("hi") - F.col("lo")) / (n_points - 1)
-
-    def kernel(t):
-        z = (at(F.lit(t)) - F.col("value")) / F.col("h")
-        return F.sum(F.exp(-0.5 * z * z)).alias(f"k{t}")
-
-    sums = j.groupBy(*keys, "Dataset", "lo", "hi", "n", "h").agg(*[kernel(t) for t in range(n_points)])
-    out = sums.select(*keys, "Dataset", "lo", "hi", "n", "h", F.posexplode(F.array(*[f"k{t}" for t in range(n_points)])).alias("t", "ks"))
+    st = cut_lineage(st.withColumn("set", F.monotonically_increasing_id()))  # a row for each set
+    j = join_small(v.select(*keys, "Dataset", "value"), st, [*keys, "Dataset"]).select("set", "lo", "hi", "h", "value")
+    steps = np.arange(n_points)
+
+    def kernels(batches):
+        held: dict = {}
+
+        def out():
+            rows = pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), rows], names=["set", "ks"])
+
+        for rb in batches:
+            which, lo, hi, h, value = (rb.column(c).to_numpy() for c in range(5))
+            order = np.argsort(which, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+                for at in np.array_split(rows, -(-len(rows) // KDE_VALUES)) if len(rows) else []:
+                    k = at[0]
+                    z = (lo[k] + steps * (hi[k] - lo[k]) / (n_points - 1))[:, None] - value[at][None]
+                    z /= h[k]
+                    z *= z
+                    z *= -0.5
+                    total = np.exp(z, out=z).sum(axis=1)
+                    held[int(which[k])] = held[int(which[k])] + total if int(which[k]) in held else total
+            if len(held) > KDE_SETS:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    sums = j.mapInArrow(kernels, "set long, ks array<double>").select("set", F.posexplode("ks").alias("t", "k"))
+    sums = sums.groupBy("set", "t").agg(F.sum("k").alias("ks"))
+    out = sums.join(st, "set")
+    at = F.col("lo") + F.col("t") * (F.col("hi") - F.col("lo")) / (n_points - 1)
     dens = F.col("ks") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))
-    return out.select(*keys, "Dataset", "t", at(F.col("t")).alias("at"), dens.alias("density"))
+    return out.select(*keys, "Dataset", "t", at.alias("at"), dens.alias("density"))
 
 
 def box_summary(long: DataFrame, keys=("codigo", "index", "Dataset")) -> DataFrame:

@@ -8,7 +8,7 @@ from fieldzones import fixtures as fx
 from fieldzones.operators import raster, sampling, spatial, stats
 from fieldzones.plans.registry import register, rounded
 from fieldzones.plans.zones import FX_LAYERS, fields
-from fieldzones.session import cut_lineage, join_small
+from fieldzones.session import cut_lineage
 
 CELL = 10.0
 INSET = 11.0
@@ -148,7 +148,7 @@ def step_representatives(spark, sf, grid=None):
     cs = (fx.table(spark, sf, "fx_samples").groupBy("codigo")
           .agg(F.sort_array(F.collect_list(F.struct("n", "x", "y"))).alias("s"))
           .select("codigo", F.transform("s", lambda t: F.array(t["x"], t["y"])).alias("C")))
-    a = sampling.nearest_centre(join_small(grid, cs, "codigo")).drop("C")
+    a = sampling.nearest_centre(grid, cs)
     centres = cs.select("codigo", F.posexplode("C").alias("cluster", "c")) \
         .select("codigo", "cluster", F.col("c")[0].alias("cx"), F.col("c")[1].alias("cy"))
     return sampling.number_samples(sampling.representatives(a, centres))
