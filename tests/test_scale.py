@@ -89,3 +89,26 @@ def test_density_curve_sums_kernels_as_arrays(spark):
         at = x.min() + np.arange(200) * (x.max() - x.min()) / 199
         want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
         assert np.allclose([got[d, t] for t in range(200)], np.column_stack([at, want]), atol=1e-9)
+
+
+@pytest.mark.parametrize("shift", [5.0, 3.0])
+def test_resampling_broadcasts_no_cells(spark, shift, monkeypatch):
+    monkeypatch.setattr(raster, "TILE", 4)  # several tiles, with edges
+    px = _pixels(spark, ["p", "q"], 11)
+    meta = _meta(spark, [("A", l, 0.0, 110.0, 10.0, 10.0, 11, 11) for l in "pq"])
+    target = _meta(spark, [("A", l, shift, 110.0 - shift, 10.0, 10.0, 10, 10) for l in "pq"])
+    out = raster.resample(px, meta, target)
+    plan = _plan(out)
+    assert "CoGroup" in plan and "BroadcastNestedLoop" not in plan and "SortMergeJoin" not in plan
+    value = {(r.layer, r.row, r.col): r.value for r in px.collect()}
+    got = {(r.layer, r.row, r.col): r.value for r in out.collect()}
+    f = shift / 10
+    for layer in "pq":
+        for r in range(10):
+            for c in range(10):
+                near = [(value[layer, r + a, c + b], (f if a else 1 - f) * (f if b else 1 - f)) for a in (0, 1) for b in (0, 1)]
+                near = [(v, w) for v, w in near if v is not None]
+                assert abs(got[layer, r, c] - sum(v * w for v, w in near) / sum(w for _, w in near)) < 1e-9
+    assert len(got) == 200
+    twice = raster.resample(px, meta.unionByName(meta), target.unionByName(target)).collect()
+    assert len(twice) == 400 and all(abs(r.value - got[r.layer, r.row, r.col]) < 1e-9 for r in twice)
