@@ -8,7 +8,7 @@
   system of a (field, variable) is sparse.  Its entries are an edge table (the same
   distance-band join, on a lattice of each group's own range), and C u = z, C v = 1 are
   solved for all groups together by conjugate gradients, a join and a partial aggregate a
-  round.  With m = sum(u) / sum(v) and b = u - m v, the value anywhere is m + sum(b C(d)) over
+  round; groups of at most ``LOCAL_NODES`` data are solved densely, each in a task.  With m = sum(u) / sum(v) and b = u - m v, the value anywhere is m + sum(b C(d)) over
   the data in range: no tile, no halo, no dense matrix, and a value for every target.
 """
 
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from fieldzones.functions.numeric import distance
 from fieldzones.operators.moran import neighbour_pairs
-from fieldzones.session import cut_lineage, join_small
+from fieldzones.session import cut_lineage, dealt, join_small
+
+#: Nodes of a system that is solved at once in one task (a dense matrix of 72 MB).
+LOCAL_NODES = 3_000
 
 
 def spherical(h, nugget, psill, rng):
@@ -125,6 +128,38 @@ def solve_groups(data: DataFrame, edges: DataFrame, keys: list[str], tol: float
     raise RuntimeError("kriging systems did not converge")
 
 
+def _solve_far(data: DataFrame, keys: list[str]) -> DataFrame:
+    """The systems of ``data`` (keys, node, x, y, c0, z, psill, range) as edge tables, by conjugate gradients."""
+    data = cut_lineage(data)
+    here = _buckets(data.select(*keys, "node", "x", "y", "range", "psill", "c0"), False)
+    there = _buckets(data.select(*keys, F.col("node").alias("j"), "x", "y", "range"), True).select(*keys, "j", F.col("x").alias("xj"), F.col("y").alias("yj"), "bx", "by")
+    d = distance("x", "y", "xj", "yj")
+    edges = here.join(there, [*keys, "bx", "by"]).filter((F.col("node") != F.col("j")) & (d < F.col("range")))
+    edges = cut_lineage(edges.select(F.col("node").alias("i"), "j", _covariance(d).alias("c")).filter("c <> 0"))
+    return solve_groups(data.select(*keys, "node", "x", "y", "c0", "z"), edges, keys)
+
+
+def solve_local(data: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`solve_groups` for groups of at most ``LOCAL_NODES`` nodes (keys, node, x, y, c0, z, psill, range): each
+    dense system is solved at once, all of them in one job."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        psill, c0, reach = (float(pdf[c].iloc[0]) for c in ("psill", "c0", "range"))
+        h = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) / reach
+        c = np.where(h < 1.0, psill * (1.0 - 1.5 * h + 0.5 * h * h * h), 0.0)
+        np.fill_diagonal(c, c0)
+        right = np.column_stack([pdf["z"].to_numpy(float), np.ones(len(pdf))])
+        try:
+            found = np.linalg.solve(c, right)
+        except np.linalg.LinAlgError:
+            found = np.linalg.lstsq(c, right, rcond=None)[0]
+        return pdf[[*keys, "node", "x", "y", "c0", "z"]].assign(u=found[:, 0], v=found[:, 1])
+
+    kinds = dict(data.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "node", "x", "y", "c0", "z"]) + ", u double, v double"
+    return dealt(data, *keys).groupBy(*keys).applyInPandas(run, schema)
+
+
 def krige(points: DataFrame, targets: DataFrame, model: DataFrame,
           keys=("codigo", "variable")) -> DataFrame:
     """Ordinary kriging of ``points`` (keys, x, y, value) at ``targets`` (codigo, tid, x, y)
@@ -142,12 +177,12 @@ def krige(points: DataFrame, targets: DataFrame, model: DataFrame,
                                        F.when((psill > 0) & (F.col("range") > 0), F.col("range")).otherwise(1.0).alias("range")))
     data = data.join(groups, keys).withColumn("z", F.col("value") - F.col("mean"))
     data = cut_lineage(data.withColumn("node", F.monotonically_increasing_id()))
-    here = _buckets(data.select(*keys, "node", "x", "y", "range", "psill", "c0"), False)
-    there = _buckets(data.select(*keys, F.col("node").alias("j"), "x", "y", "range"), True).select(*keys, "j", F.col("x").alias("xj"), F.col("y").alias("yj"), "bx", "by")
-    d = distance("x", "y", "xj", "yj")
-    edges = here.join(there, [*keys, "bx", "by"]).filter((F.col("node") != F.col("j")) & (d < F.col("range")))
-    edges = cut_lineage(edges.select(F.col("node").alias("i"), "j", _covariance(d).alias("c")).filter("c <> 0"))
-    solved = cut_lineage(solve_groups(data.select(*keys, "node", "x", "y", "c0", "z"), edges, keys))
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"))
+    few = cut_lineage(sizes.filter(F.col("nodes") <= LOCAL_NODES).select(*keys))
+    solved = solve_local(join_small(data.select(*keys, "node", "x", "y", "c0", "z", "psill", "range"), few, keys, "left_semi"), keys)
+    if not sizes.filter(F.col("nodes") > LOCAL_NODES).isEmpty():
+        solved = solved.unionByName(_solve_far(join_small(data, few, keys, "left_anti"), keys))
+    solved = cut_lineage(solved)
     middle = solved.groupBy(*keys).agg((F.sum("u") / F.sum("v")).alias("m"))
     groups = cut_lineage(groups.join(middle, keys))
     weights = solved.join(groups.select(*keys, "m", "range"), keys).withColumn("b", F.col("u") - F.col("m") * F.col("v"))

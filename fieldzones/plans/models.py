@@ -9,7 +9,7 @@ from fieldzones.operators import forest, kriging, raster, samples, sampling, spa
 from fieldzones.plans.design import grid_features
 from fieldzones.plans.registry import register, rounded
 from fieldzones.plans.zones import FX_LAYERS, fields
-from fieldzones.session import cut_lineage
+from fieldzones.session import cut_lineage, join_small
 
 LAB_VARS = ["Arcilla", "Arena", "Limo", "pH", "MO"]
 NUM_TREES = 1500  # as in the reference (1500 trees, 3 features per split, seed 42)
@@ -101,11 +101,13 @@ def kriged(spark, sf):
     pts = lab_points(spark, sf)
     model = kriging.fit_spherical(kriging.variogram(pts, MAX_LAG, N_LAGS))
     grid = spatial.make_grid(fields(spark, sf), 10.0)
-    meta = raster.grid_meta(grid, 10.0).withColumn("layer", F.lit("kriged"))
-    targets = raster.target_grid(meta).select("codigo", "tid", "row", "col", "x", "y")
+    meta = cut_lineage(raster.grid_meta(grid, 10.0).withColumn("layer", F.lit("kriged")))
+    targets = raster.target_grid(meta).select("codigo", "tid", "x", "y")
     k = kriging.krige(pts.select("codigo", "variable", "pid", "x", "y", "value"),
-                      targets.select("codigo", "tid", "x", "y"), model)
-    cells = k.join(targets, ["codigo", "tid"]).withColumn("layer", F.lit("kriged"))
+                      targets, model)
+    # the cell follows from its number: targets are generated, and never joined back
+    row = F.expr("tid div n_cols").cast("int")
+    cells = join_small(k, meta.select("codigo", "n_cols"), "codigo").withColumns({"layer": F.lit("kriged"), "row": row, "col": (F.col("tid") % F.col("n_cols")).cast("int")})
     # Clip to the field with the scanline intervals of the kriged grid
     return spatial.pixels_in_polygons(cells.select("codigo", "layer", "row", "col", "variable", "value"),
                                       fields(spark, sf), meta)

@@ -152,3 +152,20 @@ def test_constant_set_has_a_histogram(spark):
     long = spark.createDataFrame(rows, "codigo string, index string, Dataset string, value double")
     out = sampling.density_histogram(long).filter("Dataset = 'Total'").orderBy("bin").collect()
     assert [(r["left"], r["count"]) for r in out] == [(2.5, 0), (2.5 + 1 / 3, 9), (2.5 + 2 / 3, 0)]
+
+
+def test_small_kriging_systems_are_solved_at_once(spark, monkeypatch):
+    """Dense systems against the rounds of conjugate gradients, which they may not need."""
+    rng = np.random.default_rng(11)
+    rows = [(f, "v", float(x), float(y), float(rng.normal())) for f in "FG" for x, y in rng.integers(0, 40, (8, 2)) * 5.0]
+    pts = spark.createDataFrame(rows, "codigo string, variable string, x double, y double, value double")
+    model = spark.createDataFrame([(f, "v", 0.1, 2.0, 90.0) for f in "FG"], "codigo string, variable string, nugget double, psill double, range double")
+    targets = spark.createDataFrame([(f, i, 13.0 * i, 200.0 - 11.0 * i) for f in "FG" for i in range(15)], "codigo string, tid long, x double, y double")
+    rounds = kriging.solve_groups
+    monkeypatch.setattr(kriging, "solve_groups", lambda *a: pytest.fail("no rounds for small groups"))
+    near = {(r.codigo, r.tid): r.value for r in kriging.krige(pts, targets, model).collect()}
+    monkeypatch.setattr(kriging, "solve_groups", rounds)
+    monkeypatch.setattr(kriging, "LOCAL_NODES", 1)
+    far = {(r.codigo, r.tid): r.value for r in kriging.krige(pts, targets, model).collect()}
+    assert set(near) == set(far) and len(near) == 30
+    assert max(abs(near[k] - far[k]) for k in near) < 1e-6
