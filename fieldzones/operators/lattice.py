@@ -5,8 +5,8 @@ row per (field, variable, block) with the values as packed doubles.  On a lattic
 two nodes depends on their offset only, so there is no edge table: a covariance stencil is
 built from the model where it is used.
 
-* ``lattice_variogram`` (M9): all pairs of a (field, variable).  The sums over the pairs of two blocks by
-  offset are correlations (FFT); they are added up by squared offset, and these by lag.
+* ``lattice_variogram`` (M9): all pairs of a (field, variable).  The sums over the pairs of two sheets of
+  blocks by offset are correlations (FFT), added up by lag.
 * ``fit_weighted`` (M9): spherical model by least squares weighted with the number of pairs, for a
   grid of ranges, in closed form.
 * ``solve_lattice`` (M10): C u = z and C v = 1 for all groups together by preconditioned conjugate gradients.  Each
@@ -16,8 +16,10 @@ built from the model where it is used.
   nodes up to ``NEAR`` cells before it, solved once for each pattern of nodes that are there.
 * ``krige_lattice`` (M10): mean + m + sum of b C at the centre of every cell, b = u - m v, m = sum(u) / sum(v).
 
-A task holds a block with the cells within reach (range + 2 * NEAR cells) around it, never a field.
-The state is a stored table, so a lost executor costs one round at most.
+Lattices of at most ``LOCAL_CELLS`` cells (the range may be longer than the field, every block then meets
+every other) are solved, kriged and checked in one task each, of bounded memory.  Of larger ones a task holds a block with
+the cells within reach (range + 2 * NEAR cells) around it, and the state is a stored table, so a
+lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from fieldzones.session import BROADCAST_MAX_BYTES, cut_lineage, dealt, join_sma
 
 BLOCK, NEAR = 64, 4
 N_RANGES = 200
+#: Blocks of a sheet of the variogram; cells of a lattice that is solved in one task, with their rounds.
+SHEET, LOCAL_CELLS, LOCAL_ROUNDS = 384, 1 << 21, 1000
 _CELLS = BLOCK * BLOCK
 
 
@@ -84,51 +88,102 @@ def lattice_variogram(blocks: DataFrame, n_lags: int = 6, cell: float = 10.0, ke
     """M9: semivariogram over all pairs of each group (up to ``max_dist`` apart, if given), in ``n_lags``
     equal lags from the least to the greatest distance: keys, lag_bin, lag, gamma, n_pairs.
 
-    Pairs of blocks stand for pairs of points (4,096 x 4,096 of them at once)."""
+    Neighbouring blocks of a group are put together into sheets of at most ``SHEET`` blocks; pairs of sheets stand
+    for pairs of points.  The distances of a group are found first (from the masks alone), so that a pair
+    of sheets gives a row for each lag."""
     keys = list(keys)
-    one = blocks.select(*keys, "bx", "by", "mask", "value")
-    two = one.select(*keys, F.col("bx").alias("bx2"), F.col("by").alias("by2"), F.col("mask").alias("mask2"), F.col("value").alias("value2"))
-    pairs = one.join(two, keys).filter("bx < bx2 OR bx = bx2 AND by <= by2")
-    pairs = pairs.select(*keys, "mask", "value", "mask2", "value2", (F.col("bx2") - F.col("bx")).alias("ex"), (F.col("by2") - F.col("by")).alias("ey"))
-    pairs = dealt(pairs, *keys, "ex", "ey")
-    n_keys = len(keys)
-
-    def sums(batches):
-        size = 2 * BLOCK
-        step = np.arange(size)
-        step = np.where(step >= BLOCK, step - size, step)
-
-        def spectrum(a):
-            return np.fft.rfft2(a, (size, size))
-
-        for rb in batches:
-            for k in range(len(rb)):
-                m1, m2 = (_grid(rb.column(c)[k].as_py(), bool).astype(float) for c in (n_keys, n_keys + 2))
-                z1, z2 = (_grid(rb.column(c)[k].as_py()) for c in (n_keys + 1, n_keys + 3))
-                ex, ey = rb.column(n_keys + 4)[k].as_py(), rb.column(n_keys + 5)[k].as_py()
-                level = z1[m1 > 0].mean()  # differences do not change, rounding does
-                z1, z2 = (z1 - level) * m1, (z2 - level) * m2
-                f = {c: spectrum(a) for c, a in (("m1", m1), ("z1", z1), ("q1", z1 * z1), ("m2", m2), ("z2", z2), ("q2", z2 * z2))}
-                n = np.rint(np.fft.irfft2(f["m1"].conj() * f["m2"], (size, size))).astype(np.int64)
-                d = np.fft.irfft2(f["q1"].conj() * f["m2"] + f["m1"].conj() * f["q2"] - 2 * f["z1"].conj() * f["z2"], (size, size))
-                dx, dy = np.meshgrid(step + ex * BLOCK, step + ey * BLOCK)
-                used = n > 0
-                if not ex and not ey:
-                    used &= (dy > 0) | ((dy == 0) & (dx > 0))  # each pair once
-                at, place = np.unique(dx[used] ** 2 + dy[used] ** 2, return_inverse=True)
-                rows = len(at)
-                yield pa.RecordBatch.from_arrays([*[pa.array([rb.column(c)[k].as_py()] * rows) for c in range(n_keys)], pa.array(at.astype(np.int64)),
-                                                  pa.array(np.bincount(place, n[used], rows).astype(np.int64)), pa.array(np.bincount(place, np.maximum(d[used], 0.0), rows))],
-                                                 names=[*keys, "d2", "n", "sq"])
-
     kinds = dict(blocks.dtypes)
-    rings = pairs.mapInArrow(sums, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", d2 long, n long, sq double")
-    rings = cut_lineage(rings.groupBy(*keys, "d2").agg(F.sum("n").alias("n"), F.sum("sq").alias("sq")).withColumn("d", F.sqrt(F.col("d2") * (cell * cell))).filter(F.lit(True) if max_dist is None else F.col("d") <= max_dist))
-    ends = rings.groupBy(*keys).agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    width = (F.col("most") - F.col("least")) / n_lags
-    lag_bin = F.when(width > 0, F.least(F.floor((F.col("d") - F.col("least")) / width).cast("int"), F.lit(n_lags - 1))).otherwise(0)
-    return (join_small(rings, ends, keys).groupBy(*keys, lag_bin.alias("lag_bin"))
-            .agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("lag"), (F.sum("sq") / (2 * F.sum("n"))).alias("gamma"), F.sum("n").alias("n_pairs")))
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    wide = lambda n: F.floor((F.col(n) - 1) / BLOCK) + 1
+    sheets = blocks.withColumn("across", F.least(wide("nx"), F.lit(SHEET))).withColumn("down", F.greatest(F.lit(1), F.floor(F.lit(SHEET) / F.col("across"))))
+    many = lambda n, by: F.floor((wide(n) - 1) / F.col(by)) + 1
+    sheets = sheets.withColumns({"sx": F.floor(F.col("bx") / F.col("across")), "sy": F.floor(F.col("by") / F.col("down")), "columns": many("nx", "across"), "lines": many("ny", "down")})
+    sheets = sheets.select(*keys, "bx", "by", "mask", "value", (F.col("sy") * F.col("columns") + F.col("sx")).cast("int").alias("sheet"), (F.col("lines") * F.col("columns")).cast("int").alias("sheets"))
+
+    def together(t: pa.Table) -> pa.Table:
+        """The nodes of a sheet: its first node, its size, the mask and the values."""
+        bx, by = (t[c].to_numpy() for c in ("bx", "by"))
+        x0, y0 = int(bx.min()), int(by.min())
+        shape = (int(by.max()) - y0 + 1) * BLOCK, (int(bx.max()) - x0 + 1) * BLOCK
+        mask, value = np.zeros(shape, bool), np.zeros(shape)
+        for m, v, i, j in zip(t["mask"], t["value"], (bx - x0).tolist(), (by - y0).tolist()):
+            at = slice(j * BLOCK, (j + 1) * BLOCK), slice(i * BLOCK, (i + 1) * BLOCK)
+            mask[at], value[at] = _grid(m.as_py(), bool), _grid(v.as_py())
+        y, x = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+        box = slice(y[0], y[-1] + 1), slice(x[0], x[-1] + 1)
+        held = mask[box]
+        packed = [np.packbits(held).tobytes(), value[box][held].tobytes()]
+        place = [x0 * BLOCK + int(x[0]), y0 * BLOCK + int(y[0]), held.shape[1], held.shape[0]]
+        return pa.table([t[k].slice(0, 1) for k in keys] + [t[c].slice(0, 1) for c in ("sheet", "sheets")] + [pa.array([p], pa.int32()) for p in place] + [pa.array([p], pa.binary()) for p in packed],
+                        names=[*keys, "sheet", "sheets", "x", "y", "w", "h", "mask", "value"])
+
+    made = cut_lineage(dealt(sheets, *keys, "sheet").groupBy(*keys, "sheet").applyInArrow(together, head + ", sheet int, sheets int, x int, y int, w int, h int, mask binary, value binary"))
+    sent = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sheets") - 1)))
+    sent = sent.withColumns({"first": F.least("sheet", "other"), "second": F.greatest("sheet", "other")}).drop("other", "sheets")
+    pair = [*keys, "first", "second"]
+
+    def spectra(t: pa.Table):
+        """The two sheets of a pair: size of the transforms, masks, and the distances of the offsets."""
+        sides = []
+        for k in np.argsort(t["sheet"].to_numpy()):
+            r = {c: t[c][int(k)].as_py() for c in ("x", "y", "w", "h", "mask")}
+            r["mask"] = np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["w"] * r["h"]).reshape(r["h"], r["w"]).astype(bool)
+            sides.append((r, int(k)))
+        one, two = sides[0], sides[-1]
+        if len(sides) < 2 and t["first"][0].as_py() != t["second"][0].as_py():
+            return None  # the other sheet has no nodes
+        size = _fast(one[0]["h"] + two[0]["h"] - 1), _fast(one[0]["w"] + two[0]["w"] - 1)
+        f1, f2 = (np.fft.rfft2(s[0]["mask"].astype(float), size) for s in (one, two))
+        n = np.rint(np.fft.irfft2(f1.conj() * f2, size)).astype(np.int64)
+        steps = []
+        for axis, (at, length) in enumerate((("y", "h"), ("x", "w"))):
+            k = np.arange(size[axis])
+            steps.append(np.where(k >= two[0][length], k - size[axis], k) + two[0][at] - one[0][at])
+        dy, dx = steps[0][:, None], steps[1][None, :]
+        used = n > 0
+        if len(sides) < 2:
+            used &= (dy > 0) | ((dy == 0) & (dx > 0))  # each pair once
+        d = np.sqrt((dx ** 2 + dy ** 2)[used] * (cell * cell))
+        if max_dist is not None:
+            near = d <= max_dist
+            used[used] = near
+            d = d[near]
+        return one, two, size, (f1, f2), n, used, d
+
+    def span(t: pa.Table) -> pa.Table:
+        got = spectra(t)
+        ends = [] if got is None or not len(got[-1]) else [[float(got[-1].min())], [float(got[-1].max())]]
+        rows = [t[k].slice(0, 1 if ends else 0) for k in keys]
+        return pa.table(rows + [pa.array(e, pa.float64()) for e in ends or [[], []]], names=[*keys, "least", "most"])
+
+    def sums(t: pa.Table) -> pa.Table:
+        got, names = spectra(t), [*keys, "lag_bin", "n", "dn", "sq"]
+        rows = []
+        if got is not None and len(got[-1]):
+            one, two, size, f, n, used, d = got
+            least, most = t["least"][0].as_py(), t["most"][0].as_py()
+            z = []
+            for r, k in (one, two):
+                grid = np.zeros(r["mask"].shape)
+                grid[r["mask"]] = np.frombuffer(t["value"][k].as_py())
+                z.append(grid)
+            level = z[0][one[0]["mask"]].mean()  # differences do not change, rounding does
+            z = [(a - level) * s[0]["mask"] for a, s in zip(z, (one, two))]
+            q1, q2 = (np.fft.rfft2(a * a, size) for a in z)
+            total = q1.conj() * f[1] + f[0].conj() * q2
+            del q1, q2
+            total -= 2 * np.fft.rfft2(z[0], size).conj() * np.fft.rfft2(z[1], size)
+            sq = np.maximum(np.fft.irfft2(total, size)[used], 0.0)
+            width = (most - least) / n_lags
+            at = np.minimum(np.floor((d - least) / width).astype(np.int64), n_lags - 1) if width > 0 else np.zeros(len(d), np.int64)
+            count = n[used]
+            rows = [(b, c, e, s) for b, (c, e, s) in enumerate(zip(*(np.bincount(at, w, n_lags) for w in (count, d * count, sq)))) if c > 0]
+        return pa.table([pa.array([t[k][0].as_py()] * len(rows), t.schema.field(k).type) for k in keys] + [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.float64()))], names=names)
+
+    paired = lambda df: dealt(df, *pair).groupBy(*pair)
+    ends = paired(sent.drop("value")).applyInArrow(span, head + ", least double, most double").groupBy(*keys).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    found = paired(join_small(sent, ends, keys)).applyInArrow(sums, head + ", lag_bin int, n double, dn double, sq double")
+    return found.groupBy(*keys, "lag_bin").agg((F.sum("dn") / F.sum("n")).alias("lag"), (F.sum("sq") / (2 * F.sum("n"))).alias("gamma"), F.sum("n").cast("long").alias("n_pairs"))
 
 
 def fit_weighted(bins: DataFrame, keys=("codigo", "variable"), n_ranges: int = N_RANGES) -> DataFrame:
@@ -199,6 +254,14 @@ class Stencil:
         f = np.fft.rfft2(a, size) * np.fft.rfft2(k, size)
         return np.fft.irfft2(f, size)[:, 2 * self.ry + 2:a.shape[1], 2 * self.rx + 2:a.shape[2]]
 
+    def whole(self, shape: tuple[int, int], shift: float = 0.0):
+        """The function that sums a whole lattice of ``shape`` (layers, rows, columns) times the covariance."""
+        k = self.kernel(shift)
+        size = tuple(_fast(max(n + r + 2, m)) for n, r, m in zip(shape, (self.ry, self.rx), k.shape))
+        f = np.fft.rfft2(k, size)
+        ry, rx = self.ry + 1, self.rx + 1
+        return lambda a: np.fft.irfft2(np.fft.rfft2(a, size) * f, size)[:, ry:ry + shape[0], rx:rx + shape[1]]
+
     def factor(self, mask: np.ndarray):
         """Coefficients of each node over the nodes before it: a row for each pattern, and each node's pattern.
 
@@ -210,14 +273,15 @@ class Stencil:
             bits |= mask[NEAR + dy:NEAR + dy + inner[0], NEAR + dx:NEAR + dx + inner[1]].astype(np.int64) << k
         bits[~mask[NEAR:-NEAR, NEAR:-NEAR]] = 0
         kinds, of = np.unique(bits, return_inverse=True)
-        there = (kinds[:, None] >> np.arange(len(o))) & 1 > 0
         c = self.at(o[:, None, 1] - o[None, :, 1], o[:, None, 0] - o[None, :, 0])
-        c = np.where(there[:, :, None] & there[:, None, :], c, np.eye(len(o)))
-        unit = np.zeros((len(kinds), len(o), 1))
-        unit[:, -1] = 1.0
-        g = np.linalg.solve(c, unit)[:, :, 0]
-        g = g / np.sqrt(g[:, -1:]) * there
-        return g, of.reshape(inner)
+        rows = []
+        for part in np.array_split(kinds, -(-len(kinds) // _CELLS)):
+            there = (part[:, None] >> np.arange(len(o))) & 1 > 0
+            unit = np.zeros((len(part), len(o), 1))
+            unit[:, -1] = 1.0
+            g = np.linalg.solve(np.where(there[:, :, None] & there[:, None, :], c, np.eye(len(o))), unit)[:, :, 0]
+            rows.append(g / np.sqrt(g[:, -1:]) * there)
+        return np.concatenate(rows), of.reshape(inner)
 
     def precondition(self, r: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """G' G r for the nodes with a margin of 2 * NEAR cells inside ``r`` (layers, rows, columns)."""
@@ -232,8 +296,8 @@ class Stencil:
             out = whole[:, m:-m, m:-m]
         return out
 
-    def _within(self, r: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        g, of = self.factor(mask)
+    def _within(self, r: np.ndarray, mask: np.ndarray, factor=None) -> np.ndarray:
+        g, of = self.factor(mask) if factor is None else factor
         o, n = _near(), of.shape
         q = np.zeros((r.shape[0], *n))
         for k, (dy, dx) in enumerate(o):
@@ -296,6 +360,50 @@ def _advance(values: dict, stop: float):
     return a, scalars
 
 
+def _whole(t: pa.Table, column: str, shape: tuple[int, int], kind=np.float64, layers: int = 1) -> np.ndarray:
+    """A group's lattice of ``shape`` from the blocks of ``t``."""
+    out = np.zeros((layers, *(-(-n // BLOCK) * BLOCK for n in shape)), kind)
+    for packed, bx, by in zip(t[column], t["bx"].to_pylist(), t["by"].to_pylist()):
+        out[:, by * BLOCK:(by + 1) * BLOCK, bx * BLOCK:(bx + 1) * BLOCK] = _grid(packed.as_py(), kind, layers)
+    return out[:, :shape[0], :shape[1]]
+
+
+def _solve_whole(base: DataFrame, keys: list[str], fixed: list[str], cell: float, tol: float) -> DataFrame:
+    """Both systems of every lattice of at most ``LOCAL_CELLS`` cells, each in one task: the same preconditioned
+    conjugate gradients, with the covariance as one transform of the lattice."""
+    kinds = dict(base.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        g = t.select(["nx", "ny", "mean", "psill", "c0", "range"]).slice(0, 1).to_pylist()[0]
+        st, shape, m = Stencil(g, cell), (g["ny"], g["nx"]), 2 * NEAR
+        mask = _whole(t, "mask", shape, bool)[0]
+        product, around = st.whole(shape), np.pad(mask, m)
+        factor = st.factor(around)
+        edge = ((0, 0), (m, m), (m, m))
+        r = np.stack([(_whole(t, "value", shape)[0] - g["mean"]) * mask, mask.astype(float)])
+        x, p = np.zeros(r.shape), np.zeros(r.shape)
+        dot = lambda a, b: np.einsum("kij,kij->k", a, b)[:, None, None]
+        first, old, done = dot(r, r), None, 0
+        while (going := dot(r, r) > tol * tol * first).any():
+            if done == LOCAL_ROUNDS:
+                raise RuntimeError("kriging systems did not converge")
+            z = st._within(np.pad(r, edge), around, factor)
+            rz = dot(r, z)
+            p = z if old is None else z + np.divide(rz, old, out=np.zeros_like(rz), where=old > 0) * p
+            w = product(p) * mask
+            pw = dot(p, w)
+            alpha = np.divide(rz, pw, out=np.zeros_like(rz), where=going & (pw > 0))
+            x += alpha * p
+            r -= alpha * w
+            old, done = rz, done + 1
+        full = np.pad(x, ((0, 0), (0, -shape[0] % BLOCK), (0, -shape[1] % BLOCK)))
+        packed = [full[:, by * BLOCK:(by + 1) * BLOCK, bx * BLOCK:(bx + 1) * BLOCK].tobytes() for bx, by in zip(t["bx"].to_pylist(), t["by"].to_pylist())]
+        return t.select(fixed).append_column("x", pa.array(packed, pa.binary())).append_column("rounds", pa.array([done] * len(t), pa.int32()))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in fixed) + ", x binary, rounds int"
+    return cut_lineage(dealt(base, *keys).groupBy(*keys).applyInArrow(run, schema))
+
+
 def solve_lattice(blocks: DataFrame, model: DataFrame, cell: float = 10.0, keys=("codigo", "variable"),
                   tol: float = 1e-11, max_rounds: int = 100) -> DataFrame:
     """Solutions of C u = value - mean and C v = 1 on ``blocks`` under ``model`` (keys, nugget, psill, range):
@@ -322,6 +430,11 @@ def solve_lattice(blocks: DataFrame, model: DataFrame, cell: float = 10.0, keys=
         *keys, "mean", F.when(usable, psill).otherwise(0.0).alias("psill"), F.when(sill > 0, sill).otherwise(1.0).alias("c0"), F.when(usable, F.col("range")).otherwise(float(cell)).alias("range"))
     fixed = [*keys, "x0", "y0", "nx", "ny", "bx", "by", "mask", "value", "mean", "psill", "c0", "range"]
     base = join_small(blocks, groups, keys).select(*fixed)
+    fits = F.col("nx").cast("long") * F.col("ny") <= LOCAL_CELLS
+    far = base.filter(~fits)
+    if far.isEmpty():
+        return _solve_whole(base, keys, fixed, cell, tol)
+    near, base = _solve_whole(base.filter(fits), keys, fixed, cell, tol), far
     zero = F.lit(bytes(16 * _CELLS))
 
     def start(batches):
@@ -377,7 +490,7 @@ def solve_lattice(blocks: DataFrame, model: DataFrame, cell: float = 10.0, keys=
         sums = cut_lineage(state.groupBy(*keys).agg(*[F.sum(c).alias(f"sum_{c}") for c in _SUMS], *[F.max(f"first{s}").alias(f"at_first{s}") for s in "uv"]))
         left = sums.agg(*[F.max(F.when(F.col(f"at_first{s}") > 0, F.col(f"sum_rr{s}") / F.col(f"at_first{s}")).otherwise(F.col(f"sum_rr{s}"))).alias(s) for s in "uv"]).first()
         if max(left.u or 0.0, left.v or 0.0) <= tol * tol:
-            return state.select(*fixed, "x", F.lit(done).alias("rounds"))
+            return near.unionByName(state.select(*fixed, "x", F.lit(done).alias("rounds")))
         small = stored_bytes(sums) <= BROADCAST_MAX_BYTES
         state = state.join(F.broadcast(sums) if small else sums, keys).mapInArrow(step, schema)
     raise RuntimeError("kriging systems did not converge")
@@ -396,6 +509,23 @@ def krige_lattice(solved: DataFrame, cell: float = 10.0, keys=("codigo", "variab
     middle = solved.select(*keys, "x").mapInArrow(parts, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", u double, v double").groupBy(*keys).agg((F.sum("u") / F.sum("v")).alias("m"))
     groups = solved.groupBy(*keys, "nx", "ny", "mean", "psill", "c0", "range").agg(F.lit(None).cast("binary").alias("x"))
     groups = cut_lineage(groups.join(middle, keys))
+    fits = F.col("nx").cast("long") * F.col("ny") <= LOCAL_CELLS
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row int, col int, value double"
+
+    def whole(t: pa.Table) -> pa.Table:
+        g = t.select([*keys, "nx", "ny", "mean", "m", "psill", "c0", "range"]).slice(0, 1).to_pylist()[0]
+        shape = g["ny"], g["nx"]
+        x = _whole(t, "x", shape, layers=2)
+        value = (g["mean"] + g["m"] + Stencil(g, cell).whole(shape, 0.5)((x[0] - g["m"] * x[1])[None])[0])[:-1, :-1]
+        j, i = np.indices(value.shape, np.int32)
+        return pa.table([*[pa.repeat(pa.scalar(g[k], t.schema.field(k).type), value.size) for k in keys], pa.array(g["ny"] - 2 - j.ravel(), pa.int32()), pa.array(i.ravel()), pa.array(value.ravel())],
+                        names=[*keys, "row", "col", "value"])
+
+    near = join_small(solved.select(*keys, "nx", "ny", "bx", "by", "psill", "c0", "range", "mean", "x").filter(fits), groups.select(*keys, "m"), keys)
+    near = dealt(near, *keys).groupBy(*keys).applyInArrow(whole, schema)
+    groups, solved = groups.filter(~fits), solved.filter(~fits)
+    if groups.isEmpty():
+        return near
     # every block of the lattice gets a row, also those without nodes
     last = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / BLOCK).cast("int"))
     wanted = groups.withColumn("bx", F.explode(last("nx"))).withColumn("by", F.explode(last("ny")))
@@ -415,8 +545,7 @@ def krige_lattice(solved: DataFrame, cell: float = 10.0, keys=("codigo", "variab
         return pa.table([*[pa.array([g[k]] * n, pa.string()) for k in keys], pa.array((g["ny"] - 2 - j[inside]).astype(np.int32)), pa.array(i[inside].astype(np.int32)), pa.array(value[inside])],
                         names=[*keys, "row", "col", "value"])
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", row int, col int, value double"
-    return dealt(sent.select(wanted.columns).unionByName(wanted), *keys, "bx", "by").groupBy(*keys, "bx", "by").applyInArrow(apply, schema)
+    return near.unionByName(dealt(sent.select(wanted.columns).unionByName(wanted), *keys, "bx", "by").groupBy(*keys, "bx", "by").applyInArrow(apply, schema))
 
 
 def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "variable")) -> DataFrame:
@@ -424,6 +553,29 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
     value, datum.  The check of ``solve_lattice``: they are equal."""
     keys = list(keys)
     kinds = dict(solved.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x double, y double, value double, datum double"
+    fits = F.col("nx").cast("long") * F.col("ny") <= LOCAL_CELLS
+
+    def whole(t: pa.Table) -> pa.Table:
+        """The lattice row by row: for each distance of two rows, all offsets along them as one matrix."""
+        g = t.select([*keys, "x0", "y0", "nx", "ny", "mean", "psill", "c0", "range"]).slice(0, 1).to_pylist()[0]
+        shape, st = (g["ny"], g["nx"]), Stencil(g, cell)
+        mask, value, u = _whole(t, "mask", shape, bool)[0], _whole(t, "value", shape)[0], _whole(t, "x", shape, layers=2)[0]
+        total, along = np.zeros(shape), np.arange(g["nx"])
+        across = (along[:, None] - along[None, :]).astype(float)
+        for dy in range(min(st.ry, g["ny"] - 1) + 1):
+            c = st.at(across, np.float64(dy))
+            total[:shape[0] - dy] += u[dy:] @ c
+            if dy:
+                total[dy:] += u[:shape[0] - dy] @ c
+        j, i = np.nonzero(mask)
+        return pa.table([*[pa.repeat(pa.scalar(g[k], t.schema.field(k).type), len(i)) for k in keys], pa.array(g["x0"] + i * cell), pa.array(g["y0"] + j * cell),
+                         pa.array(total[j, i] + g["mean"]), pa.array(value[j, i])], names=[*keys, "x", "y", "value", "datum"])
+
+    near = dealt(solved.filter(fits), *keys).groupBy(*keys).applyInArrow(whole, schema)
+    solved = solved.filter(~fits)
+    if solved.isEmpty():
+        return near
     reach = F.when(F.col("psill") > 0, F.ceil(F.col("range") / cell)).otherwise(0) + 1
     sent = _spread(solved, reach, [*keys, "x", "psill", "c0", "range"], ["x0", "y0", "nx", "ny", "mean", "mask", "value"])
 
@@ -445,5 +597,4 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
         return pa.table([*[pa.array([row[k]] * len(i), pa.string()) for k in keys], pa.array(row["x0"] + (i + row["bx"] * BLOCK) * cell),
                          pa.array(row["y0"] + (j + row["by"] * BLOCK) * cell), pa.array(total[j, i] + row["mean"]), pa.array(_grid(row["value"])[j, i])], names=names)
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", x double, y double, value double, datum double"
-    return dealt(sent, *keys, "bx", "by").groupBy(*keys, "bx", "by").applyInArrow(apply, schema)
+    return near.unionByName(dealt(sent, *keys, "bx", "by").groupBy(*keys, "bx", "by").applyInArrow(apply, schema))

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldzones.operators import lattice, moran
 
@@ -118,3 +119,27 @@ def test_permutations_against_numpy(spark):
     assert abs(r.I - value(z)) < 1e-9 and r.n == 90 and r.n_extreme == min(larger, 199 - larger) and abs(r.p_sim - (r.n_extreme + 1) / 200) < 1e-12
     assert got["g"].I is None and got["g"].p_sim is None  # no neighbours
     assert got["h"].I is None  # no variance
+
+
+def test_variogram_by_several_sheets(spark, grid, monkeypatch):
+    pts = spark.createDataFrame(grid, "codigo string, variable string, x double, y double, value double")
+    for most in (None, 300.0):
+        monkeypatch.setattr(lattice, "SHEET", 384)
+        one = {(r.codigo, r.variable, r.lag_bin): r for r in lattice.lattice_variogram(lattice.lattice_blocks(pts), max_dist=most).collect()}
+        monkeypatch.setattr(lattice, "SHEET", 1)
+        got = {(r.codigo, r.variable, r.lag_bin): r for r in lattice.lattice_variogram(lattice.lattice_blocks(pts), max_dist=most).collect()}
+        assert set(got) == set(one)
+        assert all(got[k].n_pairs == one[k].n_pairs and abs(got[k].gamma - one[k].gamma) < 1e-9 and abs(got[k].lag - one[k].lag) < 1e-9 for k in one)
+
+
+def test_whole_lattices_agree_with_blocks(spark, grid, solved, monkeypatch):
+    """Lattices solved in one task against rounds over blocks; a field whose range exceeds it sends no block to all others."""
+    model = solved.select("codigo", "variable", (F.col("c0") - F.col("psill")).alias("nugget"), "psill", "range").distinct()
+    key = lambda r: (r.codigo, r.variable, r.row, r.col)
+    near = {key(r): r.value for r in lattice.krige_lattice(solved).collect()}
+    monkeypatch.setattr(lattice, "LOCAL_CELLS", 0)
+    pts = spark.createDataFrame(grid, "codigo string, variable string, x double, y double, value double")
+    far = lattice.solve_lattice(lattice.lattice_blocks(pts), model)
+    got = {key(r): r.value for r in lattice.krige_lattice(far).collect()}
+    assert set(got) == set(near) and max(abs(got[k] - near[k]) for k in got) < 1e-6
+    assert all(abs(r.value - r.datum) < 1e-7 for r in lattice.lattice_product(far).collect())
