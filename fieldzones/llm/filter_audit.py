@@ -55,7 +55,7 @@ ROWS = "doc_id long, part string, digest binary, fails int, n_words long, n_dist
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers of a shard as compressed differences."""
-    planes = np.diff(x, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+    planes = np.diff(x, prepend=x.dtype.type(0)).astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -103,7 +103,7 @@ def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 held["digest"].append(hashlib.sha256(raw).digest())
                 held["other"].append(4 * (100 * capitals > 5 * n_chars) + 8 * any(b in raw for b in _SIGNS))
                 held["columns"].append(columns)
-                held["counts"].append(counts)
+                held["counts"].append(counts.astype(np.int32))
         if held is not None:
             yield out()
 
