@@ -1,9 +1,11 @@
 """A random forest for each field and soil variable.
 
-All forests grow together, level by level.  The rows of one level are (field, variable, tree, node,
-sample) with the sample's weight in the tree; one aggregate over (field, variable, tree, node, predictor,
-bin) gives the histograms of every open node, running sums over the bins its split points, and the best
-one is joined back to the rows.  Nothing is fitted on the driver and no forest in one task.
+The samples of a field and variable meet runs of its trees; a task grows a run level by level, all open nodes
+at once, over samples sorted by each predictor (samples of equal predictors count as one).  Groups of more
+than ``LOCAL_SAMPLES`` grow in rounds instead, one level of all trees a round: rows are (field, variable,
+tree, node, sample) with the sample's weight in the tree; one aggregate over (field, variable, tree, node,
+predictor, bin) gives the histograms of every open node, running sums over the bins its split points, and the
+best one is joined back.  Draws and splits are the same.  Nothing is fitted on the driver and no forest in one task.
 
 * Bins: the different values of a predictor in the field (``max_bins`` at most, then ranges of equal
   rank); a split point is the middle between two neighbouring bins.
@@ -11,8 +13,9 @@ one is joined back to the rows.  Nothing is fitted on the driver and no forest i
 * Predictors of a node: the ``max_features`` of least ``hash(seed, field, variable, t, node, predictor)``.
 * Split: greatest decrease of the squared deviations; equal ones (6 places): first predictor, then bin.
 * Importance: the decrease by predictor, shares within each tree, averaged over the trees that split.
-* Prediction: chunks of trees, flattened into arrays, meet blocks of points of their field; the sums over
-  a forest's chunks are an aggregate.  A task holds one chunk and one block.
+* Prediction: chunks of at most ``NODES`` nodes, flattened into arrays, meet blocks of points of their field;
+  the sums over a forest's chunks are an aggregate.  Trees are cut into pages of 6 levels, and a point's way
+  through a page is one AND of a 64-bit word for each predictor.
 
 Samples without a value of the variable or of a predictor are left out (P6); a variable of one sample or
 without spread is its mean everywhere.  Missing predictors of the grid take the field's mean.
@@ -27,11 +30,15 @@ from pyspark.sql import functions as F
 
 from fieldzones.operators.samples import coerce_numeric, present
 from fieldzones.operators.stats import impute_mean
-from fieldzones.session import cut_lineage, dealt, join_small
+from fieldzones.session import cut_lineage, dealt, join_small, parallelism
 
 THRESHOLD = 0.05
 MAX_BINS, MAX_DEPTH = 256, 30
-CHUNK, POINTS = 100, 4096
+#: Samples of a group whose trees grow inside tasks, least trees of a run, drawn samples grown at a time.
+LOCAL_SAMPLES, TREES, DRAWN = 1_000_000, 25, 1 << 17
+#: Nodes of a chunk of trees, points of a block, points a tree takes at a time, words of a tree's pages.
+NODES, POINTS, STRIDE, WORDS = 1 << 20, 1 << 17, 1 << 14, 1 << 22
+PAGE = 6
 _GROUP = ["codigo", "variable"]
 
 
@@ -71,10 +78,9 @@ def _drawn(rows: DataFrame, num_trees: int, seed: int, bootstrap: bool) -> DataF
     return join_small(draws, rows.select(*_GROUP, F.col("idx").cast("long").alias("idx"), "y", "xb"), [*_GROUP, "idx"]).select(*_GROUP, "tree", "y", "xb", "w")
 
 
-def grow(rows: DataFrame, bins: DataFrame, allowed: DataFrame | None, n_predictors: int, num_trees: int = 1500, seed: int = 42,
-         max_features: int = 3, max_depth: int = MAX_DEPTH, bootstrap: bool = True) -> DataFrame:
-    """Nodes of all trees: codigo, variable, tree, node (children 2k, 2k + 1; root 1), weight, value, f,
-    threshold, gain (null: a leaf).  ``allowed`` (codigo, variable, fs) restricts a forest's predictors."""
+def _grown_by_rounds(rows: DataFrame, bins: DataFrame, allowed: DataFrame | None, n_predictors: int, num_trees: int,
+                     seed: int, max_features: int, max_depth: int, bootstrap: bool, every_bin: bool) -> DataFrame:
+    """``grow`` for groups of any size: a level of all trees is one round over all tasks."""
     if allowed is None:
         open_ = _drawn(rows, num_trees, seed, bootstrap).withColumn("fs", F.sequence(F.lit(0), F.lit(n_predictors - 1)))
     else:
@@ -109,10 +115,187 @@ def grow(rows: DataFrame, bins: DataFrame, allowed: DataFrame | None, n_predicto
         open_ = cut_lineage(dealt(open_.join(splits.select(*node_key, "f", "bin"), node_key).withColumn("node", F.col("node") * 2 + right).drop("f", "bin"), *_GROUP, "tree"))
     low = bins.select(*_GROUP, "f", F.col("bin").alias("bin"), F.col("high").alias("left_high"))
     high = bins.select(*_GROUP, "f", F.col("bin").alias("after"), F.col("low").alias("right_low"))
+    if every_bin:
+        nodes = nodes.withColumn("after", F.col("bin") + 1)
     nodes = join_small(join_small(nodes, low, [*_GROUP, "f", "bin"], "left"), high, [*_GROUP, "f", "after"], "left")
     return cut_lineage(nodes.select(*node_key, "weight", "value", "f", ((F.col("left_high") + F.col("right_low")) / 2).alias("threshold"), "gain"))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def hash_int(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of an int (0 or more) after the columns hashed to ``seed``; unsigned."""
+    h = (seed + _P5 + np.uint64(4)) ^ (value.astype(np.uint64) * _P1)
+    return _mixed(_turned(h, 23) * _P2 + _P3)
+
+
+def hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + _P5 + np.uint64(8)) ^ (_turned(value.astype(np.uint64) * _P2, 31) * _P1)
+    return _mixed(_turned(h, 27) * _P1 + _P4)
+
+
+def _cells(xb: np.ndarray, fs) -> np.ndarray:
+    """Number of each sample's bins of the predictors ``fs``, equal for equal bins."""
+    code = np.zeros(len(xb), np.int64)
+    for f in fs:
+        code = np.unique(code * (int(xb[:, f].max()) + 1) + xb[:, f], return_inverse=True)[1]
+    return code
+
+
+def _drawn_cells(y: np.ndarray, cell: np.ndarray, h: np.ndarray | None, n_trees: int):
+    """(tree, cell, weight, sum, least, greatest y) for every tree and cell with a drawn sample; ``h``: the
+    hashes of the trees, None without bootstrap."""
+    n, order = len(y), np.lexsort((y, cell))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    if h is None:
+        w = np.ones(n_trees * n)
+    else:
+        at = hash_int(np.arange(n)[None], h[:, None]).view(np.int64) % n
+        w = np.bincount((place[at] + n * np.arange(n_trees)[:, None]).ravel(), minlength=n_trees * n).astype(float)
+    have = np.flatnonzero(w)
+    tree, k = have // n, order[have % n]
+    of = cell[k]
+    first = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (of[1:] != of[:-1])])
+    last = np.r_[first[1:], len(have)] - 1
+    return tree[first], of[first], np.add.reduceat(w[have], first), np.add.reduceat(w[have] * y[k], first), y[k[first]], y[k[last]]
+
+
+def _grow_run(y: np.ndarray, xb: np.ndarray, fs: list[int], trees: np.ndarray, h: np.ndarray, max_features: int, max_depth: int, bootstrap: bool):
+    """Nodes of the given trees of one group, an array for each of tree, node, weight, value, f (-1: a leaf),
+    bin, after, gain.  ``y`` is taken from its mean, and sums run over long doubles, so that equal splits tie."""
+    mean = y.mean()
+    y = y - mean
+    cell = _cells(xb, fs)
+    example = np.empty(int(cell.max()) + 1, np.int64)
+    example[cell] = np.arange(len(y))
+    slot, of, w, s, least, most = _drawn_cells(y, cell, hash_int(trees, h) if bootstrap else None, len(trees))
+    x = [np.ascontiguousarray(xb[example[of], f]) for f in fs]
+    orders = [np.lexsort((v, slot)) for v in x] or [np.arange(len(slot))]
+    tree, node, found = trees, np.ones(len(trees), np.int64), []
+    for depth in range(max_depth + 1):
+        o = orders[0]
+        sizes = np.bincount(slot[o], minlength=len(tree))
+        starts = np.cumsum(sizes) - sizes
+        wt, st = np.add.reduceat(w[o], starts), np.add.reduceat(s[o], starts)
+        best, f_best, bin_best, after = np.zeros(len(tree)), *(np.full(len(tree), -1, np.int32) for _ in range(3))
+        if depth < max_depth:
+            open_ = np.maximum.reduceat(most[o], starts) > np.minimum.reduceat(least[o], starts)
+            drawn = None
+            if max_features < len(fs):
+                base = hash_long(node, hash_int(tree, h))
+                rank = np.argsort(np.stack([hash_int(np.full(1, f), base).view(np.int64) for f in fs], 1), axis=1, kind="stable")[:, :max_features]
+                drawn = np.zeros((len(tree), len(fs)), bool)
+                np.put_along_axis(drawn, rank, True, axis=1)
+            for i, f in enumerate(fs):
+                o, v = orders[i], x[i][orders[i]]
+                here = slot[o]
+                c = np.flatnonzero((here[1:] == here[:-1]) & (v[1:] != v[:-1]))
+                c = c[(open_ if drawn is None else open_ & drawn[:, i])[here[c]]]
+                if not len(c):
+                    continue
+                wl, sl = np.cumsum(w[o]), np.cumsum(s[o], dtype=np.longdouble)
+                at = here[c]
+                wl, sl = wl[c] - (wl[starts] - w[o[starts]])[at], (sl[c] - (sl[starts] - s[o[starts]])[at]).astype(float)
+                sr = st[at] - sl
+                gain = np.round(sl * sl / wl + sr * sr / (wt[at] - wl) - st[at] * st[at] / wt[at], 6)
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                top = np.maximum.reduceat(gain, first)
+                hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[first, len(at)])))[::-1]
+                pick = np.empty(len(tree), np.int64)
+                pick[at[hit]] = c[hit]  # the first of equal gains is written last
+                own = at[first]
+                own = own[top > best[own]]
+                gains = np.zeros(len(tree))
+                gains[at[first]] = top
+                best[own], f_best[own], bin_best[own], after[own] = gains[own], i, v[pick[own]], v[pick[own] + 1]
+        split = f_best >= 0
+        found.append((tree, node, wt, st / wt + mean, np.where(split, np.array([*fs, -1], np.int32)[f_best], -1), bin_best, after, best))
+        if not split.any():
+            break
+        number = np.cumsum(split) - 1
+        right = np.zeros(len(slot), bool)
+        for i in range(len(fs)):
+            o = orders[0][f_best[slot[orders[0]]] == i]
+            right[o] = x[i][o] > bin_best[slot[o]]
+        for i, o in enumerate(orders):
+            o = o[split[slot[o]]]
+            r, g = number[slot[o]], right[o]
+            n_all, n_right = np.bincount(r), np.bincount(r, weights=g).astype(np.int64)
+            before, rights = np.cumsum(n_all) - n_all, np.cumsum(n_right) - n_right
+            up = np.cumsum(g)
+            lefts_at = np.arange(len(o)) - up + g + rights[r]  # lefts of earlier nodes stand in ``before`` with their rights
+            to = np.where(g, before[r] + (n_all - n_right)[r] + up - 1 - rights[r], lefts_at)
+            moved = np.empty_like(o)
+            moved[to] = o
+            orders[i] = moved
+        o = orders[0]
+        slot[o] = 2 * number[slot[o]] + right[o]
+        tree, node = np.repeat(tree[split], 2), (2 * node[split][:, None] + np.arange(2)).ravel()
+    return [np.concatenate(c) for c in zip(*found)]
+
+
+def _grown_in_tasks(rows: DataFrame, bins: DataFrame, allowed: DataFrame | None, n_predictors: int, num_trees: int,
+                    seed: int, max_features: int, max_depth: int, bootstrap: bool, every_bin: bool) -> DataFrame:
+    """``grow`` for groups of at most ``LOCAL_SAMPLES``: a task has a group's samples and a run of its trees."""
+    packed = rows.groupBy(*_GROUP).agg(F.array_sort(F.collect_list(F.struct("idx", "y", "xb"))).alias("r"))
+    edges = bins.groupBy(*_GROUP).agg(F.array_sort(F.collect_list(F.struct("f", "bin", "low", "high"))).alias("e"))
+    packed = packed.join(edges, _GROUP).select(*_GROUP, _hash(seed, F.col("codigo"), F.col("variable")).alias("h"), F.col("r.y").alias("y"), F.flatten("r.xb").alias("xb"),
+                                               F.col("e.f").alias("ef"), F.col("e.low").alias("low"), F.col("e.high").alias("high"))
+    if allowed is None:
+        packed = packed.withColumn("fs", F.sequence(F.lit(0), F.lit(n_predictors - 1)))
+    else:
+        packed = packed.join(allowed.select(*_GROUP, "fs"), _GROUP)
+    run_of = F.greatest(F.lit(TREES), F.least(F.lit(10 * TREES), F.floor(F.lit(DRAWN) / F.size("y")))).cast("int")
+    packed = cut_lineage(packed.withColumn("size", run_of))
+    runs = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1), F.col("size"))).alias("first"))
+    runs = dealt(runs, *_GROUP, "first")
+    names, kind = runs.columns, dict(rows.dtypes)["codigo"]
+
+    def run(batches):
+        for rb in batches:
+            for k in range(len(rb)):
+                v = {c: rb.column(i)[k] for i, c in enumerate(names)}
+                y, low, high, ef = (v[c].values.to_numpy(zero_copy_only=False) for c in ("y", "low", "high", "ef"))
+                xb = v["xb"].values.to_numpy(zero_copy_only=False).reshape(len(y), n_predictors)
+                h, fs = np.array([v["h"].as_py()], np.int64).view(np.uint64), sorted(v["fs"].as_py())
+                last = min(v["first"].as_py() + v["size"].as_py(), num_trees)
+                each = max(1, DRAWN // len(y))
+                for t in range(v["first"].as_py(), last, each):
+                    tree, node, weight, value, f, b, after, gain = _grow_run(y, xb, fs, np.arange(t, min(t + each, last)), h, max_features, max_depth, bootstrap)
+                    leaf, of = f < 0, np.searchsorted(ef, np.maximum(f, 0))
+                    cut = (high[of + np.maximum(b, 0)] + low[np.minimum(of + np.maximum(b + 1 if every_bin else after, 0), len(low) - 1)]) / 2
+                    n = len(tree)
+                    yield pa.RecordBatch.from_arrays([pa.array([v["codigo"].as_py()] * n, rb.schema.field("codigo").type), pa.array([v["variable"].as_py()] * n), pa.array(tree.astype(np.int32)), pa.array(node), pa.array(weight), pa.array(value),
+                                                      pa.array(f.astype(np.int32), mask=leaf), pa.array(cut, mask=leaf), pa.array(gain, mask=leaf)], names=[*_GROUP, "tree", "node", "weight", "value", "f", "threshold", "gain"])
+
+    return runs.mapInArrow(run, f"codigo {kind}, variable string, tree int, node long, weight double, value double, f int, threshold double, gain double")
+
+
+def grow(rows: DataFrame, bins: DataFrame, allowed: DataFrame | None, n_predictors: int, num_trees: int = 1500, seed: int = 42,
+         max_features: int = 3, max_depth: int = MAX_DEPTH, bootstrap: bool = True, every_bin: bool = False) -> DataFrame:
+    """Nodes of all trees: codigo, variable, tree, node (children 2k, 2k + 1; root 1), weight, value, f,
+    threshold, gain (null: a leaf).  ``allowed`` (codigo, variable, fs) restricts a forest's predictors.
+    ``every_bin``: a threshold lies next to the bin's neighbour in the group, not in the node."""
+    given = (allowed, n_predictors, num_trees, seed, max_features, max_depth, bootstrap, every_bin)
+    large = rows.filter(F.col("n") > LOCAL_SAMPLES)
+    nodes = _grown_in_tasks(rows.filter(F.col("n") <= LOCAL_SAMPLES), bins, *given)
+    if not large.isEmpty():
+        nodes = nodes.unionByName(_grown_by_rounds(large, bins, *given))
+    return cut_lineage(nodes)
+
+
 def importances(nodes: DataFrame, predictors: list[str]) -> DataFrame:
     """M6/O1: codigo, variable, predictor, importance, rank; all zero where no tree splits."""
     gains = nodes.filter("f IS NOT NULL").groupBy(*_GROUP, "tree", "f").agg(F.sum("gain").alias("g"))
@@ -148,55 +331,140 @@ def fit(train: DataFrame, variables: list[str], predictors: list[str], num_trees
 
 
 def _packed_trees(nodes: DataFrame) -> DataFrame:
-    """Chunks of CHUNK trees of a forest as arrays: feature (-1: leaf), threshold, left child, value, roots."""
-    rows = nodes.withColumn("chunk", F.floor(F.col("tree") / CHUNK).cast("int"))
-    lists = rows.groupBy(*_GROUP, "chunk").agg(F.array_sort(F.collect_list(F.struct("tree", "node", "f", "threshold", "value"))).alias("t"))
-    lists = lists.select(*_GROUP, "chunk", *[F.col(f"t.{c}").alias(c) for c in ("tree", "node", "f", "threshold", "value")])
+    """Chunks of trees of a forest as arrays: feature (-1: leaf), threshold or a leaf's value, left child, roots."""
+    sizes = nodes.groupBy(*_GROUP).agg(F.ceil(F.count(F.lit(1)) / NODES).alias("chunks"), (F.max("tree") + 1).alias("trees"))
+    rows = join_small(nodes, sizes, _GROUP).withColumn("chunk", F.floor(F.col("tree") * F.col("chunks") / F.col("trees")).cast("int"))
+    number = F.coalesce("threshold", "value").alias("number")
+    lists = rows.groupBy(*_GROUP, "chunk").agg(F.array_sort(F.collect_list(F.struct("tree", "node", F.coalesce("f", F.lit(-1)).cast("int").alias("f"), number))).alias("t"))
+    lists = lists.select(*_GROUP, "chunk", *[F.col(f"t.{c}").alias(c) for c in ("tree", "node", "f", "number")])
 
     def pack(batches):
         for rb in batches:
             for k in range(len(rb)):
-                tree, node = (rb.column(c)[k].values.to_numpy() for c in (3, 4))
-                f = rb.column(5)[k].values.fill_null(-1).to_numpy().astype(np.int32)
-                cut = rb.column(6)[k].values.fill_null(0.0).to_numpy(zero_copy_only=False)
-                at = {x: i for i, x in enumerate(zip(tree.tolist(), node.tolist()))}
-                left = np.array([at.get((t, 2 * n), -1) if g >= 0 else -1 for t, n, g in zip(tree.tolist(), node.tolist(), f.tolist())], np.int32)
-                roots = np.flatnonzero(node == 1).astype(np.int32)
-                value = rb.column(7)[k].values.to_numpy()
-                yield pa.RecordBatch.from_arrays([*[rb.column(c).slice(k, 1) for c in range(3)], *[pa.array([a.tobytes()], pa.binary()) for a in (f, cut, left, value, roots)]],
-                                                 names=[*_GROUP, "chunk", "f", "threshold", "left", "value", "roots"])
-
-    return lists.mapInArrow(pack, "codigo string, variable string, chunk int, f binary, threshold binary, left binary, value binary, roots binary")
-
-
-def walk(x: np.ndarray, f: np.ndarray, cut: np.ndarray, left: np.ndarray, value: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """Sum over the trees of the leaf value that each row of ``x`` comes to; the right child follows the left."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for root in roots:
-        at = np.full(len(x), root)
-        going = rows[f[at] >= 0]
-        while len(going):
-            n = at[going]
-            at[going] = left[n] + (x[going, f[n]] > cut[n])
-            going = going[f[at[going]] >= 0]
-        total += value[at]
+                tree, node, f, number = (rb.column(c)[k].values.to_numpy() for c in (3, 4, 5, 6))
+                roots = np.flatnonzero(node == 1)
+                size = np.diff(np.r_[roots, len(node)])
+                # nodes of a tree are sorted: below one level stand the two children of each of its inner nodes in turn
+                inner = np.cumsum(f >= 0)
+                left = np.where(f >= 0, np.repeat(roots, size) + 1 + 2 * (inner - 1 - np.repeat(inner[roots] - (f[roots] >= 0), size)), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[rb.column(c).slice(k, 1) for c in range(3)], *[pa.array([a.tobytes()], pa.binary()) for a in (f.astype(np.int16), number, left, roots.astype(np.int32))]],
+                                                 names=[*_GROUP, "chunk", "f", "number", "left", "roots"])
+
+    kind = dict(nodes.dtypes)["codigo"]
+    return lists.mapInArrow(pack, f"codigo {kind}, variable string, chunk int, f binary, number binary, left binary, roots binary")
+
+
+def walk(x: np.ndarray, f: np.ndarray, number: np.ndarray, left: np.ndarray, root: int) -> np.ndarray:
+    """The leaf value that each row of ``x`` comes to in one tree; the right child follows the left."""
+    at = np.full(len(x), root)
+    going = np.arange(len(x)) if f[root] >= 0 else np.zeros(0, np.int64)
+    while len(going):
+        n = at[going]
+        at[going] = left[n] + (x[going, f[n]] > number[n])
+        going = going[f[at[going]] >= 0]
+    return number[at]
+
+
+def _below(n: np.ndarray) -> np.ndarray:
+    """Words with the ``n`` lowest bits set (0 to 64)."""
+    return np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+
+
+def _pages(f: np.ndarray, number: np.ndarray, left: np.ndarray, roots: np.ndarray):
+    """Trees cut into pages of ``PAGE`` levels: for each inner node its page and the exits of the page that going
+    right leaves out (mask); for each exit (64 a page, from left to right) its value and next page (-1: a leaf);
+    the first page of each tree.  Pages of a tree follow each other, its root's first."""
+    levels, at = [], roots[f[roots] >= 0]
+    while len(at):
+        levels.append(at)
+        at = (left[at][:, None] + np.arange(2)).ravel()
+        at = at[f[at] >= 0]
+    exits, page, start = np.ones(len(f), np.int64), np.full(len(f), -1), np.zeros(len(f), np.int64)
+    own = np.zeros(len(f), np.int64)
+    for d in reversed(range(len(levels))):  # exits as the page above sees them: a page's root is one
+        own[levels[d]] = exits[left[levels[d]]] + exits[left[levels[d]] + 1]
+        exits[levels[d]] = own[levels[d]] if d % PAGE else 1
+    tops = np.concatenate([levels[d] for d in range(0, len(levels), PAGE)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    tree = np.searchsorted(roots, tops, "right") - 1
+    tops = tops[np.argsort(tree, kind="stable")]
+    page[tops] = np.arange(len(tops))
+    value, follow = np.zeros(64 * len(tops)), np.full(64 * len(tops), -1)
+    for d, at in enumerate(levels):
+        for side in (0, 1):
+            child = left[at] + side
+            place = start[at] + (exits[left[at]] if side else 0)
+            out = (f[child] < 0) | ((d + 1) % PAGE == 0)
+            start[child[~out]], page[child[~out]] = place[~out], page[at[~out]]
+            slot, ends = 64 * page[at[out]] + place[out], f[child[out]] < 0
+            value[slot[ends]] = number[child[out][ends]]
+            follow[slot[~ends]] = page[child[out][~ends]]
+    inner = np.flatnonzero(f >= 0)
+    mask = ~(_below(start[inner] + exits[left[inner]]) & ~_below(start[inner]))
+    return inner, page[inner], mask, value, follow, np.searchsorted(np.sort(tree), np.arange(len(roots) + 1))
+
+
+def forest_sums(x: np.ndarray, f: np.ndarray, number: np.ndarray, left: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the leaf value that each row of ``x`` comes to."""
+    total = np.full(len(x), number[roots[f[roots] < 0]].sum())
+    inner, page, mask, value, follow, first = _pages(f, number, left, roots)
+    used = np.unique(f[inner])
+    cuts = {c: np.unique(number[inner[f[inner] == c]]) for c in used}
+    rank = {c: np.where(np.isnan(x[:, c]), 0, np.searchsorted(cuts[c], x[:, c])) for c in used}  # cuts below the value
+    tree = np.searchsorted(roots, inner, "right") - 1
+    by = np.lexsort((f[inner], tree))
+    ends = np.searchsorted(tree[by], np.arange(len(roots) + 1))
+    for t in np.flatnonzero(f[roots] >= 0):
+        mine, p0, pages = by[ends[t]:ends[t + 1]], first[t], first[t + 1] - first[t]
+        if pages * sum(len(c) + 1 for c in cuts.values()) > WORDS:
+            total += walk(x, f, number, left, roots[t])
+            continue
+        words = {}
+        for c in np.unique(f[inner[mine]]):
+            m = mine[f[inner[mine]] == c]
+            table = np.full((pages, len(cuts[c]) + 1), ~np.uint64(0))
+            np.bitwise_and.at(table, (page[m] - p0, np.searchsorted(cuts[c], number[inner[m]]) + 1), mask[m])
+            words[c] = np.bitwise_and.accumulate(table, axis=1).ravel()
+        for a in range(0, len(x), STRIDE):
+            here, z = None, slice(a, a + STRIDE)
+            ranks = {c: rank[c][z] for c in words}
+            word = None
+            for c, r in ranks.items():
+                word = words[c][r] if word is None else word & words[c][r]
+            out = 64 * p0 + np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1))
+            total[z] += value[out]
+            if pages == 1:
+                continue
+            going = follow[out]
+            here = np.flatnonzero(going >= 0)
+            while len(here):
+                p, word = going[here] - p0, None
+                for c, r in ranks.items():
+                    bits = words[c][p * (len(cuts[c]) + 1) + r[here]]
+                    word = bits if word is None else word & bits
+                out = 64 * (p + p0) + np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1))
+                total[a + here] += value[out]
+                going[here] = follow[out]
+                here = here[going[here] >= 0]
     return total
 
 
-def predict(grid: DataFrame, forests: FieldForests) -> DataFrame:
-    """M8: codigo, pid, variable, value for every point of ``grid`` (codigo, pid, predictors) and every
-    variable that its field has a forest for."""
-    p = forests.predictors
-    x = impute_mean(coerce_numeric(grid.select("codigo", "pid", *p), p), p, ("codigo",))
+def point_sums(x: DataFrame, nodes: DataFrame, p: list[str], null_right: bool = False) -> DataFrame:
+    """codigo, pid, variable, total, trees: sums over chunks of trees for every row of ``x`` (codigo, pid, p).
+    A missing predictor goes left, with ``null_right`` right."""
+    spark = x.sparkSession
     place = F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) / (1 << 30)
     sizes = x.groupBy("codigo").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("blocks"))
+    kinds = dict(x.dtypes)
     x = join_small(x, sizes, "codigo").withColumn("block", F.floor(place * F.col("blocks")).cast("int"))
     blocks = x.groupBy("codigo", "block").agg(F.collect_list(F.struct("pid", F.array(*[F.col(c).cast("double") for c in p]).alias("x"))).alias("r"))
     blocks = cut_lineage(blocks.select("codigo", "block", F.col("r.pid").alias("pid"), F.flatten("r.x").alias("x")))
-    trees = cut_lineage(_packed_trees(forests.nodes))
-    pairs = dealt(blocks.join(trees, "codigo"), "codigo", "block", "variable", "chunk")
-    names = pairs.columns
+    trees = cut_lineage(_packed_trees(nodes))
+    keys = ["codigo", "block", "variable", "chunk"]
+    places, parts = blocks.select("codigo", "block"), trees.select("codigo", "variable", "chunk")
+    # a pair of block and chunk is some MB: few of them to a partition, whose rows go to Python as one batch
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), places.join(parts, "codigo").count())
+    pairs = join_small(blocks, parts, "codigo").repartition(n, *keys).join(join_small(trees, places, "codigo").repartition(n, *keys), keys)
+    names, types = pairs.columns, (("f", np.int16), ("number", np.float64), ("left", np.int32), ("roots", np.int32))
 
     def run(batches):
         for rb in batches:
@@ -204,10 +472,20 @@ def predict(grid: DataFrame, forests: FieldForests) -> DataFrame:
                 v = {c: rb.column(i)[k] for i, c in enumerate(names)}
                 pid = v["pid"].values
                 data = v["x"].values.to_numpy(zero_copy_only=False).reshape(len(pid), -1)
-                arrays = [np.frombuffer(v[c].as_py(), t) for c, t in (("f", np.int32), ("threshold", np.float64), ("left", np.int32), ("value", np.float64), ("roots", np.int32))]
+                if null_right:
+                    data = np.where(np.isnan(data), np.inf, data)
+                arrays = [np.frombuffer(v[c].as_py(), t) for c, t in types]
                 n = len(pid)
-                yield pa.RecordBatch.from_arrays([pa.array([v["codigo"].as_py()] * n), pid, pa.array([v["variable"].as_py()] * n), pa.array(walk(data, *arrays)), pa.array([len(arrays[4])] * n, pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array([v["codigo"].as_py()] * n, rb.schema.field("codigo").type), pid, pa.array([v["variable"].as_py()] * n), pa.array(forest_sums(data, *arrays)), pa.array([len(arrays[3])] * n, pa.int64())],
                                                  names=["codigo", "pid", "variable", "total", "trees"])
 
-    sums = pairs.mapInArrow(run, f"codigo string, pid {dict(grid.dtypes)['pid']}, variable string, total double, trees long")
+    return pairs.mapInArrow(run, f"codigo {kinds['codigo']}, pid {kinds['pid']}, variable string, total double, trees long")
+
+
+def predict(grid: DataFrame, forests: FieldForests) -> DataFrame:
+    """M8: codigo, pid, variable, value for every point of ``grid`` (codigo, pid, predictors) and every
+    variable that its field has a forest for."""
+    p = forests.predictors
+    x = impute_mean(coerce_numeric(grid.select("codigo", "pid", *p), p), p, ("codigo",))
+    sums = point_sums(x, forests.nodes, p)
     return sums.groupBy("codigo", "pid", "variable").agg((F.sum("total") / F.sum("trees")).alias("value"))

@@ -96,3 +96,50 @@ def test_bootstrap_draws_as_many_as_there_are_samples(spark, train):
     rows, _bins = ff.training_rows(df, ["pH"], P)
     drawn = ff._drawn(rows, 50, 42, True).groupBy("codigo", "tree").agg({"w": "sum"}).collect()
     assert {(r.codigo, r["sum(w)"]) for r in drawn} == {("a", 40.0), ("b", 12.0), ("c", 1.0)} and len(drawn) == 150
+
+
+def test_trees_of_small_groups_grow_inside_tasks(spark, train, monkeypatch):
+    """The same nodes as by rounds over all tasks, draws and restricted predictors included."""
+    _, df = train
+    rows, bins = ff.training_rows(df, ["pH", "MO"], P)
+    allowed = spark.createDataFrame([(c, v, fs) for c in "abc" for v, fs in (("pH", [0, 1, 2, 3]), ("MO", [1, 3]))], "codigo string, variable string, fs array<int>")
+    found = []
+    rounds = ff._grown_by_rounds
+    for limit in (100, 0):
+        monkeypatch.setattr(ff, "LOCAL_SAMPLES", limit)
+        monkeypatch.setattr(ff, "_grown_by_rounds", rounds if limit == 0 else lambda *a: pytest.fail("no rounds for small groups"))
+        grown = ff.grow(rows, bins, allowed, 4, num_trees=30, max_features=2)
+        found.append({(r.codigo, r.variable, r.tree, r.node): r for r in grown.collect()})
+    here, far = found
+    assert here.keys() == far.keys() and len({k[:3] for k in here}) == 3 * 2 * 30
+    for k, r in far.items():
+        assert here[k].f == r.f and here[k].weight == r.weight and here[k].threshold == pytest.approx(r.threshold)
+        assert here[k].value == pytest.approx(r.value) and (r.gain is None or here[k].gain == pytest.approx(r.gain, abs=2e-6))
+
+
+def test_pages_of_trees_against_walks(monkeypatch):
+    """Deep and uneven trees, a lone leaf, values on a threshold and missing ones."""
+    rng = np.random.default_rng(8)
+    f, number, left, roots = [], [], [], []
+    for size in (0, 1, 5, 90, 700):
+        roots.append(len(f))
+        heap = {1: None}
+        for _ in range(size):
+            leaf = max(heap) if rng.random() < 0.3 and max(heap) < 1 << 40 else sorted(k for k in heap if heap[k] is None)[0 if rng.random() < 0.5 else -1]
+            if heap[leaf] is None:
+                heap[leaf] = (int(rng.integers(3)), float(rng.integers(40)))
+                heap |= {2 * leaf: None, 2 * leaf + 1: None}
+        order = sorted(heap)
+        at = {k: roots[-1] + i for i, k in enumerate(order)}
+        for k in order:
+            f.append(-1 if heap[k] is None else heap[k][0])
+            number.append(float(rng.normal()) if heap[k] is None else heap[k][1])
+            left.append(-1 if heap[k] is None else at[2 * k])
+    arrays = np.array(f, np.int16), np.array(number), np.array(left, np.int32), np.array(roots, np.int32)
+    x = rng.integers(-1, 42, (5000, 3)).astype(float)
+    x[::17, 1] = np.nan
+    monkeypatch.setattr(ff, "STRIDE", 999)
+    want = sum(ff.walk(x, *arrays[:3], r) for r in roots)
+    assert np.allclose(ff.forest_sums(x, *arrays), want)
+    monkeypatch.setattr(ff, "WORDS", 0)
+    assert np.allclose(ff.forest_sums(x, *arrays), want)
