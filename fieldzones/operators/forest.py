@@ -1,21 +1,21 @@
-"""Random-forest soil models (M6, M7, M8, P19, O1, Z13) with Spark ML.
+"""Random-forest soil models (M6, M7, M8, P19, O1, Z13) pooled over all fields.
 
 One pooled model per soil variable over all fields (``fields=`` restricts the training
-rows to some codes for single-field behaviour).  Training and prediction are Spark ML
-jobs; only the per-feature importances (a handful of numbers) reach the driver.
+rows to some codes for single-field behaviour).  The trees grow and predict as those of
+``field_forest`` do, all fields as one group, with split points between neighbouring values of
+the whole table; only the names of the selected predictors reach the driver.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldzones.operators.samples import coerce_numeric, complete_cases, present
+from fieldzones.operators import field_forest
+from fieldzones.operators.samples import coerce_numeric, present
 from fieldzones.operators.stats import impute_mean
 from fieldzones.session import cut_lineage
 
@@ -26,32 +26,17 @@ IMPORTANCE_THRESHOLD = 0.05
 class SoilModel:
     variable: str
     predictors: list[str]
-    model: RandomForestRegressionModel
+    nodes: DataFrame
 
 
-def _forest(num_trees: int, seed: int, max_features: int, max_bins: int) -> RandomForestRegressor:
-    # unbounded trees as in the usual defaults: leaves of 1 and a depth limit of 30, which is
-    # Spark's maximum; node ids cached and a large node-group budget, so each tree level is one pass
-    return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                 featureSubsetStrategy=str(max_features), seed=seed, maxDepth=30, maxBins=max_bins,
-                                 minInstancesPerNode=1, bootstrap=True, subsamplingRate=1.0,
-                                 maxMemoryInMB=1024, cacheNodeIds=True)
-
-
-def _parallel(fn, items):
-    """Fit independent models concurrently (one Spark job stream per variable)."""
-    items = list(items)
-    if len(items) <= 1:
-        return [fn(i) for i in items]
-    with ThreadPoolExecutor(max_workers=min(8, len(items))) as ex:
-        return list(ex.map(fn, items))
-
-
-def _fit(train: DataFrame, variable: str, predictors: list[str], num_trees: int, seed: int,
-         max_features: int, max_bins: int) -> RandomForestRegressionModel:
-    data = complete_cases(coerce_numeric(train, [*predictors, variable]), [*predictors, variable])
-    vec = VectorAssembler(inputCols=predictors, outputCol="features").transform(data)
-    return _forest(num_trees, seed, max_features, max_bins).fit(vec.select("features", F.col(variable).alias("label")))
+def _grown(train: DataFrame, variables: list[str], predictors: list[str], num_trees: int, seed: int,
+           max_features: int, max_bins: int) -> DataFrame:
+    """Nodes of the forests of ``variables``; rows with a null or NaN in one's columns are left out of it."""
+    data = coerce_numeric(train, [*predictors, *variables])
+    data = data.select(F.lit("").alias("codigo"), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in [*predictors, *variables]])
+    rows, bins = field_forest.training_rows(data, variables, predictors, max_bins)
+    # unbounded trees as in the usual defaults: leaves of 1 and a depth limit of 30
+    return field_forest.grow(rows, bins, None, len(predictors), num_trees, seed, max_features, every_bin=True)
 
 
 def rf_importance(train: DataFrame, variables: list[str], predictors: list[str],
@@ -62,19 +47,14 @@ def rf_importance(train: DataFrame, variables: list[str], predictors: list[str],
 
     ``max_bins`` bounds the split points of a predictor; the default, the number of training
     rows, lets every value be one."""
-    spark: SparkSession = train.sparkSession
     if fields is not None:
         train = train.filter(F.col("codigo").isin(fields))
     have, _skipped = present(train.columns, variables)
     bins = max_bins or max(32, train.count())
-    fitted = _parallel(lambda v: _fit(train, v, predictors, num_trees, seed, max_features, bins), have)
-    rows, models = [], {}
-    for v, m in zip(have, fitted):
-        models[v] = m
-        imp = m.featureImportances.toArray().tolist()
-        rows += [(v, p, float(i)) for p, i in zip(predictors, imp)]
-    imp = spark.createDataFrame(rows, "variable string, predictor string, importance double")
+    nodes = _grown(train, have, predictors, num_trees, seed, max_features, bins)
+    imp = field_forest.importances(nodes, predictors).select("variable", "predictor", "importance")
     w = Window.partitionBy("variable").orderBy(F.desc("importance"), "predictor")
+    models = {v: SoilModel(v, predictors, nodes.filter(F.col("variable") == v)) for v in have}
     return imp.withColumn("rank", F.row_number().over(w)), models
 
 
@@ -97,23 +77,38 @@ def rf_fit_selected(train: DataFrame, selected: DataFrame, num_trees: int = 1500
     chosen: dict[str, list[str]] = {}
     for r in selected.orderBy("variable", "rank").collect():  # a few rows per variable
         chosen.setdefault(r["variable"], []).append(r["predictor"])
-    items = list(chosen.items())
     bins = max_bins or max(32, train.count())
-    fitted = _parallel(lambda kv: _fit(train, kv[0], kv[1], num_trees, seed, max_features, bins), items)
-    return {v: SoilModel(v, preds, m) for (v, preds), m in zip(items, fitted)}
+    sets: dict[tuple, list[str]] = {}
+    for v, names in chosen.items():
+        sets.setdefault(tuple(names), []).append(v)
+    models = {}
+    for names, variables in sets.items():  # the variables of equal predictors grow together
+        nodes = _grown(train, variables, list(names), num_trees, seed, max_features, bins)
+        models |= {v: SoilModel(v, list(names), nodes.filter(F.col("variable") == v)) for v in variables}
+    return {v: models[v] for v in chosen}
 
 
 def rf_predict(grid: DataFrame, models: dict[str, SoilModel], keys=("codigo",)) -> DataFrame:
     """M8: predict every variable on the grid - predictors in training order, coerced to
     numbers, missing values filled with the field mean; a model whose predictors are
-    missing from the grid is skipped.  All predictors are filled once; then each variable is a
-    projection."""
+    missing from the grid is skipped.  All predictors are filled once; the values come back by
+    row."""
     usable = {v: sm for v, sm in models.items() if all(p in grid.columns for p in sm.predictors)}
     names = sorted({p for sm in usable.values() for p in sm.predictors})
     filled = {p: f"_x{i}" for i, p in enumerate(names)}
     x = grid.withColumns({t: F.col(p) for p, t in filled.items()}).drop(*usable)
-    x = cut_lineage(impute_mean(coerce_numeric(x, filled.values()), list(filled.values()), keys))
-    for v, sm in usable.items():
-        vec = VectorAssembler(inputCols=[filled[p] for p in sm.predictors], outputCol="features", handleInvalid="keep").transform(x)
-        x = sm.model.setPredictionCol(v).transform(vec).drop("features")
-    return x.drop(*filled.values())
+    x = impute_mean(coerce_numeric(x, filled.values()), list(filled.values()), keys)
+    if not usable:
+        return x
+    x = cut_lineage(x.withColumn("_row", F.monotonically_increasing_id()))
+    sets: dict[tuple, list[SoilModel]] = {}
+    for sm in usable.values():
+        sets.setdefault(tuple(sm.predictors), []).append(sm)
+    sums = []
+    for predictors, of in sets.items():
+        points = x.select(F.lit("").alias("codigo"), F.col("_row").alias("pid"), *[F.col(filled[p]).alias(p) for p in predictors])
+        nodes = reduce(DataFrame.unionByName, [sm.nodes for sm in of])
+        sums.append(field_forest.point_sums(points, nodes, list(predictors), null_right=True))
+    own = lambda c, v: F.sum(F.when(F.col("variable") == v, F.col(c)))
+    values = reduce(DataFrame.unionByName, sums).groupBy(F.col("pid").alias("_row")).agg(*[(own("total", v) / own("trees", v)).alias(v) for v in usable])
+    return x.join(values, "_row", "left").drop("_row", *filled.values())
