@@ -13,6 +13,7 @@ up to one radius around them, times the values of ``CHUNK`` permutations.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldzones.functions.numeric import distance
-from fieldzones.session import cut_lineage, dealt, join_small
+from fieldzones.session import cut_lineage, dealt, join_small, parallelism
 
 #: Edge of a tile in radii, permutations of one matrix product, rows of it at a time.
 TILE, CHUNK, ROWS = 5, 125, 512
+#: Points of a field whose permutations are ranked inside tasks, numbers that a run of permutations makes.
+LOCAL_POINTS, VALUES = 1_000_000, 1 << 22
 #: A permuted I this close to the observed one counts as equal to it (sums differ in the last bits).
 SAME = 1e-9
 
@@ -120,9 +123,58 @@ def morans_i(df: DataFrame, cols: list[str], radius: float = 50.0, row_standardi
 
 def permuted_values(points: DataFrame, cols: list[str], permutations: int, seed: int, keys: list[str]) -> DataFrame:
     """keys, place, chunk, ks, and for each column the values at the place in permutations ``ks`` of
-    the chunk; permutation 0 is the observed one.  ``points``: keys, pid, place (1..n), cols.
-
-    The ids of one field and one permutation are ranked in one task (a sort that spills)."""
+    the chunk; permutation 0 is the observed one.  ``points``: keys, pid, place (1..n), n, cols.
+
+    A field of at most ``LOCAL_POINTS`` meets runs of permutations, each ranked inside one task; a larger
+    one is ranked by sorts that spill, those of one permutation in one task."""
+    large = points.filter(F.col("n") > LOCAL_POINTS)
+    values = _dealt_in_tasks(points.filter(F.col("n") <= LOCAL_POINTS), cols, permutations, seed, keys)
+    return values if large.isEmpty() else values.unionByName(_dealt_by_sorts(large, cols, permutations, seed, keys))
+
+
+def _dealt_in_tasks(points: DataFrame, cols: list[str], permutations: int, seed: int, keys: list[str]) -> DataFrame:
+    """``permuted_values`` of fields of at most ``LOCAL_POINTS``: a run's values take at most VALUES numbers."""
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in keys], F.col("pid").cast("string")).alias("name")
+    packed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", name, *[F.col(c).cast("double").alias(c) for c in cols]))).alias("r"))
+    width = F.greatest(F.lit(1), F.least(F.lit(CHUNK), F.floor(F.lit(VALUES // len(cols)) / F.size("r")))).cast("int")
+    packed = cut_lineage(packed.select(*keys, width.alias("width"), *[F.col(f"r.{c}").alias(c) for c in ("place", "name", *cols)]))
+    # a run a partition: the arrays of several would go to Python as one batch
+    runs = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations), F.col("width"))).alias("first"))
+    spark = points.sparkSession
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), packed.select(F.size(F.sequence(F.lit(0), F.lit(permutations), F.col("width"))).alias("c")).agg(F.sum("c")).first()[0] or 0)
+    runs = runs.repartition(n, *keys, "first")
+    names, kinds = runs.columns, dict(points.dtypes)
+
+    def run(batches):
+        for rb in batches:
+            for i in range(len(rb)):
+                v = {c: rb.column(j)[i] for j, c in enumerate(names)}
+                first, width = v["first"].as_py(), v["width"].as_py()
+                ids = [b":" + t.encode() for t in v["name"].values.to_pylist()]
+                ks, n = range(first, min(first + width, permutations + 1)), len(ids)
+                order = np.empty((n, len(ks)), np.int64)
+                for j, k in enumerate(ks):
+                    head = hashlib.md5(f"{seed}:{k}".encode())
+                    draws = bytearray()
+                    for t in ids:
+                        h = head.copy()
+                        h.update(t)
+                        draws += h.digest()
+                    draw = np.frombuffer(draws, ">u8").reshape(n, 2).astype(np.uint64)
+                    order[:, j] = np.arange(n) if k == 0 else np.lexsort((draw[:, 1], draw[:, 0]))
+                ends = pa.array(np.arange(n + 1) * len(ks), pa.int32())
+                values = [pa.ListArray.from_arrays(ends, pa.array(v[c].values.to_numpy()[order].ravel())) for c in cols]
+                each = [pa.array([v[c].as_py()] * n, rb.schema.field(c).type) for c in keys]
+                out = pa.RecordBatch.from_arrays([*each, v["place"].values, pa.array(np.full(n, first), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.tile(np.array(ks, np.int32), n))), *values],
+                                                 names=[*keys, "place", "chunk", "ks", *cols])
+                yield from (out.slice(at, 1 << 14) for at in range(0, n, 1 << 14))
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", place int, chunk int, ks array<int>, " + ", ".join(f"{c} array<double>" for c in cols)
+    return runs.mapInArrow(run, schema)
+
+
+def _dealt_by_sorts(points: DataFrame, cols: list[str], permutations: int, seed: int, keys: list[str]) -> DataFrame:
+    """``permuted_values`` of fields of any size, by a window over each permutation's rows."""
     k = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k")
     dealt = points.select(*keys, "pid", k, *cols)
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"), *[F.col(c).cast("string") for c in keys], F.col("pid").cast("string")).cast("binary"))

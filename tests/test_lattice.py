@@ -143,3 +143,18 @@ def test_whole_lattices_agree_with_blocks(spark, grid, solved, monkeypatch):
     got = {key(r): r.value for r in lattice.krige_lattice(far).collect()}
     assert set(got) == set(near) and max(abs(got[k] - near[k]) for k in got) < 1e-6
     assert all(abs(r.value - r.datum) < 1e-7 for r in lattice.lattice_product(far).collect())
+
+
+def test_permutations_of_small_fields_are_ranked_inside_tasks(spark, monkeypatch):
+    """The same counts as by sorts, also by runs of a few permutations."""
+    rng = np.random.default_rng(6)
+    rows = [(c, i, float(rng.uniform(0, 300)), float(rng.uniform(0, 300)), float(rng.normal()), float(i % 5)) for c in "fg" for i in range(40)]
+    pts = spark.createDataFrame(rows, "codigo string, pid long, x double, y double, v double, w double")
+    found = []
+    sorts = moran._dealt_by_sorts
+    for limit, values in ((100, 1 << 22), (100, 1000), (0, 1 << 22)):
+        monkeypatch.setattr(moran, "LOCAL_POINTS", limit)
+        monkeypatch.setattr(moran, "VALUES", values)
+        monkeypatch.setattr(moran, "_dealt_by_sorts", sorts if limit == 0 else lambda *a: pytest.fail("no sorts for small fields"))
+        found.append({(r.codigo, r.variable): (round(r.I, 9), r.n, r.n_extreme, r.p_sim) for r in moran.morans_i_permuted(pts, ["v", "w"], 60.0, 99).collect()})
+    assert len(found[0]) == 4 and found[0] == found[1] == found[2]
