@@ -17,7 +17,8 @@ built from the model where it is used.
 * ``krige_lattice`` (M10): mean + m + sum of b C at the centre of every cell, b = u - m v, m = sum(u) / sum(v).
 
 Lattices of at most ``LOCAL_CELLS`` cells (the range may be longer than the field, every block then meets
-every other) are solved, kriged and checked in one task each, of bounded memory.  Of larger ones a task holds a block with
+every other) are solved, kriged and checked in one task each, of bounded memory; where the nugget outweighs what
+is near a node, with ``Smooth`` as the preconditioner.  Of larger ones a task holds a block with
 the cells within reach (range + 2 * NEAR cells) around it, and the state is a stored table, so a
 lost executor costs one round at most.
 """
@@ -29,15 +30,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldzones.session import BROADCAST_MAX_BYTES, cut_lineage, dealt, join_small, stored_bytes
+from fieldzones.session import BROADCAST_MAX_BYTES, cut_lineage, dealt, join_small, parallelism, stored_bytes
 
 BLOCK, NEAR = 64, 4
 N_RANGES = 200
 #: Blocks of a sheet of the variogram; cells of a lattice that is solved in one task, with their rounds.
 SHEET, LOCAL_CELLS, LOCAL_ROUNDS = 384, 1 << 21, 1000
+#: Blocks of a lattice whose points are packed by one task.
+DEALT = 32
+#: Partitions to a core for groups that are solved in one task each.
+APART = 16
+#: Places of the coarse lattice of ``Smooth``, and the spread of eigenvalues up to which it is used.
+COARSE, SPREAD = 1024, 30.0
 _CELLS = BLOCK * BLOCK
 
 
+def _apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` in many more partitions than cores: a group is long work, and two in one task wait for each other."""
+    spark = df.sparkSession
+    return df.repartition(max(APART * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 # ------------------------------------------------------------------------------ blocks
 
 def lattice_blocks(points: DataFrame, cell: float = 10.0, keys=("codigo", "variable"), extent: DataFrame | None = None) -> DataFrame:
@@ -46,19 +59,23 @@ def lattice_blocks(points: DataFrame, cell: float = 10.0, keys=("codigo", "varia
     ``extent`` (codigo, xmin, ymin, xmax, ymax) widens the lattice of a field beyond its points.  Null values
     are left out, several values of one node are averaged; a point off the lattice is an error."""
     keys = list(keys)
-    pts = points.filter(F.col("value").isNotNull()).groupBy(*keys, "x", "y").agg(F.avg("value").alias("value"))
-    own = pts.groupBy(keys[0]).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    if extent is not None:
+    pts = points.filter(F.col("value").isNotNull()).select(*keys, "x", "y", "value")
+    if extent is None:
+        own = pts.groupBy(keys[0]).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    else:
         own = extent.select(keys[0], F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), F.col("xmax").alias("x1"), F.col("ymax").alias("y1"))
     steps = lambda a, b: F.round((F.col(b) - F.col(a)) / cell).cast("int")
-    own = own.select(keys[0], "x0", "y0", (steps("x0", "x1") + 1).alias("nx"), (steps("y0", "y1") + 1).alias("ny"))
+    own = cut_lineage(own.select(keys[0], "x0", "y0", (steps("x0", "x1") + 1).alias("nx"), (steps("y0", "y1") + 1).alias("ny")))
     pts = join_small(pts, own, keys[0]).withColumns({"i": steps("x0", "x"), "j": steps("y0", "y")})
     off = (F.abs(F.col("x") - F.col("x0") - F.col("i") * cell) > 1e-6 * cell) | (F.abs(F.col("y") - F.col("y0") - F.col("j") * cell) > 1e-6 * cell)
     at = F.when(off, F.raise_error(F.lit("point off the lattice")).cast("int")).otherwise(F.pmod("j", F.lit(BLOCK)) * BLOCK + F.pmod("i", F.lit(BLOCK)))
-    at = at.cast("int")
-    rows = pts.select(*keys, "x0", "y0", "nx", "ny", F.floor(F.col("i") / BLOCK).cast("int").alias("bx"), F.floor(F.col("j") / BLOCK).cast("int").alias("by"), at.alias("at"), "value")
-    rows = rows.groupBy(*keys, "x0", "y0", "nx", "ny", "bx", "by").agg(F.collect_list(F.struct("at", "value")).alias("v"))
-    rows = rows.select(*keys, "x0", "y0", "nx", "ny", "bx", "by", F.col("v.at").alias("at"), F.col("v.value").alias("value"))
+    rows = pts.select(*keys, F.floor(F.col("i") / BLOCK).cast("int").alias("bx"), F.floor(F.col("j") / BLOCK).cast("int").alias("by"), at.cast("int").alias("at"), F.col("value").cast("double").alias("value"))
+    # few blocks to a partition: lists are made once, after the only shuffle, and go to Python in small batches
+    spark, wide = points.sparkSession, lambda n: F.ceil(F.col(n) / BLOCK)
+    many = own.agg(F.sum(wide("nx") * wide("ny"))).first()[0] or 0
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(many) // DEALT))
+    rows = rows.repartition(n, keys[0], "bx", "by").groupBy(*keys, "bx", "by").agg(F.collect_list(F.struct("at", "value")).alias("v"))
+    rows = join_small(rows, own, keys[0]).select(*keys, "x0", "y0", "nx", "ny", "bx", "by", F.col("v.at").alias("at"), F.col("v.value").alias("value"))
     carried = rows.columns[:-2]
 
     def dense(batches):
@@ -66,10 +83,9 @@ def lattice_blocks(points: DataFrame, cell: float = 10.0, keys=("codigo", "varia
             masks, values = [], []
             for k in range(len(rb)):
                 place, value = (rb.column(c)[k].values.to_numpy() for c in (len(carried), len(carried) + 1))
-                mask, grid = np.zeros(_CELLS, bool), np.zeros(_CELLS)
-                mask[place], grid[place] = True, value
-                masks.append(mask.tobytes())
-                values.append(grid.tobytes())
+                count = np.bincount(place, minlength=_CELLS)
+                masks.append((count > 0).tobytes())
+                values.append((np.bincount(place, value, _CELLS) / np.maximum(count, 1)).tobytes())
             yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in range(len(carried))], pa.array(masks, pa.binary()), pa.array(values, pa.binary())], names=[*carried, "mask", "value"])
 
     kinds = dict(rows.dtypes)
@@ -258,9 +274,19 @@ class Stencil:
         """The function that sums a whole lattice of ``shape`` (layers, rows, columns) times the covariance."""
         k = self.kernel(shift)
         size = tuple(_fast(max(n + r + 2, m)) for n, r, m in zip(shape, (self.ry, self.rx), k.shape))
-        f = np.fft.rfft2(k, size)
+        f = np.fft.fft(np.fft.rfft(k.T, size[0]), size[1], axis=0)
         ry, rx = self.ry + 1, self.rx + 1
-        return lambda a: np.fft.irfft2(np.fft.rfft2(a, size) * f, size)[:, ry:ry + shape[0], rx:rx + shape[1]]
+
+        def summed(a: np.ndarray) -> np.ndarray:
+            out = np.empty((len(a), *shape))
+            for layer, total in zip(a, out):  # one at a time: the transforms are the most that a task holds
+                t = np.fft.fft(np.fft.rfft(layer.T, size[0]), size[1], axis=0)
+                t *= f
+                t = np.fft.ifft(t, axis=0)[rx:rx + shape[1]]  # only the columns that are wanted go back
+                total[:] = np.fft.irfft(t, size[0])[:, ry:ry + shape[0]].T
+            return out
+
+        return summed
 
     def factor(self, mask: np.ndarray):
         """Coefficients of each node over the nodes before it: a row for each pattern, and each node's pattern.
@@ -310,6 +336,55 @@ class Stencil:
         return out * mask[2 * NEAR:-2 * NEAR, 2 * NEAR:-2 * NEAR]
 
 
+class Smooth:
+    """A preconditioner where the covariance is nugget and a part that changes little from cell to cell, so that the
+    nodes near a node say little of it and very many together do: the inverse of delta I + P K P', K the covariance
+    of at most ``COARSE`` places spread evenly over the lattice, P the bilinear interpolation between them.
+
+    ``spread`` estimates the quotient of the eigenvalues that it leaves (infinite without a nugget)."""
+
+    def __init__(self, st: Stencil, shape: tuple[int, int]):
+        self.st, self.shape, step = st, shape, 1.0
+        count = lambda n: int(np.ceil((n - 1) / step)) + 1 if n > step else 1
+        while np.prod([count(n) for n in shape]) > COARSE:
+            step *= 1.05
+        self.many = [count(n) for n in shape]
+        self.steps = [(n - 1) / (m - 1) if m > 1 else float(n) for n, m in zip(shape, self.many)]
+        nugget, lost = st.c0 - st.psill, st.psill * min(1.0, 0.375 * max(self.steps) * st.cell / st.range)
+        self.delta = nugget + lost
+        self.spread = 1.0 + lost * self.steps[0] * self.steps[1] / nugget if nugget > 0 and st.psill > 0 else np.inf
+
+    def prepare(self, mask: np.ndarray) -> Smooth:
+        self.mask, sides, places = mask, [], []
+        for at, n, m, step in zip(np.nonzero(mask), self.shape, self.many, self.steps):
+            first = np.minimum((at / step).astype(np.int64), max(m - 2, 0))
+            share = at / step - first
+            sides.append([(first, 1.0 - share), (first + 1, share)] if m > 1 else [(first, np.ones(len(at)))])
+            places.append(np.arange(m) * step if m > 1 else np.array([(n - 1) / 2]))
+        self.corners = [(iy * self.many[1] + ix, wy * wx) for iy, wy in sides[0] for ix, wx in sides[1]]
+        y, x = (a.ravel() for a in np.meshgrid(*places, indexing="ij"))
+        k = self.st.at(x[:, None] - x[None, :], y[:, None] - y[None, :])
+        np.fill_diagonal(k, self.st.psill)
+        value, vector = np.linalg.eigh(k)
+        root = vector * np.sqrt(np.maximum(value, 0.0))
+        n = self.n = len(k)
+        gram = np.zeros(n * n)
+        for a, wa in self.corners:
+            for b, wb in self.corners:
+                gram += np.bincount(a * n + b, wa * wb, n * n)
+        self.core = root @ np.linalg.solve(self.delta * np.eye(n) + root.T @ gram.reshape(n, n) @ root, root.T)
+        return self
+
+    def __call__(self, r: np.ndarray) -> np.ndarray:
+        """For ``r`` (layers, rows, columns), 0 where ``mask`` has no node."""
+        out = np.zeros(r.shape)
+        for a, z in zip(r, out):
+            held = a[self.mask]
+            coarse = self.core @ sum(np.bincount(c, w * held, self.n) for c, w in self.corners)
+            z[self.mask] = (held - sum(w * coarse[c] for c, w in self.corners)) / self.delta
+        return out
+
+
 def _mosaic(t: pa.Table, column: str, margin: tuple[int, int], kind=np.float64, layers: int = 1) -> np.ndarray:
     """The block at the middle of a group with ``margin`` cells (rows, columns) around it, from its neighbours' rows."""
     ry, rx = (-(-m // BLOCK) for m in margin)
@@ -378,8 +453,12 @@ def _solve_whole(base: DataFrame, keys: list[str], fixed: list[str], cell: float
         st, shape, m = Stencil(g, cell), (g["ny"], g["nx"]), 2 * NEAR
         mask = _whole(t, "mask", shape, bool)[0]
         product, around = st.whole(shape), np.pad(mask, m)
-        factor = st.factor(around)
-        edge = ((0, 0), (m, m), (m, m))
+        smooth, edge = Smooth(st, shape), ((0, 0), (m, m), (m, m))
+        if smooth.spread <= SPREAD:
+            near = smooth.prepare(mask)
+        else:
+            factor = st.factor(around)
+            near = lambda r: st._within(np.pad(r, edge), around, factor)
         r = np.stack([(_whole(t, "value", shape)[0] - g["mean"]) * mask, mask.astype(float)])
         x, p = np.zeros(r.shape), np.zeros(r.shape)
         dot = lambda a, b: np.einsum("kij,kij->k", a, b)[:, None, None]
@@ -387,7 +466,7 @@ def _solve_whole(base: DataFrame, keys: list[str], fixed: list[str], cell: float
         while (going := dot(r, r) > tol * tol * first).any():
             if done == LOCAL_ROUNDS:
                 raise RuntimeError("kriging systems did not converge")
-            z = st._within(np.pad(r, edge), around, factor)
+            z = near(r)
             rz = dot(r, z)
             p = z if old is None else z + np.divide(rz, old, out=np.zeros_like(rz), where=old > 0) * p
             w = product(p) * mask
@@ -401,7 +480,7 @@ def _solve_whole(base: DataFrame, keys: list[str], fixed: list[str], cell: float
         return t.select(fixed).append_column("x", pa.array(packed, pa.binary())).append_column("rounds", pa.array([done] * len(t), pa.int32()))
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in fixed) + ", x binary, rounds int"
-    return cut_lineage(dealt(base, *keys).groupBy(*keys).applyInArrow(run, schema))
+    return cut_lineage(_apart(base, keys).groupBy(*keys).applyInArrow(run, schema))
 
 
 def solve_lattice(blocks: DataFrame, model: DataFrame, cell: float = 10.0, keys=("codigo", "variable"),
@@ -522,7 +601,7 @@ def krige_lattice(solved: DataFrame, cell: float = 10.0, keys=("codigo", "variab
                         names=[*keys, "row", "col", "value"])
 
     near = join_small(solved.select(*keys, "nx", "ny", "bx", "by", "psill", "c0", "range", "mean", "x").filter(fits), groups.select(*keys, "m"), keys)
-    near = dealt(near, *keys).groupBy(*keys).applyInArrow(whole, schema)
+    near = _apart(near, keys).groupBy(*keys).applyInArrow(whole, schema)
     groups, solved = groups.filter(~fits), solved.filter(~fits)
     if groups.isEmpty():
         return near
@@ -572,7 +651,7 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
         return pa.table([*[pa.repeat(pa.scalar(g[k], t.schema.field(k).type), len(i)) for k in keys], pa.array(g["x0"] + i * cell), pa.array(g["y0"] + j * cell),
                          pa.array(total[j, i] + g["mean"]), pa.array(value[j, i])], names=[*keys, "x", "y", "value", "datum"])
 
-    near = dealt(solved.filter(fits), *keys).groupBy(*keys).applyInArrow(whole, schema)
+    near = _apart(solved.filter(fits), keys).groupBy(*keys).applyInArrow(whole, schema)
     solved = solved.filter(~fits)
     if solved.isEmpty():
         return near

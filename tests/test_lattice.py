@@ -158,3 +158,20 @@ def test_permutations_of_small_fields_are_ranked_inside_tasks(spark, monkeypatch
         monkeypatch.setattr(moran, "_dealt_by_sorts", sorts if limit == 0 else lambda *a: pytest.fail("no sorts for small fields"))
         found.append({(r.codigo, r.variable): (round(r.I, 9), r.n, r.n_extreme, r.p_sim) for r in moran.morans_i_permuted(pts, ["v", "w"], 60.0, 99).collect()})
     assert len(found[0]) == 4 and found[0] == found[1] == found[2]
+
+
+def test_much_nugget_and_a_long_range_take_few_rounds(spark):
+    """Every node reaches every other one: neighbours alone tell little."""
+    rows = [("a", "v", 10.0 * i, 10.0 * j, float(np.sin(j / 50.0)) + ((i * 7919 + j * 104729) % 13) / 3.0) for j in range(700) for i in range(12) if (i + 12 * j) % 17]
+    pts = spark.createDataFrame(rows, "codigo string, variable string, x double, y double, value double")
+    model = spark.createDataFrame([("a", "v", 2.0, 0.6, 6500.0)], "codigo string, variable string, nugget double, psill double, range double")
+    solved = lattice.solve_lattice(lattice.lattice_blocks(pts), model).cache()
+    assert solved.agg(F.max("rounds")).first()[0] <= 20
+    out = lattice.lattice_product(solved).agg(F.max(F.abs(F.col("value") - F.col("datum"))), F.count(F.lit(1))).first()
+    assert out[0] < 1e-8 and out[1] == len(rows)
+
+
+def test_values_of_a_node_are_averaged_whatever_their_last_digits(spark):
+    rows = [("a", "v", 0.0, 0.0, 1.0), ("a", "v", 1e-7, 0.0, 4.0), ("a", "v", 0.0, 0.0, 1.0), ("a", "v", 10.0, 0.0, 5.0)]
+    got = lattice.lattice_blocks(spark.createDataFrame(rows, "codigo string, variable string, x double, y double, value double")).first()
+    assert np.frombuffer(got["value"])[:3].tolist() == [2.0, 5.0, 0.0] and np.frombuffer(got["mask"], bool).sum() == 2
