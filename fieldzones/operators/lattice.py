@@ -42,6 +42,8 @@ DEALT = 32
 APART = 16
 #: Places of the coarse lattice of ``Smooth``, and the spread of eigenvalues up to which it is used.
 COARSE, SPREAD = 1024, 30.0
+#: Rows whose sums are made directly (``by_offsets``), and the numbers of a matrix there.
+LEAST, DIRECT = 64, 1 << 21
 _CELLS = BLOCK * BLOCK
 
 
@@ -288,6 +290,41 @@ class Stencil:
 
         return summed
 
+    def by_offsets(self, u: np.ndarray) -> np.ndarray:
+        """Sums of a whole lattice ``u`` (rows, columns) times the covariance without a transform, for each distance of
+        two rows all offsets along them as one matrix.  Where many rows are in reach, halves of the rows share products."""
+        if u.shape[1] > u.shape[0]:
+            return self.by_offsets_of(u.T, self.rx).T
+        return self.by_offsets_of(u, self.ry)
+
+    def by_offsets_of(self, u: np.ndarray, reach: int) -> np.ndarray:
+        n, across = u.shape
+        least = max(1, min(LEAST, DIRECT // max(1, across * across)))
+        out = np.zeros(u.shape)
+        if min(reach, n - 1) <= 4 * least:
+            along = np.arange(across)
+            steps = (along[:, None] - along[None, :]).astype(float)
+            for dy in range(min(reach, n - 1) + 1):
+                c = self.at(steps, np.float64(dy))
+                out[:n - dy] += u[dy:] @ c
+                if dy:
+                    out[dy:] += u[:n - dy] @ c
+            return out
+        strip, wide = n if 3 * (reach + 1) >= n else reach + 1, across + across % 2
+        size = strip
+        while size > least:
+            size = -(-size // 2)
+        while size < strip:
+            size *= 2
+        for b in range(0, n, strip):
+            sent = np.zeros((size, wide))
+            sent[:len(u[b:b + strip]), :across] = u[b:b + strip]
+            for a in (b - strip, b, b + strip):
+                if 0 <= a < n:
+                    k = self.at(np.arange(wide)[None, :], np.arange(a - b - size + 1, a - b + size)[:, None])
+                    out[a:a + strip] += _shared(k, sent, least)[:len(out[a:a + strip]), :across]
+        return out
+
     def factor(self, mask: np.ndarray):
         """Coefficients of each node over the nodes before it: a row for each pattern, and each node's pattern.
 
@@ -336,6 +373,33 @@ class Stencil:
         return out * mask[2 * NEAR:-2 * NEAR, 2 * NEAR:-2 * NEAR]
 
 
+def _shared(k: np.ndarray, u: np.ndarray, least: int) -> np.ndarray:
+    """Row i of the result: the sum over the rows j of ``u`` of u[j] times the covariances ``k`` (2 n - 1 distances of
+    rows, distances along them) of i - j.  Three products of halves stand for four, as in Karatsuba's rule."""
+    n = len(u)
+    if n <= least:
+        return _direct(k, u)
+    h = n // 2
+    middle, before, after = k[h:n + h - 1], k[:n - 1], k[n:]
+    both = _shared(middle, u[:h] + u[h:], least)
+    return np.concatenate([both + _shared(before - middle, u[h:], least), both + _shared(after - middle, u[:h], least)])
+
+
+def _direct(k: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``_shared`` offset by offset: the covariances are the same to both sides along a row, so sums and differences
+    of its two halves are multiplied apart, by a matrix for each distance of rows."""
+    n, half = len(u), u.shape[1] // 2
+    i = np.arange(half)
+    straight, crossed = (k[::-1][:, at] for at in (np.abs(i[:, None] - i[None, :]), 2 * half - 1 - i[:, None] - i[None, :]))
+    parts = []
+    for sign in (1, -1):
+        v = np.zeros((3 * n - 2, half))
+        v[n - 1:2 * n - 1] = u[:, :half] + sign * u[:, :half - 1:-1]
+        windows = np.lib.stride_tricks.as_strided(v, (n, (2 * n - 1) * half), (v.strides[0], v.strides[1]))
+        parts.append(windows @ (straight + sign * crossed).reshape(-1, half))
+    return np.concatenate([parts[0] + parts[1], (parts[0] - parts[1])[:, ::-1]], axis=1) / 2
+
+
 class Smooth:
     """A preconditioner where the covariance is nugget and a part that changes little from cell to cell, so that the
     nodes near a node say little of it and very many together do: the inverse of delta I + P K P', K the covariance
@@ -636,17 +700,11 @@ def lattice_product(solved: DataFrame, cell: float = 10.0, keys=("codigo", "vari
     fits = F.col("nx").cast("long") * F.col("ny") <= LOCAL_CELLS
 
     def whole(t: pa.Table) -> pa.Table:
-        """The lattice row by row: for each distance of two rows, all offsets along them as one matrix."""
+        """The lattice row by row, offset by offset (``Stencil.by_offsets``)."""
         g = t.select([*keys, "x0", "y0", "nx", "ny", "mean", "psill", "c0", "range"]).slice(0, 1).to_pylist()[0]
-        shape, st = (g["ny"], g["nx"]), Stencil(g, cell)
+        shape = g["ny"], g["nx"]
         mask, value, u = _whole(t, "mask", shape, bool)[0], _whole(t, "value", shape)[0], _whole(t, "x", shape, layers=2)[0]
-        total, along = np.zeros(shape), np.arange(g["nx"])
-        across = (along[:, None] - along[None, :]).astype(float)
-        for dy in range(min(st.ry, g["ny"] - 1) + 1):
-            c = st.at(across, np.float64(dy))
-            total[:shape[0] - dy] += u[dy:] @ c
-            if dy:
-                total[dy:] += u[:shape[0] - dy] @ c
+        total = Stencil(g, cell).by_offsets(u)
         j, i = np.nonzero(mask)
         return pa.table([*[pa.repeat(pa.scalar(g[k], t.schema.field(k).type), len(i)) for k in keys], pa.array(g["x0"] + i * cell), pa.array(g["y0"] + j * cell),
                          pa.array(total[j, i] + g["mean"]), pa.array(value[j, i])], names=[*keys, "x", "y", "value", "datum"])

@@ -175,3 +175,21 @@ def test_values_of_a_node_are_averaged_whatever_their_last_digits(spark):
     rows = [("a", "v", 0.0, 0.0, 1.0), ("a", "v", 1e-7, 0.0, 4.0), ("a", "v", 0.0, 0.0, 1.0), ("a", "v", 10.0, 0.0, 5.0)]
     got = lattice.lattice_blocks(spark.createDataFrame(rows, "codigo string, variable string, x double, y double, value double")).first()
     assert np.frombuffer(got["value"])[:3].tolist() == [2.0, 5.0, 0.0] and np.frombuffer(got["mask"], bool).sum() == 2
+
+
+@pytest.mark.parametrize("shape, reach", [((700, 12), 9000.0), ((11, 600), 9000.0), ((900, 9), 1500.0), ((60, 41), 100.0), ((513, 1), 1e6)])
+def test_sums_by_offsets_equal_the_transform(shape, reach):
+    st = lattice.Stencil({"psill": 2.0, "c0": 2.5, "range": reach, "ny": shape[0], "nx": shape[1]}, 10.0)
+    u = np.random.default_rng(5).normal(size=shape)
+    assert np.abs(st.by_offsets(u) - st.whole(shape)(u[None])[0]).max() < 1e-10
+
+
+def test_sums_by_offsets_share_products(monkeypatch):
+    """Doubling the rows takes three times the products of matrices, not four times."""
+    rows = []
+    direct = lattice._direct
+    monkeypatch.setattr(lattice, "_direct", lambda k, u: rows.append(len(u)) or direct(k, u))
+    for n in (1024, 2048):
+        st = lattice.Stencil({"psill": 2.0, "c0": 2.5, "range": 1e6, "ny": n, "nx": 8}, 10.0)
+        st.by_offsets(np.ones((n, 8)))
+    assert rows.count(64) == 81 + 243
