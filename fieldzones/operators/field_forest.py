@@ -13,9 +13,12 @@ best one is joined back.  Draws and splits are the same.  Nothing is fitted on t
 * Predictors of a node: the ``max_features`` of least ``hash(seed, field, variable, t, node, predictor)``.
 * Split: greatest decrease of the squared deviations; equal ones (6 places): first predictor, then bin.
 * Importance: the decrease by predictor, shares within each tree, averaged over the trees that split.
-* Prediction: chunks of at most ``NODES`` nodes, flattened into arrays, meet blocks of points of their field;
-  the sums over a forest's chunks are an aggregate.  Trees are cut into pages of 6 levels, and a point's way
-  through a page is one AND of a 64-bit word for each predictor.
+* Prediction: runs of at most ``RUN`` points of a field stay in a task while the field's trees, flattened into arrays
+  of some ``NODES`` nodes, pass by, ``HELD`` nodes of a variable at a time.  The thresholds cut the space of
+  the predictors into cells, and all points of a cell get the same value from every tree: where the cells that a block
+  of points lies among are fewer work than the trees, each leaf is added to its cells (differences at the corners,
+  running sums, whole numbers) and a point looks up its cell.  Otherwise trees are cut into pages of 6 levels, and a
+  point's way through a page is one AND of a 64-bit word for each predictor.
 
 Samples without a value of the variable or of a predictor are left out (P6); a variable of one sample or
 without spread is its mean everywhere.  Missing predictors of the grid take the field's mean.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,10 @@ THRESHOLD = 0.05
 MAX_BINS, MAX_DEPTH = 256, 30
 #: Samples of a group whose trees grow inside tasks, least trees of a run, drawn samples grown at a time.
 LOCAL_SAMPLES, TREES, DRAWN = 1_000_000, 25, 1 << 17
-#: Nodes of a chunk of trees, points of a block, points a tree takes at a time, words of a tree's pages.
-NODES, POINTS, STRIDE, WORDS = 1 << 20, 1 << 17, 1 << 14, 1 << 22
+#: Nodes of a chunk of trees and of the trees that a task holds, points of a run (most, least), cells of a table.
+NODES, HELD, RUN, SMALL, CELLS = 1 << 18, 1 << 21, 1 << 20, 1 << 14, 1 << 22
+#: Points a tree takes at a time, words of a tree's pages; seconds that a point in a tree, a cell and a node cost.
+STRIDE, WORDS, WALK, CELL, NODE = 1 << 14, 1 << 22, 5e-8, 1e-8, 1e-7
 PAGE = 6
 _GROUP = ["codigo", "variable"]
 
@@ -335,7 +341,7 @@ def _packed_trees(nodes: DataFrame) -> DataFrame:
     sizes = nodes.groupBy(*_GROUP).agg(F.ceil(F.count(F.lit(1)) / NODES).alias("chunks"), (F.max("tree") + 1).alias("trees"))
     rows = join_small(nodes, sizes, _GROUP).withColumn("chunk", F.floor(F.col("tree") * F.col("chunks") / F.col("trees")).cast("int"))
     number = F.coalesce("threshold", "value").alias("number")
-    lists = rows.groupBy(*_GROUP, "chunk").agg(F.array_sort(F.collect_list(F.struct("tree", "node", F.coalesce("f", F.lit(-1)).cast("int").alias("f"), number))).alias("t"))
+    lists = dealt(rows, *_GROUP, "chunk").groupBy(*_GROUP, "chunk").agg(F.array_sort(F.collect_list(F.struct("tree", "node", F.coalesce("f", F.lit(-1)).cast("int").alias("f"), number))).alias("t"))
     lists = lists.select(*_GROUP, "chunk", *[F.col(f"t.{c}").alias(c) for c in ("tree", "node", "f", "number")])
 
     def pack(batches):
@@ -448,38 +454,216 @@ def forest_sums(x: np.ndarray, f: np.ndarray, number: np.ndarray, left: np.ndarr
     return total
 
 
-def point_sums(x: DataFrame, nodes: DataFrame, p: list[str], null_right: bool = False) -> DataFrame:
-    """codigo, pid, variable, total, trees: sums over chunks of trees for every row of ``x`` (codigo, pid, p).
-    A missing predictor goes left, with ``null_right`` right."""
-    spark = x.sparkSession
+def _leaves(f: np.ndarray, q: np.ndarray, left: np.ndarray, roots: np.ndarray, column: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """The leaves of the trees that meet the box of cells from ``low`` to ``high``, with their part of it: nodes, lows,
+    highs.  ``q``: number of an inner node's threshold among those of its predictor; cells up to it go left."""
+    at, lo, hi, found = roots.astype(np.int64), np.repeat(low[None], len(roots), 0), np.repeat(high[None], len(roots), 0), []
+    while len(at):
+        leaf = f[at] < 0
+        found.append((at[leaf], lo[leaf], hi[leaf]))
+        at, lo, hi = at[~leaf], lo[~leaf], hi[~leaf]
+        c, cut = column[f[at]], q[at]
+        rows = np.arange(len(at))
+        go_left, go_right = lo[rows, c] <= cut, hi[rows, c] > cut
+        lo_right, hi_left = lo[go_right], hi[go_left]
+        i, j = np.arange(len(hi_left)), np.arange(len(lo_right))
+        hi_left[i, c[go_left]] = np.minimum(hi_left[i, c[go_left]], cut[go_left])
+        lo_right[j, c[go_right]] = np.maximum(lo_right[j, c[go_right]], cut[go_right] + 1)
+        at, lo, hi = np.r_[left[at[go_left]], left[at[go_right]] + 1].astype(np.int64), np.concatenate([lo[go_left], lo_right]), np.concatenate([hi_left, hi[go_right]])
+    return [np.concatenate(v) for v in zip(*found)]
+
+
+def _by_cells(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of the whole ``number`` of the leaves (boxes ``lo`` to ``hi``) that hold each row of ``rank``, from tables of
+    at most ``CELLS`` cells of the box from ``low`` to ``high``."""
+    out, size = np.zeros(len(rank), np.int64), high - low + 1
+    axis = int(np.argmax(size))
+    thick = max(1, int(CELLS // np.prod(np.delete(size, axis), dtype=float)))
+    for a in range(int(low[axis]), int(high[axis]) + 1, thick):
+        first, last = low.copy(), high.copy()
+        first[axis], last[axis] = a, min(a + thick - 1, int(high[axis]))
+        mine = np.flatnonzero((rank[:, axis] >= a) & (rank[:, axis] <= last[axis]))
+        if not len(mine):
+            continue
+        held = (lo[:, axis] <= last[axis]) & (hi[:, axis] >= a)
+        begin, end = np.maximum(lo[held], first) - first, np.minimum(hi[held], last) + 1 - first
+        shape = last - first + 1
+        table = np.zeros(np.prod(shape), np.int64)
+        steps = np.r_[np.cumprod(shape[::-1].astype(np.int64))[-2::-1], 1]
+        for corner in np.ndindex(*[2] * len(shape)):
+            side = np.where(np.array(corner, bool)[None], end, begin)
+            inside = (side < shape).all(axis=1)
+            value = number[held][inside]
+            np.add.at(table, side[inside] @ steps, -value if sum(corner) % 2 else value)
+        table = table.reshape(shape)
+        for k in range(len(shape)):
+            np.cumsum(table, axis=k, out=table)
+        out[mine] = table.ravel()[(rank[mine] - first) @ steps]
+    return out
+
+
+def block_sums(x: np.ndarray, ends: np.ndarray, f: np.ndarray, number: np.ndarray, left: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Sum over the trees of the leaf value that each row of ``x`` comes to; ``ends``: where blocks of rows that lie
+    near each other end."""
+    inner = f >= 0
+    used = np.unique(f[inner])
+    values = number[~inner]
+    if not len(used) or not np.isfinite(values).all():
+        return forest_sums(x, f, number, left, roots)
+    column = np.zeros(int(used[-1]) + 1, np.int64)
+    column[used] = np.arange(len(used))
+    rank, q = np.empty((len(x), len(used)), np.int32), np.zeros(len(f), np.int32)
+    for i, c in enumerate(used):
+        own = np.flatnonzero(f == c)
+        cuts, q[own] = np.unique(number[own], return_inverse=True)
+        rank[:, i] = np.where(np.isnan(x[:, c]), 0, np.searchsorted(cuts, x[:, c]))
+    # whole numbers add up exactly in any order; as fine as doubles of the greatest sum
+    scale = 2.0 ** (61 - np.ceil(np.log2(len(roots) * max(np.abs(values).max(), 1e-300))))
+    if not np.isfinite(scale) or scale == 0.0:
+        return forest_sums(x, f, number, left, roots)
+    whole = np.where(inner, 0.0, number)
+    whole = np.rint(whole * scale).astype(np.int64)
+    out, walked = np.zeros(len(x)), []
+    for a, b in zip(np.r_[0, ends[:-1]], ends):
+        if a == b:
+            continue
+        low, high = rank[a:b].min(axis=0), rank[a:b].max(axis=0)
+        size = (high - low + 1).astype(float)
+        if size.prod() / size.max() > CELLS or size.prod() * CELL + len(f) * NODE > (b - a) * len(roots) * WALK:
+            walked.append(np.arange(a, b))
+            continue
+        nodes, lo, hi = _leaves(f, q, left, roots, column, low, high)
+        out[a:b] = _by_cells(rank[a:b], lo, hi, whole[nodes], low, high) / scale
+    if walked:
+        rows = np.concatenate(walked)
+        out[rows] = forest_sums(x[rows], f, number, left, roots)
+    return out
+
+
+def _sliced(x: DataFrame, p: list[str], many: int) -> tuple[DataFrame, list[str]]:
+    """``x`` with its slice along each of the first predictors within those before it: about ``many`` blocks of points
+    near each other for each field."""
+    names, p = [], p[:3]
+    m = min(64, int(np.ceil(many ** (1 / max(1, len(p))))))
+    if m < 2:
+        return x, names
+    for i, c in enumerate(p):
+        ends = x.groupBy("codigo", *names).agg(F.percentile_approx(F.col(c).cast("double"), [k / m for k in range(1, m)], 1000).alias("_q"))
+        x = join_small(x, ends, ["codigo", *names])
+        x = x.withColumn(f"_s{i}", F.coalesce(F.size(F.filter("_q", lambda e: e < F.col(c))), F.lit(0))).drop("_q")  # noqa: B023
+        names.append(f"_s{i}")
+    return x, names
+
+
+def point_values(x: DataFrame, nodes: DataFrame, variables: list[str], p: list[str], null_right: bool = False, near: bool = False) -> DataFrame:
+    """codigo, pid, v: means over the trees of each of ``variables`` (null: its field has none) for the rows of ``x``
+    (codigo, pid, p).  A missing predictor goes left, with ``null_right`` right.  Rows of equal codigo and pid are one,
+    their mean, unless points are sent with those ``near`` them among the predictors (where pid has to be unique).
+
+    A task holds a run of points while the trees of their field pass by."""
+    spark, kinds = x.sparkSession, dict(x.dtypes)
+    x = x.select("codigo", "pid", *p)
     place = F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) / (1 << 30)
-    sizes = x.groupBy("codigo").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("blocks"))
-    kinds = dict(x.dtypes)
-    x = join_small(x, sizes, "codigo").withColumn("block", F.floor(place * F.col("blocks")).cast("int"))
-    blocks = x.groupBy("codigo", "block").agg(F.collect_list(F.struct("pid", F.array(*[F.col(c).cast("double") for c in p]).alias("x"))).alias("r"))
-    blocks = cut_lineage(blocks.select("codigo", "block", F.col("r.pid").alias("pid"), F.flatten("r.x").alias("x")))
     trees = cut_lineage(_packed_trees(nodes))
-    keys = ["codigo", "block", "variable", "chunk"]
-    places, parts = blocks.select("codigo", "block"), trees.select("codigo", "variable", "chunk")
-    # a pair of block and chunk is some MB: few of them to a partition, whose rows go to Python as one batch
-    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), places.join(parts, "codigo").count())
-    pairs = join_small(blocks, parts, "codigo").repartition(n, *keys).join(join_small(trees, places, "codigo").repartition(n, *keys), keys)
-    names, types = pairs.columns, (("f", np.int16), ("number", np.float64), ("left", np.int32), ("roots", np.int32))
+    counts = cut_lineage(x.groupBy("codigo").agg(F.count(F.lit(1)).alias("n")).join(trees.select("codigo").distinct(), "codigo"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = min(RUN, max(SMALL, -(-total // (3 * parallelism(spark)))))
+    slices = []
+    if near:
+        cuts = nodes.filter("f IS NOT NULL").groupBy(*_GROUP, "f").agg(F.approx_count_distinct("threshold").alias("n"))
+        cells = cuts.groupBy(*_GROUP).agg(F.sum(F.log2(F.col("n") + 1)).alias("n")).agg(F.max("n")).first()[0] or 0.0
+        x, slices = _sliced(x, p, int(min(2.0 ** min(cells, 60.0) / CELLS, total / SMALL, 4096)))
+    if slices:
+        sizes = cut_lineage(x.groupBy("codigo", *slices).agg(F.count(F.lit(1)).alias("n")).join(counts.select("codigo"), "codigo"))
+        before = F.sum("n").over(Window.partitionBy("codigo").orderBy(*slices)) - F.col("n")
+        own = sizes.withColumns({"before": before, "block": F.row_number().over(Window.partitionBy("codigo").orderBy(*slices))})
+        x = join_small(x, own.select("codigo", *slices, "n", "before", "block"), ["codigo", *slices])
+        run, block = F.floor((F.col("before") + place * F.col("n")) / size), F.col("block").cast("int")
+    else:
+        x = join_small(x, counts.withColumn("runs", F.ceil(F.col("n") / size)), "codigo")
+        run, block = F.floor(place * F.col("runs")), F.lit(0)
+    runs = counts.select("codigo", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("run"))
+    points = x.select("codigo", run.cast("int").alias("run"), F.lit(0).alias("kind"), block.alias("part"), "pid", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(p)])
+    sent = join_small(trees, runs, "codigo").select("codigo", "run", F.lit(1).alias("kind"), F.col("chunk").alias("part"), "variable", "f", "number", "left", "roots")
+    n = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * runs.count())
+    both = points.unionByName(sent, allowMissingColumns=True).repartition(n, "codigo", "run").sortWithinPartitions("codigo", "run", "kind", "variable", "part")
+    names, types = both.columns, (("f", np.int16), ("number", np.float64), ("left", np.int32), ("roots", np.int32))
+    wide = [f"x{i}" for i in range(len(p))]
+
+    def evaluated(state, variable, held):
+        """Adds the trees held of a variable to the points of the run."""
+        sizes = np.cumsum([0, *(len(h[0]) for h in held)])
+        f, number = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        left = np.concatenate([np.where(h[2] >= 0, h[2] + s, -1) for h, s in zip(held, sizes)])
+        roots = np.concatenate([h[3] + s for h, s in zip(held, sizes)])
+        sums, trees = state["sums"].setdefault(variable, (np.zeros(len(state["x"])), [0]))
+        sums += block_sums(state["x"], state["ends"], f, number, left, roots)
+        trees[0] += len(roots)
+
+    def finished(state):
+        pid, n = state["pid"], len(state["pid"])
+        found = [state["sums"].get(v) for v in variables]
+        found = [None if s is None else s[0] / s[1][0] for s in found]
+        if not near and len(pc.unique(pid)) < n:
+            keys = pid.dictionary_encode("encode")
+            code, pid = keys.indices.to_numpy(), keys.dictionary
+            many = np.bincount(code, minlength=len(pid))
+            found, n = [None if v is None else np.bincount(code, v, len(pid)) / many for v in found], len(pid)
+        for a in range(0, n, 1 << 16):
+            z = slice(a, min(a + (1 << 16), n))
+            rows = z.stop - a
+            flat = np.stack([np.zeros(rows) if v is None else v[z] for v in found], 1).ravel()
+            gaps = np.tile([v is None for v in found], rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, max(1, len(found)), dtype=np.int32)), pa.array(flat, mask=gaps))
+            yield pa.RecordBatch.from_arrays([pa.array([state["codigo"]] * rows, state["kind"]), pid[a:z.stop], lists], names=["codigo", "pid", "v"])
+
+    def run_(batches):
+        key = state = variable = None
+        held, seen = [], []
+
+        def gathered():
+            t = pa.Table.from_batches(seen)
+            order = t["part"].to_numpy()
+            data = np.stack([t[c].to_numpy() for c in wide], 1) if wide else np.zeros((len(t), 0))
+            if null_right:
+                data = np.where(np.isnan(data), np.inf, data)
+            ends = np.r_[np.flatnonzero(order[1:] != order[:-1]) + 1, len(t)]
+            return {"codigo": key[0], "kind": t.schema.field("codigo").type, "pid": t["pid"].combine_chunks(), "x": data, "ends": ends, "sums": {}}
 
-    def run(batches):
         for rb in batches:
-            for k in range(len(rb)):
-                v = {c: rb.column(i)[k] for i, c in enumerate(names)}
-                pid = v["pid"].values
-                data = v["x"].values.to_numpy(zero_copy_only=False).reshape(len(pid), -1)
-                if null_right:
-                    data = np.where(np.isnan(data), np.inf, data)
-                arrays = [np.frombuffer(v[c].as_py(), t) for c, t in types]
-                n = len(pid)
-                yield pa.RecordBatch.from_arrays([pa.array([v["codigo"].as_py()] * n, rb.schema.field("codigo").type), pid, pa.array([v["variable"].as_py()] * n), pa.array(forest_sums(data, *arrays)), pa.array([len(arrays[3])] * n, pa.int64())],
-                                                 names=["codigo", "pid", "variable", "total", "trees"])
-
-    return pairs.mapInArrow(run, f"codigo {kinds['codigo']}, pid {kinds['pid']}, variable string, total double, trees long")
+            codigo, runs_, kind = (rb.column(names.index(c)) for c in ("codigo", "run", "kind"))
+            codes = np.unique(codigo.dictionary_encode().indices.to_numpy().astype(np.int64) * (1 << 31) + runs_.to_numpy(), return_index=True)[1] if len(rb) else []
+            edges = np.unique(np.r_[np.sort(codes), np.flatnonzero(np.diff(kind.to_numpy())) + 1, len(rb)]).astype(int) if len(rb) else []
+            for a, b in zip(edges, edges[1:]):
+                now = (codigo[int(a)].as_py(), runs_[int(a)].as_py())
+                if now != key:
+                    if held:
+                        evaluated(state, variable, held)
+                    if state is not None and state["sums"]:
+                        yield from finished(state)
+                    key, state, variable, held, seen = now, None, None, [], []
+                piece = rb.slice(a, b - a)
+                if kind[int(a)].as_py() == 0:
+                    seen.append(piece.select(["codigo", "part", "pid", *wide]))
+                    continue
+                if not seen and state is None:
+                    continue  # trees of a run without points
+                if state is None:
+                    state, seen = gathered(), []
+                for k in range(len(piece)):
+                    v = piece.column(names.index("variable"))[k].as_py()
+                    arrays = [np.frombuffer(piece.column(names.index(c))[k].as_buffer(), t).copy() for c, t in types]
+                    if held and (v != variable or sum(len(h[0]) for h in held) + len(arrays[0]) > HELD):
+                        evaluated(state, variable, held)
+                        held = []
+                    variable = v
+                    held.append(arrays)
+        if held:
+            evaluated(state, variable, held)
+        if state is not None and state["sums"]:
+            yield from finished(state)
+
+    return both.mapInArrow(run_, f"codigo {kinds['codigo']}, pid {kinds['pid']}, v array<double>")
 
 
 def predict(grid: DataFrame, forests: FieldForests) -> DataFrame:
@@ -487,5 +671,7 @@ def predict(grid: DataFrame, forests: FieldForests) -> DataFrame:
     variable that its field has a forest for."""
     p = forests.predictors
     x = impute_mean(coerce_numeric(grid.select("codigo", "pid", *p), p), p, ("codigo",))
-    sums = point_sums(x, forests.nodes, p)
-    return sums.groupBy("codigo", "pid", "variable").agg((F.sum("total") / F.sum("trees")).alias("value"))
+    variables = sorted(r[0] for r in forests.importances.select("variable").distinct().collect())  # some names
+    out = point_values(x, forests.nodes, variables, p)
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in variables]).alias("variable"), F.col("v").alias("value")))
+    return out.select("codigo", "pid", pairs.alias("o")).select("codigo", "pid", "o.variable", "o.value").filter("value IS NOT NULL")

@@ -101,14 +101,9 @@ def rf_predict(grid: DataFrame, models: dict[str, SoilModel], keys=("codigo",))
     if not usable:
         return x
     x = cut_lineage(x.withColumn("_row", F.monotonically_increasing_id()))
-    sets: dict[tuple, list[SoilModel]] = {}
-    for sm in usable.values():
-        sets.setdefault(tuple(sm.predictors), []).append(sm)
-    sums = []
-    for predictors, of in sets.items():
-        points = x.select(F.lit("").alias("codigo"), F.col("_row").alias("pid"), *[F.col(filled[p]).alias(p) for p in predictors])
-        nodes = reduce(DataFrame.unionByName, [sm.nodes for sm in of])
-        sums.append(field_forest.point_sums(points, nodes, list(predictors), null_right=True))
-    own = lambda c, v: F.sum(F.when(F.col("variable") == v, F.col(c)))
-    values = reduce(DataFrame.unionByName, sums).groupBy(F.col("pid").alias("_row")).agg(*[(own("total", v) / own("trees", v)).alias(v) for v in usable])
+    points = x.select(F.lit("").alias("codigo"), F.col("_row").alias("pid"), *[F.col(t).alias(p) for p, t in filled.items()])
+    own = lambda sm: sm.nodes.withColumn("f", F.get(F.array(*[F.lit(names.index(p)) for p in sm.predictors]), F.col("f")))
+    nodes = reduce(DataFrame.unionByName, [own(sm) for sm in usable.values()])
+    values = field_forest.point_values(points, nodes, list(usable), names, null_right=True, near=True)
+    values = values.select(F.col("pid").alias("_row"), *[F.get("v", F.lit(i)).alias(v) for i, v in enumerate(usable)])
     return x.join(values, "_row", "left").drop("_row", *filled.values())

@@ -143,3 +143,37 @@ def test_pages_of_trees_against_walks(monkeypatch):
     assert np.allclose(ff.forest_sums(x, *arrays), want)
     monkeypatch.setattr(ff, "WORDS", 0)
     assert np.allclose(ff.forest_sums(x, *arrays), want)
+
+
+def grown_trees(rng, sizes):
+    f, number, left, roots = [], [], [], []
+    for size in sizes:
+        roots.append(len(f))
+        own, leaves = [(-1, float(rng.normal()), -1)], [0]
+        for _ in range(size):
+            k = leaves.pop(int(rng.integers(len(leaves))))
+            leaves += [len(own), len(own) + 1]
+            own[k] = (int(rng.integers(3)), float(rng.integers(40)), len(own))
+            own += [(-1, float(rng.normal()), -1)] * 2
+        for c, v, child in own:
+            f.append(c)
+            number.append(v)
+            left.append(child + roots[-1] if child >= 0 else -1)
+    return np.array(f, np.int16), np.array(number), np.array(left, np.int32), np.array(roots, np.int32)
+
+
+@pytest.mark.parametrize("cells, walk", [(1 << 22, 1.0), (1 << 11, 1.0), (1 << 5, 1.0), (1 << 22, 0.0)])
+def test_cells_of_trees_against_walks(monkeypatch, cells, walk):
+    """Whole tables, tables slice by slice, too many cells, and blocks that are cheaper to walk."""
+    rng = np.random.default_rng(9)
+    arrays = grown_trees(rng, (0, 1, 6, 80, 300))
+    x = rng.integers(-1, 42, (4000, 3)).astype(float)
+    x[::17, 1], x[::29, 0] = np.nan, np.inf
+    x = x[np.argsort(x[:, 2])]
+    calls, by_cells = [], ff._by_cells
+    monkeypatch.setattr(ff, "_by_cells", lambda *a: calls.append(1) or by_cells(*a))
+    monkeypatch.setattr(ff, "CELLS", cells)
+    monkeypatch.setattr(ff, "WALK", walk)
+    want = sum(ff.walk(x, *arrays[:3], r) for r in arrays[3])
+    assert np.allclose(ff.block_sums(x, np.array([700, 700, 2500, 4000]), *arrays), want, rtol=0, atol=1e-12)
+    assert len(calls) == (3 if walk and cells > 1 << 5 else 0)
