@@ -177,3 +177,44 @@ def test_cells_of_trees_against_walks(monkeypatch, cells, walk):
     want = sum(ff.walk(x, *arrays[:3], r) for r in arrays[3])
     assert np.allclose(ff.block_sums(x, np.array([700, 700, 2500, 4000]), *arrays), want, rtol=0, atol=1e-12)
     assert len(calls) == (3 if walk and cells > 1 << 5 else 0)
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_points_stay_while_trees_pass(spark, monkeypatch, near):
+    """Several runs of points, several chunks of trees held one after the other; equal pids of a field are one mean."""
+    for name, value in (("NODES", 40), ("HELD", 100), ("SMALL", 30), ("RUN", 70), ("CELLS", 64)):
+        monkeypatch.setattr(ff, name, value)
+    rng = np.random.default_rng(10)
+    rows = []
+    for code, v, trees in (("a", "p", 6), ("a", "q", 3), ("b", "q", 4)):
+        for t in range(trees):
+            arrays = grown_trees(rng, [12])
+            heap = {0: 1}
+            for k, (c, n, child) in enumerate(zip(*arrays[:3])):
+                if c >= 0:
+                    heap |= {int(child): 2 * heap[k], int(child) + 1: 2 * heap[k] + 1}
+                rows.append((code, v, t, heap[k], 1.0, float(n), int(c) if c >= 0 else None, float(n) if c >= 0 else None, None))
+    nodes = spark.createDataFrame(rows, "codigo string, variable string, tree int, node long, weight double, value double, f int, threshold double, gain double")
+    points = [(c, i, *map(float, rng.integers(0, 41, 3))) for c in "abc" for i in range(200)]
+    x = spark.createDataFrame(points + ([] if near else [("a", 5, 1.0, 2.0, 3.0)]), "codigo string, pid long, p0 double, p1 double, p2 double")
+    got = {(r.codigo, r.pid): r.v for r in ff.point_values(x, nodes, ["p", "q", "z"], ["p0", "p1", "p2"], near=near).collect()}
+    own = {}
+    for r in rows:
+        own.setdefault((r[0], r[1], r[2]), {})[r[3]] = r
+
+    def value(code, v, at):
+        found = []
+        for (c, w, _), tree in own.items():
+            if (c, w) == (code, v):
+                k = 1
+                while tree[k][6] is not None:
+                    k = 2 * k + (at[tree[k][6]] > tree[k][7])
+                found.append(tree[k][5])
+        return np.mean(found)
+
+    assert set(got) == {(c, i) for c in "ab" for i in range(200)}
+    for c, i, *at in points[:400]:
+        want = [value(c, "p", at) if c == "a" else None, value(c, "q", at), None]
+        if not near and (c, i) == ("a", 5):
+            want = [np.mean([w, value(c, v, (1.0, 2.0, 3.0))]) for w, v in zip(want, "pq")] + [None]
+        assert got[c, i] == [pytest.approx(w, abs=1e-12) if w is not None else None for w in want]
