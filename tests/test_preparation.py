@@ -1,7 +1,11 @@
 """The raster preparation chain: grids, missing inputs, fields without the reference layer."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from fieldzones.functions import crs
 from fieldzones.operators import preparation, raster
 from fieldzones.plans import preparation as plans
 from fieldzones.plans.zones import fields
@@ -35,3 +39,14 @@ def test_gather_weighs_the_cells_that_hold_data(spark):
     targets = spark.createDataFrame([("a", "g", 0, 0, 7.5, 12.5), ("a", "g", 0, 1, 15.0, 5.0), ("a", "g", 9, 9, 500.0, 500.0)], "codigo string, grid string, row int, col int, x double, y double")
     got = {(r.row, r.col): (r.p, r.q) for r in preparation.gather(targets, wide, meta, ["p", "q"]).collect()}
     assert got == {(0, 0): (0.5625 * 1 + 0.1875 * 3 + 0.1875 * 5 + 0.0625 * 7, 1.0), (0, 1): (7.0, None)}
+
+
+def test_moved_coordinates_are_compiled_code(spark, capsys):
+    """The JVM compiles methods of up to 8,000 bytes: the steps stand alone, whatever is before and after them."""
+    df = spark.createDataFrame([(1.06e6, 8.6e5, [1.0, 2.0])], "x double, y double, more array<double>")
+    df = df.select("*", F.explode("more").alias("m")).withColumns({"x": F.col("x") + F.col("m"), "y": F.col("y") - F.col("m") * 2.5})
+    df = crs.transform_xy(df, "EPSG:3116", "EPSG:3115").withColumns({"r": F.floor(F.col("x") / 10.0), "c": F.floor(F.col("y") / 10.0)})
+    df.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) == 3 and max(sizes) <= 8000
+    assert df.count() == 2
