@@ -50,3 +50,16 @@ def test_moved_coordinates_are_compiled_code(spark, capsys):
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert len(sizes) == 3 and max(sizes) <= 8000
     assert df.count() == 2
+
+
+def test_layers_of_a_grid_are_resampled_side_by_side(spark):
+    """Two layers share a grid, one is alone; rows of one cell are averaged, empty ones are not there."""
+    meta = spark.createDataFrame([("a", n, x, 20.0, 10.0, 10.0, 2, 2) for n, x in (("p", 0.0), ("q", 0.0), ("r", 100.0))],
+                                 "codigo string, layer string, x0 double, y0 double, res_x double, res_y double, n_rows int, n_cols int")
+    cells = [("a", n, r, c, float(10 * r + c) + k) for k, n in enumerate("pqr") for r in (0, 1) for c in (0, 1) if (n, r, c) != ("q", 1, 1)]
+    pixels = spark.createDataFrame([*cells, ("a", "p", 0, 0, 4.0), ("a", "q", 0, 1, None)], "codigo string, layer string, row int, col int, value double")
+    target = meta.select("codigo", "layer", (F.col("x0") + 5.0).alias("x0"), (F.col("y0") - 5.0).alias("y0"), "res_x", "res_y", F.lit(1).alias("n_rows"), F.lit(1).alias("n_cols"))
+    out = raster.resample(pixels, meta, target)
+    got = {r.layer: (r.row, r.col, r.value) for r in out.collect()}
+    # p: (0 + 4 + 1 + 10 + 11) / 5, q: (1 + 2 + 11) / 3, r: (2 + 3 + 12 + 13) / 4
+    assert got == {"p": (0, 0, pytest.approx(26 / 5)), "q": (0, 0, pytest.approx(14 / 3)), "r": (0, 0, pytest.approx(7.5))}
